@@ -7,8 +7,9 @@ the lexicon sent to the tasks has a proven size (8 bytes a term) at any size of
 
 A fingerprint has ``len(RATES)`` parts. Part i keeps those distinct lexicon terms of the text that fall into the i-th
 random subset of the lexicon, sorted, and hashes them; subsets of different rates suit texts of different lengths. Two
-fingerprints are alike by the share of equal parts among those that are not empty in both. Equal texts have equal
-fingerprints. A text with fewer than ``FEWEST`` lexicon terms uses all its terms; one without terms has the empty parts.
+fingerprints are alike by the share of equal parts among those that are not empty in both, at the rates that suit both
+texts: those at which at least a quarter of the parts are empty, so that a part holds one or two terms and survives an
+edit elsewhere. Equal texts have equal fingerprints. A text with fewer than ``FEWEST`` lexicon terms uses all its terms; one without terms has the empty parts.
 
 Terms are words split at ASCII white space, ASCII letters in lower case. Null text counts as empty; null ids come last.
 """
@@ -32,7 +33,8 @@ LEXICON = 1 << 21
 TOP_SHARE = 0.05
 FEWEST = 4
 #: The share of the lexicon in each part's subset.
-RATES = tuple(r for r in (1 / 4, 1 / 8, 1 / 16, 1 / 32, 1 / 64, 1 / 128, 1 / 256, 1 / 512) for _ in range(4))
+LEVELS, EACH = tuple(2.0**-k for k in range(4, 12)), 8
+RATES = tuple(r for r in LEVELS for _ in range(EACH))
 _SEEDS = np.random.Generator(np.random.PCG64(9)).integers(1, 1 << 63, len(RATES), dtype=np.uint64)
 _LIMITS = np.array([int(r * (1 << 64)) for r in RATES], np.uint64)
 EMPTY = "-" * 8
@@ -83,9 +85,15 @@ def parts(found: np.ndarray, lex: np.ndarray) -> list[str]:
 
 
 def likeness(a: list[str], b: list[str]) -> float:
-    """Share of equal parts among those not empty in both; 1 for two wholly empty fingerprints."""
-    told = [(x, y) for x, y in zip(a, b, strict=True) if x != EMPTY or y != EMPTY]
-    return sum(x == y for x, y in told) / len(told) if told else 1.0
+    """Share of equal parts among those not empty in both, at the rates that suit both; 1 for equal fingerprints."""
+    if a == b:
+        return 1.0
+    told = []
+    for at in range(0, len(RATES), EACH):
+        level = list(zip(a[at : at + EACH], b[at : at + EACH], strict=True))
+        if min(sum(x == EMPTY for x, _ in level), sum(y == EMPTY for _, y in level)) * 4 >= EACH or at + EACH == len(RATES):
+            told += [(x, y) for x, y in level if x != EMPTY or y != EMPTY]
+    return sum(x == y for x, y in told) / len(told) if told else 0.0
 
 
 def fingerprints(docs: DataFrame, lex: np.ndarray, key: str = "doc_id", text: str = "text") -> DataFrame:
