@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from lodestone.llm import curriculum_mix, extendible_shards, imatch, quality_classifier, secret_scan, url_reputation
+from lodestone.llm import curriculum_mix, extendible_shards, imatch, ngram_jaccard, quality_classifier, secret_scan, url_reputation
 
 QUERIES = {
     "op2_extendible_shards": extendible_shards.op2_extendible_shards,
     "op4_quality_classifier": quality_classifier.op4_quality_classifier,
     "op6_secret_scan": secret_scan.op6_secret_scan,
+    "op7_ngram_jaccard": ngram_jaccard.op7_ngram_jaccard,
     "op8_curriculum_mix": curriculum_mix.op8_curriculum_mix,
     "op9_imatch": imatch.op9_imatch,
     "op10_url_reputation": url_reputation.op10_url_reputation,
