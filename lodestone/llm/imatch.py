@@ -104,7 +104,8 @@ def fingerprints(docs: DataFrame, lex: np.ndarray, key: str = "doc_id", text: st
         for batch in batches:
             yield pd.DataFrame({key: batch["key"], "fingerprint": ["".join(parts(terms(t), known.value)) for t in batch["text"]]})
 
-    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInPandas(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, fingerprint string")
+    rows = docs.select(F.col(key).cast("string").alias("key"), F.col(text).alias("text"))
+    return rows.mapInPandas(run, f"`{key}` string, fingerprint string").withColumn(key, F.col(key).cast(docs.schema[key].dataType))
 
 
 def neighbours(docs: DataFrame) -> DataFrame:
@@ -146,13 +147,12 @@ def op9_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
                     digest = hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest()
                     out.append((held[1], len(held[2]), digest, "".join(held[3]), "".join(new), likeness(held[3], new), likeness(held[3], own)))
                 held = None if guest else (part, doc_id, text, own)
-            frame = pd.DataFrame(out, columns=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
-            frame["doc_id"] = frame["doc_id"].astype("Int64")
-            yield frame
+            yield pd.DataFrame(out, columns=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
 
     rows = neighbours(docs)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartitionById(n, F.col("part")).sortWithinPartitions("part", "guest", F.col("id").desc(), "text")
-    return dealt.select("part", "doc_id", "text", "guest").mapInPandas(
-        run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    out = dealt.select("part", F.col("doc_id").cast("string").alias("doc_id"), "text", "guest").mapInPandas(
+        run, "doc_id string, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     )
+    return out.withColumn("doc_id", F.col("doc_id").cast("long"))

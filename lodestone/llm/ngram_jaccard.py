@@ -102,14 +102,14 @@ def signed(docs: DataFrame, n: int, t: int, sub: int, key: str = "doc_id", text:
         for batch in batches:
             sets = [_set(x, n) for x in batch["text"]]
             yield pd.DataFrame({
-                "id": batch["id"].astype("Int64"), "n": [len(s) for s in sets],
+                "id": batch["id"], "n": [len(s) for s in sets],
                 "f1": np.array([mix(s).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64),
                 "f2": np.array([mix(s ^ _CLASS).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64),
                 "sigs": [signatures(s, t, sub).view(np.int64) if len(s) else np.zeros(0, np.int64) for s in sets],
             })
 
-    rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    return rows.mapInPandas(run, "id long, n long, f1 long, f2 long, sigs array<long>")
+    rows = docs.select(F.col(key).cast("string").alias("id"), F.col(text).alias("text"))
+    return rows.mapInPandas(run, "id string, n long, f1 long, f2 long, sigs array<long>").withColumn("id", F.col("id").cast("long"))
 
 
 def sets_of(docs: DataFrame, ids: DataFrame, n: int, key: str = "doc_id", text: str = "text") -> DataFrame:

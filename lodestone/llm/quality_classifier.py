@@ -176,8 +176,8 @@ def classify(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "te
             score = known.value.scores(list(batch["text"]))
             yield pd.DataFrame({key: batch["key"], "score": score, "predicted": (score >= 0.5).astype("int32")})
 
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    return rows.mapInPandas(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, score double, predicted int")
+    rows = docs.select(F.col(key).cast("string").alias("key"), F.col(text).alias("text"))
+    return rows.mapInPandas(run, f"`{key}` string, score double, predicted int").withColumn(key, F.col(key).cast(docs.schema[key].dataType))
 
 
 def fold(doc_id) -> Column:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from lodestone.llm import curriculum_mix, extendible_shards, imatch, ngram_jaccard, quality_classifier, secret_scan, url_reputation
+from lodestone.llm import curriculum_mix, decontaminate, extendible_shards, imatch, license_scan, ngram_jaccard, quality_classifier, secret_scan, url_reputation
 
 QUERIES = {
     "op2_extendible_shards": extendible_shards.op2_extendible_shards,
+    "op3_decontaminate": decontaminate.op3_decontaminate,
     "op4_quality_classifier": quality_classifier.op4_quality_classifier,
+    "op5_license_scan": license_scan.op5_license_scan,
     "op6_secret_scan": secret_scan.op6_secret_scan,
     "op7_ngram_jaccard": ngram_jaccard.op7_ngram_jaccard,
     "op8_curriculum_mix": curriculum_mix.op8_curriculum_mix,
@@ -15,6 +17,7 @@ QUERIES = {
 }
 ORACLES = {
     "op2_extendible_shards": extendible_shards.SQL,
+    "op5_license_scan": license_scan.SQL,
     "op8_curriculum_mix": curriculum_mix.SQL,
     "op10_url_reputation": url_reputation.SQL,
 }

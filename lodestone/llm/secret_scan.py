@@ -156,9 +156,9 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
                 "spans": [_line(f) for f in found],
             })
 
-    kind = docs.schema[key].dataType.simpleString()
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    return rows.mapInPandas(run, f"`{key}` {kind}, n_assign long, n_access long, n_hex long, n_confirmed long, base_sha256 string, spans string")
+    rows = docs.select(F.col(key).cast("string").alias("key"), F.col(text).alias("text"))
+    out = rows.mapInPandas(run, f"`{key}` string, n_assign long, n_access long, n_hex long, n_confirmed long, base_sha256 string, spans string")
+    return out.withColumn(key, F.col(key).cast(docs.schema[key].dataType))
 
 
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
