@@ -191,7 +191,7 @@ def _linked(buckets: DataFrame, nodes: DataFrame, sets: DataFrame, t: int) -> Da
         single = ties.select("id", F.explode(tie).alias("key"))
         more = written(single.groupBy("key").count().where("count > 1").select("key"), "shared")
         after = written(single.join(more, "key").distinct(), "buckets")
-        for done in (buckets, comp, pairs, pivots):
+        for done in (buckets, comp, stats, small, pairs):
             remove(done)
         buckets = after
     return roots
