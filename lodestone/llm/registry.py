@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from lodestone.llm import curriculum_mix, decontaminate, extendible_shards, imatch, license_scan, ngram_jaccard, quality_classifier, secret_scan, url_reputation
+from lodestone.llm import curriculum_mix, decontaminate, extendible_shards, imatch, license_scan, ngram_jaccard, quality_classifier, secret_scan, url_reputation, warc
 
 QUERIES = {
+    "op1_index_merge": warc.op1_index_merge,
     "op2_extendible_shards": extendible_shards.op2_extendible_shards,
     "op3_decontaminate": decontaminate.op3_decontaminate,
     "op4_quality_classifier": quality_classifier.op4_quality_classifier,
@@ -16,6 +17,7 @@ QUERIES = {
     "op10_url_reputation": url_reputation.op10_url_reputation,
 }
 ORACLES = {
+    "op1_index_merge": warc.SQL,
     "op2_extendible_shards": extendible_shards.SQL,
     "op5_license_scan": license_scan.SQL,
     "op8_curriculum_mix": curriculum_mix.SQL,
