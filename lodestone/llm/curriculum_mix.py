@@ -67,29 +67,35 @@ def demand_inverse(q: Column, start: Column, end: Column) -> Column:
     return F.when(slope == 0, q).otherwise((F.sqrt(start * start + 2.0 * slope * q * area) - start) / slope)
 
 
-def stream(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
-    """(key, source, size, h, before): the words that come before each document in its source's stream."""
+def stream(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", carry: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Documents with the words that come before each in its source's stream, and the sizes of the sources.
+
+    The first: (doc_id, source, size, h, before), and with ``carry`` the whole row as the struct ``row``. The second:
+    (source, source_size).
+    """
     h = F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")))
-    rows = docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), h.alias("h"), F.xxhash64(F.col(text)).alias("tie"))
-    rows = written(rows, "sizes")
-    bucket = F.substring("h", 1, BUCKET_DIGITS).alias("bucket")
-    sums = rows.groupBy("source", bucket).agg(F.sum("size").alias("words"))
+    bucket = F.substring("h", 1, BUCKET_DIGITS)
+    columns = [F.col(key).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), h.alias("h"), F.xxhash64(F.col(text)).alias("tie")]
+    rows = docs.select(*columns, *([F.struct("*").alias("row")] if carry else []))
+    if not carry:
+        rows = written(rows, "sizes")
+    sums = written(rows.groupBy("source", bucket.alias("bucket")).agg(F.sum("size").alias("words")), "bucket_sums")
     start = F.coalesce(F.sum("words").over(W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    starts = written(sums.withColumn("start", start).select(F.col("source").alias("s"), F.col("bucket").alias("k"), "start"), "bucket_starts")
-    inside = W.partitionBy("source", "bucket").orderBy("h", "doc_id", "tie")
-    placed = rows.withColumn("bucket", bucket).withColumn("upto", F.sum("size").over(inside.rowsBetween(W.unboundedPreceding, W.currentRow)))
-    return placed.join(starts, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("k"))).select(
-        "doc_id", "source", "size", "h", (F.col("start") + F.col("upto") - F.col("size")).alias("before")
-    )
+    starts = written(sums.select(F.col("source").alias("s"), F.col("bucket").alias("k"), start.alias("start")), "bucket_starts")
+    inside = W.partitionBy("source", "bucket").orderBy("h", "doc_id", "tie").rowsBetween(W.unboundedPreceding, W.currentRow)
+    placed = rows.withColumn("bucket", bucket).withColumn("upto", F.sum("size").over(inside))
+    placed = placed.join(starts, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("k")))
+    kept = ["doc_id", "source", "size", "h", (F.col("start") + F.col("upto") - F.col("size")).alias("before")]
+    return placed.select(*kept, *(["row"] if carry else [])), sums.groupBy("source").agg(F.sum("words").alias("source_size"))
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, schedules=SCHEDULES, share: float = SHARE, most: int = MOST) -> DataFrame:
+def mix(docs: DataFrame, weights=WEIGHTS, schedules=SCHEDULES, share: float = SHARE, most: int = MOST, carry: bool = False) -> DataFrame:
     """(doc_id, source, size, source_size, target, passes, taken, position) of each document, position being of its first pass.
 
-    Documents that the mix leaves out have taken 0 and no position.
+    Documents that the mix leaves out have taken 0 and no position. ``carry`` keeps each whole row as the struct ``row``.
     """
-    rows = stream(docs)
-    plan = written(budgets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most), "budgets")
+    rows, sizes = stream(docs, carry=carry)
+    plan = written(budgets(sizes, weights, share, most), "budgets")
     at = (F.col("rank") % len(schedules) + 1).cast("int")
     ends = [F.element_at(F.array(*[F.lit(float(s[i])) for s in schedules]), at) for i in (0, 1)]
     plan = plan.select(F.col("source").alias("s"), "source_size", "target", ends[0].alias("w0"), ends[1].alias("w1"))
@@ -99,16 +105,17 @@ def mix(docs: DataFrame, weights=WEIGHTS, schedules=SCHEDULES, share: float = SH
     position = demand_inverse(F.col("before") / F.col("target"), F.col("w0"), F.col("w1"))
     return all_rows.withColumn("passes", passes).select(
         "doc_id", "source", "size", "source_size", "target", "passes", (F.col("size") * F.col("passes")).alias("taken"),
-        F.when(F.col("passes") > 0, position).alias("position"), "before", "w0", "w1", "h",
+        F.when(F.col("passes") > 0, position).alias("position"), "before", "w0", "w1", "h", *(["row"] if carry else []),
     )
 
 
 def schedule(mixed: DataFrame) -> DataFrame:
-    """One row for each taking of a document, range-sorted by training position: (doc_id, source, size, pass, position)."""
+    """One row for each taking of a document, range-sorted by training position: (doc_id, source, size, pass, position, h, row if carried)."""
     offset = F.col("before") + F.col("pass") * F.col("source_size")
     takes = mixed.where("passes > 0").withColumn("pass", F.explode(F.expr("sequence(0, passes - 1)")))
     placed = takes.withColumn("position", demand_inverse(offset / F.col("target"), F.col("w0"), F.col("w1")))
-    return placed.select("doc_id", "source", "size", "pass", "position", "h").orderBy("position", "h", "doc_id")
+    kept = ["doc_id", "source", "size", "pass", "position", "h", *(["row"] if "row" in placed.columns else [])]
+    return placed.select(*kept).orderBy("position", "h", "doc_id")
 
 
 def op8_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -197,6 +197,24 @@ def _linked(buckets: DataFrame, nodes: DataFrame, sets: DataFrame, t: int) -> Da
     return roots
 
 
+def deduplicated(docs: DataFrame, n: int = 5, t: int = 80, sub: int = 1) -> DataFrame:
+    """``docs`` with one document of each component, that of the smallest doc_id; all columns kept.
+
+    Rows with a null id stay. An id that repeats is one document: it stays if one of its rows does, as one row for each
+    different text.
+    """
+    found = written(similar(docs, n, t, sub), "components")
+    winners = found.where("id = component_id")
+    lost = written(found.where("id <> component_id").select("id").join(winners.select("id"), "id", "left_anti").distinct(), "lost")
+    repeats = written(winners.groupBy("id").count().where("count > 1").select("id"), "repeats")
+    small = F.broadcast(lost) if lost.count() <= SMALL_IDS else lost
+    kept = docs.join(small, docs["doc_id"] == small["id"], "left_anti")
+    if repeats.isEmpty():
+        return kept
+    again = kept.join(repeats, kept["doc_id"] == repeats["id"], "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.join(repeats, kept["doc_id"] == repeats["id"], "left_anti").unionByName(again)
+
+
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents by 3-word shingles at 90 percent."""
     out = similar(table(spark, sf_dir, "documents"), n=3, t=90)

@@ -180,6 +180,17 @@ def classify(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "te
     return rows.mapInPandas(run, f"`{key}` string, score double, predicted int").withColumn(key, F.col(key).cast(docs.schema[key].dataType))
 
 
+def accepted(docs: DataFrame, model: Model, text: str = "text", least: float = 0.5) -> DataFrame:
+    """The rows with a score of at least ``least``, all columns kept; only the text goes through Python."""
+    known = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("double")
+    def score(texts: pd.Series) -> pd.Series:
+        return pd.Series(known.value.scores(list(texts)))
+
+    return docs.where(score(F.col(text)) >= least)
+
+
 def fold(doc_id) -> Column:
     """crc32 of the id as text, mod 3; fold 1 is held out."""
     return F.crc32(doc_id.cast("string").cast("binary")) % 3
