@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from lodestone.plans import terms  # noqa: F401
+from lodestone.plans.catalog import ORACLES, QUERIES
+
 FLAGSHIP = "a11_top_terms"
-QUERIES: dict = {}
-ORACLES: dict = {}
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]
