@@ -12,12 +12,13 @@ subsets of two is enumerated), with sub = 1 that of one part. Signatures are ord
 place, and a set keeps the shortest beginning of that order that k differences cannot spoil. As a common signature has the
 same place in both orders, two similar sets still share one; sparse signatures, which would be shared by chance, go.
 
-Joining. Pairs are listed only within buckets of at most ``FEW`` members. A larger bucket's most connected member is its
-pivot and is verified against each other member: as many tests as members. Two others x, y that the pivot p did not bring together can be similar only
-if x \\ p and y \\ p differ in at most k elements, so that they share one of the first k + 1 elements of these, or, where those
-are small, of the symmetric differences to p. Such elements are the next round's buckets. A pivot ranks above all members
-of the buckets it leads to, so the rounds end; in practice after a few. Buckets
-wholly inside one component are dropped.
+Joining. Pairs are listed only within buckets of at most ``FEW`` members. The members of larger buckets with the same most
+connected member form a group. Its centre is the set of elements that more than half of the group hold; D(x) is the
+symmetric difference of x and the centre. Two members with |D(x)| + |D(y)| within what their sizes allow are surely similar,
+and then both are similar to the member that has most room left, so one test a member against that one finds all such ties.
+Any other similar pair must share one of the first k + 1 elements of D(x) and D(y): these are the buckets of the next round,
+each with a centre of its own that settles the element they share, so the rounds end. Buckets wholly inside one component
+are dropped.
 
 Nulls: a null text has an empty set; rows with a null id are returned with a null component and link nothing. Rows that
 repeat an id are separate rows. Exact up to 64-bit collisions of hashes.
@@ -124,22 +125,24 @@ def sets_of(docs: DataFrame, ids: DataFrame, n: int, key: str = "doc_id", text:
     return rows.mapInPandas(run, "id long, s array<long>")
 
 
-def _first(elements: Column, size: int | Column) -> Column:
-    return F.slice(F.array_sort(elements), F.lit(1), size)
-
-
 def _verified(pairs: DataFrame, sets: DataFrame, t: int) -> DataFrame:
-    """(p, id, star, linked, e, d): whether each pair is similar, and the elements that could tie ``id`` to others apart from p."""
+    """(a, b) of the pairs (p, id) that are similar."""
     both = pairs.join(sets.select(F.col("id").alias("p"), F.col("s").alias("ps")), "p").join(sets, "id")
-    both = both.withColumn("mine", F.array_except("s", "ps")).withColumn("theirs", F.array_except("ps", "s"))
-    common = F.size("s") - F.size("mine")
-    size = F.size("s")
-    k = F.expr(f"cast((100 - {t}) * (size(s) + 100 * size(s) div {t}) div (100 + {t}) as int)")
-    few = F.size("mine") <= k
-    return both.select(
-        "p", "id", "star", (common * 100 >= t * (size + F.size("ps") - common)).alias("linked"), _first(F.col("mine"), k + 1).alias("e"),
-        F.when(few, _first(F.concat("mine", "theirs"), k + 1)).otherwise(F.array().cast("array<bigint>")).alias("d"),
-    )
+    common = F.size(F.array_intersect("s", "ps"))
+    return both.where(common * 100 >= t * (F.size("s") + F.size("ps") - common)).select(F.col("p").alias("a"), F.col("id").alias("b"))
+
+
+def _centred(groups: DataFrame, sets: DataFrame, t: int) -> DataFrame:
+    """(g, id, room, ties) of groups (g, id): what the member's size leaves for its difference to the centre, and its next buckets."""
+    held = written(groups.join(sets, "id"), "held")
+    sizes = held.groupBy("g").agg(F.count("*").alias("n"))
+    common = held.select("g", F.explode("s").alias("e")).groupBy("g", "e").agg(F.count("*").alias("m")).join(sizes, "g").where("m * 2 > n")
+    centres = written(held.select("g").distinct().join(common.groupBy("g").agg(F.collect_list("e").alias("c")), "g", "left"), "centres")
+    c = F.coalesce("c", F.array().cast("array<bigint>"))
+    apart = held.join(centres, "g").select("g", "id", F.size("s").alias("n"), F.array_sort(F.concat(F.array_except("s", c), F.array_except(c, "s"))).alias("d"))
+    k = F.expr(f"cast((100 - {t}) * (n + 100 * n div {t}) div (100 + {t}) as int)")
+    ties = F.transform(F.slice("d", F.lit(1), k + 1), lambda e: F.xxhash64("g", e))
+    return apart.select("g", "id", ((100 - t) * F.col("n") - (100 + t) * F.size("d")).alias("room"), ties.alias("ties"))
 
 
 def similar(docs: DataFrame, n: int, t: int, sub: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -162,7 +165,7 @@ def similar(docs: DataFrame, n: int, t: int, sub: int = 3, key: str = "doc_id",
 
 def _linked(buckets: DataFrame, nodes: DataFrame, sets: DataFrame, t: int) -> DataFrame | None:
     """(node, root) of all representatives that some similar pair joins; None if there is no pair."""
-    links, roots = None, None
+    roots, first = None, True
     while not buckets.isEmpty():
         comp = nodes.join(roots, nodes["id"] == roots["node"], "left") if roots is not None else nodes.withColumn("root", F.lit(None).cast("long"))
         comp = written(comp.select("id", "rank", F.coalesce("root", "id").alias("comp")), "comp")
@@ -170,28 +173,26 @@ def _linked(buckets: DataFrame, nodes: DataFrame, sets: DataFrame, t: int) -> Da
         lead = F.max(F.struct("rank", (-F.col("id")).alias("order")))["order"]
         stats = inside.groupBy("key").agg(F.count("*").alias("members"), (-lead).alias("p"), F.min("comp").alias("low"), F.max("comp").alias("high"))
         stats = written(stats.where("low < high").select("key", "members", "p"), "stats")
-        large = buckets.join(stats.where(F.col("members") > FEW), "key").where("id <> p").select("p", "id", F.lit(True).alias("star"))
+        label = F.col("p") if first else F.col("key")
+        large = buckets.join(stats.where(F.col("members") > FEW), "key").select(label.alias("g"), "id").distinct()
+        first = False
+        large = written(_centred(large, sets, t), "large")
+        middle = large.groupBy("g").agg(F.max(F.struct("room", (-F.col("id")).alias("order")))["order"].alias("order"))
+        star = large.join(middle, "g").select((-F.col("order")).alias("p"), "id").where("p <> id")
         small = written(inside.join(stats.where(F.col("members") <= FEW), "key").select("key", "id", "comp"), "small")
         other = small.select("key", F.col("id").alias("p"), F.col("comp").alias("comp_p"))
-        listed = small.join(other, "key").where("p < id and comp <> comp_p").select("p", "id", F.lit(False).alias("star"))
-        pairs = written(large.unionByName(listed).groupBy("p", "id").agg(F.max("star").alias("star")), "pairs")
-        tests = written(_verified(pairs, sets, t), "tests")
-        new = tests.where("linked").select(F.col("p").alias("a"), F.col("id").alias("b"))
+        listed = small.join(other, "key").where("p < id and comp <> comp_p").select("p", "id")
+        pairs = written(star.unionByName(listed).distinct(), "pairs")
+        new = written(_verified(pairs, sets, t), "tests")
         if not new.isEmpty():
-            old = links
-            links = written(new if old is None else new.unionByName(old), "links")
-            roots = components(links)
-            links = roots.select(F.col("root").alias("a"), F.col("node").alias("b"))
-        stars = tests.where("star")
-        now = roots.select(F.col("node").alias("id"), F.col("root")) if roots is not None else None
-        seen = stars.join(now, "id", "left").withColumn("comp", F.coalesce("root", "id")) if now is not None else stars.withColumn("comp", F.col("id"))
-        open_ = written(seen.groupBy("p").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("p"), "open")
-        ties = stars.join(open_, "p", "left_semi")
-        tie = F.concat(F.transform("e", lambda x: F.xxhash64("p", x, F.lit("e"))), F.transform("d", lambda x: F.xxhash64("p", x, F.lit("d"))))
-        single = ties.select("id", F.explode(tie).alias("key"))
+            roots = components(new if roots is None else new.unionByName(roots.select(F.col("root").alias("a"), F.col("node").alias("b"))))
+        seen = large.join(roots.select(F.col("node").alias("id"), "root"), "id", "left") if roots is not None else large.withColumn("root", F.lit(None).cast("long"))
+        seen = seen.withColumn("comp", F.coalesce("root", "id"))
+        open_ = written(seen.groupBy("g").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("g"), "open")
+        single = large.join(open_, "g", "left_semi").select("id", F.explode("ties").alias("key"))
         more = written(single.groupBy("key").count().where("count > 1").select("key"), "shared")
-        after = written(single.join(more, "key").distinct(), "buckets")
-        for done in (buckets, comp, stats, small, pairs):
+        after = written(single.join(more, "key"), "buckets")
+        for done in (buckets, comp, stats, small, large, pairs):
             remove(done)
         buckets = after
     return roots
