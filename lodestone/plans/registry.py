@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestone.plans import terms  # noqa: F401
+from lodestone.plans import matching, terms  # noqa: F401
 from lodestone.plans.catalog import ORACLES, QUERIES
 
 FLAGSHIP = "a11_top_terms"
