@@ -1,4 +1,4 @@
-"""Connected components of a table of links, by alternating large-star and small-star steps."""
+"""Connected components of a table of links, by label propagation with pointer jumping."""
 
 from __future__ import annotations
 
@@ -7,33 +7,33 @@ from pyspark.sql import functions as F
 
 from lodestone.durable import remove, written
 
+#: A table of up to so many rows (about 8 MB in each task's memory) is sent to all tasks; a larger one is joined by shuffle.
+SMALL = 1 << 17
+
+
+def sized(df: DataFrame) -> DataFrame:
+    """``df``, a written table, marked to be sent to all tasks if it is small."""
+    return F.broadcast(df) if df.count() <= SMALL else df
+
 
 def components(links: DataFrame) -> DataFrame:
     """(node, root) of every node in ``links`` (a, b) other than the roots; root is the smallest node reachable.
 
-    Each step makes every node point to the smallest neighbour seen, by aggregation and an equi-join, so a node with many
-    links needs no task of its own. Nulls, loops and repeated links are ignored. The steps end when nothing changes.
+    In each step a node takes the smallest root among its neighbours' and then that root's own root, so distances double.
+    The smallest neighbour comes from an aggregation, so a node with many links needs no task of its own. Nulls, loops and
+    repeated links are ignored. Steps end when nothing changes.
     """
-    edges = written(links.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("root")).distinct(), "edges")
-    seen = None
+    pairs = links.where("a is not null and b is not null and a <> b").select("a", "b")
+    edges = written(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))), "edges")
+    labels = written(edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("root")), "labels")
     while True:
-        large = _star(edges.unionByName(edges.select(F.col("root").alias("node"), F.col("node").alias("root"))), larger=True)
-        after = written(_star(large, larger=False), "edges")
-        mark = after.agg(F.count("*"), F.sum(F.hash("node", "root").cast("long")), F.bit_xor(F.xxhash64("node", "root"))).first()
-        remove(edges)
-        edges = after
-        if mark == seen:
-            return edges
-        seen = mark
-
-
-def _star(pairs: DataFrame, larger: bool) -> DataFrame:
-    """``pairs`` (node, root) hung on each node's smallest neighbour: its larger neighbours, or itself and its smaller ones."""
-    low = pairs.groupBy("node").agg(F.min("root").alias("low")).select("node", F.least("node", "low").alias("low"))
-    both = pairs.join(low, "node")
-    if larger:
-        out = both.where(F.col("root") > F.col("node")).select(F.col("root").alias("node"), F.col("low").alias("root"))
-    else:
-        hung = both.where(F.col("root") < F.col("node")).select(F.col("root").alias("node"), F.col("low").alias("root"))
-        out = hung.unionByName(low.select("node", F.col("low").alias("root")))
-    return out.where(F.col("node") > F.col("root")).distinct()
+        known = sized(labels)
+        near = edges.join(known.select(F.col("node").alias("b"), F.col("root").alias("near")), "b").groupBy(F.col("a").alias("node")).agg(F.min("near").alias("near"))
+        better = labels.join(near, "node").select("node", "root", F.least("root", "near").alias("new"))
+        up = better.join(known.select(F.col("node").alias("new"), F.col("root").alias("higher")), "new")
+        after = written(up.select("node", F.least("new", "higher").alias("new"), "root"), "labels")
+        done = after.where("new <> root").isEmpty()
+        remove(labels)
+        labels = after.select("node", F.col("new").alias("root"))
+        if done:
+            return labels.where("node <> root")

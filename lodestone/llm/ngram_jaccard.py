@@ -5,12 +5,15 @@ words is one shingle; without words the set is empty and links with nothing). Do
 from then on only one representative of each class takes part.
 
 Signatures. Jaccard similarity of at least t bounds the symmetric difference of two sets by k, which follows from their
-sizes. Sizes are banded by powers of two; a set signs in its own band and, if a partner could lie there, in the next one.
-In a band the domain of hashes is cut into groups, each of ``sub`` parts. Two sets that differ in at most k elements agree
-wholly in enough parts. With sub = 3 a signature is the content of two of a group's three parts (each of the three
-subsets of two is enumerated), with sub = 1 that of one part. Signatures are ordered by how many elements they cover, then by
-place, and a set keeps the shortest beginning of that order that k differences cannot spoil. As a common signature has the
-same place in both orders, two similar sets still share one; sparse signatures, which would be shared by chance, go.
+sizes. Sizes are banded by powers of the root of two; a set signs in its own band and, if a partner could lie there, in the
+next one. In a band the domain of hashes is cut into groups of ``sub`` parts, and each subset of sub - 1 parts of a group is
+enumerated: its content is a signature. k differences cannot spoil all the signatures of a group unless enough fall into it
+(sub = 2: one for each; sub = 3: one for the first two, another for the third), so two similar sets agree in some.
+
+There are ``SPARE`` times the groups that k calls for, and a set keeps only its rarest signatures: ordered by the number of
+sets that share them, counted over all, it keeps the shortest beginning of that order that k differences cannot spoil. As
+the order is the same for all, two similar sets still share a kept one. Signatures that nobody shares come first in it, so
+a set with enough of these has no partner and drops out, and crowded signatures (common passages) are left aside.
 
 Joining. Pairs are listed only within buckets of at most ``FEW`` members. The members of larger buckets with the same most
 connected member form a group. Its centre is the set of elements that more than half of the group hold; D(x) is the
@@ -26,6 +29,7 @@ repeat an id are separate rows. Exact up to 64-bit collisions of hashes.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +38,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.durable import remove, written
-from lodestone.llm.components import components
+from lodestone.llm.components import components, sized
 from lodestone.llm.words import mix, shingle_set
 from lodestone.sources import table
 
@@ -42,8 +46,8 @@ from lodestone.sources import table
 SMALL_IDS = 1 << 20
 #: Members of a bucket whose pairs are all verified: at most (FEW - 1) / 2 pairs a member.
 FEW = 16
-#: Groups beyond those that k calls for, so that sparse signatures can be left out.
-SPARE = {1: 1.25, 3: 1.1}
+#: How many times the groups that k calls for there are.
+SPARE = 1.25
 _CLASS = np.uint64(0xD1B54A32D192ED03)
 
 
@@ -52,44 +56,60 @@ def most_different(a: int, b: int, t: int) -> int:
     return (100 - t) * (a + b) // (100 + t)
 
 
-def signatures(s: np.ndarray, t: int, sub: int) -> np.ndarray:
-    """The PartEnum signatures of a sorted set of uint64 hashes, as uint64."""
-    a = len(s)
+def _band(size: int) -> int:
+    """The j with 2 ** (j / 2) <= size < 2 ** ((j + 1) / 2)."""
+    return (size * size).bit_length() - 1
+
+
+def instances(a: int, t: int, sub: int) -> list[tuple[int, int, int]]:
+    """(band, k, groups) in which a set of size a signs; none if only equal sets are similar to it."""
     partner = 100 * a // t
-    if most_different(a, partner, t) == 0:
-        return np.zeros(0, np.uint64)  # only equal sets are similar
-    own = a.bit_length() - 1
     out = []
-    run = np.zeros(a + 1, np.uint64)
-    np.cumsum(mix(s), out=run[1:])
-    for band in range(own, partner.bit_length()):
-        top = (2 << band) - 1
+    for band in range(_band(a), _band(partner) + 1):
+        top = math.isqrt((2 << band) - 1)  # the largest size in the band
         k = most_different(a, min(partner, top), t)
-        k_top = most_different(top, top, t)
-        if k == 0:
-            continue
-        groups = int((k_top // (2 if sub == 3 else 1) + 1) * (SPARE[sub] if k_top >= 8 else 1))
-        cut = np.searchsorted(s, (np.arange(1, groups * sub, dtype=np.float64) / (groups * sub) * 2.0**64).astype(np.uint64))
-        at = np.concatenate([[0], cut, [a]])
-        size, content = np.diff(at), run[at[1:]] - run[at[:-1]]
-        if sub == 3:
-            size, content = size.reshape(-1, 3), content.reshape(-1, 3)
-            size = (size.sum(1)[:, None] - size).ravel()  # without the i-th part
-            content = mix(content[:, [1, 0, 0]]).ravel() + mix(content[:, [2, 2, 1]] + np.uint64(1)).ravel()
-        order = np.argsort(-size, kind="stable")
-        if sub == 3:  # spoiling a group takes 1 difference for its first two subsets, another for the third
-            place = np.empty(len(order), np.int64)
-            place[order] = np.arange(len(order))
-            place = np.sort(place.reshape(-1, 3), 1)
-            cost = np.zeros(len(order), np.int64)
-            cost[place[:, 0]] = 1
-            cost[place[:, 2]] = 1
-            n = int(np.searchsorted(np.cumsum(cost), k + 1)) + 1
-        else:
-            n = k + 1
-        keep = order[:n]
-        out.append(mix(content[keep] + mix(keep.astype(np.uint64) * np.uint64(64) + np.uint64(band)) + size[keep].astype(np.uint64)))
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+        if k > 0:
+            out.append((band, k, math.ceil(SPARE * (most_different(top, top, t) // 2 + 1))))
+    return out
+
+
+def signatures(s: np.ndarray, t: int, sub: int) -> np.ndarray:
+    """All PartEnum signatures of a sorted set of uint64 hashes, as uint64: groups * sub for each instance, in order."""
+    run = np.zeros(len(s) + 1, np.uint64)
+    np.cumsum(mix(s), out=run[1:])
+    out = [np.zeros(0, np.uint64)]
+    for band, _, groups in instances(len(s), t, sub):
+        n = groups * sub
+        cut = np.searchsorted(s, (np.arange(1, n, dtype=np.float64) / n * 2.0**64).astype(np.uint64))
+        at = np.concatenate([[0], cut, [len(s)]])
+        content = mix(run[at[1:]] - run[at[:-1]] + np.diff(at).astype(np.uint64))
+        if sub == 3:  # the i-th subset leaves the i-th part out
+            c = content.reshape(-1, 3)
+            content = mix(c[:, [1, 0, 0]] + np.uint64(3) * c[:, [2, 2, 1]]).ravel()
+        out.append(mix(content + mix(np.arange(n, dtype=np.uint64) * np.uint64(256) + np.uint64(band))))
+    return np.concatenate(out)
+
+
+def rarest(a: int, shared: list[tuple[int, int, int]], t: int, sub: int) -> list[int]:
+    """The shared signatures to keep of a set of size a: ``shared`` is (sharers, signature, place) of those that others have too."""
+    kept, offset = [], 0
+    for _, k, groups in instances(a, t, sub):
+        n = groups * sub
+        here = sorted(x for x in shared if offset <= x[2] < offset + n)
+        left = [sub] * groups  # signatures of each group in the beginning so far
+        for x in here:
+            left[(x[2] - offset) // sub] -= 1
+        worth = (0, 1, 2) if sub == 2 else (0, 1, 1, 2)
+        cost = sum(worth[i] for i in left)
+        for x in here:
+            if cost > k:
+                break
+            g = (x[2] - offset) // sub
+            cost += worth[left[g] + 1] - worth[left[g]]
+            left[g] += 1
+            kept.append(x[1])
+        offset += n
+    return kept
 
 
 def _set(text: str | None, n: int) -> np.ndarray:
@@ -136,7 +156,8 @@ def _centred(groups: DataFrame, sets: DataFrame, t: int) -> DataFrame:
     """(g, id, room, ties) of groups (g, id): what the member's size leaves for its difference to the centre, and its next buckets."""
     held = written(groups.join(sets, "id"), "held")
     sizes = held.groupBy("g").agg(F.count("*").alias("n"))
-    common = held.select("g", F.explode("s").alias("e")).groupBy("g", "e").agg(F.count("*").alias("m")).join(sizes, "g").where("m * 2 > n")
+    counted = held.select("g", F.explode("s").alias("e")).groupBy("g", "e").agg(F.count("*").alias("m")).where(F.col("m") * 2 > FEW)  # groups have over FEW members
+    common = counted.join(sizes, "g").where("m * 2 > n")
     centres = written(held.select("g").distinct().join(common.groupBy("g").agg(F.collect_list("e").alias("c")), "g", "left"), "centres")
     c = F.coalesce("c", F.array().cast("array<bigint>"))
     apart = held.join(centres, "g").select("g", "id", F.size("s").alias("n"), F.array_sort(F.concat(F.array_except("s", c), F.array_except(c, "s"))).alias("d"))
@@ -145,15 +166,25 @@ def _centred(groups: DataFrame, sets: DataFrame, t: int) -> DataFrame:
     return apart.select("g", "id", ((100 - t) * F.col("n") - (100 + t) * F.size("d")).alias("room"), ties.alias("ties"))
 
 
-def similar(docs: DataFrame, n: int, t: int, sub: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
+def similar(docs: DataFrame, n: int, t: int, sub: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, n_shingles, component_id) of each row: its component in the graph of pairs of at least t percent similarity."""
     rows = written(signed(docs, n, t, sub, key, text), "signed")
     classes = written(rows.where("n > 0 and id is not null").groupBy("n", "f1", "f2").agg(F.min("id").alias("rep")), "classes")
     reps = rows.join(classes.select(F.col("rep").alias("id"), "n", "f1", "f2"), ["id", "n", "f1", "f2"], "left_semi")
-    single = reps.select("id", F.explode("sigs").alias("key"))
-    shared = written(single.groupBy("key").count().where("count > 1").select("key"), "shared")
-    buckets = written(single.join(shared, "key"), "buckets")
-    nodes = written(buckets.groupBy("id").agg(F.count("*").alias("rank")), "nodes")
+    single = reps.select("id", "n", F.posexplode("sigs").alias("place", "key"))
+    shared = written(single.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "shared")
+    held = single.join(shared, "key").groupBy("id", "n").agg(F.collect_list(F.struct("m", "key", "place")).alias("x"))  # at most a set's own signatures
+
+    def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            kept = [rarest(size, [(x["m"], x["key"], x["place"]) for x in xs], t, sub) for size, xs in zip(batch["n"], batch["x"], strict=True)]
+            yield pd.DataFrame({"id": batch["id"], "n": batch["n"], "keys": kept})
+
+    rare = written(held.mapInPandas(keep, "id long, n long, keys array<long>").where("size(keys) > 0"), "rare")
+    buckets = rare.select("id", F.explode("keys").alias("key"))
+    again = written(buckets.groupBy("key").count().where("count > 1").select("key"), "again")
+    buckets = written(buckets.join(sized(again), "key").distinct(), "buckets")
+    nodes = written(buckets.join(rare.select("id", "n"), "id").groupBy("id", "n").agg(F.count("*").alias("rank")), "nodes")
     sets = written(sets_of(docs, nodes.select("id"), n, key, text).groupBy("id").agg(F.first("s").alias("s")), "sets")
     roots = _linked(buckets, nodes, sets, t)
 
@@ -168,20 +199,21 @@ def _linked(buckets: DataFrame, nodes: DataFrame, sets: DataFrame, t: int) -> Da
     roots, first = None, True
     while not buckets.isEmpty():
         comp = nodes.join(roots, nodes["id"] == roots["node"], "left") if roots is not None else nodes.withColumn("root", F.lit(None).cast("long"))
-        comp = written(comp.select("id", "rank", F.coalesce("root", "id").alias("comp")), "comp")
-        inside = buckets.join(comp, "id")
+        comp = written(comp.select("id", "n", "rank", F.coalesce("root", "id").alias("comp")), "comp")
+        inside = buckets.join(sized(comp), "id")
         lead = F.max(F.struct("rank", (-F.col("id")).alias("order")))["order"]
         stats = inside.groupBy("key").agg(F.count("*").alias("members"), (-lead).alias("p"), F.min("comp").alias("low"), F.max("comp").alias("high"))
         stats = written(stats.where("low < high").select("key", "members", "p"), "stats")
+        known = sized(stats)
         label = F.col("p") if first else F.col("key")
-        large = buckets.join(stats.where(F.col("members") > FEW), "key").select(label.alias("g"), "id").distinct()
+        large = buckets.join(known.where(F.col("members") > FEW), "key").select(label.alias("g"), "id").distinct()
         first = False
         large = written(_centred(large, sets, t), "large")
         middle = large.groupBy("g").agg(F.max(F.struct("room", (-F.col("id")).alias("order")))["order"].alias("order"))
         star = large.join(middle, "g").select((-F.col("order")).alias("p"), "id").where("p <> id")
-        small = written(inside.join(stats.where(F.col("members") <= FEW), "key").select("key", "id", "comp"), "small")
-        other = small.select("key", F.col("id").alias("p"), F.col("comp").alias("comp_p"))
-        listed = small.join(other, "key").where("p < id and comp <> comp_p").select("p", "id")
+        small = written(inside.join(known.where(F.col("members") <= FEW), "key").select("key", "id", "n", "comp"), "small")
+        other = small.select("key", F.col("id").alias("p"), F.col("n").alias("n_p"), F.col("comp").alias("comp_p"))
+        listed = small.join(other, "key").where(f"p < id and comp <> comp_p and least(n, n_p) * 100 >= greatest(n, n_p) * {t}").select("p", "id")
         pairs = written(star.unionByName(listed).distinct(), "pairs")
         new = written(_verified(pairs, sets, t), "tests")
         if not new.isEmpty():
@@ -198,7 +230,7 @@ def _linked(buckets: DataFrame, nodes: DataFrame, sets: DataFrame, t: int) -> Da
     return roots
 
 
-def deduplicated(docs: DataFrame, n: int = 5, t: int = 80, sub: int = 1) -> DataFrame:
+def deduplicated(docs: DataFrame, n: int = 5, t: int = 80, sub: int = 2) -> DataFrame:
     """``docs`` with one document of each component, that of the smallest doc_id; all columns kept.
 
     Rows with a null id stay. An id that repeats is one document: it stays if one of its rows does, as one row for each
