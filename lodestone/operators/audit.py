@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestone.durable import written
 from lodestone.operators.folds import ordered_fold
@@ -64,7 +65,7 @@ def anchor_clusters(points: DataFrame, threshold: int) -> DataFrame:
     return ordered_fold(points.select("key", "at", "id"), ["key"], ["at", "id"], lambda: None, step, "cluster long")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: unicodedata.normalize("NFKC", t) if isinstance(t, str) else t)
 

@@ -56,11 +56,11 @@ def guard(variants: DataFrame, sources: DataFrame, terms: DataFrame, closure: Da
     shown = F.coalesce("version", F.when(whole, F.col("value").cast("long").cast("string")).otherwise(F.col("value").cast("string")))
     order = F.coalesce("version", F.when(whole, F.concat(F.col("value").cast("long").cast("string"), F.lit(".0"))).otherwise(F.col("value").cast("string")))
     more = (
-        unsupported_numbers(variants, sources, keys).select(*keys, F.lit(1).alias("k"), order.alias("o"), F.concat(F.lit("UNSUPPORTED_NUMBER:"), shown).alias("reason"))
-        .unionByName(unsupported_terms(variants, sources, terms, closure, keys).select(*keys, F.lit(2).alias("k"), F.col("canonical").alias("o"), F.concat(F.lit("UNSUPPORTED_TECH:"), "canonical").alias("reason")))
-        .unionByName(ungrounded(variants, sources, keys).select(*keys, F.lit(3).alias("k"), F.lit("").alias("o"), F.lit("UNGROUNDED").alias("reason")))
+        unsupported_numbers(variants, sources, keys).select(*keys, F.lit(1).alias("_k"), order.alias("_o"), F.concat(F.lit("UNSUPPORTED_NUMBER:"), shown).alias("reason"))
+        .unionByName(unsupported_terms(variants, sources, terms, closure, keys).select(*keys, F.lit(2).alias("_k"), F.col("canonical").alias("_o"), F.concat(F.lit("UNSUPPORTED_TECH:"), "canonical").alias("reason")))
+        .unionByName(ungrounded(variants, sources, keys).select(*keys, F.lit(3).alias("_k"), F.lit("").alias("_o"), F.lit("UNGROUNDED").alias("reason")))
     )
-    listed = more.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "o", "reason"))), lambda x: x["reason"]).alias("more"))
+    listed = more.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_k", "_o", "reason"))), lambda x: x["reason"]).alias("more"))
     none = F.array().cast("array<string>")
     out = form.join(listed, keys, "left")
     return out.select(*keys, F.when(F.array_contains("form", "EMPTY"), F.col("form")).otherwise(F.concat("form", F.coalesce("more", none))).alias("reasons"))

@@ -1 +1 @@
-"""streaming."""
+"""Structured Streaming twins of the event operators: unbounded input, bounded state."""
