@@ -54,14 +54,16 @@ def _buffers(texts: list[str | None]) -> Iterator[tuple[bytes, list[int], list[i
         yield b"".join(parts), rows, ends
 
 
-def _features(data: bytes) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(positions, buckets) of the features in a buffer that starts and ends with a space; a feature lies within one word or pair."""
+def _features(data: bytes, ends: list[int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(positions, buckets) of the features in a buffer that starts and ends with a space; none crosses the end of a piece."""
     b = np.frombuffer(data, np.uint8)
     space = b == 32
     word = np.flatnonzero(~space[1:] & space[:-1]) + 1
     h = _hashes(data)
     yield word, (h & np.uint64(BUCKETS - 1)).astype(np.int64)
-    yield word[:-1], (((h[1:] ^ h[:-1]) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) & (BUCKETS - 1)
+    piece = np.searchsorted(ends, word, "right")
+    same = piece[1:] == piece[:-1]
+    yield word[:-1][same], (((h[1:] ^ h[:-1]) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64)[same] & (BUCKETS - 1)
     code = _TABLES[0][b[: len(b)]]
     inner = np.ones(len(b), bool)
     for n in range(2, max(GRAMS) + 1):
@@ -82,7 +84,7 @@ def document_features(texts: list[str | None]) -> list[tuple[np.ndarray, np.ndar
     """(buckets, counts) of each text, sorted by bucket."""
     found: list[list[np.ndarray]] = [[] for _ in texts]
     for data, rows, ends in _buffers(texts):
-        for at, bucket in _features(data):
+        for at, bucket in _features(data, ends):
             begins = np.array([1, *ends[:-1]])
             a, b = np.searchsorted(at, begins - 1), np.searchsorted(at, np.asarray(ends) - 1)
             for row, i, j in zip(rows, a, b, strict=True):
@@ -101,7 +103,7 @@ class Model:
         total, count = np.zeros(len(texts)), np.zeros(len(texts))
         for data, rows, ends in _buffers(texts):
             begins = np.array([1, *ends[:-1]])
-            for at, bucket in _features(data):
+            for at, bucket in _features(data, ends):
                 run = np.concatenate([[0.0], np.cumsum(self.value[bucket], dtype=np.float64)])
                 a, b = np.searchsorted(at, begins - 1), np.searchsorted(at, np.asarray(ends) - 1)
                 np.add.at(total, rows, run[b] - run[a])
