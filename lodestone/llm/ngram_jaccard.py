@@ -16,12 +16,14 @@ the order is the same for all, two similar sets still share a kept one. Signatur
 a set with enough of these has no partner and drops out, and crowded signatures (common passages) are left aside.
 
 Joining. Pairs are listed only within buckets of at most ``FEW`` members. The members of larger buckets with the same most
-connected member form a group. Its centre is the set of elements that more than half of the group hold; D(x) is the
+connected member form a group. Its centre is the set of elements that most of a few of its members hold (any set would lose no pair); D(x) is the
 symmetric difference of x and the centre. Two members with |D(x)| + |D(y)| within what their sizes allow are surely similar,
 and then both are similar to the member that has most room left, so one test a member against that one finds all such ties.
-Any other similar pair must share one of the first k + 1 elements of D(x) and D(y): these are the buckets of the next round,
-each with a centre of its own that settles the element they share, so the rounds end. Buckets wholly inside one component
-are dropped.
+Any other similar pair must have enough of D(x) and D(y) in common to make up for what their sizes leave, so it shares one of
+the first |D| - o + 1 elements (elements outside the centre come first, as few members share those), where o is the least
+overlap that any partner in another component would need. Such elements are the buckets of the next round: those that tie the
+main component, which holds most members, to others, and those that tie others to each other. Each gets a centre of its own
+that settles the element they share, so the rounds end. Buckets wholly inside one component are dropped.
 
 Nulls: a null text has an empty set; rows with a null id are returned with a null component and link nothing. Rows that
 repeat an id are separate rows. Exact up to 64-bit collisions of hashes.
@@ -35,6 +37,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestone.durable import remove, written
@@ -47,7 +50,9 @@ SMALL_IDS = 1 << 20
 #: Members of a bucket whose pairs are all verified: at most (FEW - 1) / 2 pairs a member.
 FEW = 16
 #: How many times the groups that k calls for there are.
-SPARE = 1.25
+SPARE = 1.15
+#: Members of a group whose majority is its centre; any set may serve as the centre without losing a pair.
+CENTRE = 7
 _CLASS = np.uint64(0xD1B54A32D192ED03)
 
 
@@ -153,17 +158,45 @@ def _verified(pairs: DataFrame, sets: DataFrame, t: int) -> DataFrame:
 
 
 def _centred(groups: DataFrame, sets: DataFrame, t: int) -> DataFrame:
-    """(g, id, room, ties) of groups (g, id): what the member's size leaves for its difference to the centre, and its next buckets."""
+    """(g, id, room, apart, d): what the member's size leaves for its difference to the centre, the difference's size, its first elements."""
     held = written(groups.join(sets, "id"), "held")
-    sizes = held.groupBy("g").agg(F.count("*").alias("n"))
-    counted = held.select("g", F.explode("s").alias("e")).groupBy("g", "e").agg(F.count("*").alias("m")).where(F.col("m") * 2 > FEW)  # groups have over FEW members
-    common = counted.join(sizes, "g").where("m * 2 > n")
-    centres = written(held.select("g").distinct().join(common.groupBy("g").agg(F.collect_list("e").alias("c")), "g", "left"), "centres")
+    few = held.withColumn("r", F.row_number().over(W.partitionBy("g").orderBy(F.xxhash64("id"), "id"))).where(F.col("r") <= CENTRE)
+    few = written(few.select("g", "s"), "few")
+    sizes = few.groupBy("g").agg(F.count("*").alias("n"))
+    common = few.select("g", F.explode("s").alias("e")).groupBy("g", "e").agg(F.count("*").alias("m")).where("m > 1").join(sizes, "g").where("m * 2 > n")
+    centres = written(sizes.select("g").join(common.groupBy("g").agg(F.collect_list("e").alias("c")), "g", "left"), "centres")
     c = F.coalesce("c", F.array().cast("array<bigint>"))
-    apart = held.join(centres, "g").select("g", "id", F.size("s").alias("n"), F.array_sort(F.concat(F.array_except("s", c), F.array_except(c, "s"))).alias("d"))
+    mine, theirs = F.array_sort(F.array_except("s", c)), F.array_sort(F.array_except(c, "s"))
+    both = held.join(sized(centres), "g").select("g", "id", F.size("s").alias("n"), F.concat(mine, theirs).alias("d"))
     k = F.expr(f"cast((100 - {t}) * (n + 100 * n div {t}) div (100 + {t}) as int)")
-    ties = F.transform(F.slice("d", F.lit(1), k + 1), lambda e: F.xxhash64("g", e))
-    return apart.select("g", "id", ((100 - t) * F.col("n") - (100 + t) * F.size("d")).alias("room"), ties.alias("ties"))
+    room = ((100 - t) * F.col("n") - (100 + t) * F.size("d")).cast("long")
+    return both.select("g", "id", room.alias("room"), F.size("d").alias("apart"), F.slice("d", F.lit(1), k + 1).alias("d"))
+
+
+def _ties(members: DataFrame, middle: DataFrame, t: int) -> DataFrame:
+    """(key, id) of the next buckets, from the members (g, id, comp, room, apart, d) of groups that are not one component.
+
+    ``middle`` (g, order): the member with most room, whose component is the main one.
+    """
+    main = members.join(middle, "g").where(F.col("id") == -F.col("order")).select("g", F.col("comp").alias("main"))
+    rows = members.join(sized(written(main, "main")), "g").withColumn("inside", F.col("comp") == F.col("main"))
+    rooms = rows.groupBy("g").agg(F.max(F.when(F.col("inside"), F.col("room"))).alias("room_in"), F.max(F.when(~F.col("inside"), F.col("room"))).alias("room_out"))
+    rows = rows.join(sized(written(rooms, "rooms")), "g")
+
+    def first(partner: str, tag: str):
+        """The elements that a tie to a partner with at most that room would show, as keys."""
+        least = F.greatest(F.lit(1), F.ceil(-(F.col("room") + F.col(partner)) / (2.0 * (100 + t)) - 1e-9))
+        n = F.least(F.size("d"), (F.col("apart") - least + 1).cast("int"))
+        return F.transform(F.slice("d", F.lit(1), F.greatest(n, F.lit(0))), lambda e: F.xxhash64("g", e, F.lit(tag)))
+
+    none = F.array().cast("array<bigint>")
+    across = F.when(F.col("inside"), first("room_out", "across")).otherwise(first("room_in", "across"))
+    apart = F.when(F.col("inside"), none).otherwise(first("room_out", "apart"))
+    across = rows.select("id", "inside", F.explode(across).alias("key"))
+    both = across.groupBy("key").agg(F.bool_or("inside").alias("x"), F.bool_or(~F.col("inside")).alias("y")).where("x and y").select("key")
+    apart = rows.select("id", F.explode(apart).alias("key"))
+    shared = apart.groupBy("key").count().where("count > 1").select("key")
+    return across.select("id", "key").join(sized(written(both, "both")), "key").unionByName(apart.select("id", "key").join(sized(written(shared, "shared")), "key")).select("key", "id")
 
 
 def similar(docs: DataFrame, n: int, t: int, sub: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -171,9 +204,10 @@ def similar(docs: DataFrame, n: int, t: int, sub: int = 2, key: str = "doc_id",
     rows = written(signed(docs, n, t, sub, key, text), "signed")
     classes = written(rows.where("n > 0 and id is not null").groupBy("n", "f1", "f2").agg(F.min("id").alias("rep")), "classes")
     reps = rows.join(classes.select(F.col("rep").alias("id"), "n", "f1", "f2"), ["id", "n", "f1", "f2"], "left_semi")
-    single = reps.select("id", "n", F.posexplode("sigs").alias("place", "key"))
+    single = reps.select("id", F.posexplode("sigs").alias("place", "key"))
     shared = written(single.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "shared")
-    held = single.join(shared, "key").groupBy("id", "n").agg(F.collect_list(F.struct("m", "key", "place")).alias("x"))  # at most a set's own signatures
+    held = single.join(shared, "key").groupBy("id").agg(F.collect_list(F.struct("m", "key", "place")).alias("x"))  # at most a set's own signatures
+    held = held.join(reps.select("id", "n").distinct(), "id").select("id", "n", "x")
 
     def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -206,11 +240,16 @@ def _linked(buckets: DataFrame, nodes: DataFrame, sets: DataFrame, t: int) -> Da
         stats = written(stats.where("low < high").select("key", "members", "p"), "stats")
         known = sized(stats)
         label = F.col("p") if first else F.col("key")
-        large = buckets.join(known.where(F.col("members") > FEW), "key").select(label.alias("g"), "id").distinct()
+        large = written(buckets.join(known.where(F.col("members") > FEW), "key").select(label.alias("g"), "id").distinct(), "groups")
+        if first:  # a group whose lead is itself in groups of leads ranked higher joins the highest one's
+            ranks = nodes.select(F.col("id").alias("g"), "rank")
+            highest = large.join(large.select(F.col("g").alias("id")).distinct(), "id", "left_semi").join(ranks, "g")
+            highest = written(highest.groupBy("id").agg(F.max(F.struct("rank", (-F.col("g")).alias("o")))["o"].alias("o")).select(F.col("id").alias("g"), (-F.col("o")).alias("top")), "highest")
+            large = large.join(sized(highest), "g", "left").select(F.coalesce("top", "g").alias("g"), "id").distinct()
         first = False
         large = written(_centred(large, sets, t), "large")
-        middle = large.groupBy("g").agg(F.max(F.struct("room", (-F.col("id")).alias("order")))["order"].alias("order"))
-        star = large.join(middle, "g").select((-F.col("order")).alias("p"), "id").where("p <> id")
+        middle = written(large.groupBy("g").agg(F.max(F.struct("room", (-F.col("id")).alias("order")))["order"].alias("order")), "middle")
+        star = large.join(sized(middle), "g").select((-F.col("order")).alias("p"), "id").where("p <> id")
         small = written(inside.join(known.where(F.col("members") <= FEW), "key").select("key", "id", "n", "comp"), "small")
         other = small.select("key", F.col("id").alias("p"), F.col("n").alias("n_p"), F.col("comp").alias("comp_p"))
         listed = small.join(other, "key").where(f"p < id and comp <> comp_p and least(n, n_p) * 100 >= greatest(n, n_p) * {t}").select("p", "id")
@@ -221,9 +260,7 @@ def _linked(buckets: DataFrame, nodes: DataFrame, sets: DataFrame, t: int) -> Da
         seen = large.join(roots.select(F.col("node").alias("id"), "root"), "id", "left") if roots is not None else large.withColumn("root", F.lit(None).cast("long"))
         seen = seen.withColumn("comp", F.coalesce("root", "id"))
         open_ = written(seen.groupBy("g").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("g"), "open")
-        single = large.join(open_, "g", "left_semi").select("id", F.explode("ties").alias("key"))
-        more = written(single.groupBy("key").count().where("count > 1").select("key"), "shared")
-        after = written(single.join(more, "key"), "buckets")
+        after = written(_ties(seen.join(sized(open_), "g", "left_semi"), middle, t), "buckets")
         for done in (buckets, comp, stats, small, large, pairs):
             remove(done)
         buckets = after
