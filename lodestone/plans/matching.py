@@ -11,7 +11,7 @@ from lodestone.operators import dedup, gate
 from lodestone.operators import similarity as sim
 from lodestone.operators import terms as op
 from lodestone.plans.catalog import query
-from lodestone.plans.terms import CLOSURE_SQL, TERMS_SQL, WITH_TERMS, docs, stems_sql, weights
+from lodestone.plans.terms import CLOSURE_SQL, HEADINGS_SQL, LINES_SQL, TERMS_SQL, WEIGHTS_SQL, WITH_TERMS, docs, stems_sql, weights
 from lodestone.sources import table
 
 
@@ -172,8 +172,8 @@ def c4(spark, sf):
 
 
 def variants(spark, sf):
-    """The first three turns of a conversation as lengths 1 to 3 of one candidate."""
-    return turns(spark, sf).where("turn < 3").select(F.col("conv_id").alias("owner_id"), F.lit("c").alias("cand_id"), (F.col("turn") + 1).cast("int").alias("length"), "text")
+    """Each three turns of a conversation as lengths 1 to 3 of one candidate."""
+    return turns(spark, sf).select(F.col("conv_id").alias("owner_id"), F.expr("turn div 3").alias("cand_id"), (F.col("turn") % 3 + 1).cast("int").alias("length"), "text")
 
 
 @query("c5_sibling_consistency")
@@ -204,22 +204,42 @@ def c8(spark, sf):
     return gate.gate_vs_labels(results, table(spark, sf, "labels").select(F.col("doc_id").alias("id"), (F.col("quality") == 1).alias("good")))
 
 
-_POSTINGS = "(SELECT doc_id, source, lang FROM documents WHERE lang <> 'en')"
-_PAIRS = f"""{WITH_TERMS}, tp AS (SELECT tw.* FROM tw JOIN {_POSTINGS} USING (doc_id)), t AS (SELECT doc_id, sum(w10) AS t FROM tp GROUP BY 1),
-s AS (SELECT x.doc_id AS a, y.doc_id AS b, sum(least(x.w10, y.w10)) AS low FROM tp x JOIN tp y ON x.term = y.term AND x.doc_id < y.doc_id GROUP BY ALL),
-e AS (SELECT doc_id FROM {_POSTINGS} WHERE doc_id NOT IN (SELECT doc_id FROM tp)),
+_WORDS = "w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '\\w+')) AS word FROM benchmark), words AS (SELECT word, '(?i)(^|[^\\w+#.])' || word || '($|[^\\w+#])' AS pattern FROM w WHERE len(word) >= 4)"
+RICH = f"""WITH RECURSIVE {LINES_SQL}, {HEADINGS_SQL}, {WEIGHTS_SQL}, {_WORDS}, hit AS (SELECT doc_id, w10, line, unnest(list_distinct(regexp_extract_all(lower(line), '\\w+'))) AS word FROM weighted),
+tw AS (SELECT doc_id, word AS term, max(w10) AS w10 FROM hit JOIN words USING (word) WHERE regexp_matches(line, pattern) GROUP BY ALL)"""
+_PAIRS = f"""{RICH}, t AS (SELECT doc_id, sum(w10) AS t FROM tw GROUP BY 1),
+s AS (SELECT x.doc_id AS a, y.doc_id AS b, sum(least(x.w10, y.w10)) AS low FROM tw x JOIN tw y ON x.term = y.term AND x.doc_id < y.doc_id GROUP BY ALL),
+e AS (SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM tw)),
 pairs AS (SELECT * FROM (SELECT a, b, low::BIGINT AS low, (ta.t + tb.t - low)::BIGINT AS high FROM s JOIN t ta ON ta.doc_id = a JOIN t tb ON tb.doc_id = b) WHERE low * 10 >= high * 8
 UNION ALL SELECT (SELECT min(doc_id) FROM e), doc_id, 0, 0 FROM e WHERE doc_id > (SELECT min(doc_id) FROM e))"""
 
 
+def benchmark_terms(spark, sf):
+    """A dictionary of the words of at least four characters in ``benchmark``."""
+    word = table(spark, sf, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("\\w+"), F.lit(0))).alias("alias")).where("length(alias) >= 4").distinct()
+    pattern = F.concat(F.lit("(?i)(?<![\\w+#.])"), "alias", F.lit("(?![\\w+#])"))
+    return word.select(F.col("alias").alias("canonical"), "alias", F.col("alias").alias("lead"), pattern.alias("pattern"))
+
+
+def rich_weights(spark, sf):
+    return op.term_weights(docs(spark, sf), benchmark_terms(spark, sf))
+
+
+@query("a12_missing_terms", f"""{RICH}, seen AS (SELECT p_name AS text, unnest(list_distinct(regexp_extract_all(lower(p_name), '\\w+'))) AS word FROM part), m AS (SELECT DISTINCT word FROM seen JOIN words USING (word) WHERE regexp_matches(text, pattern)),
+{CLOSURE_SQL}, h AS (SELECT word FROM m UNION SELECT implied FROM m JOIN closure ON canonical = word) SELECT doc_id, term FROM tw WHERE w10 >= 10 AND term NOT IN (SELECT word FROM h)""")
+def a12(spark, sf):
+    """The material is the names of all parts."""
+    found = op.match_terms(table(spark, sf, "part"), benchmark_terms(spark, sf), ["p_partkey"], "p_name")
+    return op.missing_terms(rich_weights(spark, sf), op.implied_terms(found, V.implies(spark), ["p_partkey"]))
+
+
 def postings(spark, sf):
-    """Postings in another language than English, whose owner is the source."""
-    return table(spark, sf, "documents").where("lang <> 'en'").select("doc_id", F.col("doc_id").alias("ord"), F.col("source").alias("owner"), "text")
+    """All documents as postings, whose owner is the source."""
+    return table(spark, sf, "documents").select("doc_id", F.col("doc_id").alias("ord"), F.col("source").alias("owner"), "text")
 
 
 def posting_pairs(spark, sf):
-    p = postings(spark, sf)
-    return dedup.similar_postings(op.term_weights(p, V.terms(spark)), p)
+    return dedup.similar_postings(rich_weights(spark, sf), postings(spark, sf))
 
 
 @query("d1_similar_postings", f"{_PAIRS} SELECT a, b, low, high FROM pairs")
@@ -238,7 +258,7 @@ def _band_cosine(spark, sf, pairs):
     return sized.select("a", "b", (F.col("dot") / (F.sqrt("sa") * F.sqrt("sb"))).alias("cosine"))
 
 
-_HITS = f"""{_PAIRS}, n AS (SELECT doc_id, stem, count(*) AS n FROM (SELECT doc_id, unnest({stems_sql('text')}) AS stem FROM documents WHERE lang <> 'en') GROUP BY ALL), z AS (SELECT doc_id, sum(n * n) AS s FROM n GROUP BY 1),
+_HITS = f"""{_PAIRS}, n AS (SELECT doc_id, stem, count(*) AS n FROM (SELECT doc_id, unnest({stems_sql('text')}) AS stem FROM documents) GROUP BY ALL), z AS (SELECT doc_id, sum(n * n) AS s FROM n GROUP BY 1),
 c AS (SELECT a, b, sum(x.n * y.n) / (sqrt(any_value(za.s)) * sqrt(any_value(zb.s))) AS cosine FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b AND y.stem = x.stem JOIN z za ON za.doc_id = a JOIN z zb ON zb.doc_id = b WHERE low * 10 < high * 9 GROUP BY a, b),
 decided AS (SELECT a, b, CASE WHEN low * 10 >= high * 9 OR coalesce(cosine, 0) >= 0.95 THEN 'HIT' ELSE 'MISS' END AS decision FROM pairs LEFT JOIN c USING (a, b))"""
 
@@ -253,7 +273,7 @@ def d2(spark, sf):
     return decisions(spark, sf)
 
 
-@query("d3_batch_reuse", f"{_HITS} SELECT doc_id, (SELECT min(a) FROM decided WHERE b = doc_id AND decision = 'HIT') AS reused FROM {_POSTINGS}")
+@query("d3_batch_reuse", f"{_HITS} SELECT doc_id, (SELECT min(a) FROM decided WHERE b = doc_id AND decision = 'HIT') AS reused FROM documents")
 def d3(spark, sf):
     return dedup.batch_reuse(postings(spark, sf), decisions(spark, sf).where("decision = 'HIT'"))
 
@@ -285,7 +305,7 @@ def d6(spark, sf):
 
 def names(spark, sf, source):
     found = table(spark, sf, source).select(F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Za-z][A-Za-z.-]*[A-Za-z]"), F.lit(0)))).alias("name"))
-    return found.where("length(name) <= 12").distinct()
+    return found.distinct()
 
 
 @query("d7_alias_rules")

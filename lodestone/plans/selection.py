@@ -8,8 +8,7 @@ from lodestone.operators import dedup
 from lodestone.operators import selection as sel
 from lodestone.operators import terms as op
 from lodestone.plans.catalog import query
-from lodestone.plans.matching import _HITS, _POSTINGS, decisions, postings
-from lodestone.plans.terms import weights
+from lodestone.plans.matching import _HITS, decisions, postings, rich_weights
 from lodestone.sources import table
 
 _BP = "(l_extendedprice * 100)::BIGINT"
@@ -203,11 +202,11 @@ def e14(spark, sf):
 
 
 @query("e15_batch_summary", f"""{_HITS}, r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY w10 DESC, term) AS r FROM tw), top AS (SELECT doc_id, string_agg(term, ', ' ORDER BY r) AS top FROM r WHERE r <= 5 GROUP BY doc_id)
-SELECT doc_id, top, CASE WHEN len(text) > 5000 THEN 'JD_TOO_LONG' END AS reason, (SELECT min(a) FROM decided WHERE b = doc_id AND decision = 'HIT') AS reused FROM {_POSTINGS} JOIN (SELECT doc_id, text FROM documents) USING (doc_id) LEFT JOIN top USING (doc_id)""")
+SELECT doc_id, top, CASE WHEN len(text) > 5000 THEN 'JD_TOO_LONG' END AS reason, (SELECT min(a) FROM decided WHERE b = doc_id AND decision = 'HIT') AS reused FROM documents LEFT JOIN top USING (doc_id)""")
 def e15(spark, sf):
     p = postings(spark, sf)
     reuse = dedup.batch_reuse(p, decisions(spark, sf).where("decision = 'HIT'"))
-    return sel.batch_summary(p, op.top_terms(weights(spark, sf)), op.length_limit(p, 5000).select("doc_id", "reason"), reuse)
+    return sel.batch_summary(p, op.top_terms(rich_weights(spark, sf)), op.length_limit(p, 5000).select("doc_id", "reason"), reuse)
 
 
 @query("e16_home_section", """WITH s AS (SELECT c_nationkey AS owner_id, c_custkey AS section, CASE WHEN c_mktsegment = 'MACHINERY' AND c_custkey % 50 = 0 THEN 'Projects' ELSE 'Work' END AS name, c_custkey % 4 AS positions FROM customer),

@@ -121,19 +121,6 @@ def a11(spark, sf):
     return op.top_terms(weights(spark, sf))
 
 
-def material(spark, sf):
-    found = op.match_terms(table(spark, sf, "benchmark").where("item_id % 10 = 0").select("item_id", "text"), V.terms(spark), ["item_id"])
-    return op.implied_terms(found, V.implies(spark), ["item_id"])
-
-
-@query("a12_missing_terms", f"""{WITH_TERMS}, m AS (SELECT DISTINCT canonical FROM benchmark, terms WHERE item_id % 10 = 0 AND regexp_matches(text, pattern)),
-h AS (SELECT canonical FROM m UNION SELECT implied FROM m JOIN closure USING (canonical))
-SELECT doc_id, term FROM tw WHERE w10 >= 10 AND term NOT IN (SELECT canonical FROM h)""")
-def a12(spark, sf):
-    """The material is one library of texts: the items whose ids end in 0."""
-    return op.missing_terms(weights(spark, sf), material(spark, sf))
-
-
 _UNKNOWN = """SELECT * FROM (SELECT DISTINCT {key}, unnest(regexp_extract_all(text, '[A-Za-z][A-Za-z0-9+#.]*')) AS token FROM {table})
 WHERE ((regexp_matches(token, '[a-z]') AND regexp_matches(token, '[A-Z]')) OR regexp_matches(token, '[.+#0-9]') OR regexp_matches(token, '^[A-Z]{{2,6}}$'))
 AND NOT regexp_matches(token, '{aliases}')"""
