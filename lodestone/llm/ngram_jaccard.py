@@ -6,7 +6,7 @@ from then on only one representative of each class takes part.
 
 Signatures. Jaccard similarity of at least t bounds the symmetric difference of two sets by k, which follows from their
 sizes. Sizes are banded by powers of the root of two; a set signs in its own band and, if a partner could lie there, in the
-next one. In a band the domain of hashes is cut into groups of ``sub`` parts, and each subset of sub - 1 parts of a group is
+one below. In a band the domain of hashes is cut into groups of ``sub`` parts, and each subset of sub - 1 parts of a group is
 enumerated: its content is a signature. k differences cannot spoil all the signatures of a group unless enough fall into it
 (sub = 2: one for each; sub = 3: one for the first two, another for the third), so two similar sets agree in some.
 
@@ -53,6 +53,8 @@ FEW = 16
 SPARE = 1.15
 #: Members of a group whose majority is its centre; any set may serve as the centre without losing a pair.
 CENTRE = 7
+#: Low bits of a signature that tell its band (modulo 4, so t is 30 percent at least) and place (sets of some ten million elements).
+PLACE = 24
 _CLASS = np.uint64(0xD1B54A32D192ED03)
 
 
@@ -67,19 +69,27 @@ def _band(size: int) -> int:
 
 
 def instances(a: int, t: int, sub: int) -> list[tuple[int, int, int]]:
-    """(band, k, groups) in which a set of size a signs; none if only equal sets are similar to it."""
-    partner = 100 * a // t
+    """(band, k, groups) in which a set of size a signs; none if only equal sets are similar to it.
+
+    Two similar sets meet in the band of the smaller one, whose groups allow for a larger partner.
+    """
     out = []
-    for band in range(_band(a), _band(partner) + 1):
+    if most_different(a, 100 * a // t, t) == 0:
+        return out
+    own = _band(a)
+    for band in range(_band(-(-t * a // 100)), own + 1):
         top = math.isqrt((2 << band) - 1)  # the largest size in the band
-        k = most_different(a, min(partner, top), t)
-        if k > 0:
-            out.append((band, k, math.ceil(SPARE * (most_different(top, top, t) // 2 + 1))))
+        k = most_different(a, 100 * a // t if band == own else top, t)
+        out.append((band, k, math.ceil(SPARE * (most_different(top, 100 * top // t, t) // 2 + 1))))
     return out
 
 
 def signatures(s: np.ndarray, t: int, sub: int) -> np.ndarray:
-    """All PartEnum signatures of a sorted set of uint64 hashes, as uint64: groups * sub for each instance, in order."""
+    """All PartEnum signatures of a sorted set of uint64 hashes, as uint64: groups * sub for each instance.
+
+    The low PLACE bits hold the band modulo 4 and the signature's place in it, the others a hash of its content and the band.
+    Signatures that agree by chance only cost a test.
+    """
     run = np.zeros(len(s) + 1, np.uint64)
     np.cumsum(mix(s), out=run[1:])
     out = [np.zeros(0, np.uint64)]
@@ -91,29 +101,28 @@ def signatures(s: np.ndarray, t: int, sub: int) -> np.ndarray:
         if sub == 3:  # the i-th subset leaves the i-th part out
             c = content.reshape(-1, 3)
             content = mix(c[:, [1, 0, 0]] + np.uint64(3) * c[:, [2, 2, 1]]).ravel()
-        out.append(mix(content + mix(np.arange(n, dtype=np.uint64) * np.uint64(256) + np.uint64(band))))
+        place = np.arange(n, dtype=np.uint64)
+        out.append(mix(content + mix(place * np.uint64(256) + np.uint64(band))) >> np.uint64(PLACE) << np.uint64(PLACE) | np.uint64((band & 3) << PLACE - 2) | place)
     return np.concatenate(out)
 
 
-def rarest(a: int, shared: list[tuple[int, int, int]], t: int, sub: int) -> list[int]:
-    """The shared signatures to keep of a set of size a: ``shared`` is (sharers, signature, place) of those that others have too."""
-    kept, offset = [], 0
-    for _, k, groups in instances(a, t, sub):
-        n = groups * sub
-        here = sorted(x for x in shared if offset <= x[2] < offset + n)
+def rarest(a: int, shared: list[tuple[int, int]], t: int, sub: int) -> list[int]:
+    """The shared signatures to keep of a set of size a: ``shared`` is (sharers, signature) of those that others have too."""
+    kept = []
+    for band, k, groups in instances(a, t, sub):
+        here = sorted((m, x, x & (1 << PLACE - 2) - 1) for m, x in shared if x >> PLACE - 2 & 3 == band & 3)
         left = [sub] * groups  # signatures of each group in the beginning so far
         for x in here:
-            left[(x[2] - offset) // sub] -= 1
+            left[x[2] // sub] -= 1
         worth = (0, 1, 2) if sub == 2 else (0, 1, 1, 2)
         cost = sum(worth[i] for i in left)
         for x in here:
             if cost > k:
                 break
-            g = (x[2] - offset) // sub
+            g = x[2] // sub
             cost += worth[left[g] + 1] - worth[left[g]]
             left[g] += 1
             kept.append(x[1])
-        offset += n
     return kept
 
 
@@ -121,8 +130,8 @@ def _set(text: str | None, n: int) -> np.ndarray:
     return shingle_set(text.encode("utf-8", "surrogatepass").lower(), n) if isinstance(text, str) else np.zeros(0, np.uint64)
 
 
-def signed(docs: DataFrame, n: int, t: int, sub: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, n, f1, f2, sigs): each row's set size, class fingerprint of 128 bits, and signatures."""
+def sized_sets(docs: DataFrame, n: int, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, n, f1, f2): each row's set size and class fingerprint of 128 bits."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -131,11 +140,23 @@ def signed(docs: DataFrame, n: int, t: int, sub: int, key: str = "doc_id", text:
                 "id": batch["id"], "n": [len(s) for s in sets],
                 "f1": np.array([mix(s).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64),
                 "f2": np.array([mix(s ^ _CLASS).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64),
-                "sigs": [signatures(s, t, sub).view(np.int64) if len(s) else np.zeros(0, np.int64) for s in sets],
             })
 
     rows = docs.select(F.col(key).cast("string").alias("id"), F.col(text).alias("text"))
-    return rows.mapInPandas(run, "id string, n long, f1 long, f2 long, sigs array<long>").withColumn("id", F.col("id").cast("long"))
+    return rows.mapInPandas(run, "id string, n long, f1 long, f2 long").withColumn("id", F.col("id").cast("long"))
+
+
+def signed(docs: DataFrame, spare: DataFrame, n: int, t: int, sub: int, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, key): the signatures of all rows but those with a null id or one in ``spare``. They are made where they are used: stored, they
+    would be larger than the texts."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            sets = [_set(x, n) for x in batch["text"]]
+            yield pd.DataFrame({"id": batch["id"], "sigs": [signatures(s, t, sub).view(np.int64) if len(s) else np.zeros(0, np.int64) for s in sets]})
+
+    rows = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
+    return rows.mapInPandas(run, "id long, sigs array<long>").join(sized(spare), "id", "left_anti").select("id", F.explode("sigs").alias("key"))
 
 
 def sets_of(docs: DataFrame, ids: DataFrame, n: int, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -201,17 +222,21 @@ def _ties(members: DataFrame, middle: DataFrame, t: int) -> DataFrame:
 
 def similar(docs: DataFrame, n: int, t: int, sub: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, n_shingles, component_id) of each row: its component in the graph of pairs of at least t percent similarity."""
-    rows = written(signed(docs, n, t, sub, key, text), "signed")
+    if not 30 <= t <= 100:
+        raise ValueError("t is a percentage from 30 to 100")
+    rows = written(sized_sets(docs, n, key, text), "rows")
     classes = written(rows.where("n > 0 and id is not null").groupBy("n", "f1", "f2").agg(F.min("id").alias("rep")), "classes")
-    reps = rows.join(classes.select(F.col("rep").alias("id"), "n", "f1", "f2"), ["id", "n", "f1", "f2"], "left_semi")
-    single = reps.select("id", F.posexplode("sigs").alias("place", "key"))
+    reps = rows.join(classes.select(F.col("rep").alias("id"), "n", "f1", "f2"), ["id", "n", "f1", "f2"], "left_semi").select("id", "n").distinct()
+    reps = written(reps, "reps")
+    spare = written(rows.where("n > 0 and id is not null").select("id").distinct().join(reps, "id", "left_anti"), "spare")
+    single = signed(docs, spare, n, t, sub, key, text)
     shared = written(single.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "shared")
-    held = single.join(shared, "key").groupBy("id").agg(F.collect_list(F.struct("m", "key", "place")).alias("x"))  # at most a set's own signatures
-    held = held.join(reps.select("id", "n").distinct(), "id").select("id", "n", "x")
+    held = single.join(shared, "key").groupBy("id").agg(F.collect_list(F.struct("m", "key")).alias("x"))  # at most a set's own signatures
+    held = held.join(reps, "id").select("id", "n", "x")
 
     def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            kept = [rarest(size, [(x["m"], x["key"], x["place"]) for x in xs], t, sub) for size, xs in zip(batch["n"], batch["x"], strict=True)]
+            kept = [rarest(size, [(x["m"], x["key"]) for x in xs], t, sub) for size, xs in zip(batch["n"], batch["x"], strict=True)]
             yield pd.DataFrame({"id": batch["id"], "n": batch["n"], "keys": kept})
 
     rare = written(held.mapInPandas(keep, "id long, n long, keys array<long>").where("size(keys) > 0"), "rare")
@@ -224,7 +249,7 @@ def similar(docs: DataFrame, n: int, t: int, sub: int = 2, key: str = "doc_id",
 
     named = classes.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left") if roots is not None else classes.withColumn("root", F.lit(None).cast("long"))
     named = written(named.select("n", "f1", "f2", F.coalesce("root", "rep").alias("component")), "named")
-    out = rows.drop("sigs").join(named, ["n", "f1", "f2"], "left")
+    out = rows.join(named, ["n", "f1", "f2"], "left")
     return out.select("id", F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"))
 
 
