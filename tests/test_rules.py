@@ -192,3 +192,42 @@ def test_partitions_do_not_matter(spark, parts):
     got = sorted(tuple(r) for r in op.top_terms(op.term_weights(docs, V.terms(spark))).collect())
     spark.conf.set("spark.sql.shuffle.partitions", old)
     assert got[0] == (1, "der, that, with") and len(got) == 9
+
+
+def test_upsert(spark, tmp_path):
+    from lodestone.streaming import streams
+
+    path = str(tmp_path / "latest")
+    schema = "job long, seq long, stage string, day string"
+    streams.upsert(spark.createDataFrame([(1, 1, "a", "d1"), (1, 2, "b", "d1"), (2, 1, "a", "d2")], schema), path, ["job"], "seq", "day")
+    streams.upsert(spark.createDataFrame([(1, 3, "c", "d1"), (3, 1, "a", "d1"), (1, 0, "z", "d1")], schema), path, ["job"], "seq", "day")
+    got = {(r["job"], r["seq"], r["stage"], r["day"]) for r in spark.read.parquet(path).collect()}
+    assert got == {(1, 3, "c", "d1"), (3, 1, "a", "d1"), (2, 1, "a", "d2")}
+
+
+def test_lease_stream(spark, tmp_path):
+    from lodestone.streaming import streams
+
+    s = 1_000_000
+    rows = [(1, 9 * s, 1, "claim"), (1, 59 * s, 2, "heartbeat"), (1, 109 * s, 3, "end"), (2, 9 * s, 4, "claim"), (2, 509 * s, 5, "claim"), (2, 1509 * s, 6, "end"), (3, 4009 * s, 7, "claim")]
+    files = str(tmp_path / "in")
+    spark.createDataFrame(rows, "key long, us long, id long, what string").select("key", "id", "what", F.timestamp_micros("us").alias("ts")).repartition(1).write.parquet(files)
+    got = streams.replayed(spark, files, "key long, id long, what string, ts timestamp", lambda d: streams.lease_stream(d, lease=60 * s), per_trigger=10)
+    assert {(r["key"], r["us"], r["outcome"]) for r in got.collect() if r["key"] < 3} == {(2, 69 * s, "queued"), (2, 569 * s, "WORKER_LOST")}
+
+
+def test_session_and_late(spark):
+    rows = [(0, "a"), (300, "a"), (1200, "a")]
+    df = spark.createDataFrame(rows, "s long, event_type string").select(F.timestamp_seconds("s").alias("ts"), "event_type")
+    got = sorted((r["start"].timestamp(), r["n"]) for r in events.windowed_counts(df, "session", "10 minutes").collect())
+    assert [n for _, n in got] == [2, 1]
+
+
+def test_purge_and_tokens(spark):
+    t = spark.createDataFrame([(1, 7, 2.0, "x"), (2, 8, 3.0, "y")], "id long, user long, cost double, note string")
+    left = events.purge({"a": t, "ledger": t}, spark.createDataFrame([(7,)], "user long"))
+    assert [r["id"] for r in left["a"].collect()] == [2]
+    assert {(r["id"], r["note"]) for r in left["ledger"].collect()} == {(1, None), (2, "y")}
+    requests = spark.createDataFrame([("t", 1, 1, True), ("t", 2, 2, False), ("t", 3, 3, False), ("t", 99, 4, False), ("u", 1, 5, False)], "token string, us long, id long, peek boolean")
+    got = events.token_use(requests, spark.createDataFrame([("t", 50)], "token string, expires long")).collect()
+    assert {r["id"]: r["outcome"] for r in got} == {1: "valid", 2: "valid", 3: "used", 4: "expired", 5: "unknown"}
