@@ -24,7 +24,7 @@ def duck():
 
 def rows(df: pd.DataFrame) -> list:
     def show(v):
-        if v is None or v is pd.NaT or (isinstance(v, float) and v != v):
+        if pd.isna(v):
             return ""
         return f"{float(v):.6f}" if not isinstance(v, str | bool) and hasattr(v, "__float__") and not hasattr(v, "isoformat") else str(v)
 
