@@ -18,7 +18,7 @@ def keyed(spark, sf):
 
 @query("f1_rate_limit")
 def f1(spark, sf):
-    """Five events an hour a user."""
+    """Five events a day a user."""
     return ev.rate_limit(keyed(spark, sf), 5, 24 * ev.HOUR)
 
 
