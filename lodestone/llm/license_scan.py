@@ -3,8 +3,8 @@
 Units. Every line and every paragraph (lines up to a blank one) of the whole text is compared with every template.
 
 Weights. A word (a run of a-z and 0-9 after lower-casing) weighs tf * (1 + ln((1 + N) / (1 + df))), with N the number of
-documents and df those that hold it, counted over all documents for the templates' vocabulary; a word outside it weighs as
-one that no document holds. Only units that could reach the threshold are scored: with a template's words ordered by weight,
+documents and df those that hold it, counted over all documents: with ``every_word`` for all words, as TF-IDF has it; without
+it, as the SQL twin has it, for the templates' vocabulary, and a word outside it weighs as one that no document holds. Only units that could reach the threshold are scored: with a template's words ordered by weight,
 those left after the shortest beginning whose rest has a norm under ``LIMIT`` times the template's cannot reach it alone, so
 a unit without a word of some beginning is passed over, and no match is lost.
 
@@ -63,19 +63,26 @@ def _terms(text: str) -> dict[str, int]:
     return out
 
 
-def _weights(docs: DataFrame, text: str, templates) -> tuple[dict[str, float], float]:
-    """The weight of each word of the templates, and that of a word that no document holds."""
+def _weights(docs: DataFrame, text: str, templates) -> tuple[dict[str, float], int]:
+    """The weight of each word of the templates, and the number of documents."""
     vocabulary = sorted({w for _, t in templates for w in _terms(t)})
     held = F.array_intersect(words(F.col(text)), F.lit(vocabulary))
     df = {r["w"]: r["n"] for r in docs.select(F.explode(held).alias("w")).groupBy("w").agg(F.count("*").alias("n")).collect()}  # one row a word of the templates
     n = docs.count()
-    return {w: 1 + math.log((1 + n) / (1 + df.get(w, 0))) for w in vocabulary}, 1 + math.log(1 + n)
+    return {w: 1 + math.log((1 + n) / (1 + df.get(w, 0))) for w in vocabulary}, n
 
 
-def headers(docs: DataFrame, key: str = "doc_id", text: str = "text", templates=TEMPLATES, limit: float = LIMIT) -> DataFrame:
+def _all_weights(docs: DataFrame, text: str, n: int) -> DataFrame:
+    """(word, idf) of every word of the documents."""
+    df = docs.select(F.explode(F.array_distinct(words(F.col(text)))).alias("word")).groupBy("word").agg(F.count("*").alias("df"))
+    return written(df.select("word", (1 + F.log((1.0 + n) / (1 + F.col("df")))).alias("idf")), "idf")
+
+
+def headers(docs: DataFrame, key: str = "doc_id", text: str = "text", templates=TEMPLATES, limit: float = LIMIT, every_word: bool = False) -> DataFrame:
     """(key, license, cosine): the best licence of each row that has one; ``key`` should tell rows apart."""
     spark = docs.sparkSession
-    idf, unknown = _weights(docs, text, templates)
+    idf, n = _weights(docs, text, templates)
+    unknown = 1 + math.log(1 + n)  # the weight of a word that no document holds
     rows, telling = [], set()
     for i, (_, template) in enumerate(templates):
         tf = sorted(((c * idf[w], w) for w, c in _terms(template).items()), reverse=True)
@@ -94,7 +101,11 @@ def headers(docs: DataFrame, key: str = "doc_id", text: str = "text", templates=
     likely = docs.where(F.arrays_overlap(words(F.col(text)), F.lit(sorted(telling))))
     found = likely.select(F.col(key).alias("key"), F.posexplode(units).alias("unit", "body"))
     counted = found.select("key", "unit", F.explode(words(F.col("body"))).alias("word")).groupBy("key", "unit", "word").agg(F.count("*").alias("tf"))
-    weighed = counted.join(F.broadcast(weight), "word", "left").withColumn("x1", F.col("tf") * F.coalesce("idf", F.lit(unknown)))
+    if every_word:
+        weight = _all_weights(docs, text, n)
+    else:
+        weight = F.broadcast(weight)  # the words of a fixed table
+    weighed = counted.join(weight, "word", "left").withColumn("x1", F.col("tf") * F.coalesce("idf", F.lit(unknown)))
     norms = weighed.join(F.broadcast(vectors), "word", "left")  # vectors: the words of a fixed table
     dots = norms.groupBy("key", "unit", "template").agg(F.sum(F.col("x1") * F.col("x")).alias("dot"))
     sizes = weighed.groupBy("key", "unit").agg(F.sqrt(F.sum(F.col("x1") * F.col("x1"))).alias("norm"))

@@ -189,6 +189,23 @@ def test_licenses(spark):
     assert license_scan.headers(df.limit(0), "i").count() == 0
 
 
+def test_license_weights_count_every_word(spark):
+    """Common words beside a notice weigh little, however many documents there are; cosines against plain Python."""
+    notice = "Licensed under CC BY 4.0 lorem ipsum"
+    rows = [(0, notice)] + [(i, "lorem ipsum dolor" if i % 3 else "sit amet") for i in range(1, 400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    held = {}
+    for _, text in rows:
+        for w in set(re.findall("[a-z0-9]+", text.lower())):
+            held[w] = held.get(w, 0) + 1
+    vector = lambda t: {w: c * (1 + np.log((1 + len(rows)) / (1 + held.get(w, 0)))) for w, c in license_scan._terms(t).items()}
+    x, y = vector(notice), vector("Licensed under CC BY 4.0.")
+    want = sum(x[w] * y[w] for w in y) / np.sqrt(sum(v * v for v in x.values()) * sum(v * v for v in y.values()))
+    got = license_scan.headers(df, every_word=True).collect()
+    assert [(r["doc_id"], r["license"]) for r in got] == [(0, "CC-BY-4.0")] and abs(got[0]["cosine"] - want) < 1e-6
+    assert got[0]["cosine"] > license_scan.headers(df, limit=0.0).where("doc_id = 0").first()["cosine"] + 0.1
+
+
 # --- 6: secrets
 
 
