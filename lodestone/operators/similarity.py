@@ -96,6 +96,22 @@ def nearest(queries: DataFrame, items: DataFrame, k: int = 3) -> DataFrame:
     return out
 
 
+def nearest_texts(queries: DataFrame, items: DataFrame, k: int = 3) -> DataFrame:
+    """(query_id, item_id, similarity): each text's k most similar texts of ``items`` by stem cosine, ties by id; never the one of its own id.
+
+    Both are (id, text) with distinct ids. Pairs with a common stem come from an equi-join; all others have similarity 0, and of
+    those only the first k + 1 items by id can be among a query's best k, as each item before them is similar or the query itself.
+    """
+    x, y = queries.select(F.col("id").alias("query_id"), "text"), items.select(F.col("id").alias("item_id"), "text")
+    alike = stem_cosine(x, y, "query_id", "item_id").select("query_id", "item_id", F.round("cosine", 6).alias("similarity"))
+    first = y.select("item_id").orderBy("item_id").limit(k + 1)
+    others = x.select("query_id").crossJoin(F.broadcast(first)).withColumn("similarity", F.lit(0.0))  # k + 1 rows
+    pairs = alike.unionByName(others).where(F.col("query_id") != F.col("item_id"))
+    best = pairs.groupBy("query_id", "item_id").agg(F.max("similarity").alias("similarity"))
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("similarity").desc(), "item_id"))
+    return best.withColumn("r", rank).where(F.col("r") <= k).drop("r")
+
+
 def grounding(texts: DataFrame, sources: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, words, grounded): the stems of each text, and those that its sources hold, wholly or by a 5-character beginning.
 

@@ -316,11 +316,10 @@ def d7(spark, sf):
 
 @query("d8_alias_suggestions")
 def d8(spark, sf):
-    """Rules, and as hints the names with the most similar stems, three for each name."""
+    """Rules, and as hints the three names with the most similar stems, of all names in benchmark items."""
     left, right = names(spark, sf, "conversations"), names(spark, sf, "benchmark")
-    near = left.select(F.col("name").alias("a"), F.lower(F.substring("name", 1, 5)).alias("k")).join(right.select(F.col("name").alias("b"), F.lower(F.substring("name", 1, 5)).alias("k")), "k").where("a <> b")
-    rank = F.row_number().over(W.partitionBy("a").orderBy(F.levenshtein("a", "b"), "b"))
-    hints = near.withColumn("r", rank).where("r <= 3").select("a", "b")
+    near = sim.nearest_texts(left.select(F.col("name").alias("id"), F.col("name").alias("text")), right.select(F.col("name").alias("id"), F.col("name").alias("text")))
+    hints = near.select(F.col("query_id").alias("a"), F.col("item_id").alias("b"))
     return dedup.alias_suggestions(dedup.alias_rules(left, right), hints)
 
 

@@ -1,6 +1,7 @@
 """Rules that SQL does not express, against hand-made cases and plain Python."""
 
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import vocabulary as V
 from lodestone.functions.text import numbers, stems
 from lodestone.operators import audit, dedup, events, gate, selection
+from lodestone.operators import similarity as sim
 from lodestone.operators import terms as op
 
 
@@ -113,6 +115,38 @@ def test_aliases(spark):
     assert {p: got.get(p) for p in pairs} == pairs
 
 
+def test_nearest_names_brute_force(spark):
+    """The best three of all names, also where the first characters differ or few names are alike."""
+    left = ["ReactNative", "native-react", "testing", "Zzz", "x.y", "Data.Platform.Team", "Apple", "platforms"]
+    right = ["Team.Data", "Platform", "Apple", "apple", "tested", "React.native", "Big.Data", "Data.Platform", "Aardvark", "Tests", "native-react", "Beta", "Platform.Data.Team"]
+    table = lambda ns: spark.createDataFrame([(n, n) for n in ns], "id string, text string")
+    every = {n: Counter(r["s"]) for n, r in zip(left + right, spark.createDataFrame([(n,) for n in left + right], "n string").select(stems(F.col("n")).alias("s")).collect(), strict=True)}
+
+    def cosine(a, b):
+        x, y = every[a], every[b]
+        size = (sum(n * n for n in x.values()) * sum(n * n for n in y.values())) ** 0.5
+        return round(sum(n * y[w] for w, n in x.items()) / size, 6) if size else 0.0
+
+    want = {a: sorted((b for b in right if b != a), key=lambda b: (-cosine(a, b), b))[:3] for a in left}
+    assert any(cosine(a, b) > 0 and a[:5].lower() != b[:5].lower() for a, bs in want.items() for b in bs)
+    found = {}
+    for r in sim.nearest_texts(table(left), table(right)).collect():
+        found.setdefault(r["query_id"], []).append((-r["similarity"], r["item_id"]))
+    assert {a: [b for _, b in sorted(bs)] for a, bs in found.items()} == want
+
+
+def test_alias_suggestions_take_all_names(spark, monkeypatch):
+    """The query holds each name against all names, not only those with the same beginning."""
+    from lodestone.plans import matching
+
+    texts = {"conversations": ["Quality-testing and node.team"], "benchmark": ["team.node", "alpha beta gamma delta"]}
+    monkeypatch.setattr(matching, "table", lambda spark, sf, name: spark.createDataFrame([(x,) for x in texts[name]], "text string"))
+    got = {}
+    for r in matching.d8(spark, "").where("tier = 'hint'").collect():
+        got.setdefault(r["a"], set()).add(r["b"])
+    assert got["node.team"] == {"team.node", "alpha", "beta"} and got["Quality-testing"] == {"alpha", "beta", "delta"}
+
+
 def test_rate_limit_and_stream(spark, tmp_path):
     from lodestone.streaming import streams
 
