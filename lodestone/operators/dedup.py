@@ -32,12 +32,17 @@ def similar_postings(weights: DataFrame, postings: DataFrame, tenths: int = BAND
     wa, wb = ranked.select(F.col("doc_id").alias("a"), "term", F.col("w10").alias("wa")), ranked.select(F.col("doc_id").alias("b"), "term", F.col("w10").alias("wb"))
     sums = pairs.join(wa, "a").join(wb, ["b", "term"]).groupBy("a", "b", "ta", "tb").agg(F.sum(F.least("wa", "wb")).alias("low"))
     found = sums.withColumn("high", F.col("ta") + F.col("tb") - F.col("low")).where(F.col("low") * 10 >= F.col("high") * tenths).select("a", "b", "low", "high")
-    empty = postings.select("doc_id").join(weights.select("doc_id"), "doc_id", "left_anti")
+    empty = without_terms(weights, postings)
     first = empty.agg(F.min("doc_id").alias("a"))
     ties = empty.crossJoin(F.broadcast(first)).where("doc_id <> a").select("a", F.col("doc_id").alias("b"), F.lit(0).cast("long").alias("low"), F.lit(0).cast("long").alias("high"))  # first: one row
     return found.unionByName(ties)
 
 
+def without_terms(weights: DataFrame, postings: DataFrame) -> DataFrame:
+    """(doc_id) of the postings without terms, all of which are equal."""
+    return postings.select("doc_id").join(weights.select("doc_id"), "doc_id", "left_anti")
+
+
 def reuse_decision(pairs: DataFrame, similarity: DataFrame) -> DataFrame:
     """(a, b, decision): HIT at 0.9 or for two empty sets; in the band from 0.8 HIT if the requirements' similarity is 0.95; else MISS.
 
@@ -48,8 +53,21 @@ def reuse_decision(pairs: DataFrame, similarity: DataFrame) -> DataFrame:
     return out.select("a", "b", F.when(sure | (F.coalesce("cosine", F.lit(0.0)) >= BAND_SIMILARITY), "HIT").otherwise("MISS").alias("decision"))
 
 
-def batch_reuse(postings: DataFrame, hits: DataFrame) -> DataFrame:
-    """(doc_id, reused): for each posting the earliest one before it in input order (``ord``) that it hits, else null."""
+def _equal_ties(postings: DataFrame, empty: DataFrame, *owner: str) -> DataFrame:
+    """(a, b): the first by ``ord`` of the postings in ``empty``, in all or of each owner, with each other one."""
+    held = postings.join(empty.select("doc_id").distinct(), "doc_id", "left_semi")
+    first = held.groupBy(*owner).agg(F.min(F.struct("ord", "doc_id"))["doc_id"].alias("a"))
+    tied = held.join(first, list(owner)) if owner else held.crossJoin(F.broadcast(first))  # one row
+    return tied.where("doc_id <> a").select("a", F.col("doc_id").alias("b"))
+
+
+def batch_reuse(postings: DataFrame, hits: DataFrame, empty: DataFrame | None = None) -> DataFrame:
+    """(doc_id, reused): for each posting the earliest one before it in input order (``ord``) that it hits, else null.
+
+    ``empty``: (doc_id) of the postings without terms, which all hit each other; the hits need not list their pairs.
+    """
+    if empty is not None:
+        hits = hits.select("a", "b").unionByName(_equal_ties(postings, empty))
     both = hits.select("a", "b").unionByName(hits.select(F.col("b").alias("a"), F.col("a").alias("b")))
     order = postings.select("doc_id", "ord")
     found = (
@@ -79,11 +97,14 @@ def leaders(nodes: DataFrame, edges: DataFrame, group: str) -> DataFrame:
             return state
 
 
-def live_reuse(postings: DataFrame, hits: DataFrame) -> DataFrame:
+def live_reuse(postings: DataFrame, hits: DataFrame, empty: DataFrame | None = None) -> DataFrame:
     """(doc_id, reused): the newest earlier posting of the same owner that was not itself reused and that it hits.
 
-    ``postings``: (owner, doc_id, ord). Those not reused are the leaders of the hits within an owner.
+    ``postings``: (owner, doc_id, ord). Those not reused are the leaders of the hits within an owner. ``empty``: (doc_id) of the
+    postings without terms, which all hit each other: of an owner's the first leads the others, so a tie to it is enough.
     """
+    if empty is not None:
+        hits = hits.select("a", "b").unionByName(_equal_ties(postings, empty, "owner"))
     left, right = (postings.select(F.col("owner"), F.col("doc_id").alias(k), F.col("ord").alias(f"o{k}")) for k in "ab")
     inside = hits.select("a", "b").join(left, "a").join(right, ["b", "owner"])
     edges = inside.select("owner", F.least("oa", "ob").alias("a"), F.greatest("oa", "ob").alias("b"))

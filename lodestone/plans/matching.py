@@ -275,12 +275,14 @@ def d2(spark, sf):
 
 @query("d3_batch_reuse", f"{_HITS} SELECT doc_id, (SELECT min(a) FROM decided WHERE b = doc_id AND decision = 'HIT') AS reused FROM documents")
 def d3(spark, sf):
-    return dedup.batch_reuse(postings(spark, sf), decisions(spark, sf).where("decision = 'HIT'"))
+    empty = dedup.without_terms(rich_weights(spark, sf), postings(spark, sf))
+    return dedup.batch_reuse(postings(spark, sf), decisions(spark, sf).where("decision = 'HIT'"), empty)
 
 
 @query("d4_live_reuse")
 def d4(spark, sf):
-    return dedup.live_reuse(postings(spark, sf), decisions(spark, sf).where("decision = 'HIT'"))
+    empty = dedup.without_terms(rich_weights(spark, sf), postings(spark, sf))
+    return dedup.live_reuse(postings(spark, sf), decisions(spark, sf).where("decision = 'HIT'"), empty)
 
 
 @query("d5_leaders")

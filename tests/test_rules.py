@@ -108,6 +108,39 @@ def test_live_reuse(spark):
     assert {r["doc_id"]: r["reused"] for r in dedup.live_reuse(posts, hits).collect()} == {1: None, 2: 1, 3: None, 4: None}
 
 
+def test_reuse_of_empty_postings(spark):
+    """From weights to decisions, with several owners and an order that is not the ids': two postings without terms are a hit."""
+    rows = [("u", 1, 9), ("u", 2, 3), ("v", 3, 8), ("v", 4, 2), ("v", 5, 5), ("w", 6, 1), ("w", 7, 4), ("w", 8, 6), ("u", 9, 7)]
+    posts = spark.createDataFrame(rows, "owner string, doc_id long, ord long")
+    terms = {7: {"x": 10}, 8: {"x": 10}}
+    weights = spark.createDataFrame([(i, t, w) for i, ts in terms.items() for t, w in ts.items()], "doc_id long, term string, w10 long")
+    pairs = dedup.similar_postings(weights, posts)
+    hits = dedup.reuse_decision(pairs, spark.createDataFrame([], "a long, b long, cosine double")).where("decision = 'HIT'")
+    hit = lambda i, j: terms.get(i) == terms.get(j)
+    batch, live, led = {}, {}, {}
+    for owner, i, _ in (order := sorted(rows, key=lambda r: r[2])):
+        batch[i] = next((j for _, j, _ in order if j in batch and hit(i, j)), None)
+        live[i] = next((j for j in led.get(owner, [])[::-1] if hit(i, j)), None)
+        if live[i] is None:
+            led.setdefault(owner, []).append(i)
+    assert live[3] == live[5] == 4 and live[9] == 2
+    empty = dedup.without_terms(weights, posts)
+    assert {r["doc_id"]: r["reused"] for r in dedup.live_reuse(posts, hits, empty).collect()} == live
+    assert {r["doc_id"]: r["reused"] for r in dedup.batch_reuse(posts, hits, empty).collect()} == batch
+
+
+def test_live_reuse_query_ties_empty_documents(spark, monkeypatch):
+    from lodestone.plans import matching
+
+    tables = {
+        "documents": spark.createDataFrame([(1, "", "u"), (2, "zz", "v"), (3, "", "v"), (4, "", "u")], "doc_id long, text string, source string"),
+        "benchmark": spark.createDataFrame([(1, "something else")], "item_id long, text string"),
+    }
+    monkeypatch.setattr(matching, "table", lambda spark, sf, name: tables[name])
+    monkeypatch.setattr(matching, "docs", lambda spark, sf: tables["documents"].select("doc_id", "text"))
+    assert {r["doc_id"]: r["reused"] for r in matching.d4(spark, "").collect()} == {1: None, 2: None, 3: 2, 4: 1}
+
+
 def test_aliases(spark):
     pairs = {("K8s", "Kubernetes"): "numeronym", ("Node.js", "NodeJS"): "punctuation", ("NodeJS", "Node"): "affix", ("TS", "TypeScript"): "initialism", ("C", "C++"): None, ("Java", "JavaScript"): None}
     left, right = (spark.createDataFrame([(p[i],) for p in pairs], "name string") for i in (0, 1))
