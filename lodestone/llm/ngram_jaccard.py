@@ -26,7 +26,8 @@ main component, which holds most members, to others, and those that tie others t
 that settles the element they share, so the rounds end. Buckets wholly inside one component are dropped.
 
 Nulls: a null text has an empty set; rows with a null id are returned with a null component and link nothing. Rows that
-repeat an id are separate rows. Exact up to 64-bit collisions of hashes.
+repeat an id are separate rows: where their sets differ, each class has a key of its own in place of the id. Exact up to 64-bit
+collisions of hashes.
 """
 
 from __future__ import annotations
@@ -130,22 +131,47 @@ def _set(text: str | None, n: int) -> np.ndarray:
     return shingle_set(text.encode("utf-8", "surrogatepass").lower(), n) if isinstance(text, str) else np.zeros(0, np.uint64)
 
 
+def _fingerprints(sets: list[np.ndarray]) -> tuple[list[int], np.ndarray, np.ndarray]:
+    """The sizes of the sets and their fingerprints of 128 bits in two halves."""
+    f1, f2 = (np.array([mix(s ^ x).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64) for x in (np.uint64(0), _CLASS))
+    return [len(s) for s in sets], f1, f2
+
+
 def sized_sets(docs: DataFrame, n: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, n, f1, f2): each row's set size and class fingerprint of 128 bits."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             sets = [_set(x, n) for x in batch["text"]]
-            yield pd.DataFrame({
-                "id": batch["id"], "n": [len(s) for s in sets],
-                "f1": np.array([mix(s).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64),
-                "f2": np.array([mix(s ^ _CLASS).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64),
-            })
+            n_, f1, f2 = _fingerprints(sets)
+            yield pd.DataFrame({"id": batch["id"], "n": n_, "f1": f1, "f2": f2})
 
     rows = docs.select(F.col(key).cast("string").alias("id"), F.col(text).alias("text"))
     return rows.mapInPandas(run, "id string, n long, f1 long, f2 long").withColumn("id", F.col("id").cast("long"))
 
 
+def keyed(docs: DataFrame, several: DataFrame, reps: DataFrame, n: int, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, text) rows of ``docs`` in which the ids of ``several``, whose rows have different sets, give way to the keys of the classes
+    they stand for, one row each; the other rows of such ids are left out.
+
+    ``reps``: (id, rep, n, f1, f2), the key and the smallest id of each class.
+    """
+    ids = F.broadcast(several) if several.count() <= SMALL_IDS else several
+    rows = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("rep"), F.col(text).alias(text))
+    plain = rows.join(ids.select(F.col("id").alias("rep")), "rep", "left_anti").select(F.col("rep").alias(key), text)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            sets = [_set(x, n) for x in batch["text"]]
+            n_, f1, f2 = _fingerprints(sets)
+            yield pd.DataFrame({"rep": batch["rep"], "text": batch["text"], "n": n_, "f1": f1, "f2": f2})
+
+    again = rows.join(ids.select(F.col("id").alias("rep")), "rep", "left_semi").select("rep", F.col(text).alias("text"))
+    again = again.mapInPandas(run, "rep long, text string, n long, f1 long, f2 long").join(reps, ["rep", "n", "f1", "f2"])
+    again = written(again.groupBy("id").agg(F.min("text").alias("text")), "keyed")  # texts of one class have equal sets
+    return plain.unionByName(again.select(F.col("id").alias(key), F.col("text").alias(text)))
+
+
 def signed(docs: DataFrame, spare: DataFrame, n: int, t: int, sub: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, key): the signatures of all rows but those with a null id or one in ``spare``. They are made where they are used: stored, they
     would be larger than the texts."""
@@ -226,8 +252,17 @@ def similar(docs: DataFrame, n: int, t: int, sub: int = 2, key: str = "doc_id",
         raise ValueError("t is a percentage from 30 to 100")
     rows = written(sized_sets(docs, n, key, text), "rows")
     classes = written(rows.where("n > 0 and id is not null").groupBy("n", "f1", "f2").agg(F.min("id").alias("rep")), "classes")
-    reps = rows.join(classes.select(F.col("rep").alias("id"), "n", "f1", "f2"), ["id", "n", "f1", "f2"], "left_semi").select("id", "n").distinct()
-    reps = written(reps, "reps")
+    own = F.struct("n", "f1", "f2")
+    several = rows.where("id is not null").groupBy("id").agg(F.min(own).alias("x"), F.max(own).alias("y")).where("x <> y").select("id")
+    several = written(several, "several")
+    repeats = not several.isEmpty()
+    if repeats:
+        marked = classes.join(several.select(F.col("id").alias("rep"), F.lit(True).alias("many")), "rep", "left")
+        classes = written(marked.select("n", "f1", "f2", "rep", F.when(F.col("many"), F.xxhash64("rep", "n", "f1", "f2")).otherwise(F.col("rep")).alias("id")), "classes")
+        docs = keyed(docs, several, classes, n, key, text)
+    else:
+        classes = classes.withColumn("id", F.col("rep"))
+    reps = written(classes.select("id", "n"), "reps")
     spare = written(rows.where("n > 0 and id is not null").select("id").distinct().join(reps, "id", "left_anti"), "spare")
     single = signed(docs, spare, n, t, sub, key, text)
     shared = written(single.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "shared")
@@ -247,8 +282,15 @@ def similar(docs: DataFrame, n: int, t: int, sub: int = 2, key: str = "doc_id",
     sets = written(sets_of(docs, nodes.select("id"), n, key, text).groupBy("id").agg(F.first("s").alias("s")), "sets")
     roots = _linked(buckets, nodes, sets, t)
 
-    named = classes.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left") if roots is not None else classes.withColumn("root", F.lit(None).cast("long"))
-    named = written(named.select("n", "f1", "f2", F.coalesce("root", "rep").alias("component")), "named")
+    named = classes.join(roots.select(F.col("node").alias("id"), "root"), "id", "left") if roots is not None else classes.withColumn("root", F.lit(None).cast("long"))
+    named = named.withColumn("root", F.coalesce("root", "id"))
+    if repeats:  # a root may be a class's key
+        named = written(named, "roots")
+        least = written(named.groupBy("root").agg(F.min("rep").alias("component")), "least")
+        named = named.join(least, "root")
+    else:
+        named = named.withColumn("component", F.col("root"))
+    named = written(named.select("n", "f1", "f2", "component"), "named")
     out = rows.join(named, ["n", "f1", "f2"], "left")
     return out.select("id", F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"))
 

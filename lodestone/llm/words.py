@@ -43,7 +43,8 @@ def pieces(data: bytes, size: int = PIECE) -> Iterator[bytes]:
     yield data[at:]
 
 
-def _hashes(data: bytes) -> np.ndarray:
+def _sums(data: bytes) -> tuple[np.ndarray, int, int]:
+    """The sum of each word before the finaliser, and the lengths of the first and the last word."""
     b = np.frombuffer(data, np.uint8)
     edge = np.ones(len(b) + 2, bool)
     edge[1:-1] = IS_SPACE[b]
@@ -51,17 +52,38 @@ def _hashes(data: bytes) -> np.ndarray:
     start, end = at[::2], at[1::2]
     total = np.zeros(len(b) + 1, np.uint64)
     np.cumsum(_BYTE[b] * _POW[: len(b)], out=total[1:])
-    return mix((total[end] - total[start]) * _INV[start])
+    n = (end - start)[[0, -1]].tolist() if len(at) else (0, 0)
+    return (total[end] - total[start]) * _INV[start], *n
+
+
+def _hashes(data: bytes) -> np.ndarray:
+    return mix(_sums(data)[0])
 
 
 def word_hashes(data: bytes) -> np.ndarray:
     """A uint64 for each word, in order; equal words have equal hashes wherever they stand.
 
-    Exact up to 64-bit collisions. A single word of over PIECE bytes is hashed as its pieces.
+    Exact up to 64-bit collisions. The sum of a word that a piece's end cuts is carried on to the next piece.
     """
     if len(data) <= PIECE:
         return _hashes(data)
-    return np.concatenate([_hashes(p) for p in pieces(data)])
+    out, carried, length = [], 0, 0  # the unfinished word's sum and bytes
+    for p in pieces(data):
+        sums, first, last = _sums(p)
+        if length and IS_SPACE[p[0]]:
+            out.append(np.array([carried], np.uint64))
+            length = 0
+        if length:
+            sums[0] = (carried + int(sums[0]) * pow(_BASE, length, 1 << 64)) % (1 << 64)
+        whole = len(sums) == 1 and first == len(p)
+        if IS_SPACE[p[-1]]:
+            length = 0
+        else:
+            carried, length, sums = int(sums[-1]), last + (length if whole else 0), sums[:-1]
+        out.append(sums)
+    if length:
+        out.append(np.array([carried], np.uint64))
+    return mix(np.concatenate(out))
 
 
 def shingle_set(data: bytes, n: int) -> np.ndarray:

@@ -90,3 +90,20 @@ def test_edges(spark):
     got = sorted((r["id"] is None, r["id"] or 0, r["n_shingles"], r["component_id"]) for r in nj.similar(docs, n=3, t=90).collect())
     assert got == [(False, 1, 0, 1), (False, 2, 0, 2), (False, 3, 2, 3), (False, 4, 2, 3), (False, 4, 2, 3), (False, 5, 1, 5), (False, 6, 1, 5), (True, 0, 2, None)]
     assert nj.similar(docs.limit(0), n=3, t=90).count() == 0
+
+
+def test_repeated_ids_with_different_texts(spark):
+    """Every row links by its own text, whatever other rows have its id, in every order of the rows."""
+    rng = random.Random(3)
+    long = lambda: [f"w{rng.randrange(10**6)}" for _ in range(60)]
+    near = lambda t: " ".join(t[:-1] + ["other"])
+    a, b, c, d = long(), long(), long(), long()
+    rows = [(5, " ".join(a)), (5, " ".join(b)), (5, None), (7, near(a)), (8, near(b)), (2, near(c)), (9, " ".join(c)), (9, near(d)), (3, " ".join(d)), (9, near(a)), (11, near(a)), (6, near(d)), (5, "")]
+    linked = brute(list(enumerate(t for _, t in rows)), 3, 90)
+    lowest = {}
+    for j, (i, _) in enumerate(rows):
+        lowest[linked[j][1]] = min(i, lowest.get(linked[j][1], i))
+    want = sorted((i, n, lowest[root]) for (i, _), (n, root) in zip(rows, linked.values(), strict=True))
+    for order in (rows, rows[::-1]):
+        got = nj.similar(spark.createDataFrame(order, "doc_id long, text string").coalesce(1), n=3, t=90).collect()
+        assert sorted((r["id"], r["n_shingles"], r["component_id"]) for r in got) == want

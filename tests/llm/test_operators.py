@@ -12,7 +12,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.llm import curriculum_mix, decontaminate, extendible_shards, imatch, license_scan, quality_classifier, secret_scan, url_reputation, warc
+from lodestone.llm import curriculum_mix, decontaminate, extendible_shards, imatch, license_scan, quality_classifier, secret_scan, url_reputation, warc, words
 from lodestone.llm.words import pieces, shingle_set, word_hashes
 
 DOCS = "doc_id long, text string, source string"
@@ -34,6 +34,20 @@ def test_words():
     assert len(shingle_set(b"", 3)) == 0 and len(shingle_set(b"a b", 3)) == 1 and len(shingle_set(b"a b c a b c", 3)) == 3
 
 
+def test_a_long_word_is_one_word(monkeypatch):
+    run = "é".encode() * (1 << 19)  # 1 MiB without a space
+    assert len(word_hashes(run)) == 1 and len(shingle_set(run, 3)) == 1
+    assert len(shingle_set(b"a b " + run + b" c d", 3)) == 3
+    rng = random.Random(4)
+    for _ in range(300):
+        text = b"".join(rng.choice([b" ", b"x" * rng.randint(1, 40), b"ab", b"\n"]) for _ in range(rng.randint(0, 30)))
+        whole = words._hashes(text)
+        with monkeypatch.context() as m:
+            m.setattr(words, "PIECE", 16)
+            m.setattr(words, "pieces", lambda data: pieces(data, 16))
+            assert np.array_equal(word_hashes(text), whole)
+
+
 # --- 1: WARC
 
 
