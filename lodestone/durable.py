@@ -11,6 +11,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Whether Spark deletes an execution's shuffle files when it ends.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_root(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``; a temporary one only in local mode where that is unset."""
@@ -35,10 +38,18 @@ def new_folder(spark: SparkSession, label: str) -> str:
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written as a Parquet table in the shared folder and read back: same rows, no lineage."""
-    path = new_folder(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """``df`` written as a Parquet table in the shared folder and read back: same rows, no lineage.
+
+    What was shuffled to make it is deleted as soon as the table stands; nothing reads that again.
+    """
+    spark, path = df.sparkSession, new_folder(df.sparkSession, label)
+    before = spark.conf.get(SHUFFLE_CLEANUP, "false")
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def remove(df: DataFrame) -> None:
@@ -47,3 +58,28 @@ def remove(df: DataFrame) -> None:
     for name in df.inputFiles()[:1]:
         folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name).getParent()
         folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+class Scratch:
+    """Tables on the way to a result. ``drop`` removes those that were read for the last time, leaving the block removes the rest.
+
+    What leaves the block must be ``written`` apart from these.
+    """
+
+    def __init__(self) -> None:
+        self.tables: list[DataFrame] = []
+
+    def written(self, df: DataFrame, label: str) -> DataFrame:
+        self.tables.append(written(df, label))
+        return self.tables[-1]
+
+    def drop(self, *tables: DataFrame) -> None:
+        for t in tables:
+            remove(t)
+        self.tables = [x for x in self.tables if not any(x is t for t in tables)]
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.drop(*self.tables)
