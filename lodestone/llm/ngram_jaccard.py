@@ -15,48 +15,55 @@ sets that share them, counted over all, it keeps the shortest beginning of that
 the order is the same for all, two similar sets still share a kept one. Signatures that nobody shares come first in it, so
 a set with enough of these has no partner and drops out, and crowded signatures (common passages) are left aside.
 
-Joining. Pairs are listed only within buckets of at most ``FEW`` members. The members of larger buckets with the same most
-connected member form a group. Its centre is the set of elements that most of a few of its members hold (any set would lose no pair); D(x) is the
-symmetric difference of x and the centre. Two members with |D(x)| + |D(y)| within what their sizes allow are surely similar,
-and then both are similar to the member that has most room left, so one test a member against that one finds all such ties.
-Any other similar pair must have enough of D(x) and D(y) in common to make up for what their sizes leave, so it shares one of
-the first |D| - o + 1 elements (elements outside the centre come first, as few members share those), where o is the least
-overlap that any partner in another component would need. Such elements are the buckets of the next round: those that tie the
-main component, which holds most members, to others, and those that tie others to each other. Each gets a centre of its own
-that settles the element they share, so the rounds end. Buckets wholly inside one component are dropped.
+Joining. Buckets with the same members count once. First each member is tested against its bucket's most connected one;
+that joins most copies. Where a bucket still holds several components, all pairs across them are listed if it has at most
+``FEW`` members. Larger ones are cut finer, in rounds: in the first those that chain by members are one group, in the second
+those with the same most connected member, then each is one. A group has a centre c: the elements that most of a few of its
+members hold (any set would do). D(x) is the symmetric difference of x
+and c, and x has room (100 - t) |x| - (100 + t) |D(x)|. Two members are similar exactly if D(x) and D(y) have so much in
+common as their rooms leave missing, -(room(x) + room(y)) / (2 (100 + t)) elements. All members are tested against the one
+with most room. Other similar pairs in different components share one of the first |D| - need + 1 elements of each, the rarest
+in the group first, where need is what the best partner in another component would leave. Such elements are the next buckets,
+but for those in one member's D alone and those in every member's: two similar members that share nothing but the latter are
+both similar to the one with most room. So buckets get smaller and the rounds end. Buckets wholly inside one component are
+dropped.
 
 Nulls: a null text has an empty set; rows with a null id are returned with a null component and link nothing. Rows that
 repeat an id are separate rows: where their sets differ, each class has a key of its own in place of the id. Exact up to 64-bit
-collisions of hashes.
+collisions of hashes. A set of more than 2 ** (PLACE - 2) signatures (a text of some hundred megabytes) is an error.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.durable import remove, written
+from lodestone.durable import Scratch, written
 from lodestone.llm.components import components, sized
 from lodestone.llm.words import mix, shingle_set
 from lodestone.sources import table
 
-#: A list of ids with up to so many rows is sent to all tasks (about 64 MB there); a longer one is joined by shuffle.
-SMALL_IDS = 1 << 20
+#: A list of ids with up to so many rows is sent to all tasks (about 16 MB there); a longer one is joined by shuffle.
+SMALL_IDS = 1 << 18
 #: Members of a bucket whose pairs are all verified: at most (FEW - 1) / 2 pairs a member.
-FEW = 16
+FEW = 32
 #: How many times the groups that k calls for there are.
 SPARE = 1.15
-#: Members of a group whose majority is its centre; any set may serve as the centre without losing a pair.
+#: Members of a group, at most, whose majority is its centre.
 CENTRE = 7
-#: Low bits of a signature that tell its band (modulo 4, so t is 30 percent at least) and place (sets of some ten million elements).
-PLACE = 24
+#: Low bits of a signature that tell its band (modulo 4, so t is 30 percent at least) and place.
+PLACE = 26
+#: Bytes of text whose sets a task holds at once (one text more may start).
+CHUNK = 1 << 22
 _CLASS = np.uint64(0xD1B54A32D192ED03)
+_SETS = "id long, n long, f1 long, f2 long"
 
 
 def most_different(a: int, b: int, t: int) -> int:
@@ -81,10 +88,21 @@ def instances(a: int, t: int, sub: int) -> list[tuple[int, int, int]]:
     for band in range(_band(-(-t * a // 100)), own + 1):
         top = math.isqrt((2 << band) - 1)  # the largest size in the band
         k = most_different(a, 100 * a // t if band == own else top, t)
-        out.append((band, k, math.ceil(SPARE * (most_different(top, 100 * top // t, t) // 2 + 1))))
+        groups = math.ceil(SPARE * (most_different(top, 100 * top // t, t) // 2 + 1))
+        if groups * sub > 1 << PLACE - 2:
+            raise ValueError(f"a set of {a} shingles needs more signatures than there are places")
+        out.append((band, k, groups))
     return out
 
 
+@lru_cache(maxsize=64)
+def _layout(band: int, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The borders of the n parts of a band, what tells their places apart in a hash, and the low bits."""
+    place = np.arange(n, dtype=np.uint64)
+    borders = (np.arange(1, n, dtype=np.float64) / n * 2.0**64).astype(np.uint64)
+    return borders, mix(place * np.uint64(256) + np.uint64(band)), np.uint64((band & 3) << PLACE - 2) | place
+
+
 def signatures(s: np.ndarray, t: int, sub: int) -> np.ndarray:
     """All PartEnum signatures of a sorted set of uint64 hashes, as uint64: groups * sub for each instance.
 
@@ -95,106 +113,116 @@ def signatures(s: np.ndarray, t: int, sub: int) -> np.ndarray:
     np.cumsum(mix(s), out=run[1:])
     out = [np.zeros(0, np.uint64)]
     for band, _, groups in instances(len(s), t, sub):
-        n = groups * sub
-        cut = np.searchsorted(s, (np.arange(1, n, dtype=np.float64) / n * 2.0**64).astype(np.uint64))
-        at = np.concatenate([[0], cut, [len(s)]])
+        borders, salt, low = _layout(band, groups * sub)
+        at = np.concatenate([[0], np.searchsorted(s, borders), [len(s)]])
         content = mix(run[at[1:]] - run[at[:-1]] + np.diff(at).astype(np.uint64))
         if sub == 3:  # the i-th subset leaves the i-th part out
             c = content.reshape(-1, 3)
             content = mix(c[:, [1, 0, 0]] + np.uint64(3) * c[:, [2, 2, 1]]).ravel()
-        place = np.arange(n, dtype=np.uint64)
-        out.append(mix(content + mix(place * np.uint64(256) + np.uint64(band))) >> np.uint64(PLACE) << np.uint64(PLACE) | np.uint64((band & 3) << PLACE - 2) | place)
+        out.append(mix(content + salt) >> np.uint64(PLACE) << np.uint64(PLACE) | low)
     return np.concatenate(out)
 
 
-def rarest(a: int, shared: list[tuple[int, int]], t: int, sub: int) -> list[int]:
-    """The shared signatures to keep of a set of size a: ``shared`` is (sharers, signature) of those that others have too."""
+def rarest(a: int, sharers: np.ndarray, shared: np.ndarray, t: int, sub: int) -> list[int]:
+    """The signatures to keep of a set of size a, of those that others have too: ``shared`` (uint64), each with its ``sharers``."""
     kept = []
+    bands, groups_of = shared >> np.uint64(PLACE - 2) & np.uint64(3), (shared & np.uint64((1 << PLACE - 2) - 1)).astype(np.int64) // sub
+    worth = np.array((0, 1, 2) if sub == 2 else (0, 1, 1, 2))
     for band, k, groups in instances(a, t, sub):
-        here = sorted((m, x, x & (1 << PLACE - 2) - 1) for m, x in shared if x >> PLACE - 2 & 3 == band & 3)
-        left = [sub] * groups  # signatures of each group in the beginning so far
-        for x in here:
-            left[x[2] // sub] -= 1
-        worth = (0, 1, 2) if sub == 2 else (0, 1, 1, 2)
-        cost = sum(worth[i] for i in left)
-        for x in here:
+        here = np.flatnonzero(bands == band & 3)
+        left = sub - np.bincount(groups_of[here], minlength=groups)  # signatures of each group in the beginning so far
+        cost = int(worth[left].sum())
+        if cost > k:
+            continue
+        for i in here[np.lexsort((shared[here], sharers[here]))].tolist():
+            g = groups_of[i]
+            cost += int(worth[left[g] + 1] - worth[left[g]])
+            left[g] += 1
+            kept.append(int(shared[i]))
             if cost > k:
                 break
-            g = x[2] // sub
-            cost += worth[left[g] + 1] - worth[left[g]]
-            left[g] += 1
-            kept.append(x[1])
     return kept
 
 
-def _set(text: str | None, n: int) -> np.ndarray:
-    return shingle_set(text.encode("utf-8", "surrogatepass").lower(), n) if isinstance(text, str) else np.zeros(0, np.uint64)
+def _set(data: bytes | None, n: int) -> np.ndarray:
+    return shingle_set(data.lower(), n) if data else np.zeros(0, np.uint64)
 
 
-def _fingerprints(sets: list[np.ndarray]) -> tuple[list[int], np.ndarray, np.ndarray]:
+def _sizes(sets: list[np.ndarray]) -> list[pa.Array]:
     """The sizes of the sets and their fingerprints of 128 bits in two halves."""
-    f1, f2 = (np.array([mix(s ^ x).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64) for x in (np.uint64(0), _CLASS))
-    return [len(s) for s in sets], f1, f2
+    halves = [np.array([mix(s ^ x).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64) for x in (np.uint64(0), _CLASS)]
+    return [pa.array([len(s) for s in sets], pa.int64()), *map(pa.array, halves)]
 
 
-def sized_sets(docs: DataFrame, n: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, n, f1, f2): each row's set size and class fingerprint of 128 bits."""
+def _lists(arrays: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, arrays)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.uint64), *arrays]).view(np.int64)))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            sets = [_set(x, n) for x in batch["text"]]
-            n_, f1, f2 = _fingerprints(sets)
-            yield pd.DataFrame({"id": batch["id"], "n": n_, "f1": f1, "f2": f2})
-
-    rows = docs.select(F.col(key).cast("string").alias("id"), F.col(text).alias("text"))
-    return rows.mapInPandas(run, "id string, n long, f1 long, f2 long").withColumn("id", F.col("id").cast("long"))
 
+def _of_sets(rows: DataFrame, n: int, of: Callable[[list[np.ndarray]], list[pa.Array]], schema: str) -> DataFrame:
+    """The columns of ``rows`` before its last, ``data`` (a text's bytes), and those that ``of`` gives for the sets of the texts.
 
-def keyed(docs: DataFrame, several: DataFrame, reps: DataFrame, n: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, text) rows of ``docs`` in which the ids of ``several``, whose rows have different sets, give way to the keys of the classes
-    they stand for, one row each; the other rows of such ids are left out.
-
-    ``reps``: (id, rep, n, f1, f2), the key and the smallest id of each class.
+    The sets are made for CHUNK bytes at a time.
     """
-    ids = F.broadcast(several) if several.count() <= SMALL_IDS else several
-    rows = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("rep"), F.col(text).alias(text))
-    plain = rows.join(ids.select(F.col("id").alias("rep")), "rep", "left_anti").select(F.col("rep").alias(key), text)
+    names = [c.split()[0] for c in schema.split(", ")]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [_set(x, n) for x in batch["text"]]
-            n_, f1, f2 = _fingerprints(sets)
-            yield pd.DataFrame({"rep": batch["rep"], "text": batch["text"], "n": n_, "f1": f1, "f2": f2})
+            upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column("data")), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+            at = 0
+            while at < batch.num_rows:
+                end = max(at + 1, int(np.searchsorted(upto, CHUNK + (upto[at - 1] if at else 0), "right")))
+                part = batch.slice(at, end - at)
+                sets = [_set(x, n) for x in part.column("data").to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *of(sets)], names=names)
+                at = end
 
-    again = rows.join(ids.select(F.col("id").alias("rep")), "rep", "left_semi").select("rep", F.col(text).alias("text"))
-    again = again.mapInPandas(run, "rep long, text string, n long, f1 long, f2 long").join(reps, ["rep", "n", "f1", "f2"])
-    again = written(again.groupBy("id").agg(F.min("text").alias("text")), "keyed")  # texts of one class have equal sets
-    return plain.unionByName(again.select(F.col("id").alias(key), F.col("text").alias(text)))
+    return rows.mapInArrow(run, schema)
 
 
-def signed(docs: DataFrame, spare: DataFrame, n: int, t: int, sub: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, key): the signatures of all rows but those with a null id or one in ``spare``. They are made where they are used: stored, they
-    would be larger than the texts."""
+def signed(docs: DataFrame, n: int, t: int, sub: int, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, n, f1, f2, sigs) of each row: its set's size, class fingerprint of 128 bits and signatures."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            sets = [_set(x, n) for x in batch["text"]]
-            yield pd.DataFrame({"id": batch["id"], "sigs": [signatures(s, t, sub).view(np.int64) if len(s) else np.zeros(0, np.int64) for s in sets]})
+    def of(sets: list[np.ndarray]) -> list[pa.Array]:
+        return [*_sizes(sets), _lists([signatures(s, t, sub) if len(s) else s for s in sets])]
 
-    rows = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    return rows.mapInPandas(run, "id long, sigs array<long>").join(sized(spare), "id", "left_anti").select("id", F.explode("sigs").alias("key"))
+    rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("binary").alias("data"))
+    return _of_sets(rows, n, of, f"{_SETS}, sigs array<long>")
 
 
 def sets_of(docs: DataFrame, ids: DataFrame, n: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, s): the sets of the listed ids."""
     small = F.broadcast(ids) if ids.count() <= SMALL_IDS else ids
-    rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).join(small, "id", "left_semi")
+    rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("binary").alias("data")).join(small, "id", "left_semi")
+    return _of_sets(rows, n, lambda sets: [_lists(sets)], "id long, s array<long>")
+
+
+def keyed(docs: DataFrame, several: DataFrame, reps: DataFrame, n: int, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, text) rows of ``docs`` in which the ids of ``several``, whose rows have different sets, give way to the keys of the classes
+    they stand for, one row each; the other rows of such ids are left out.
+
+    ``reps``: (id, rep, n, f1, f2), the key and the smallest id of each class.
+    """
+    ids = (F.broadcast(several) if several.count() <= SMALL_IDS else several).select(F.col("id").alias("rep"))
+    rows = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("rep"), F.col(text).alias(text))
+    plain = rows.join(ids, "rep", "left_anti").select(F.col("rep").alias(key), text)
+    again = rows.join(ids, "rep", "left_semi").select("rep", F.col(text).alias("text"), F.col(text).cast("binary").alias("data"))
+    again = _of_sets(again, n, _sizes, "rep long, text string, n long, f1 long, f2 long").join(reps, ["rep", "n", "f1", "f2"])
+    again = again.groupBy("id").agg(F.min("text").alias("text"))  # texts of one class have equal sets
+    return plain.unionByName(again.select(F.col("id").alias(key), F.col("text").alias(text)))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def _kept(held: DataFrame, t: int, sub: int) -> DataFrame:
+    """(id, n, keys): the signatures to keep of the sets (id, n, x) with shared signatures x (m, key); sets that keep none are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pd.DataFrame({"id": batch["id"], "s": [_set(x, n).view(np.int64) for x in batch["text"]]})
+            x = batch.column("x")
+            ends, m, keys = x.offsets.to_numpy(), x.values.field("m").to_numpy(), x.values.field("key").to_numpy().view(np.uint64)
+            kept = [np.array(rarest(size, m[a:b], keys[a:b], t, sub), np.uint64) for size, a, b in zip(batch.column("n").to_pylist(), ends, ends[1:], strict=False)]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("n"), _lists(kept)], names=["id", "n", "keys"]).filter(pa.array([len(k) > 0 for k in kept]))
 
-    return rows.mapInPandas(run, "id long, s array<long>")
+    return held.select("id", "n", "x").mapInArrow(run, "id long, n long, keys array<long>")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, t: int) -> DataFrame:
@@ -204,134 +232,143 @@ def _verified(pairs: DataFrame, sets: DataFrame, t: int) -> DataFrame:
     return both.where(common * 100 >= t * (F.size("s") + F.size("ps") - common)).select(F.col("p").alias("a"), F.col("id").alias("b"))
 
 
-def _centred(groups: DataFrame, sets: DataFrame, t: int) -> DataFrame:
-    """(g, id, room, apart, d): what the member's size leaves for its difference to the centre, the difference's size, its first elements."""
-    held = written(groups.join(sets, "id"), "held")
-    few = held.withColumn("r", F.row_number().over(W.partitionBy("g").orderBy(F.xxhash64("id"), "id"))).where(F.col("r") <= CENTRE)
-    few = written(few.select("g", "s"), "few")
+def _spread(groups: DataFrame, sets: DataFrame, t: int, scratch: Scratch) -> DataFrame:
+    """(g, id, room, d): the members' differences to their group's centre."""
+    order = F.struct(F.xxhash64("id").alias("h"), "id")
+    some = groups.groupBy("g", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(CENTRE)).alias("slot")).agg(F.min(order)["id"].alias("id"))
+    few = scratch.written(some.join(sets, "id").select("g", "s"), "few")
     sizes = few.groupBy("g").agg(F.count("*").alias("n"))
     common = few.select("g", F.explode("s").alias("e")).groupBy("g", "e").agg(F.count("*").alias("m")).where("m > 1").join(sizes, "g").where("m * 2 > n")
-    centres = written(sizes.select("g").join(common.groupBy("g").agg(F.collect_list("e").alias("c")), "g", "left"), "centres")
+    centres = scratch.written(sizes.select("g").join(common.groupBy("g").agg(F.collect_list("e").alias("c")), "g", "left"), "centres")
     c = F.coalesce("c", F.array().cast("array<bigint>"))
-    mine, theirs = F.array_sort(F.array_except("s", c)), F.array_sort(F.array_except(c, "s"))
-    both = held.join(sized(centres), "g").select("g", "id", F.size("s").alias("n"), F.concat(mine, theirs).alias("d"))
-    k = F.expr(f"cast((100 - {t}) * (n + 100 * n div {t}) div (100 + {t}) as int)")
-    room = ((100 - t) * F.col("n") - (100 + t) * F.size("d")).cast("long")
-    return both.select("g", "id", room.alias("room"), F.size("d").alias("apart"), F.slice("d", F.lit(1), k + 1).alias("d"))
-
-
-def _ties(members: DataFrame, middle: DataFrame, t: int) -> DataFrame:
-    """(key, id) of the next buckets, from the members (g, id, comp, room, apart, d) of groups that are not one component.
-
-    ``middle`` (g, order): the member with most room, whose component is the main one.
-    """
-    main = members.join(middle, "g").where(F.col("id") == -F.col("order")).select("g", F.col("comp").alias("main"))
-    rows = members.join(sized(written(main, "main")), "g").withColumn("inside", F.col("comp") == F.col("main"))
-    rooms = rows.groupBy("g").agg(F.max(F.when(F.col("inside"), F.col("room"))).alias("room_in"), F.max(F.when(~F.col("inside"), F.col("room"))).alias("room_out"))
-    rows = rows.join(sized(written(rooms, "rooms")), "g")
-
-    def first(partner: str, tag: str):
-        """The elements that a tie to a partner with at most that room would show, as keys."""
-        least = F.greatest(F.lit(1), F.ceil(-(F.col("room") + F.col(partner)) / (2.0 * (100 + t)) - 1e-9))
-        n = F.least(F.size("d"), (F.col("apart") - least + 1).cast("int"))
-        return F.transform(F.slice("d", F.lit(1), F.greatest(n, F.lit(0))), lambda e: F.xxhash64("g", e, F.lit(tag)))
-
-    none = F.array().cast("array<bigint>")
-    across = F.when(F.col("inside"), first("room_out", "across")).otherwise(first("room_in", "across"))
-    apart = F.when(F.col("inside"), none).otherwise(first("room_out", "apart"))
-    across = rows.select("id", "inside", F.explode(across).alias("key"))
-    both = across.groupBy("key").agg(F.bool_or("inside").alias("x"), F.bool_or(~F.col("inside")).alias("y")).where("x and y").select("key")
-    apart = rows.select("id", F.explode(apart).alias("key"))
-    shared = apart.groupBy("key").count().where("count > 1").select("key")
-    return across.select("id", "key").join(sized(written(both, "both")), "key").unionByName(apart.select("id", "key").join(sized(written(shared, "shared")), "key")).select("key", "id")
+    d = F.concat(F.array_except("s", c), F.array_except(c, "s"))
+    held = groups.join(sets, "id").join(sized(centres), "g").select("g", "id", F.size("s").alias("n"), d.alias("d"))
+    return held.select("g", "id", ((100 - t) * F.col("n") - (100 + t) * F.size("d")).cast("long").alias("room"), "d")
+
+
+def _finer(members: DataFrame, sizes: DataFrame, t: int, scratch: Scratch) -> DataFrame:
+    """(key, id) of the next buckets, from the members (g, id, comp, room, d) of groups and the groups' sizes (g, b)."""
+    best = members.groupBy("g", "comp").agg(F.max(F.struct("room", (-F.col("id")).alias("o"))).alias("best"))
+    best = scratch.written(best, "best")
+    top = scratch.written(best.groupBy("g").agg(F.max_by("comp", "best").alias("main"), F.max("best.room").alias("room_in")), "top")
+    others = best.join(sized(top), "g").where("comp <> main").groupBy("g", "main", "room_in").agg(F.max("best.room").alias("room_out"))
+    open_ = scratch.written(others.join(sizes, "g"), "open")
+    rows = members.join(sized(open_), "g")
+    partner = F.when(F.col("comp") == F.col("main"), F.col("room_out")).otherwise(F.col("room_in"))
+    need = F.greatest(F.lit(1), F.ceil(-(F.col("room") + partner) / (2.0 * (100 + t)) - 1e-9)).cast("int")
+    rows = rows.select("g", "id", "b", F.size("d").alias("n"), (F.size("d") - need + 1).alias("first"), "d").where("first > 0")
+    held = rows.select("g", "id", "b", "n", "first", F.explode("d").alias("e"))
+    common = scratch.written(held.groupBy("g", "e").agg(F.count("*").alias("f")).where("f > 1"), "common")
+    mine = held.join(common, ["g", "e"]).groupBy("g", "id", "b", "n", "first").agg(F.array_sort(F.collect_list(F.struct("f", "e"))).alias("x"))  # at most D itself
+    left = F.greatest(F.col("first") - (F.col("n") - F.size("x")), F.lit(0))  # those in one D alone come first
+    keys = F.filter(F.slice("x", F.lit(1), left), lambda x: x["f"] < F.col("b"))
+    return mine.select("g", "id", F.explode(keys).alias("x")).select(F.xxhash64("g", "x.e").alias("key"), "id").distinct()
 
 
 def similar(docs: DataFrame, n: int, t: int, sub: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, n_shingles, component_id) of each row: its component in the graph of pairs of at least t percent similarity."""
     if not 30 <= t <= 100:
         raise ValueError("t is a percentage from 30 to 100")
-    rows = written(sized_sets(docs, n, key, text), "rows")
-    classes = written(rows.where("n > 0 and id is not null").groupBy("n", "f1", "f2").agg(F.min("id").alias("rep")), "classes")
-    own = F.struct("n", "f1", "f2")
-    several = rows.where("id is not null").groupBy("id").agg(F.min(own).alias("x"), F.max(own).alias("y")).where("x <> y").select("id")
-    several = written(several, "several")
-    repeats = not several.isEmpty()
-    if repeats:
-        marked = classes.join(several.select(F.col("id").alias("rep"), F.lit(True).alias("many")), "rep", "left")
-        classes = written(marked.select("n", "f1", "f2", "rep", F.when(F.col("many"), F.xxhash64("rep", "n", "f1", "f2")).otherwise(F.col("rep")).alias("id")), "classes")
-        docs = keyed(docs, several, classes, n, key, text)
-    else:
-        classes = classes.withColumn("id", F.col("rep"))
-    reps = written(classes.select("id", "n"), "reps")
-    spare = written(rows.where("n > 0 and id is not null").select("id").distinct().join(reps, "id", "left_anti"), "spare")
-    single = signed(docs, spare, n, t, sub, key, text)
-    shared = written(single.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "shared")
-    held = single.join(shared, "key").groupBy("id").agg(F.collect_list(F.struct("m", "key")).alias("x"))  # at most a set's own signatures
-    held = held.join(reps, "id").select("id", "n", "x")
-
-    def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            kept = [rarest(size, [(x["m"], x["key"]) for x in xs], t, sub) for size, xs in zip(batch["n"], batch["x"], strict=True)]
-            yield pd.DataFrame({"id": batch["id"], "n": batch["n"], "keys": kept})
-
-    rare = written(held.mapInPandas(keep, "id long, n long, keys array<long>").where("size(keys) > 0"), "rare")
+    own = ["n", "f1", "f2"]
+    with Scratch() as scratch:
+        made = scratch.written(signed(docs, n, t, sub, key, text), "signed")
+        rows = scratch.written(made.drop("sigs"), "rows")
+        live = made.where("n > 0 and id is not null")
+        classes = rows.where("n > 0 and id is not null").groupBy(*own).agg(F.min("id").alias("rep"))
+        both = rows.where("id is not null").groupBy("id").agg(F.min(F.struct(*own)).alias("x"), F.max(F.struct(*own)).alias("y")).where("x <> y").select("id")
+        several = scratch.written(both, "several")
+        repeats = not several.isEmpty()
+        if repeats:
+            marked = classes.join(several.select(F.col("id").alias("rep"), F.lit(True).alias("many")), "rep", "left")
+            classes = marked.select(*own, "rep", F.when(F.col("many"), F.xxhash64("rep", *own)).otherwise(F.col("rep")).alias("id"))
+        else:
+            classes = classes.withColumn("id", F.col("rep"))
+        classes = scratch.written(classes, "classes")
+        spare = rows.where("n > 0 and id is not null").select("id").distinct().join(classes.select(F.col("rep").alias("id")), "id", "left_anti")
+        single = live.select("id", "sigs").join(sized(scratch.written(spare, "spare")), "id", "left_anti")
+        if repeats:
+            docs = scratch.written(keyed(docs, several, classes, n, key, text), "keyed")
+            again = live.join(several, "id", "left_semi").select(F.col("id").alias("rep"), *own, "sigs").join(classes, ["rep", *own]).select("id", "sigs")
+            single = single.join(several, "id", "left_anti").unionByName(again)
+        single = single.select("id", F.explode("sigs").alias("key"))
+        shared = scratch.written(single.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "shared")
+        held = single.join(shared, "key").groupBy("id").agg(F.collect_set(F.struct("m", "key")).alias("x"))  # at most a set's own signatures
+        held = held.join(classes.select("id", "n"), "id")
+        rare = scratch.written(_kept(held, t, sub), "rare")
+        scratch.drop(made, shared)
+        roots = _linked(rare, docs, n, t, key, text, scratch)
+
+        named = classes.join(roots.select(F.col("node").alias("id"), "root"), "id", "left") if roots is not None else classes.withColumn("root", F.lit(None).cast("long"))
+        named = named.withColumn("root", F.coalesce("root", "id"))
+        if repeats:  # a root may be a class's key
+            named = scratch.written(named, "roots")
+            least = scratch.written(named.groupBy("root").agg(F.min("rep").alias("component")), "least")
+            named = named.join(least, "root")
+        else:
+            named = named.withColumn("component", F.col("root"))
+        named = scratch.written(named.select(*own, "component"), "named")
+        out = rows.join(named, own, "left")
+        return written(out.select("id", F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id")), "similar")
+
+
+def _linked(rare: DataFrame, docs: DataFrame, n: int, t: int, key: str, text: str, scratch: Scratch) -> DataFrame | None:
+    """(node, root) of all representatives that some similar pair joins; None if there is no pair. ``rare``: (id, n, keys)."""
     buckets = rare.select("id", F.explode("keys").alias("key"))
-    again = written(buckets.groupBy("key").count().where("count > 1").select("key"), "again")
-    buckets = written(buckets.join(sized(again), "key").distinct(), "buckets")
-    nodes = written(buckets.join(rare.select("id", "n"), "id").groupBy("id", "n").agg(F.count("*").alias("rank")), "nodes")
-    sets = written(sets_of(docs, nodes.select("id"), n, key, text).groupBy("id").agg(F.first("s").alias("s")), "sets")
-    roots = _linked(buckets, nodes, sets, t)
-
-    named = classes.join(roots.select(F.col("node").alias("id"), "root"), "id", "left") if roots is not None else classes.withColumn("root", F.lit(None).cast("long"))
-    named = named.withColumn("root", F.coalesce("root", "id"))
-    if repeats:  # a root may be a class's key
-        named = written(named, "roots")
-        least = written(named.groupBy("root").agg(F.min("rep").alias("component")), "least")
-        named = named.join(least, "root")
-    else:
-        named = named.withColumn("component", F.col("root"))
-    named = written(named.select("n", "f1", "f2", "component"), "named")
-    out = rows.join(named, ["n", "f1", "f2"], "left")
-    return out.select("id", F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"))
-
-
-def _linked(buckets: DataFrame, nodes: DataFrame, sets: DataFrame, t: int) -> DataFrame | None:
-    """(node, root) of all representatives that some similar pair joins; None if there is no pair."""
-    roots, first = None, True
-    while not buckets.isEmpty():
-        comp = nodes.join(roots, nodes["id"] == roots["node"], "left") if roots is not None else nodes.withColumn("root", F.lit(None).cast("long"))
-        comp = written(comp.select("id", "n", "rank", F.coalesce("root", "id").alias("comp")), "comp")
-        inside = buckets.join(sized(comp), "id")
-        lead = F.max(F.struct("rank", (-F.col("id")).alias("order")))["order"]
-        stats = inside.groupBy("key").agg(F.count("*").alias("members"), (-lead).alias("p"), F.min("comp").alias("low"), F.max("comp").alias("high"))
-        stats = written(stats.where("low < high").select("key", "members", "p"), "stats")
-        known = sized(stats)
-        label = F.col("p") if first else F.col("key")
-        large = written(buckets.join(known.where(F.col("members") > FEW), "key").select(label.alias("g"), "id").distinct(), "groups")
-        if first:  # a group whose lead is itself in groups of leads ranked higher joins the highest one's
-            ranks = nodes.select(F.col("id").alias("g"), "rank")
-            highest = large.join(large.select(F.col("g").alias("id")).distinct(), "id", "left_semi").join(ranks, "g")
-            highest = written(highest.groupBy("id").agg(F.max(F.struct("rank", (-F.col("g")).alias("o")))["o"].alias("o")).select(F.col("id").alias("g"), (-F.col("o")).alias("top")), "highest")
-            large = large.join(sized(highest), "g", "left").select(F.coalesce("top", "g").alias("g"), "id").distinct()
-        first = False
-        large = written(_centred(large, sets, t), "large")
-        middle = written(large.groupBy("g").agg(F.max(F.struct("room", (-F.col("id")).alias("order")))["order"].alias("order")), "middle")
-        star = large.join(sized(middle), "g").select((-F.col("order")).alias("p"), "id").where("p <> id")
-        small = written(inside.join(known.where(F.col("members") <= FEW), "key").select("key", "id", "n", "comp"), "small")
-        other = small.select("key", F.col("id").alias("p"), F.col("n").alias("n_p"), F.col("comp").alias("comp_p"))
-        listed = small.join(other, "key").where(f"p < id and comp <> comp_p and least(n, n_p) * 100 >= greatest(n, n_p) * {t}").select("p", "id")
-        pairs = written(star.unionByName(listed).distinct(), "pairs")
-        new = written(_verified(pairs, sets, t), "tests")
-        if not new.isEmpty():
-            roots = components(new if roots is None else new.unionByName(roots.select(F.col("root").alias("a"), F.col("node").alias("b"))))
-        seen = large.join(roots.select(F.col("node").alias("id"), "root"), "id", "left") if roots is not None else large.withColumn("root", F.lit(None).cast("long"))
-        seen = seen.withColumn("comp", F.coalesce("root", "id"))
-        open_ = written(seen.groupBy("g").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("g"), "open")
-        after = written(_ties(seen.join(sized(open_), "g", "left_semi"), middle, t), "buckets")
-        for done in (buckets, comp, stats, small, large, pairs):
-            remove(done)
-        buckets = after
-    return roots
+    again = scratch.written(buckets.groupBy("key").count().where("count > 1").select("key"), "again")
+    buckets = scratch.written(buckets.join(sized(again), "key").distinct(), "buckets")
+    nodes = scratch.written(buckets.join(rare.select("id", "n"), "id").groupBy("id", "n").agg(F.count("*").alias("rank")), "nodes")
+    sets = scratch.written(sets_of(docs, nodes.select("id"), n, key, text).groupBy("id").agg(F.first("s").alias("s")), "sets")
+    scratch.drop(rare, again)
+    alike = f"least(n, n_p) * 100 >= greatest(n, n_p) * {t}"
+    comp, roots, turn = nodes.withColumn("comp", F.col("id")), None, 0
+    while True:
+        with Scratch() as here:
+            inside = buckets.join(sized(comp), "id")
+            lead, low, high = F.max(F.struct("rank", (-F.col("id")).alias("o"), "n")), F.min("comp").alias("low"), F.max("comp").alias("high")
+            whole = [F.bit_xor(F.xxhash64("id", F.lit(i))).alias(f"x{i}") for i in (0, 1)]  # tells which members there are
+            stats = inside.groupBy("key").agg(F.count("*").alias("members"), lead.alias("lead"), low, high, *whole).where("low < high")
+            stats = stats.groupBy("members", "x0", "x1").agg(F.min("key").alias("key"), F.max("lead").alias("lead"))
+            stats = here.written(stats.select("key", "members", (-F.col("lead.o")).alias("p"), F.col("lead.n").alias("n_p")), "stats")
+            if stats.isEmpty():
+                return roots
+            inside = here.written(inside.join(sized(stats), "key"), "inside")
+            star = inside.where(f"p <> id and {alike}")
+            large = None
+            if turn > 0:
+                small = inside.where(F.col("members") <= FEW).select("key", "id", "n", "comp")
+                other = small.select("key", F.col("id").alias("p"), F.col("n").alias("n_p"), F.col("comp").alias("comp_p"))
+                listed = small.join(other, "key").where(f"p < id and comp <> comp_p and {alike}").select("p", "id")
+                star = star.where(F.col("members") > FEW).select("p", "id").unionByName(listed)
+                label = F.col("p") if turn <= 2 else F.col("key")
+                groups = here.written(inside.where(F.col("members") > FEW).select(label.alias("g"), "id").distinct(), "groups")
+                if not groups.isEmpty():
+                    if turn == 1:
+                        chained = components(groups.select(F.col("g").alias("a"), F.col("id").alias("b")), here)
+                        chained = groups.join(sized(chained).select(F.col("node").alias("id"), "root"), "id", "left")
+                        groups = here.written(chained.select(F.coalesce("root", "id").alias("g"), "id").distinct(), "groups")
+                    large = here.written(_spread(groups, sets, t, here), "large")
+                    middle = large.groupBy("g").agg(F.max(F.struct("room", (-F.col("id")).alias("o")))["o"].alias("o"), F.count("*").alias("b"))
+                    middle = here.written(middle.select("g", (-F.col("o")).alias("p"), "b"), "middle")
+                    star = star.unionByName(large.select("g", "id").join(sized(middle), "g").where("p <> id").select("p", "id"))
+            pairs = here.written(star.select("p", "id").distinct(), "pairs")
+            new = here.written(_verified(pairs, sets, t), "tests")
+            if not new.isEmpty():
+                links = new if roots is None else new.unionByName(roots.select(F.col("root").alias("a"), F.col("node").alias("b")))
+                joined = components(links, scratch)
+                after = nodes.join(joined.select(F.col("node").alias("id"), "root"), "id", "left")
+                after = scratch.written(after.select("id", "n", "rank", F.coalesce("root", "id").alias("comp")), "comp")
+                if roots is not None:
+                    scratch.drop(comp, roots)
+                roots, comp = joined, after
+            if turn == 0:
+                after = inside.select("key", "id")
+            elif large is None:
+                return roots
+            else:
+                after = _finer(large.join(sized(comp).select("id", "comp"), "id"), middle.select("g", "b"), t, here)
+            after = scratch.written(after, "buckets")
+            scratch.drop(buckets)
+            buckets, turn = after, turn + 1
 
 
 def deduplicated(docs: DataFrame, n: int = 5, t: int = 80, sub: int = 2) -> DataFrame:
@@ -340,7 +377,7 @@ def deduplicated(docs: DataFrame, n: int = 5, t: int = 80, sub: int = 2) -> Data
     Rows with a null id stay. An id that repeats is one document: it stays if one of its rows does, as one row for each
     different text.
     """
-    found = written(similar(docs, n, t, sub), "components")
+    found = similar(docs, n, t, sub)
     winners = found.where("id = component_id")
     lost = written(found.where("id <> component_id").select("id").join(winners.select("id"), "id", "left_anti").distinct(), "lost")
     repeats = written(winners.groupBy("id").count().where("count > 1").select("id"), "repeats")

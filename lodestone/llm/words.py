@@ -92,7 +92,12 @@ def shingle_set(data: bytes, n: int) -> np.ndarray:
     if not len(w):
         return w
     n_ = min(n, len(w))
-    h = np.full(len(w) - n_ + 1, n_, np.uint64)
+    m = len(w) - n_ + 1
+    h = np.full(m, n_, np.uint64)
     for i in range(n_):
-        h = mix(h * np.uint64(_BASE) + w[i : len(w) - n_ + 1 + i])
-    return np.unique(h)
+        h *= np.uint64(_BASE)
+        h += w[i : i + m]
+    h = np.sort(mix(h))
+    new = np.ones(m, bool)
+    np.not_equal(h[1:], h[:-1], out=new[1:])
+    return h[new]

@@ -57,9 +57,9 @@ def brute(rows, n, t):
     return {i: (len(sets[i]), find(i)) for i in sets}
 
 
-@pytest.mark.parametrize(("n", "t", "sub", "seed"), [(3, 90, 3, 1), (5, 80, 2, 2)])
-def test_against_brute_force(spark, monkeypatch, n, t, sub, seed):
-    monkeypatch.setattr(nj, "FEW", 8)  # so that pivots are used too
+@pytest.mark.parametrize(("n", "t", "sub", "seed", "few"), [(3, 90, 3, 1, 8), (5, 80, 2, 2, 3), (2, 60, 2, 3, 2)])
+def test_against_brute_force(spark, monkeypatch, n, t, sub, seed, few):
+    monkeypatch.setattr(nj, "FEW", few)  # so that buckets are cut finer too
     rows = corpus(seed)
     rng = random.Random(seed)
     rng.shuffle(rows)
