@@ -6,19 +6,23 @@ It is split into k + 1 pieces. A passage within k edits keeps at least one piece
 pieces at once by an Aho-Corasick automaton, miss nothing. Around each hit the item is aligned with Myers' bit-parallel
 algorithm over the window where it could lie, which gives the least edit distance and where it ends.
 
-The items are read in blocks of bounded size (``BLOCK`` characters in all), so what is sent to the tasks has a bound; every
-document is searched against every block. Documents do not move: no shuffle. Whole texts are searched.
-
-Null or empty texts hold nothing; null, empty and blank items match nothing; items that repeat are found by each id. Rows
-that repeat are searched each. A hit is the best one of its (document, item).
+The items are read in blocks of bounded size (``BLOCK`` characters in all), one at a time, so what the driver holds and sends
+to the tasks has a bound; every document is searched against every block. Documents do not move: no shuffle. Whole texts are
+searched.
+
+Null or empty texts hold nothing; null, empty and blank items and those with a null id match nothing; items that repeat are
+found by each id. Ids of documents and items may be of any type that Spark casts to text and back. Rows that repeat are
+searched each; a document with a null id is searched like any other. A hit is the best one of its (document, item). An empty
+table of documents or items gives no hits. Extra columns are not carried by ``matches``, and all are by ``clean``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import ahocorasick
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -77,8 +81,8 @@ def bits(item: str) -> dict[str, int]:
 class Matcher:
     """The pieces of a block of items and their automaton; built once in each worker."""
 
-    def __init__(self, items: list[tuple[int, str]], rate: float):
-        self.items: list[tuple[int, str, int, dict[str, int]]] = []
+    def __init__(self, items: list[tuple[str, str]], rate: float):
+        self.items: list[tuple[str, str, int, dict[str, int]]] = []
         pieces: dict[str, list[tuple[int, int]]] = {}
         for item_id, text in items:
             text = normal(text)
@@ -94,7 +98,7 @@ class Matcher:
         if pieces:
             self.automaton.make_automaton()
 
-    def hits(self, text: str) -> list[tuple[int, int, int]]:
+    def hits(self, text: str) -> list[tuple[str, int, int]]:
         """(item_id, distance, end in the normalised text) of the items found."""
         if not self.items:
             return []
@@ -123,44 +127,64 @@ class Matcher:
         return out
 
 
-def _blocks(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
-    """The items in blocks of at most BLOCK characters and one item more, read one at a time."""
-    sized = items.select("item_id", "text", F.length("text").cast("long").alias("n")).where("n > 0 and item_id is not null")
-    total = sized.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+def _blocks(items: DataFrame) -> Iterator[tuple[int, list[tuple[str, str]]]]:
+    """(number of blocks, the items of one as (id as text, text)): of at most BLOCK characters each, as a rule, and read one at a time."""
+    rows = items.select(F.col("item_id").cast("string").alias("id"), "text").where("length(text) > 0 and id is not null")
+    total = rows.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     count = -(-total // BLOCK)
     if count <= 1:
-        yield [(r["item_id"], r["text"]) for r in sized.select("item_id", "text").collect()]
+        yield 1, [(r["id"], r["text"]) for r in rows.collect()]  # at most BLOCK characters
         return
-    dealt = written(sized.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(2 * count))), "items")
+    dealt = written(rows.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(2 * count))), "items")
     for i in range(2 * count):
-        rows = [(r["item_id"], r["text"]) for r in dealt.where(F.col("block") == i).select("item_id", "text").toLocalIterator()]
-        yield rows
+        yield 2 * count, [(r["id"], r["text"]) for r in dealt.where(F.col("block") == i).select("id", "text").toLocalIterator()]
 
 
 def matches(docs: DataFrame, items: DataFrame, rate: float = RATE, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, item_id, distance, end): items found in documents; ``end`` is in the normalised text."""
+    """(key, item_id, distance, end): items found in documents; ``end`` is in the normalised text. One pass over the documents a block."""
     spark = docs.sparkSession
-    kind = docs.schema[key].dataType.simpleString()
+    kinds = docs.schema[key].dataType.simpleString(), items.schema["item_id"].dataType.simpleString()
     out = None
-    for block in _blocks(items):
+    for count, block in _blocks(items):
         sent = spark.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
             matcher = Matcher(sent.value, rate)
             for batch in batches:
                 found = [(d, *hit) for d, t in zip(batch["key"], batch["text"], strict=True) if isinstance(t, str) for hit in matcher.hits(t)]
-                yield pd.DataFrame(found, columns=[key, "item_id", "distance", "end"])
+                yield pd.DataFrame(found, columns=["key", "item", "distance", "end"])
 
         rows = docs.select(F.col(key).cast("string").alias("key"), F.col(text).alias("text")).where("text is not null")
-        part = rows.mapInPandas(run, f"`{key}` string, item_id long, distance int, end long").withColumn(key, F.col(key).cast(kind))
+        part = rows.mapInPandas(run, "key string, item string, distance int, end long")
+        if count > 1:  # a block leaves the driver before the next one comes
+            part = written(part, "matches")
+            sent.destroy()
         out = part if out is None else out.unionByName(part)
-    return out
+    return out.select(F.col("key").cast(kinds[0]).alias(key), F.col("item").cast(kinds[1]).alias("item_id"), "distance", "end")
+
+
+def _leaks(sent: Broadcast, rate: float) -> Callable:
+    """A column function: whether a text holds an item of the block."""
 
+    @F.pandas_udf("boolean")
+    def leaks(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        matcher = Matcher(sent.value, rate)
+        for texts in batches:
+            yield pd.Series([isinstance(t, str) and bool(matcher.hits(t)) for t in texts], dtype=bool)
 
-def clean(docs: DataFrame, items: DataFrame, rate: float = RATE) -> DataFrame:
-    """``docs`` without the rows whose text holds an item; all columns kept. Found ids are joined by shuffle or, if few, sent."""
-    found = written(matches(docs, items, rate).select("doc_id").distinct(), "leaks")
-    return docs.join(found, "doc_id", "left_anti")
+    return leaks
+
+
+def clean(docs: DataFrame, items: DataFrame, rate: float = RATE, text: str = "text") -> DataFrame:
+    """``docs`` without the rows whose own text holds an item, whatever their id; all columns kept, nothing shuffled."""
+    spark = docs.sparkSession
+    for count, block in _blocks(items):
+        sent = spark.sparkContext.broadcast(block)
+        docs = docs.where(~_leaks(sent, rate)(F.col(text)))
+        if count > 1:
+            docs = written(docs, "clean")
+            sent.destroy()
+    return docs
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

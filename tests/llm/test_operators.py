@@ -136,15 +136,33 @@ def test_edit_matching(spark):
                 want[d, i] = best
     assert {(r["doc_id"], r["item_id"]): r["distance"] for r in got} == want and len(want) > 20
     left = decontaminate.clean(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, "item_id long, text string"))
-    assert {r["doc_id"] for r in left.collect()} == {d for d, _, _ in docs if d is None or not any(x == d for x, _ in want)}
+    assert {r["doc_id"] for r in left.collect()} == {d for d, _, _ in docs if not any(x == d for x, _ in want)}  # the null id's text holds an item
+    none = spark.createDataFrame([], "item_id long, text string")
+    frame = spark.createDataFrame(docs, DOCS)
+    assert decontaminate.matches(frame, none).count() == 0 and decontaminate.clean(frame, none).count() == len(docs)
+    assert decontaminate.matches(frame.limit(0), none).count() == 0 and decontaminate.clean(frame.limit(0), spark.createDataFrame(items, "item_id long, text string")).count() == 0
+
+
+def test_decontamination_by_row(spark):
+    """Rows go by their own text: a clean row stays beside a leaking one of its id; ids may be text; long texts are searched whole."""
+    item = "the quick brown fox jumps over the lazy dog near the river"
+    rows = [(1, item, "s", 7), (1, "clean", "s", 8), (None, item.upper(), "s", 9), (2, "pad " * 300_000 + item.replace("quick", "quikc"), "s", 10), (2, "pad " * 300_000, "s", 11)]
+    docs = spark.createDataFrame(rows, DOCS + ", item_id int")
+    items = spark.createDataFrame([("a", item), ("a", item), (None, "clean")], "item_id string, text string")
+    assert sorted(r["item_id"] for r in decontaminate.clean(docs, items).collect()) == [8, 11]
+    assert decontaminate.clean(docs, items).columns == docs.columns
+    found = decontaminate.matches(docs, items).collect()
+    assert sorted((str(r["doc_id"]), r["item_id"], r["distance"]) for r in found) == [("1", "a", 0)] * 2 + [("2", "a", 2)] * 2 + [("None", "a", 0)] * 2
 
 
 def test_item_blocks(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "BLOCK", 60)
     items = [(i, f"item number {i} is about {'abcdefgh'[i]}") for i in range(8)]
     docs = spark.createDataFrame([(i, f"x {t} y", "s") for i, t in items], DOCS)
-    got = decontaminate.matches(docs, spark.createDataFrame(items, "item_id long, text string"), rate=0.0).where("distance = 0")
+    table = spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.matches(docs, table, rate=0.0).where("distance = 0")
     assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == {(i, i) for i in range(8)}
+    assert decontaminate.clean(docs.unionByName(spark.createDataFrame([(9, "none of them", "s")], DOCS)), table).count() == 1
 
 
 # --- 4: classifier
@@ -230,6 +248,17 @@ def der(*parts):
 
 
 KEY = der(b"\x02\x01\x00", der(b"\x06\x03\x2a\x86\x48"), b"\x04\x20" + bytes(range(32)))
+OID = der(b"\x06\x03\x2a\x86\x48")
+PUBLIC = der(OID, b"\x03\x82\x01\x00" + b"\x00" * 256)
+LOCKED = der(OID, b"\x04\x40" + bytes(range(64)))
+DSA = der(*[b"\x02\x10" + bytes(range(1, 17))] * 6)
+
+
+def ssh(*fields):
+    return b"".join(len(f).to_bytes(4, "big") + f for f in fields)
+
+
+OPENSSH = b"openssh-key-v1\0" + ssh(b"none", b"none", b"") + b"\0\0\0\1" + ssh(b"p" * 51, b"q" * 136)
 
 
 def b64url(x):
@@ -258,6 +287,32 @@ def test_secrets(spark):
         assert [got[i][f"n_{n}"] for n in patterns] == [sum(s[1] == k for s in spans) for k in range(3)]
 
 
+def test_key_shapes(spark):
+    """What is confirmed and where: kinds and spans of each text against the place where the key was put."""
+    b64, url = lambda x: base64.b64encode(x).decode(), lambda x: base64.urlsafe_b64encode(x).decode()
+    wrap = lambda x, n, br: br.join(x[i : i + n] for i in range(0, len(x), n))
+    block = lambda label, body: f"-----BEGIN {label}-----\n{body}\n-----END {label}-----"
+    odd = der(b"\x02\x01\x00", OID, b"\x04\x22" + b"\xfb\xff" * 17)
+    spaced = base64.urlsafe_b64encode(b'{ "alg": "ES256"}').rstrip(b"=").decode() + "." + b64url({"a": 1}) + ".c2ln"
+    rsa = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00\n\n" + wrap(b64(bytes(range(240))), 64, "\n")
+    cases = [
+        ("", block("PUBLIC KEY", b64(PUBLIC)), "", None), ("x ", b64(PUBLIC), " y", None), ("", b64(LOCKED), "", "der"), ("a ", block("ENCRYPTED PRIVATE KEY", b64(LOCKED)), " b", "pem"),
+        ("", b64(DSA), "", "der"), ("", b64(OPENSSH), "", "der"), ("", b64(b"openssh-key-v1\0" + ssh(b"", b"", b"") + b"junk" * 9), "", None), ("", b64(OPENSSH + b"junk"), "", "der"),
+        ("see ", url(odd), " end", "der"), ("k:\n", wrap(b64(DSA), 64, "\n"), "\nend", "der"), ('{"k":"', wrap(b64(DSA), 64, "\\n"), '"}', "der"), ("path/to/keys/", b64(KEY), "", "der"),
+        ("", block("RSA PRIVATE KEY", rsa), "", "pem"), ('"', block("DSA PRIVATE KEY", wrap(b64(DSA), 64, "\n")).replace("\n", "\\n"), '"', "pem"), ("", "-----BEGIN RSA PRIVATE KEY-----\nMIIE no end", "", None),
+        ("t ", spaced, " u", "jwt"), ("", "examples.of.words exam.ple.com " * 50, "", None), ("M" * 5000, b64(KEY), "", "der"),
+    ]
+    rows = [(i, a + b + c, "s") for i, (a, b, c, _) in enumerate(cases)]
+    docs = spark.createDataFrame(rows + rows[:1] + [(None, "password=12345678", "s")], DOCS).withColumn("key", F.lit(1)).withColumn("spans", F.lit("x"))
+    out = secret_scan.scan(docs)
+    got = {r["doc_id"]: [x for x in r["spans"].split(",") if x and x.split(":")[0] not in secret_scan.BASE] for r in out.collect()}
+    for i, (a, b, _, kind) in enumerate(cases):
+        end = len(a) + len(b) if i != 7 else len(b64(OPENSSH).rstrip("="))
+        assert got[i] == ([f"{kind}:{len(a)}:{end}"] if kind else []), (i, got[i])
+    assert out.count() == len(rows) + 2 and out.where("doc_id is null").first()["n_assign"] == 1
+    assert secret_scan.scan(docs.limit(0)).count() == 0
+
+
 # --- 8: mixture
 
 
