@@ -44,16 +44,22 @@ class _RateLimit(StatefulProcessor):
             if ok:
                 held.append(int(us))
             out.append((key[0], us, i, ok))
-        self.held.put([(h,) for h in held])
-        if held:
-            self.handle.registerTimer((max(held) + self.window) // 1000 + 1)
+        self._hold(held)
         yield pd.DataFrame(out, columns=["key", "us", "id", "admitted"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = expiredTimerInfo.getExpiryTimeInMs() * 1000
-        self.held.put([(r[0],) for r in list(self.held.get()) if r[0] > now - self.window])
+        self._hold([r[0] for r in self.held.get() if r[0] > now - self.window])
         yield from ()
 
+    def _hold(self, times: list[int]) -> None:
+        """Keep these times, and a timer for when the last of them leaves the window; a list state can't be empty."""
+        if times:
+            self.held.put([(t,) for t in times])
+            self.handle.registerTimer((max(times) + self.window) // 1000 + 1)
+        else:
+            self.held.clear()
+
     def close(self) -> None:
         pass
 
