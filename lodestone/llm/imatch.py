@@ -1,17 +1,21 @@
 """I-Match document fingerprints with several randomised lexicons.
 
-The lexicon is the set of terms within a band of inverse document frequency, counted over all documents: in at most
-``TOP_SHARE`` of them, and in at least as many as keep the lexicon within ``LEXICON`` terms. That lower bound is the
-number of distinct (document, term) pairs divided by LEXICON, and 2 at least: no more than LEXICON terms can reach it, so
-the lexicon sent to the tasks has a proven size (8 bytes a term) at any size of the corpus.
+The lexicon is the set of terms within a band of inverse document frequency, counted over all documents: held by at most
+``TOP_SHARE`` of them and by at least ``LOW_SHARE`` (two documents at least). A text has so many different terms on average
+that no more than that number divided by LOW_SHARE terms can be in the band; where this bound is above ``LEXICON``, the lower
+share rises until it is not. So the lexicon sent to the tasks has a proven size (8 bytes a term) at any size of the corpus.
 
 A fingerprint has ``len(RATES)`` parts. Part i keeps those distinct lexicon terms of the text that fall into the i-th
 random subset of the lexicon, sorted, and hashes them; subsets of different rates suit texts of different lengths. Two
 fingerprints are alike by the share of equal parts among those that are not empty in both, at the rates that suit both
 texts: those at which at least a quarter of the parts are empty, so that a part holds one or two terms and survives an
-edit elsewhere. Equal texts have equal fingerprints. A text with fewer than ``FEWEST`` lexicon terms uses all its terms; one without terms has the empty parts.
+edit elsewhere. Equal texts have equal fingerprints. A text without lexicon terms has only empty parts, like an empty text; its
+fingerprint tells nothing and equals those of other such texts.
 
-Terms are words split at ASCII white space, ASCII letters in lower case. Null text counts as empty; null ids come last.
+Terms are words split at ASCII white space, ASCII letters in lower case, of any length. Null text counts as empty. The next
+document of a row is by descending id, null ids last; rows of one id follow each other by text, equal rows in any order, and each
+gives a row. The last one is followed by the first; a table of one row follows itself; an empty one gives no rows. Extra
+columns are not read.
 """
 
 from __future__ import annotations
@@ -30,8 +34,9 @@ from lodestone.llm.words import mix, word_hashes
 from lodestone.sources import table
 
 LEXICON = 1 << 21
-TOP_SHARE = 0.05
-FEWEST = 4
+TOP_SHARE, LOW_SHARE = 0.05, 1 / 5000
+#: Bytes of text in a range of documents, on average at most.
+RANGE_BYTES = 64 << 20
 #: The share of the lexicon in each part's subset.
 LEVELS, EACH = tuple(2.0**-k for k in range(4, 12)), 8
 RATES = tuple(r for r in LEVELS for _ in range(EACH))
@@ -57,12 +62,12 @@ def document_frequencies(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select(F.col(text).alias("text")).mapInPandas(run, "term long, df long").groupBy("term").agg(F.sum("df").alias("df"))
 
 
-def lexicon(docs: DataFrame, text: str = "text", size: int = LEXICON, top_share: float = TOP_SHARE) -> np.ndarray:
+def lexicon(docs: DataFrame, text: str = "text", size: int = LEXICON, top_share: float = TOP_SHARE, low_share: float = LOW_SHARE) -> np.ndarray:
     """The sorted hashes of the terms in the band: at most ``size``."""
     counts = written(document_frequencies(docs, text), "document_frequencies")
     pairs = counts.agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0]
     rows = docs.count()
-    low, high = max(2, -(-pairs // size)), rows * top_share
+    low, high = max(2, rows * low_share, -(-pairs // size)), rows * top_share
     kept = counts.where((F.col("df") >= low) & (F.col("df") <= high)).select("term")
     found = kept.toArrow()["term"].to_numpy().view(np.uint64)
     return np.sort(found)
@@ -76,8 +81,6 @@ def parts(found: np.ndarray, lex: np.ndarray) -> list[str]:
         kept = found[lex[at] == found]
     else:
         kept = found[:0]
-    if len(kept) < FEWEST:
-        kept = found
     if not len(kept):
         return [EMPTY] * len(RATES)
     inside = mix(kept[None, :] ^ _SEEDS[:, None]) < _LIMITS[:, None]
@@ -108,14 +111,15 @@ def fingerprints(docs: DataFrame, lex: np.ndarray, key: str = "doc_id", text: st
     return rows.mapInPandas(run, f"`{key}` string, fingerprint string").withColumn(key, F.col(key).cast(docs.schema[key].dataType))
 
 
-def neighbours(docs: DataFrame) -> DataFrame:
-    """(part, doc_id, text, guest): documents dealt to ranges of descending doc_id, each range followed by the next one's first.
+def neighbours(docs: DataFrame) -> tuple[DataFrame, int]:
+    """(part, id, doc_id, text, guest), and the number of parts: documents dealt to ranges of descending doc_id, each range followed by the next one's first.
 
     A range's last document so stands beside its successor; the last range is followed by the very first document. Only
     the ids are read to set the bounds; the text moves once.
     """
     spark = docs.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    total = docs.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // RANGE_BYTES))
     ids = docs.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"))
     bounds = ids.agg(F.percentile_approx("id", [i / n for i in range(1, n)], 10000)).first()[0] or [] if n > 1 else []
     bounds = sorted(set(bounds), reverse=True)
@@ -125,7 +129,7 @@ def neighbours(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"), "doc_id", "text").withColumn("part", part.cast("int"))
     lead = spark.createDataFrame([(k, v) for k, v in before.items()], "id long, guest_of int")
     guests = rows.join(F.broadcast(lead), "id").select("id", "doc_id", "text", F.col("guest_of").alias("part"), F.lit(True).alias("guest"))  # lead: a row for each range
-    return rows.withColumn("guest", F.lit(False)).unionByName(guests)
+    return rows.withColumn("guest", F.lit(False)).unionByName(guests), n
 
 
 def op9_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -149,8 +153,7 @@ def op9_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
                 held = None if guest else (part, doc_id, text, own)
             yield pd.DataFrame(out, columns=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
 
-    rows = neighbours(docs)
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows, n = neighbours(docs)
     dealt = rows.repartitionById(n, F.col("part")).sortWithinPartitions("part", "guest", F.col("id").desc(), "text")
     out = dealt.select("part", F.col("doc_id").cast("string").alias("doc_id"), "text", "guest").mapInPandas(
         run, "doc_id string, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"

@@ -3,8 +3,7 @@
 Units. Every line and every paragraph (lines up to a blank one) of the whole text is compared with every template.
 
 Weights. A word (a run of a-z and 0-9 after lower-casing) weighs tf * (1 + ln((1 + N) / (1 + df))), with N the number of
-documents and df those that hold it, counted over all documents: with ``every_word`` for all words, as TF-IDF has it; without
-it, as the SQL twin has it, for the templates' vocabulary, and a word outside it weighs as one that no document holds. Only units that could reach the threshold are scored: with a template's words ordered by weight,
+documents and df those that hold it, counted over all documents and all words. Only units that could reach the threshold are scored: with a template's words ordered by weight,
 those left after the shortest beginning whose rest has a norm under ``LIMIT`` times the template's cannot reach it alone, so
 a unit without a word of some beginning is passed over, and no match is lost.
 
@@ -13,7 +12,9 @@ the nearest directory above it ('inherited'), found by joining the directories w
 Ties go to the greater cosine, then the smaller name; of several licence files in one directory the same.
 
 The templates are a fixed short table, so their vocabulary is small and sent to all tasks. Null and empty texts have no
-header. Rows with a null path inherit nothing. Repeated rows are judged each.
+header. Rows with a null path inherit nothing. Repeated rows are judged each, by their own text, whatever their key; a null
+key is a key like others. Texts of any length are compared whole. An empty table gives no rows. Extra columns stay in ``inherit``;
+those called license, cosine or how give way to its own.
 """
 
 from __future__ import annotations
@@ -78,11 +79,10 @@ def _all_weights(docs: DataFrame, text: str, n: int) -> DataFrame:
     return written(df.select("word", (1 + F.log((1.0 + n) / (1 + F.col("df")))).alias("idf")), "idf")
 
 
-def headers(docs: DataFrame, key: str = "doc_id", text: str = "text", templates=TEMPLATES, limit: float = LIMIT, every_word: bool = False) -> DataFrame:
-    """(key, license, cosine): the best licence of each row that has one; ``key`` should tell rows apart."""
+def headers(docs: DataFrame, key: str = "doc_id", text: str = "text", templates=TEMPLATES, limit: float = LIMIT) -> DataFrame:
+    """(key, text_hash, license, cosine): the best licence of each pair of key and text (by ``text_hash``) that has one."""
     spark = docs.sparkSession
     idf, n = _weights(docs, text, templates)
-    unknown = 1 + math.log(1 + n)  # the weight of a word that no document holds
     rows, telling = [], set()
     for i, (_, template) in enumerate(templates):
         tf = sorted(((c * idf[w], w) for w, c in _terms(template).items()), reverse=True)
@@ -94,45 +94,54 @@ def headers(docs: DataFrame, key: str = "doc_id", text: str = "text", templates=
                 break
     vectors = spark.createDataFrame(rows, "template int, word string, x double")
     names = spark.createDataFrame([(i, name) for i, (name, _) in enumerate(templates)], "template int, license string")
-    weight = spark.createDataFrame(sorted(idf.items()), "word string, idf double")
 
     lines = F.split(F.col(text), "\n")
     units = F.filter(F.array_distinct(F.concat(lines, F.split(F.col(text), "\n[ \t\r]*\n"))), lambda u: F.arrays_overlap(words(u), F.lit(sorted(telling))))
     likely = docs.where(F.arrays_overlap(words(F.col(text)), F.lit(sorted(telling))))
-    found = likely.select(F.col(key).alias("key"), F.posexplode(units).alias("unit", "body"))
-    counted = found.select("key", "unit", F.explode(words(F.col("body"))).alias("word")).groupBy("key", "unit", "word").agg(F.count("*").alias("tf"))
-    if every_word:
-        weight = _all_weights(docs, text, n)
-    else:
-        weight = F.broadcast(weight)  # the words of a fixed table
-    weighed = counted.join(weight, "word", "left").withColumn("x1", F.col("tf") * F.coalesce("idf", F.lit(unknown)))
+    # Rows of one key and one text share their units, which multiplies all counts of a unit alike and leaves its cosine.
+    found = likely.select(F.col(key).alias("key"), text_hash(F.col(text)).alias("text_hash"), F.posexplode(units).alias("unit", "body"))
+    unit = ["key", "text_hash", "unit"]
+    counted = found.select(*unit, F.explode(words(F.col("body"))).alias("word")).groupBy(*unit, "word").agg(F.count("*").alias("tf"))
+    weighed = counted.join(_all_weights(docs, text, n), "word").withColumn("x1", F.col("tf") * F.col("idf"))
     norms = weighed.join(F.broadcast(vectors), "word", "left")  # vectors: the words of a fixed table
-    dots = norms.groupBy("key", "unit", "template").agg(F.sum(F.col("x1") * F.col("x")).alias("dot"))
-    sizes = weighed.groupBy("key", "unit").agg(F.sqrt(F.sum(F.col("x1") * F.col("x1"))).alias("norm"))
-    scored = dots.where("template is not null").join(sizes, ["key", "unit"]).join(F.broadcast(names), "template")
+    dots = norms.groupBy(*unit, "template").agg(F.sum(F.col("x1") * F.col("x")).alias("dot"))
+    sizes = weighed.groupBy(*unit).agg(F.sqrt(F.sum(F.col("x1") * F.col("x1"))).alias("norm"))
+    same = [F.col(f"d.{c}").eqNullSafe(F.col(f"s.{c}")) for c in unit]
+    scored = dots.where("template is not null").alias("d").join(sizes.alias("s"), same).select("d.*", "s.norm").join(F.broadcast(names), "template")
     cosine = F.least(F.round(F.col("dot") / F.col("norm"), 6), F.lit(1.0))
-    best = scored.select("key", "license", cosine.alias("cosine")).where(F.col("cosine") >= limit)
-    return best.groupBy("key").agg(F.min(F.struct(-F.col("cosine"), "license")).alias("b")).select(F.col("key").alias(key), F.col("b.license"), (-F.col("b.col1")).alias("cosine"))
+    best = scored.select("key", "text_hash", "license", cosine.alias("cosine")).where(F.col("cosine") >= limit)
+    best = best.groupBy("key", "text_hash").agg(F.min(F.struct(-F.col("cosine"), "license")).alias("b"))
+    return best.select(F.col("key").alias(key), "text_hash", F.col("b.license"), (-F.col("b.col1")).alias("cosine"))
+
+
+def text_hash(text: Column) -> Column:
+    """What tells the texts of one key apart."""
+    return F.xxhash64(text)
+
+
+def licensed(docs: DataFrame, found: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with the licence and cosine of ``found`` (from ``headers``), null where there is none."""
+    mine, theirs = docs.drop("license", "cosine"), found.select(F.col(key).alias("_key"), F.col("text_hash").alias("_hash"), "license", "cosine")
+    return mine.join(theirs, mine[key].eqNullSafe(theirs["_key"]) & (text_hash(mine[text]) == theirs["_hash"]), "left").drop("_key", "_hash")
 
 
 def inherit(files: DataFrame) -> DataFrame:
     """(file rows, license, cosine, how) from rows with (path, license, cosine); null licences look to directories above."""
-    folder = F.regexp_replace("path", "/?[^/]*$", "")
-    rows = files.withColumn("dir", folder).withColumn("is_license_file", F.coalesce(F.col("path").rlike(LICENSE_FILE), F.lit(False)))
-    granted = rows.where("is_license_file and license is not null").groupBy("dir").agg(F.min(F.struct(-F.col("cosine"), "license")).alias("b"))
+    own = F.struct(*[F.col(c) for c in files.columns if c not in ("license", "cosine", "how")])
+    rows = files.select(
+        own.alias("row"), "license", "cosine", F.regexp_replace("path", "/?[^/]*$", "").alias("dir"), F.coalesce(F.col("path").rlike(LICENSE_FILE), F.lit(False)).alias("is_file")
+    )
+    granted = rows.where("is_file and license is not null").groupBy("dir").agg(F.min(F.struct(-F.col("cosine"), "license")).alias("b"))
     granted = written(granted.select(F.col("dir").alias("above"), F.col("b.license").alias("given"), (-F.col("b.col1")).alias("given_cosine")), "granted")
     dirs = rows.where("dir is not null").select("dir").distinct()
     parts = F.split("dir", "/")
     chain = F.concat(F.array(F.lit("")), F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/")))
     up = dirs.select("dir", F.posexplode(F.array_distinct(chain)).alias("depth", "above")).join(granted, "above")
     nearest = up.groupBy("dir").agg(F.max(F.struct("depth", "given", "given_cosine")).alias("n")).select("dir", "n.given", "n.given_cosine")
-    nearest = written(nearest, "nearest")
-    how = F.when(F.col("license").isNotNull(), F.when(F.col("is_license_file"), "file").otherwise("header")).when(F.col("given").isNotNull(), "inherited")
-    out = rows.join(nearest, "dir", "left").withColumn("how", how)
-    own = F.col("license").isNotNull()
-    return out.withColumn("cosine", F.when(own, F.col("cosine")).otherwise(F.col("given_cosine"))).withColumn(
-        "license", F.coalesce("license", "given")
-    ).drop("dir", "given", "given_cosine", "is_license_file")
+    out = rows.join(written(nearest, "nearest"), "dir", "left")
+    mine = F.col("license").isNotNull()
+    how = F.when(mine, F.when(F.col("is_file"), "file").otherwise("header")).when(F.col("given").isNotNull(), "inherited")
+    return out.select("row.*", F.coalesce("license", "given").alias("license"), F.when(mine, F.col("cosine")).otherwise(F.col("given_cosine")).alias("cosine"), how.alias("how"))
 
 
 def document_path() -> Column:
@@ -149,7 +158,7 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with their licence, its cosine, and how it was found."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     own = written(headers(docs), "headers")
-    files = docs.select("doc_id", document_path().alias("path")).join(own, "doc_id", "left")
+    files = licensed(docs.withColumn("path", document_path()), own).select("doc_id", "path", "license", "cosine")
     return inherit(files).select("doc_id", "path", "license", "cosine", "how")
 
 
@@ -158,16 +167,15 @@ def _sql() -> str:
     return f"""
 WITH t(template, license, body) AS (VALUES {values}),
 tw AS (SELECT template, word, count(*) AS tf FROM (SELECT template, unnest(regexp_extract_all(lower(body), '[a-z0-9]+')) AS word FROM t) GROUP BY ALL),
-df AS (SELECT word, count(*) AS df FROM (SELECT unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))) AS word FROM documents)
-  WHERE word IN (SELECT word FROM tw) GROUP BY word),
+df AS (SELECT word, count(*) AS df FROM (SELECT unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))) AS word FROM documents) GROUP BY word),
 n AS (SELECT count(*) AS n FROM documents),
-idf AS (SELECT word, 1 + ln((1 + n) / (1 + coalesce(df, 0))) AS idf FROM (SELECT DISTINCT word FROM tw) LEFT JOIN df USING (word), n),
+idf AS (SELECT word, 1 + ln((1 + n) / (1 + coalesce(df, 0))) AS idf FROM (SELECT word FROM tw UNION SELECT word FROM df) LEFT JOIN df USING (word), n),
 tx AS (SELECT template, word, tf * idf AS x FROM tw JOIN idf USING (word)),
 tv AS (SELECT template, word, x / sqrt(sum(x * x) OVER (PARTITION BY template)) AS x FROM tx),
 units AS (SELECT doc_id, unnest(list_distinct(list_concat(string_split(text, chr(10)), regexp_split_to_array(text, '\\n[ \\t\\r]*\\n')))) AS body FROM documents),
 numbered AS (SELECT doc_id, row_number() OVER () AS unit, body FROM units),
 uw AS (SELECT doc_id, unit, word, count(*) AS tf FROM (SELECT doc_id, unit, unnest(regexp_extract_all(lower(body), '[a-z0-9]+')) AS word FROM numbered) GROUP BY ALL),
-ux AS (SELECT doc_id, unit, word, tf * coalesce(idf, 1 + ln(1 + n)) AS x FROM uw LEFT JOIN idf USING (word), n),
+ux AS (SELECT doc_id, unit, word, tf * idf AS x FROM uw JOIN idf USING (word)),
 norm AS (SELECT unit, sqrt(sum(x * x)) AS norm FROM ux GROUP BY unit),
 cosine AS (SELECT doc_id, template, least(round(sum(ux.x * tv.x) / any_value(norm), 6), 1.0) AS cosine FROM ux JOIN tv USING (word) JOIN norm USING (unit) GROUP BY doc_id, unit, template),
 own AS (SELECT doc_id, min(struct_pack(c := -cosine, l := license)) AS b FROM cosine JOIN t USING (template) WHERE cosine >= {LIMIT} GROUP BY doc_id),

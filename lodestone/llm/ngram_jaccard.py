@@ -17,9 +17,8 @@ a set with enough of these has no partner and drops out, and crowded signatures
 
 Joining. Buckets with the same members count once. First each member is tested against its bucket's most connected one;
 that joins most copies. Where a bucket still holds several components, all pairs across them are listed if it has at most
-``FEW`` members. Larger ones are cut finer, in rounds: in the first those that chain by members are one group, in the second
-those with the same most connected member, then each is one. A group has a centre c: the elements that most of a few of its
-members hold (any set would do). D(x) is the symmetric difference of x
+``FEW`` members. Larger ones are cut finer, in rounds: in the first those with the same most connected member are one group
+(joined to another whose most connected member is higher and shares it), then each is one. A group has a centre c: the elements that most of a few of its members hold (any set would do). D(x) is the symmetric difference of x
 and c, and x has room (100 - t) |x| - (100 + t) |D(x)|. Two members are similar exactly if D(x) and D(y) have so much in
 common as their rooms leave missing, -(room(x) + room(y)) / (2 (100 + t)) elements. All members are tested against the one
 with most room. Other similar pairs in different components share one of the first |D| - need + 1 elements of each, the rarest
@@ -339,13 +338,11 @@ def _linked(rare: DataFrame, docs: DataFrame, n: int, t: int, key: str, text: st
                 other = small.select("key", F.col("id").alias("p"), F.col("n").alias("n_p"), F.col("comp").alias("comp_p"))
                 listed = small.join(other, "key").where(f"p < id and comp <> comp_p and {alike}").select("p", "id")
                 star = star.where(F.col("members") > FEW).select("p", "id").unionByName(listed)
-                label = F.col("p") if turn <= 2 else F.col("key")
+                label = F.col("p") if turn == 1 else F.col("key")
                 groups = here.written(inside.where(F.col("members") > FEW).select(label.alias("g"), "id").distinct(), "groups")
                 if not groups.isEmpty():
                     if turn == 1:
-                        chained = components(groups.select(F.col("g").alias("a"), F.col("id").alias("b")), here)
-                        chained = groups.join(sized(chained).select(F.col("node").alias("id"), "root"), "id", "left")
-                        groups = here.written(chained.select(F.coalesce("root", "id").alias("g"), "id").distinct(), "groups")
+                        groups = _merged(groups, nodes, here)
                     large = here.written(_spread(groups, sets, t, here), "large")
                     middle = large.groupBy("g").agg(F.max(F.struct("room", (-F.col("id")).alias("o")))["o"].alias("o"), F.count("*").alias("b"))
                     middle = here.written(middle.select("g", (-F.col("o")).alias("p"), "b"), "middle")
@@ -371,6 +368,15 @@ def _linked(rare: DataFrame, docs: DataFrame, n: int, t: int, key: str, text: st
             buckets, turn = after, turn + 1
 
 
+def _merged(groups: DataFrame, nodes: DataFrame, scratch: Scratch) -> DataFrame:
+    """(g, id) in which a group whose lead is itself in groups of leads ranked higher joins the highest one's."""
+    ranks = nodes.select(F.col("id").alias("g"), "rank")
+    leads = groups.join(groups.select(F.col("g").alias("id")).distinct(), "id", "left_semi").join(ranks, "g")
+    highest = leads.groupBy("id").agg(F.max(F.struct("rank", (-F.col("g")).alias("o")))["o"].alias("o"))
+    highest = scratch.written(highest.select(F.col("id").alias("g"), (-F.col("o")).alias("top")), "highest")
+    return scratch.written(groups.join(sized(highest), "g", "left").select(F.coalesce("top", "g").alias("g"), "id").distinct(), "merged")
+
+
 def deduplicated(docs: DataFrame, n: int = 5, t: int = 80, sub: int = 2) -> DataFrame:
     """``docs`` with one document of each component, that of the smallest doc_id; all columns kept.
 

@@ -5,9 +5,12 @@ prior: suffix from all pages, registered domain from suffix, host from registere
 posterior mean; its strength comes from the spread of the children's rates (moments). A host is blocked if the lower bound
 of its posterior bad rate, ``mean - z * sd``, is above ``limit``.
 
-Suffix: the last label of the host; registered domain: the last two. A null URL or one without ``://`` has an empty host
-and path. Hosts without labelled pages get their domain's posterior. Null ids and repeated rows are judged row by row;
-several outcomes of one page count once, as the worst. Extra columns are not carried.
+The hierarchy ignores a user name, a port and a final dot. Suffix: the last label, or the last two if they are one of
+``SECOND_LEVEL``; registered domain: the suffix and one label more; a numeric address is its own domain below the suffix
+``ADDRESS``. A null URL or one without ``://`` has an empty host and path. Hosts without labelled pages get their domain's
+posterior; without any outcomes the posterior is one half with the strongest prior. Null ids and repeated rows are judged row
+by row; several outcomes of one page count once, as the worst; outcomes of unknown pages and null ones count for nothing. An
+empty table gives no rows. Extra columns are not carried.
 """
 
 from __future__ import annotations
@@ -21,6 +24,9 @@ from lodestone.sources import table
 #: (verdict, host, path): a rule fits the host and its subdomains if the URL's path starts with the rule's path.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 LIMIT, Z = 0.15, 1.645
+#: Common public suffixes of two labels. A caller with the whole public list passes it.
+SECOND_LEVEL = ("ac.uk", "co.in", "co.jp", "co.kr", "co.nz", "co.uk", "co.za", "com.au", "com.br", "com.cn", "com.mx", "com.tr", "gov.uk", "net.au", "ne.jp", "or.jp", "org.au", "org.uk")
+ADDRESS = "(address)"
 
 
 def host_of(url: Column) -> Column:
@@ -43,43 +49,52 @@ def rule_of(host: Column, path: Column, rules=RULES) -> Column:
     return out
 
 
-def _prior_strength(children: DataFrame) -> DataFrame:
-    """One row: the beta prior's strength by moments of the children's rates (columns n, b), kept within 1 to 10,000."""
-    total = children.agg(F.sum("n").alias("all_n"), F.sum("b").alias("all_b"), F.sum(F.col("n") * F.col("n")).alias("sum_n2"), F.count("*").alias("k"))
-    p = F.col("all_b") / F.greatest(F.col("all_n"), F.lit(1))
-    off = F.when(F.col("n") > 0, F.col("n") * F.pow(F.col("b") / F.col("n") - p, 2)).otherwise(0.0)
-    spread = children.crossJoin(F.broadcast(total)).groupBy("all_n", "all_b", "sum_n2", "k").agg(F.sum(off).alias("off"))  # total is one row
-    between = (F.col("off") - (F.col("k") - 1) * p * (1 - p)) / F.greatest(F.col("all_n") - F.col("sum_n2") / F.greatest(F.col("all_n"), F.lit(1)), F.lit(1.0))
-    strength = F.when((between > 0) & (p > 0) & (p < 1), p * (1 - p) / between - 1).otherwise(F.lit(10000.0))
-    return spread.select(F.round(F.least(F.greatest(strength, F.lit(1.0)), F.lit(10000.0)), 3).alias("strength"))
+def hierarchy(host: Column, second_level=SECOND_LEVEL) -> tuple[Column, Column]:
+    """(registered domain, suffix) of a host."""
+    name = F.regexp_replace(F.regexp_replace(host, "^.*@", ""), "\\.?(:[0-9]*)?$", "")
+    address = name.rlike("^([0-9]+(\\.[0-9]+){3}|\\[.*)$")
+    two = F.substring_index(name, ".", -2)
+    double = two.isin(*second_level)
+    domain = F.when(address, name).when(double, F.substring_index(name, ".", -3)).otherwise(two)
+    return domain, F.when(address, ADDRESS).when(double, two).otherwise(F.substring_index(name, ".", -1))
+
+
+def _prior_strength(children: DataFrame) -> float:
+    """The beta prior's strength by moments of the children's rates (columns n, b), kept within 1 to 10,000."""
+    off = F.when(F.col("n") > 0, F.col("b") * F.col("b") / F.col("n"))  # the sum of n (b/n - p)^2 is that of b^2/n less p^2 n
+    total = children.agg(F.sum("n"), F.sum("b"), F.sum(F.col("n") * F.col("n")), F.count("*"), F.sum(off)).first()
+    n, b, squares, k, parts = (float(x or 0) for x in total)
+    p = b / max(n, 1.0)
+    between = (parts - p * p * n - (k - 1) * p * (1 - p)) / max(n - squares / max(n, 1.0), 1.0)
+    strength = p * (1 - p) / between - 1 if between > 1e-12 and 0 < p < 1 else 10000.0
+    return round(min(max(strength, 1.0), 10000.0), 3)
 
 
 def reputation(pages: DataFrame, outcomes: DataFrame) -> DataFrame:
     """(host, n, b, mean, sd) of each host: labelled pages, bad ones, and the posterior of its bad rate.
 
-    ``outcomes``: (page_id, bad). The posterior never reads the pages again: all levels come from the per-host counts.
+    ``outcomes``: (page_id, bad). The posterior never reads the pages again: all levels come from the written per-host counts, and
+    only the strengths of the three priors and the overall rate pass through the driver.
     """
     known = outcomes.where("page_id is not null and bad is not null").groupBy("page_id").agg(F.max("bad").alias("bad"))
     counts = (
         pages.select("page_id", host_of(F.col("url")).alias("host")).join(known, "page_id", "left")
         .groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).cast("long").alias("b"))
     )
-    hosts = written(
-        counts.select("host", F.substring_index("host", ".", -2).alias("domain"), F.substring_index("host", ".", -1).alias("suffix"), "n", "b"), "hosts"
-    )
-    domains = hosts.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("b").alias("b"))
-    suffixes = hosts.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("b").alias("b"))
-    every = hosts.agg(((F.sum("b") + 1) / (F.sum("n") + 2)).alias("p0"))
+    domain, suffix = hierarchy(F.col("host"))
+    hosts = written(counts.select("host", domain.alias("domain"), suffix.alias("suffix"), "n", "b"), "hosts")
+    domains = written(hosts.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("b").alias("b")), "domains")
+    suffixes = written(domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("b").alias("b")), "suffixes")
+    every = suffixes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("b"), F.lit(0))).first()
+    strengths = [_prior_strength(x) for x in (suffixes, domains, hosts)]
 
-    def step(child: DataFrame, prior: Column, name: str) -> DataFrame:
-        k = F.broadcast(_prior_strength(child).withColumnRenamed("strength", f"K_{name}"))  # one row
-        return child.crossJoin(k).withColumn(f"m_{name}", (F.col("b") + F.col(f"K_{name}") * prior) / (F.col("n") + F.col(f"K_{name}")))
+    def mean(prior, k: float):
+        return (F.col("b") + k * prior) / (F.col("n") + k)
 
-    s = step(suffixes.crossJoin(F.broadcast(every)), F.col("p0"), "s").select("suffix", "m_s")
-    d = step(domains.join(s, "suffix"), F.col("m_s"), "d").select("suffix", "domain", "m_d")
-    h = step(hosts.join(d, ["suffix", "domain"]), F.col("m_d"), "h")
-    spread = F.sqrt(F.col("m_h") * (1 - F.col("m_h")) / (F.col("n") + F.col("K_h") + 1))
-    return h.select("host", "n", "b", F.col("m_h").alias("mean"), spread.alias("sd"))
+    s = suffixes.select("suffix", mean(F.lit((every[1] + 1) / (every[0] + 2)), strengths[0]).alias("above"))
+    d = domains.join(s, "suffix").select("suffix", "domain", mean(F.col("above"), strengths[1]).alias("above"))
+    h = hosts.join(written(d, "domain_means"), ["suffix", "domain"]).select("host", "n", "b", mean(F.col("above"), strengths[2]).alias("mean"))
+    return h.select("host", "n", "b", "mean", F.sqrt(F.col("mean") * (1 - F.col("mean")) / (F.col("n") + strengths[2] + 1)).alias("sd"))
 
 
 def filter_urls(pages: DataFrame, outcomes: DataFrame, rules=RULES, limit: float = LIMIT, z: float = Z) -> DataFrame:
@@ -111,8 +126,12 @@ WITH known AS (SELECT doc_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 WHEN
 parts AS (SELECT page_id,
   coalesce(translate(regexp_extract(url, '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
   coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
-hosts AS (SELECT host, array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') AS domain, string_split(host, '.')[-1] AS suffix,
-  count(bad) AS n, coalesce(sum(bad), 0) AS b FROM parts LEFT JOIN known ON page_id = doc_id GROUP BY 1, 2, 3),
+named AS (SELECT *, regexp_replace(regexp_replace(host, '^.*@', ''), '\\.?(:[0-9]*)?$', '') AS name FROM parts),
+labelled AS (SELECT *, array_to_string(list_slice(string_split(name, '.'), -2, -1), '.') AS two, regexp_matches(name, '^([0-9]+(\\.[0-9]+){{3}}|\\[.*)$') AS address FROM named),
+hosts AS (SELECT host,
+  CASE WHEN address THEN name WHEN two IN {SECOND_LEVEL} THEN array_to_string(list_slice(string_split(name, '.'), -3, -1), '.') ELSE two END AS domain,
+  CASE WHEN address THEN '{ADDRESS}' WHEN two IN {SECOND_LEVEL} THEN two ELSE string_split(name, '.')[-1] END AS suffix,
+  count(bad) AS n, coalesce(sum(bad), 0) AS b FROM labelled LEFT JOIN known ON page_id = doc_id GROUP BY 1, 2, 3),
 domains AS (SELECT suffix, domain, sum(n) AS n, sum(b) AS b FROM hosts GROUP BY 1, 2),
 suffixes AS (SELECT suffix, sum(n) AS n, sum(b) AS b FROM hosts GROUP BY 1),
 levels AS (SELECT 'h' AS lev, n, b FROM hosts UNION ALL SELECT 'd', n, b FROM domains UNION ALL SELECT 's', n, b FROM suffixes),

@@ -14,14 +14,17 @@ each entry given out. The ranges in order, and the places in them, give the glob
 
 Null html is an empty payload. A null url has an empty URL key. Rows that repeat a page_id with the same payload are the
 same record: all are responses if that id is the largest. Null ids never are the larger one. Pages have no time of capture, so
-the timestamp is ``START`` plus page_id seconds unless a column is named.
+the timestamp is ``START`` plus as many seconds as page_id modulo ``CYCLE`` (some thirty years, so the year has four digits). An
+empty table gives no rows; extra columns are not read; payloads of any length are whole.
 """
 
 from __future__ import annotations
 
 import gzip
 import hashlib
+import io
 from collections.abc import Callable, Iterator
+from typing import BinaryIO
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -31,9 +34,9 @@ from lodestone.durable import new_folder, written
 from lodestone.sources import table
 
 REVISIT = 1000
-START = 1_600_000_000
+START, CYCLE = 1_600_000_000, 1_000_000_000
 END = "\r\n\r\n"
-#: Records in an archive at most: bounds what one task holds when it reads an archive whole.
+#: Records in an archive at most. A task that reads one holds it compressed, and of its records one at a time.
 ARCHIVE_RECORDS = 4000
 #: Index entries in a merge range, on average.
 RANGE_ENTRIES = 100_000
@@ -51,7 +54,7 @@ def digested(pages: DataFrame) -> DataFrame:
     payload = F.coalesce("html", F.lit(""))
     return pages.select(
         "page_id", "url", payload.alias("payload"), F.octet_length(payload).cast("long").alias("payload_bytes"), F.sha1(payload.cast("binary")).alias("payload_digest"),
-        (F.lit(START) + F.coalesce("page_id", F.lit(0))).alias("at"),
+        (F.lit(START) + F.pmod(F.coalesce("page_id", F.lit(0)), F.lit(CYCLE))).alias("at"),
     )
 
 
@@ -86,15 +89,15 @@ def write(pages: DataFrame) -> str:
     return folder
 
 
-def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(fields, block) of each record of an archive."""
-    at = 0
-    while data.startswith(b"WARC/", at):
-        stop = data.index(b"\r\n\r\n", at)
-        fields = dict(x.split(": ", 1) for x in data[at:stop].decode().split("\r\n")[1:])
-        begin, n = stop + 4, int(fields["Content-Length"])
-        yield fields, data[begin : begin + n]
-        at = begin + n + 4
+def parse(archive: BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(fields, block) of each record of an archive, read one after the other."""
+    while archive.readline().startswith(b"WARC/"):
+        fields = {}
+        while (line := archive.readline()) not in (b"\r\n", b""):
+            name, _, value = line.decode().removesuffix("\r\n").partition(": ")
+            fields[name] = value
+        yield fields, archive.read(int(fields["Content-Length"]))
+        archive.read(len(END))
 
 
 _COLUMNS = "run string, seq long, url_key string, at string, page_id string, payload_bytes long, payload_digest string, record_type string, refers_to string, intact boolean"
@@ -114,7 +117,7 @@ def runs(spark: SparkSession, folder: str) -> DataFrame:
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"], strict=True):
                 rows = []
-                for f, block in parse(gzip.decompress(content)):
+                for f, block in parse(gzip.GzipFile(fileobj=io.BytesIO(content))):
                     digest = f["WARC-Payload-Digest"].removeprefix("sha1:")
                     revisit = f["WARC-Type"] == "revisit"
                     intact = revisit or hashlib.sha1(block).hexdigest() == digest
@@ -215,6 +218,6 @@ r AS (SELECT p.*, CASE WHEN first IS NOT NULL AND page_id IS DISTINCT FROM first
 u AS (SELECT *, regexp_replace(regexp_replace(lower(url), '^[a-z][a-z0-9+.-]*://(www[0-9]*\\.)?', ''), '#.*$', '') AS rest FROM r)
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN refers_to IS NULL THEN 'response' ELSE 'revisit' END AS record_type, refers_to,
   coalesce(array_to_string(list_reverse(string_split(regexp_extract(rest, '^([^/?]*)', 1), '.')), ',') || ')' || regexp_extract(rest, '^[^/?]*(.*)$', 1), '') AS url_key,
-  strftime(to_timestamp(1600000000 + coalesce(page_id, 0)) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%SZ') AS "at"
+  strftime(to_timestamp(1600000000 + (coalesce(page_id, 0) % 1000000000 + 1000000000) % 1000000000) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%SZ') AS "at"
 FROM u
 """
