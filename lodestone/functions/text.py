@@ -24,6 +24,7 @@ def stems(text: Column) -> Column:
     return F.transform(kept, stem)
 
 
+# Fixed value: the pattern of numbers with their units and of number words.
 _NUMBER = (
     "(?i)(?<![\\w.])(\\d+(?:[.,]\\d+)*)(?:\\s?([A-Za-z]{1,4}))?(?![\\w])|(?<![\\w-])(" + "|".join(NUMBER_WORDS) + ")(?![\\w-])"
 )

@@ -46,11 +46,12 @@ def terms(spark: SparkSession, rows=TERMS) -> DataFrame:
 
 def implies(spark: SparkSession, rows=IMPLIES) -> DataFrame:
     """(canonical, implied): the transitive closure, by a recursive query over this small table."""
-    spark.createDataFrame(list(rows), "canonical string, implied string").createOrReplaceTempView("lodestone_implies")
+    pairs = spark.createDataFrame(list(rows), "canonical string, implied string")
     return spark.sql(
-        """WITH RECURSIVE c(canonical, implied, n) AS (SELECT canonical, implied, 1 FROM lodestone_implies
-           UNION ALL SELECT c.canonical, i.implied, n + 1 FROM c JOIN lodestone_implies i ON i.canonical = c.implied WHERE n < 20)
-           SELECT DISTINCT canonical, implied FROM c"""
+        """WITH RECURSIVE c(canonical, implied, n) AS (SELECT canonical, implied, 1 FROM {pairs}
+           UNION ALL SELECT c.canonical, i.implied, n + 1 FROM c JOIN {pairs} i ON i.canonical = c.implied WHERE n < 20)
+           SELECT DISTINCT canonical, implied FROM c""",
+        pairs=pairs,
     )
 
 

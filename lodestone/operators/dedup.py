@@ -21,6 +21,7 @@ def similar_postings(weights: DataFrame, postings: DataFrame, tenths: int = BAND
     share of all cannot be the only common ones, so pairs come from an equi-join on the terms before. Totals too far apart
     are left out before the exact sums. Postings without terms are all equal: each is tied to the smallest such id.
     """
+    weights = written(weights, "weights")  # read three times
     df = weights.groupBy("term").agg(F.count("*").alias("df"))
     order = W.partitionBy("doc_id").orderBy("df", "term")
     total = F.sum("w10").over(W.partitionBy("doc_id"))
@@ -133,9 +134,13 @@ def achievement_groups(nodes: DataFrame, ties: DataFrame) -> DataFrame:
             return state
 
 
+# Fixed value: the parts of a name in mixed case.
+_PARTS = "[A-Z][a-z]+|[a-z]+|[A-Z]+(?![a-z])|\\d+"
+
+
 def _alias_keys(name: Column) -> dict[str, Column]:
     plain = F.regexp_replace(F.lower(name), "[\\s.\\-]", "")
-    parts = F.regexp_extract_all(name, F.lit("[A-Z][a-z]+|[a-z]+|[A-Z]+(?![a-z])|\\d+"), F.lit(0))
+    parts = F.regexp_extract_all(name, F.lit(_PARTS), F.lit(0))
     initials = F.when(F.size(parts) >= 2, F.upper(F.array_join(F.transform(parts, lambda p: F.substring(p, 1, 1)), "")))
     capitals = F.when((F.upper(name) == name) & name.rlike("[A-Z]"), name)
     shorter = F.when(plain.rlike("^.{2,}(js|lang|ful)$"), F.regexp_replace(plain, "(js|lang|ful)$", ""))

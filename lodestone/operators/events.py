@@ -41,7 +41,7 @@ def offered_load(events: DataFrame, window: int) -> DataFrame:
 def windowed_counts(events: DataFrame, kind: str = "tumbling", size: str = "1 hour", slide: str = "15 minutes", late: str = "10 minutes") -> DataFrame:
     """(start, end, event_type, n) by tumbling, sliding or session windows of ``ts``; batch and stream alike.
 
-    A stream drops rows later than the watermark ``late``; ``streaming`` puts them aside first.
+    A stream drops rows that come after the watermark ``late`` has passed the end of their window.
     """
     ts = F.col("ts").cast("timestamp")
     rows = events.withColumn("ts", ts)
@@ -182,11 +182,17 @@ def carry_over(changed: DataFrame, previous: DataFrame, group: str) -> DataFrame
 def report_as_of(runs: DataFrame, versions: DataFrame) -> DataFrame:
     """(section, version, report): for each section and asked version the newest run (section, version, report, started) at or before it.
 
-    ``versions`` (version) is a short list of questions, sent to all tasks; the best run is kept before the shuffle.
+    ``versions`` (version) is a short list of questions. Runs are first reduced to the newest of each section and version; the
+    questions stand among them on each section's line of versions, and the newest run so far is carried along it. Sections
+    without a run at or before a version have no row for it. A null version is never at or before another; equal runs give one.
     """
-    asked = versions.select(F.col("version").alias("v")).distinct()
-    hits = runs.join(F.broadcast(asked), F.col("version") <= F.col("v"))
-    return hits.groupBy("section", F.col("v").alias("version")).agg(F.max_by("report", F.struct("started", "version")).alias("report"))
+    best = runs.where("version is not null").groupBy("section", "version").agg(F.max(F.struct("started", "version", "report")).alias("best"))
+    asked = versions.where("version is not null").select("version").distinct()
+    line = best.select("section", "version", "best", F.lit(False).alias("asked"))
+    questions = best.select("section").distinct().crossJoin(asked)  # the rows of the answer
+    line = line.unionByName(questions.withColumn("asked", F.lit(True)), allowMissingColumns=True)
+    upto = F.max("best").over(W.partitionBy("section").orderBy("version", "asked").rowsBetween(W.unboundedPreceding, W.currentRow))
+    return line.withColumn("newest", upto).where("asked and newest is not null").select("section", "version", F.col("newest.report").alias("report"))
 
 
 def roots(tree: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Gate on generated text: format, unsupported numbers and terms, grounding, consistency, duplicates, and its reports.
+"""Checks of written texts against their sources: format, numbers, terms, grounding, consistency, copies, and reports on them.
 
 Variants are rows (keys..., text); their sources are rows (keys..., text). A null text counts as empty.
 """
@@ -50,7 +50,7 @@ def ungrounded(variants: DataFrame, sources: DataFrame, keys: list[str], least:
 
 
 def guard(variants: DataFrame, sources: DataFrame, terms: DataFrame, closure: DataFrame, keys: list[str], budget: str | None = None) -> DataFrame:
-    """(keys, reasons): every variant with its reasons in the gate's order; an empty one has only EMPTY, a clean one none."""
+    """(keys, reasons): every variant with its reasons in a fixed order; an empty one has only EMPTY, a clean one none."""
     form = variants.select(*keys, format_reasons(F.col("text"), F.col(budget) if budget else None).alias("form"))
     whole = F.col("value") == F.floor("value")
     shown = F.coalesce("version", F.when(whole, F.col("value").cast("long").cast("string")).otherwise(F.col("value").cast("string")))
@@ -127,7 +127,7 @@ def gate_report(results: DataFrame, group: str) -> DataFrame:
 
 
 def gate_vs_labels(results: DataFrame, labels: DataFrame) -> DataFrame:
-    """One row: how the gate (id, passed) meets human labels (id, good)."""
+    """One row: how verdicts (id, passed) meet human labels (id, good)."""
     both = results.join(labels, "id")
     hit = F.count_if(F.col("passed") & F.col("good"))
     return both.agg(

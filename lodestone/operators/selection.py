@@ -158,14 +158,14 @@ def infeasibility(projects: DataFrame, items: DataFrame, positions: DataFrame, s
 def hall(asked: str, slots: str, pairs: str) -> Column:
     """Whether distinct items can fill the slots: for every set of asked lengths, items with one of them are at least the slots asking for them.
 
-    ``asked`` holds at most three different lengths.
+    ``asked`` holds at most three different lengths; more are an error.
     """
     sets = F.filter(
         F.array(*[F.transform(F.filter(F.array(*[F.struct(F.get(asked, F.lit(i)).alias("v"), F.lit(bool(m >> i & 1)).alias("on")) for i in range(3)]), lambda x: x["on"] & x["v"].isNotNull()), lambda x: x["v"]) for m in range(1, 8)]),
         lambda s: F.size(s) > 0,
     )
     enough = lambda s: F.size(F.array_distinct(F.transform(F.filter(F.col(pairs), lambda p: F.array_contains(s, p["length"])), lambda p: p["item"]))) >= F.size(F.filter(F.col(slots), lambda n: F.array_contains(s, n)))
-    return F.forall(sets, enough)
+    return F.when(F.size(asked) > 3, F.raise_error(F.lit("a shape has more than three lengths")).cast("boolean")).otherwise(F.forall(sets, enough))
 
 
 def feasibility(checked: DataFrame) -> DataFrame:

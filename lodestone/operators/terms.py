@@ -1,7 +1,7 @@
 """Extraction and weighting of dictionary terms in free text.
 
 Texts come as (doc_id, text); a null text has no lines and no terms. Weights are integers, ten times the usual ones, so sums do
-not depend on partitions. Dictionaries are small tables of fixed size and are sent to all tasks.
+not depend on partitions. Dictionaries are sent to all tasks if they are small.
 """
 
 from __future__ import annotations
@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 from lodestone.functions import vocabulary as V
 from lodestone.functions.text import word_count
 
+#: A dictionary of up to so many aliases is sent to all tasks; a larger one is joined by shuffle.
+DICTIONARY = 200_000
+
 
 def split_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, line_no, line): lines without trailing white space; blank ones stay."""
@@ -67,7 +70,8 @@ def match_terms(texts: DataFrame, terms: DataFrame, keys: list[str], text: str =
     only the joined pairs are searched.
     """
     runs = F.array_distinct(F.regexp_extract_all(F.lower(F.col(text)), F.lit("\\w+"), F.lit(0)))
-    found = texts.select(*keys, F.col(text).alias("_body"), F.explode(runs).alias("lead")).join(F.broadcast(terms), "lead")  # terms: a dictionary
+    small = F.broadcast(terms) if terms.count() <= DICTIONARY else terms
+    found = texts.select(*keys, F.col(text).alias("_body"), F.explode(runs).alias("lead")).join(small, "lead")
     return found.where(F.expr("_body rlike pattern")).select(*keys, "canonical").distinct()
 
 
@@ -89,6 +93,8 @@ _PHRASE = (
     "(?i)\\b(?:as an?|seeking (?:an?\\s+)?|hiring (?:an?\\s+)?|looking for (?:an?\\s+)?|join us as an?)\\s*"
     f"((?:[A-Za-z0-9/+#.&()-]+\\s+){{0,6}}\\b{_ROLE})"
 )
+_ADJECTIVE = "(?i)^(skilled|passionate|talented|motivated)\\s+"
+_PLURAL = "(?i)(engineer|developer|programmer|architect|scientist|analyst|tester)s$"
 
 
 def extract_title(docs: DataFrame) -> DataFrame:
@@ -100,7 +106,7 @@ def extract_title(docs: DataFrame) -> DataFrame:
     role = line.rlike(f"(?i)\\b{_ROLE}") & (F.length(line) <= 90) & (word_count(line) <= 10) & ~line.rlike("[.!?]$") & ~line.rlike(_PHRASE) & ~line.rlike(_BOILERPLATE)
     phrases = F.transform(
         F.regexp_extract_all(line, F.lit(_PHRASE), F.lit(1)),
-        lambda p: F.regexp_replace(F.trim(F.regexp_replace(p, "(?i)^(skilled|passionate|talented|motivated)\\s+", "")), "(?i)(engineer|developer|programmer|architect|scientist|analyst|tester)s$", "$1"),
+        lambda p: F.regexp_replace(F.trim(F.regexp_replace(p, _ADJECTIVE, "")), _PLURAL, "$1"),
     )
     phrases = F.transform(phrases, lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.substring(p, 2, 10_000)))
     area = F.trim(F.regexp_extract("line", _AREA, 1))

@@ -1,4 +1,4 @@
-"""Queries that run a stream over the events until all are read."""
+"""Queries that run a stream over the events, a file a micro-batch, until all are read."""
 
 from __future__ import annotations
 
@@ -21,7 +21,7 @@ def _files(spark, sf) -> str:
 
 
 def _run(spark, sf, build) -> DataFrame:
-    return streams.replayed(spark, _files(spark, sf), table(spark, sf, "events").schema, build, per_trigger=4)
+    return streams.replayed(spark, _files(spark, sf), table(spark, sf, "events").schema, build)
 
 
 @query("f2_rate_limit_stream")

@@ -1,6 +1,6 @@
 """Streams of events: admission limits, idempotent creation, expiring leases, windows, and upserts.
 
-Each twin gives what the batch operator gives on the same rows if none is later than the watermark. Input streams have ``ts``
+Each twin gives what the batch operator gives on the same rows if none is later than the watermark; Spark drops later ones. Input streams have ``ts``
 (a timestamp without zone is read as UTC), ``key`` and ``id``; the state of a key lives in the state store, in one task.
 Within a micro-batch a key's rows are taken in order of (ts, id).
 """

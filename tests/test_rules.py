@@ -298,3 +298,47 @@ def test_purge_and_tokens(spark):
     requests = spark.createDataFrame([("t", 1, 1, True), ("t", 2, 2, False), ("t", 3, 3, False), ("t", 99, 4, False), ("u", 1, 5, False)], "token string, us long, id long, peek boolean")
     got = events.token_use(requests, spark.createDataFrame([("t", 50)], "token string, expires long")).collect()
     assert {r["id"]: r["outcome"] for r in got} == {1: "valid", 2: "valid", 3: "used", 4: "expired", 5: "unknown"}
+
+
+def test_streams_over_several_batches(spark):
+    """State crosses micro-batches: the rate limit and the idempotent creation equal the batch rules, row by row."""
+    from lodestone.durable import new_folder
+    from lodestone.operators import events as ev
+    from lodestone.streaming import streams
+
+    rng = random.Random(12)
+    us = sorted(rng.sample(range(1_700_000_000, 1_700_000_000 + 40_000), 160))
+    rows = [(u * 10**6, rng.randrange(3), i) for i, u in enumerate(us)] + [(us[-1] * 10**6 + 10**12, 0, 999)]  # the last one ends all timers
+    df = spark.createDataFrame(rows, "us long, key long, id long").withColumn("ts", F.timestamp_micros("us"))
+    path = new_folder(spark, "input")
+    for i in range(4):
+        part = df.where((F.col("id") >= 40 * i) & ((F.col("id") < 40 * i + 40) | (F.lit(i) == 3)))
+        part.select("ts", "key", "id").coalesce(1).write.mode("append").parquet(path)
+    limit = streams.replayed(spark, path, "ts timestamp, key long, id long", lambda s: streams.rate_limit_stream(s, 4, ev.HOUR))
+    same = lambda a, b: sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+    assert same(limit, ev.rate_limit(df.select("key", "us", "id"), 4, ev.HOUR)) and limit.where("not admitted").count() > 5
+    made = streams.replayed(spark, path, "ts timestamp, key long, id long", lambda s: streams.idempotent_stream(s, ev.HOUR))
+    assert same(made, ev.idempotent_create(df.select("key", "us", "id"), ev.HOUR)) and made.where("not created").count() > 5
+
+
+def test_report_as_of_line(spark):
+    from lodestone.operators import events as ev
+
+    runs = spark.createDataFrame([("a", 1, "r1", 5), ("a", 3, "r3", 4), ("a", 3, "r3b", 9), ("b", 2, "q", 1), ("b", None, "x", 99)], "section string, version int, report string, started int")
+    asked = spark.createDataFrame([(0,), (1,), (2,), (3,), (3,), (None,)], "version int")
+    want = {}
+    for s, v, r, t in runs.collect():
+        for (q,) in asked.distinct().collect():
+            if q is not None and v is not None and v <= q:
+                want[s, q] = max(want.get((s, q), (-1, -1, "")), (t, v, r))
+    got = {(r["section"], r["version"]): r["report"] for r in ev.report_as_of(runs, asked).collect()}
+    assert got == {k: v[2] for k, v in want.items()} and len(got) == 5
+
+
+def test_more_than_three_lengths_are_refused(spark):
+    from lodestone.operators import selection as sel
+
+    items = spark.createDataFrame([("p", i, i) for i in range(1, 5)], "project string, item int, length int")
+    slots = spark.createDataFrame([("s", i, i) for i in range(1, 5)], "position string, slot_idx int, length int")
+    with pytest.raises(Exception, match="more than three lengths"):
+        sel.coverage(items, slots).collect()
