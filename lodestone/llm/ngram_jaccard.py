@@ -51,6 +51,8 @@ from lodestone.sources import table
 
 #: A list of ids with up to so many rows is sent to all tasks (about 16 MB there); a longer one is joined by shuffle.
 SMALL_IDS = 1 << 18
+#: Lists of up to so many elements in all (16 bytes each at most) are sent to all tasks.
+SMALL_LISTS = 1 << 19
 #: Members of a bucket whose pairs are all verified: at most (FEW - 1) / 2 pairs a member.
 FEW = 32
 #: How many times the groups that k calls for there are.
@@ -231,37 +233,75 @@ def _verified(pairs: DataFrame, sets: DataFrame, t: int) -> DataFrame:
     return both.where(common * 100 >= t * (F.size("s") + F.size("ps") - common)).select(F.col("p").alias("a"), F.col("id").alias("b"))
 
 
+def _fitting(lists: DataFrame, column: str) -> DataFrame:
+    """``lists``, a written table, marked to be sent to all tasks if all its lists together are short."""
+    total = lists.agg(F.sum(F.size(column) + F.lit(8))).first()[0] or 0
+    return F.broadcast(lists) if total <= SMALL_LISTS else lists
+
+
 def _spread(groups: DataFrame, sets: DataFrame, t: int, scratch: Scratch) -> DataFrame:
-    """(g, id, room, d): the members' differences to their group's centre."""
+    """(g, id, room, gone, new): the members' differences to their group's centre, its elements they lack and those it lacks."""
     order = F.struct(F.xxhash64("id").alias("h"), "id")
     some = groups.groupBy("g", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(CENTRE)).alias("slot")).agg(F.min(order)["id"].alias("id"))
     few = scratch.written(some.join(sets, "id").select("g", "s"), "few")
     sizes = few.groupBy("g").agg(F.count("*").alias("n"))
     common = few.select("g", F.explode("s").alias("e")).groupBy("g", "e").agg(F.count("*").alias("m")).where("m > 1").join(sizes, "g").where("m * 2 > n")
-    centres = scratch.written(sizes.select("g").join(common.groupBy("g").agg(F.collect_list("e").alias("c")), "g", "left"), "centres")
-    c = F.coalesce("c", F.array().cast("array<bigint>"))
-    d = F.concat(F.array_except("s", c), F.array_except(c, "s"))
-    held = groups.join(sets, "id").join(sized(centres), "g").select("g", "id", F.size("s").alias("n"), d.alias("d"))
-    return held.select("g", "id", ((100 - t) * F.col("n") - (100 + t) * F.size("d")).cast("long").alias("room"), "d")
+    listed = common.groupBy("g").agg(F.collect_list("e").alias("c"))
+    centres = sizes.select("g").join(listed, "g", "left").select("g", F.coalesce("c", F.array().cast("array<bigint>")).alias("c"))
+    centres = _fitting(scratch.written(centres, "centres"), "c")
+    held = groups.join(sets, "id").join(centres, "g").select("g", "id", F.size("s").alias("n"), F.array_except("c", "s").alias("gone"), F.array_except("s", "c").alias("new"))
+    room = (100 - t) * F.col("n") - (100 + t) * (F.size("gone") + F.size("new"))
+    return held.select("g", "id", room.cast("long").alias("room"), "gone", "new")
+
+
+def _beginnings(rows: DataFrame) -> DataFrame:
+    """(g, id, keys): of the elements of D by (members that have it, element) the first ``first``, without those in one D alone or in all.
+
+    ``rows``: (g, id, b, n, first, gone, lost, own), where ``lost`` (e, f), sorted, are the centre's elements that several members
+    lack, ``own`` (e, f) the others of this D that several have; f of the b members. n is the size of D.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = []
+            parts = [(x.offsets.to_numpy(), x.values) for x in (batch.column(c) for c in ("gone", "lost", "own"))]
+            gone, lost_e, lost_f, own_e, own_f = parts[0][1].to_numpy(), *(parts[i][1].field(c).to_numpy() for i in (1, 2) for c in ("e", "f"))
+            for i, (b, n, first) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("b", "n", "first")), strict=True)):
+                mine, lost, own = (slice(ends[i], ends[i + 1]) for ends, _ in parts)
+                here = np.isin(lost_e[lost], gone[mine])
+                e, f = np.concatenate([lost_e[lost][here], own_e[own]]), np.concatenate([lost_f[lost][here], own_f[own]])
+                at = np.lexsort((e, f))[: max(0, first - (n - len(e)))]  # those in one D alone come first
+                keys.append(e[at[f[at] < b]].view(np.uint64))
+            yield pa.RecordBatch.from_arrays([batch.column("g"), batch.column("id"), _lists(keys)], names=["g", "id", "keys"])
+
+    return rows.mapInArrow(run, "g long, id long, keys array<long>")
 
 
 def _finer(members: DataFrame, sizes: DataFrame, t: int, scratch: Scratch) -> DataFrame:
-    """(key, id) of the next buckets, from the members (g, id, comp, room, d) of groups and the groups' sizes (g, b)."""
+    """(key, id) of the next buckets, from the members (g, id, comp, room, gone, new) of groups and the groups' sizes (g, b).
+
+    How many members lack an element of the centre is one list a group, which its members look their elements up in; only
+    elements that the centre lacks are joined one by one.
+    """
     best = members.groupBy("g", "comp").agg(F.max(F.struct("room", (-F.col("id")).alias("o"))).alias("best"))
     best = scratch.written(best, "best")
     top = scratch.written(best.groupBy("g").agg(F.max_by("comp", "best").alias("main"), F.max("best.room").alias("room_in")), "top")
     others = best.join(sized(top), "g").where("comp <> main").groupBy("g", "main", "room_in").agg(F.max("best.room").alias("room_out"))
     open_ = scratch.written(others.join(sizes, "g"), "open")
-    rows = members.join(sized(open_), "g")
     partner = F.when(F.col("comp") == F.col("main"), F.col("room_out")).otherwise(F.col("room_in"))
     need = F.greatest(F.lit(1), F.ceil(-(F.col("room") + partner) / (2.0 * (100 + t)) - 1e-9)).cast("int")
-    rows = rows.select("g", "id", "b", F.size("d").alias("n"), (F.size("d") - need + 1).alias("first"), "d").where("first > 0")
-    held = rows.select("g", "id", "b", "n", "first", F.explode("d").alias("e"))
-    common = scratch.written(held.groupBy("g", "e").agg(F.count("*").alias("f")).where("f > 1"), "common")
-    mine = held.join(common, ["g", "e"]).groupBy("g", "id", "b", "n", "first").agg(F.array_sort(F.collect_list(F.struct("f", "e"))).alias("x"))  # at most D itself
-    left = F.greatest(F.col("first") - (F.col("n") - F.size("x")), F.lit(0))  # those in one D alone come first
-    keys = F.filter(F.slice("x", F.lit(1), left), lambda x: x["f"] < F.col("b"))
-    return mine.select("g", "id", F.explode(keys).alias("x")).select(F.xxhash64("g", "x.e").alias("key"), "id").distinct()
+    rows = members.join(sized(open_), "g").withColumn("n", F.size("gone") + F.size("new"))
+    rows = rows.select("g", "id", "b", "n", (F.col("n") - need + 1).alias("first"), "gone", "new").where("first > 0")
+    pair = F.struct("e", "f")
+    several = lambda held: held.groupBy("g", "e").agg(F.count("*").alias("f")).where("f > 1")
+    lost = several(rows.select("g", F.explode("gone").alias("e"))).groupBy("g").agg(F.array_sort(F.collect_list(pair)).alias("lost"))  # at most the centre
+    lost = _fitting(scratch.written(lost, "lost"), "lost")
+    held = rows.select("g", "id", F.explode("new").alias("e"))
+    common = scratch.written(several(held), "common")
+    own = held.join(common, ["g", "e"]).groupBy("g", "id").agg(F.collect_list(pair).alias("own"))  # at most D itself
+    none = F.array().cast("array<struct<e:bigint,f:bigint>>")
+    rows = rows.drop("new").join(lost, "g", "left").join(own, ["g", "id"], "left").withColumns({c: F.coalesce(c, none) for c in ("lost", "own")})
+    return _beginnings(rows).select("id", "g", F.explode("keys").alias("e")).select(F.xxhash64("g", "e").alias("key"), "id").distinct()
 
 
 def similar(docs: DataFrame, n: int, t: int, sub: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:
