@@ -124,8 +124,32 @@ def total_score(selection: DataFrame, key: str, bp: str = "bp") -> DataFrame:
     return selection.groupBy(key).agg(F.coalesce(F.sum(bp), F.lit(0)).alias("total"))
 
 
-def alternatives(scores: DataFrame, positions: int, best: DataFrame, n: int = 2) -> DataFrame:
-    """(owner_id, label, projects, total, r): the n best results that bring in a project the best one leaves out."""
+def group_options(slots: DataFrame, cands: DataFrame, filled: DataFrame) -> DataFrame:
+    """(owner_id, label, slot_idx, cand_id, gain): each group that no slot of its owner has taken, in the slot where it adds most.
+
+    ``slots`` and ``cands`` as in ``fill_slots``, ``filled`` its result. gain is the candidate's score less that of the one it
+    replaces (nothing: 0). Ties go to the smaller slot, then the smaller candidate. Candidates without a group are no options.
+    """
+    used = filled.join(cands.select("owner_id", "cand_id", "grp").distinct(), ["owner_id", "cand_id"]).select("owner_id", "grp").distinct()
+    free = cands.where("grp is not null").join(used, ["owner_id", "grp"], "left_anti").join(_places(slots, cands, filled), ["owner_id", "length"])
+    best = F.min(F.struct((F.col("usual") - F.col("bp")).alias("loss"), "slot_idx", "cand_id")).alias("b")
+    label = F.concat(F.lit("includes achievement "), F.col("grp").cast("string"))
+    return free.groupBy("owner_id", "grp").agg(best).select("owner_id", label.alias("label"), "b.slot_idx", "b.cand_id", (-F.col("b.loss")).alias("gain"))
+
+
+def _places(slots: DataFrame, cands: DataFrame, filled: DataFrame) -> DataFrame:
+    """(owner_id, slot_idx, length, usual): the slots with the score of what fills them, 0 if nothing does."""
+    scored = cands.groupBy("owner_id", "cand_id", "length").agg(F.max("bp").alias("usual"))
+    rows = slots.join(filled, ["owner_id", "slot_idx"], "left").join(scored, ["owner_id", "cand_id", "length"], "left")
+    return rows.select("owner_id", "slot_idx", "length", F.coalesce("usual", F.lit(0)).alias("usual"))
+
+
+def alternatives(scores: DataFrame, positions: int, best: DataFrame, n: int = 2, job: tuple[DataFrame, DataFrame, DataFrame] | None = None) -> DataFrame:
+    """(owner_id, label, projects, slot_idx, cand_id, total, r): the n best results that bring in a project or group the best one leaves out.
+
+    ``job``: (slots, cands, filled) as in ``group_options``, whose scores then count in the totals too; without it only projects
+    are options. A group's option keeps the projects and puts cand_id into slot_idx; a project's keeps the slots (both null).
+    """
     unused = scores.where("bp is not null").select("owner_id", "project").distinct().join(best.select("owner_id", F.explode("projects").alias("project")), ["owner_id", "project"], "left_anti")
     forced = unused.select("owner_id", F.col("project").alias("forced"))
     found = assign_projects(scores, positions, forced=forced)
@@ -133,8 +157,19 @@ def alternatives(scores: DataFrame, positions: int, best: DataFrame, n: int = 2)
     gone = F.array_join(F.array_sort(F.array_except("usual", "projects")), ", ")
     label = F.concat(F.lit("includes "), F.col("forced").cast("string"), F.lit(" instead of "), gone)
     total = F.aggregate("scores", F.lit(0).cast("long"), lambda a, x: a + x)
+    options = both.select("owner_id", label.alias("label"), "projects", total.alias("total"))
+    if job is None:
+        options = options.select("owner_id", "label", "projects", F.lit(None).cast("int").alias("slot_idx"), F.lit(None).cast("string").alias("cand_id"), "total")
+    else:
+        slots, cands, _ = job
+        none = [F.lit(None).cast(df.schema[c].dataType).alias(c) for df, c in ((slots, "slot_idx"), (cands, "cand_id"))]
+        options = options.select("owner_id", "label", "projects", *none, "total")
+        groups = group_options(*job).join(best.select("owner_id", "projects", total.alias("total")), "owner_id")
+        options = options.unionByName(groups.select("owner_id", "label", "projects", "slot_idx", "cand_id", (F.col("total") + F.col("gain")).alias("total")))
+        filled = total_score(_places(*job), "owner_id", "usual").withColumnRenamed("total", "slots_total")
+        options = options.join(filled, "owner_id", "left").withColumn("total", F.col("total") + F.coalesce("slots_total", F.lit(0))).drop("slots_total")
     rank = F.row_number().over(W.partitionBy("owner_id").orderBy(F.col("total").desc(), "label"))
-    return both.select("owner_id", label.alias("label"), "projects", total.alias("total")).withColumn("r", rank).where(F.col("r") <= n)
+    return options.withColumn("r", rank).where(F.col("r") <= n)
 
 
 def infeasibility(projects: DataFrame, items: DataFrame, positions: DataFrame, slots: DataFrame) -> DataFrame:

@@ -63,9 +63,13 @@ s2 AS (SELECT c.owner_id, min(struct_pack(b := -bp, c := cand_id, g := grp)) AS
 o AS (SELECT s_suppkey AS owner_id FROM supplier)
 SELECT owner_id, 0 AS slot_idx, s0.x.c AS cand_id FROM o LEFT JOIN s0 USING (owner_id) UNION ALL SELECT owner_id, 1, s1.x.c FROM o LEFT JOIN s1 USING (owner_id) UNION ALL SELECT owner_id, 2, s2.x.c FROM o LEFT JOIN s2 USING (owner_id)""")
 def e2(spark, sf):
+    return sel.fill_slots(own_slots(spark, sf), cands(spark, sf))
+
+
+def own_slots(spark, sf):
+    """Three slots of every supplier."""
     shape = F.explode(F.array(*[F.struct(F.lit(i).alias("slot_idx"), F.lit(n).alias("length")) for i, n in ((0, 1), (1, 1), (2, 2))])).alias("s")
-    own = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("owner_id"), shape).select("owner_id", "s.*")
-    return sel.fill_slots(own, cands(spark, sf))
+    return table(spark, sf, "supplier").select(F.col("s_suppkey").alias("owner_id"), shape).select("owner_id", "s.*")
 
 
 @query("e3_place_items", f"WITH {_PLACED} SELECT project, position, array_to_string(items, ',') AS items, total, mean FROM placed")
@@ -138,8 +142,9 @@ def e6(spark, sf):
 @query("e7_alternatives")
 def e7(spark, sf):
     m = matrix(spark, sf)
-    out = sel.alternatives(m, 3, sel.assign_projects(m, 3))
-    return out.select("owner_id", "r", "label", F.array_join(F.col("projects").cast("array<string>"), ",").alias("projects"), "total")
+    own, c = own_slots(spark, sf), cands(spark, sf)
+    out = sel.alternatives(m, 3, sel.assign_projects(m, 3), job=(own, c, sel.fill_slots(own, c)))
+    return out.select("owner_id", "r", "label", F.array_join(F.col("projects").cast("array<string>"), ",").alias("projects"), "slot_idx", "cand_id", "total")
 
 
 _FIT = f"""{_ITEMS}, have AS (SELECT project, count(DISTINCT item) AS n, count_if(length = 1) > 0 AS has1, count_if(length = 2) > 0 AS has2, count(DISTINCT CASE WHEN length = 1 THEN item END) AS n1, count(DISTINCT CASE WHEN length = 2 THEN item END) AS n2 FROM i GROUP BY 1),

@@ -342,3 +342,43 @@ def test_more_than_three_lengths_are_refused(spark):
     slots = spark.createDataFrame([("s", i, i) for i in range(1, 5)], "position string, slot_idx int, length int")
     with pytest.raises(Exception, match="more than three lengths"):
         sel.coverage(items, slots).collect()
+
+
+def test_alternatives(spark):
+    """The best two of all unused projects and all unused groups, against every assignment and every slot."""
+    rng = random.Random(11)
+    shape, scores, cands = [(0, 1), (1, 1), (2, 2)], [], []
+    for owner in range(8):
+        scores += [(owner, p, project, rng.randrange(0, 300, 20) or None) for p in (1, 2) for project in range(4)]
+        for c in range(7 if owner else 0):  # owner 0 has none: slots stay empty
+            cands += [(owner, f"c{c}", n, f"g{c // 2}" if c < 6 else None, rng.randrange(0, 300, 50)) for n in rng.sample((1, 2), rng.randint(1, 2))]
+    slots = spark.createDataFrame([(o, i, n) for o in range(8) for i, n in shape], "owner_id int, slot_idx int, length int")
+    c = spark.createDataFrame(cands, "owner_id int, cand_id string, length int, grp string, bp long")
+    m = spark.createDataFrame(scores, "owner_id int, position int, project int, bp long")
+    best, filled = selection.assign_projects(m, 2), selection.fill_slots(slots, c)
+    got = selection.alternatives(m, 2, best, job=(slots, c, filled)).collect()
+    taken = {(r["owner_id"], r["slot_idx"]): r["cand_id"] for r in filled.collect()}
+    want = []
+    for owner in range(8):
+        by = {(p, project): bp for o, p, project, bp in scores if o == owner and bp is not None}
+        full = [((by[1, a], by[2, b]), (a, b)) for a in range(4) for b in range(4) if a != b and (1, a) in by and (2, b) in by]
+        first = lambda x: (tuple(-v for v in x[0]), x[1])
+        if not full:
+            continue
+        usual = min(full, key=first)
+        own = {(i, n): (g, bp) for o, i, n, g, bp in cands if o == owner}
+        held = [taken[owner, i] for i, _ in shape]
+        at = [own[held[i], n][1] if held[i] else 0 for i, n in shape]
+        options = []
+        for x in range(4):
+            if x not in usual[1] and (with_x := [f for f in full if x in f[1]]):
+                s, ps = min(with_x, key=first)
+                gone = ", ".join(str(p) for p in sorted(set(usual[1]) - set(ps)))
+                options.append((-sum(s) - sum(at), f"includes {x} instead of {gone}", ps, None, None))
+        used = {own[k][0] for k in own if k[0] in held}
+        for g in {g for g, _ in own.values() if g} - used:
+            gain, i, cand = max((bp - at[i], -i, [-ord(ch) for ch in k]) for (k, n), (grp, bp) in own.items() if grp == g for i, length in shape if n == length)
+            options.append((-sum(usual[0]) - sum(at) - gain, f"includes achievement {g}", usual[1], -i, "".join(chr(-ch) for ch in cand)))
+        want += [(owner, r + 1, label, ps, i, k, -t) for r, (t, label, ps, i, k) in enumerate(sorted(options, key=lambda o: o[:2])[:2])]
+    assert sorted((r["owner_id"], r["r"], r["label"], tuple(r["projects"]), r["slot_idx"], r["cand_id"], r["total"]) for r in got) == sorted(want)
+    assert any("achievement" in w[2] for w in want) and any("instead" in w[2] for w in want)
