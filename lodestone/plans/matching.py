@@ -11,7 +11,7 @@ from lodestone.operators import dedup, gate
 from lodestone.operators import similarity as sim
 from lodestone.operators import terms as op
 from lodestone.plans.catalog import query
-from lodestone.plans.terms import CLOSURE_SQL, HEADINGS_SQL, LINES_SQL, TERMS_SQL, WEIGHTS_SQL, WITH_TERMS, docs, stems_sql, weights
+from lodestone.plans.terms import CLOSURE_SQL, HEADINGS_SQL, LINES_SQL, TERMS_SQL, WEIGHTS_SQL, WITH_TERMS, docs, numbers_sql, stems_sql, weights
 from lodestone.sources import table
 
 
@@ -149,9 +149,12 @@ def c1(spark, sf):
     return docs(spark, sf).select("doc_id", F.array_join(gate.format_reasons(F.col("text"), F.lit(2000)), ",").alias("reasons"))
 
 
-@query("c2_unsupported_numbers")
+@query("c2_unsupported_numbers", f"""WITH a AS ({numbers_sql('documents', 'doc_id')}), b AS (SELECT doc_id + 1 AS doc_id, value, version FROM a)
+SELECT doc_id, value, version FROM a WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.doc_id = a.doc_id AND b.value IS NOT DISTINCT FROM a.value AND b.version IS NOT DISTINCT FROM a.version)""")
 def c2(spark, sf):
-    return gate.unsupported_numbers(*answers(spark, sf), ["conv_id", "turn"])
+    """Each document against the one before it as its source."""
+    d = docs(spark, sf)
+    return gate.unsupported_numbers(d, d.withColumn("doc_id", F.col("doc_id") + 1), ["doc_id"])
 
 
 @query("c3_unsupported_terms", f"""WITH RECURSIVE {TERMS_SQL}, {CLOSURE_SQL}, s AS (SELECT DISTINCT conv_id, turn, canonical FROM ({_ANSWERS}), terms WHERE regexp_matches(text, pattern)),
@@ -166,7 +169,17 @@ def guarded(spark, sf):
     return gate.guard(variants.withColumn("budget", F.lit(400)), sources, V.terms(spark), V.implies(spark), ["conv_id", "turn"], "budget")
 
 
-@query("c4_guard")
+_SHOWN = "CASE WHEN version IS NOT NULL THEN version WHEN value = floor(value) THEN value::BIGINT::VARCHAR{} ELSE value::VARCHAR END"
+
+
+@query("c4_guard", f"""WITH RECURSIVE {TERMS_SQL}, {CLOSURE_SQL}, {_GROUND}, sources AS ({_ANSWERS}), vn AS ({numbers_sql("(SELECT * FROM conversations WHERE role = 'assistant')", 'conv_id, turn')}), sn AS ({numbers_sql('sources', 'conv_id, turn')}),
+s AS (SELECT DISTINCT conv_id, turn, canonical FROM sources, terms WHERE regexp_matches(text, pattern)), h AS (SELECT * FROM s UNION SELECT conv_id, turn, implied FROM s JOIN closure USING (canonical)),
+more AS (SELECT conv_id, turn, 1 AS k, {_SHOWN.format(" || '.0'")} AS o, 'UNSUPPORTED_NUMBER:' || {_SHOWN.format('')} AS reason FROM vn
+WHERE NOT EXISTS (SELECT 1 FROM sn WHERE sn.conv_id = vn.conv_id AND sn.turn = vn.turn AND sn.value IS NOT DISTINCT FROM vn.value AND sn.version IS NOT DISTINCT FROM vn.version)
+UNION ALL SELECT DISTINCT conv_id, turn, 2, canonical, 'UNSUPPORTED_TECH:' || canonical FROM conversations c, terms WHERE role = 'assistant' AND regexp_matches(text, pattern) AND NOT EXISTS (SELECT 1 FROM h WHERE h.conv_id = c.conv_id AND h.turn = c.turn AND h.canonical = terms.canonical)
+UNION ALL SELECT conv_id, turn, 3, '', 'UNGROUNDED' FROM g WHERE grounded < 0.4::DOUBLE * words),
+form AS (SELECT conv_id, turn, {reasons_sql('text', '400')} AS f FROM conversations WHERE role = 'assistant'), m AS (SELECT conv_id, turn, list(reason ORDER BY k, o, reason) AS l FROM more GROUP BY ALL)
+SELECT conv_id, turn, array_to_string(CASE WHEN list_contains(f, 'EMPTY') THEN f ELSE list_concat(f, coalesce(l, [])) END, ',') AS reasons FROM form LEFT JOIN m USING (conv_id, turn)""")
 def c4(spark, sf):
     return guarded(spark, sf).select("conv_id", "turn", F.array_join("reasons", ",").alias("reasons"))
 
@@ -305,18 +318,36 @@ def d6(spark, sf):
 
 
 
+def _names_sql(source: str) -> str:
+    """The names in a table and the keys of their spellings."""
+    plain, parts = "regexp_replace(lower(name), '[\\s.-]', '', 'g')", "regexp_extract_all(regexp_replace(name, '([A-Z][a-z]+)', ' \\1 ', 'g'), '[A-Z][a-z]+|[a-z]+|[A-Z]+|\\d+')"
+    return f"""SELECT *, CASE WHEN len(parts) >= 2 THEN upper(list_aggregate(list_transform(parts, lambda p: left(p, 1)), 'string_agg', '')) END AS initials, CASE WHEN upper(name) = name AND regexp_matches(name, '[A-Z]') THEN name END AS capitals,
+CASE WHEN regexp_matches(plain, '^.{{2,}}(js|lang|ful)$') THEN regexp_replace(plain, '(js|lang|ful)$', '') END AS shorter, CASE WHEN regexp_matches(plain, '^[a-z]\\d+[a-z]$') THEN left(plain, 1) || regexp_replace(plain, '^.0*|.$', '', 'g') || right(plain, 1) END AS counted,
+CASE WHEN len(plain) >= 2 THEN left(plain, 1) || (len(plain) - 2) || right(plain, 1) END AS spelled
+FROM (SELECT name, {plain} AS plain, {parts} AS parts FROM (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z][A-Za-z.-]*[A-Za-z]')) AS name FROM {source}))"""
+
+
+_SPELT = (("punctuation", "plain", "plain"), ("affix", "shorter", "plain"), ("affix", "plain", "shorter"), ("numeronym", "counted", "spelled"), ("numeronym", "spelled", "counted"), ("initialism", "initials", "capitals"), ("initialism", "capitals", "initials"))
+_ALIASES = f"""l AS ({_names_sql('conversations')}), r AS ({_names_sql('benchmark')}),
+alias AS (SELECT a, b, string_agg(DISTINCT rule, '+' ORDER BY rule) AS rules FROM ({' UNION ALL '.join(f"SELECT l.name AS a, r.name AS b, '{rule}' AS rule FROM l JOIN r ON l.{p} = r.{q}" for rule, p, q in _SPELT)}) WHERE a <> b GROUP BY a, b)"""
+
+
 def names(spark, sf, source):
     found = table(spark, sf, source).select(F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Za-z][A-Za-z.-]*[A-Za-z]"), F.lit(0)))).alias("name"))
     return found.distinct()
 
 
-@query("d7_alias_rules")
+@query("d7_alias_rules", f"WITH {_ALIASES} SELECT a, b, rules FROM alias")
 def d7(spark, sf):
     """Names in conversations that spell names in benchmark items otherwise."""
     return dedup.alias_rules(names(spark, sf, "conversations"), names(spark, sf, "benchmark")).select("a", "b", F.array_join("rules", "+").alias("rules"))
 
 
-@query("d8_alias_suggestions")
+@query("d8_alias_suggestions", f"""WITH {_ALIASES}, x AS (SELECT name, stem, count(*) AS n FROM (SELECT name, unnest({stems_sql('name')}) AS stem FROM l) GROUP BY ALL), y AS (SELECT name, stem, count(*) AS n FROM (SELECT name, unnest({stems_sql('name')}) AS stem FROM r) GROUP BY ALL),
+alike AS (SELECT x.name AS a, y.name AS b, round(sum(x.n * y.n) / (sqrt(any_value(sx)) * sqrt(any_value(sy))), 6) AS s FROM x JOIN y USING (stem)
+JOIN (SELECT name, sum(n * n) AS sx FROM x GROUP BY 1) u ON u.name = x.name JOIN (SELECT name, sum(n * n) AS sy FROM y GROUP BY 1) v ON v.name = y.name GROUP BY x.name, y.name),
+near AS (SELECT l.name AS a, r.name AS b FROM l JOIN r ON l.name <> r.name LEFT JOIN alike ON alike.a = l.name AND alike.b = r.name QUALIFY row_number() OVER (PARTITION BY l.name ORDER BY coalesce(s, 0.0) DESC, r.name) <= 3)
+SELECT a, b, 'rule' AS tier, rules AS reason FROM alias UNION ALL SELECT a, b, 'hint', 'nearest' FROM near WHERE (a, b) NOT IN (SELECT (a, b) FROM alias)""")
 def d8(spark, sf):
     """Rules, and as hints the three names with the most similar stems, of all names in benchmark items."""
     left, right = names(spark, sf, "conversations"), names(spark, sf, "benchmark")

@@ -202,7 +202,22 @@ def a21(spark, sf):
     return docs(spark, sf).select("doc_id", F.posexplode(stems(F.col("text"))).alias("pos", "stem"))
 
 
-@query("a22_numbers")
+def numbers_sql(rows: str, keys: str) -> str:
+    """(keys, value, version), distinct, of the numbers in ``text`` of ``rows``.
+
+    DuckDB's patterns look neither ahead nor behind, so all marks are doubled: a border takes one and leaves one to the next match.
+    """
+    words = "|".join(V.NUMBER_WORDS)
+    pattern = f"(?i)(?:^|[^\\w.])(\\d+(?:(?:\\.\\.|,,)\\d+)*)(?:(?:\\s\\s)?([A-Za-z]{{1,4}}))?(?:\\W|$)|(?:^|[^\\w-])({words})(?:[^\\w-]|$)"
+    raw, unit, word = (f"unnest(regexp_extract_all(t, '{pattern}', {i}))" for i in (1, 2, 3))
+    value = "CASE lower(word) " + " ".join(f"WHEN '{w}' THEN {n}.0" for w, n in V.NUMBER_WORDS.items()) + " END"
+    factor = "CASE unit " + " ".join(f"WHEN '{u}' THEN {x}" for u, x in V.MULTIPLIERS.items()) + " ELSE 1.0 END"
+    return f"""SELECT DISTINCT {keys}, CASE WHEN word <> '' THEN {value}::DOUBLE WHEN dots <= 1 THEN replace(raw, ',', '')::DOUBLE * ({factor})::DOUBLE END AS value, CASE WHEN word = '' AND dots > 1 THEN raw END AS version
+FROM (SELECT *, len(raw) - len(replace(raw, '.', '')) AS dots FROM (SELECT {keys}, replace(replace(coalesce({raw}, ''), '..', '.'), ',,', ',') AS raw, coalesce({unit}, '') AS unit, coalesce({word}, '') AS word
+FROM (SELECT {keys}, regexp_replace(text, '(\\W)', '\\1\\1', 'g') AS t FROM {rows})))"""
+
+
+@query("a22_numbers", numbers_sql("documents", "doc_id"))
 def a22(spark, sf):
     return docs(spark, sf).select("doc_id", F.explode(numbers(F.col("text"))).alias("n")).select("doc_id", "n.value", "n.version")
 
