@@ -204,6 +204,29 @@ def test_scores_do_not_depend_on_batches():
         assert abs(model.scores([t])[0] - want) < 1e-4
 
 
+def test_classifier_query(spark):
+    """The query on the given tables: each score against the model's weights, folds, and the held-out ranking of the labels."""
+    import os
+
+    sf = "/root/testdata/sf0.01"
+    if not os.path.isdir(sf):
+        pytest.skip("no test tables")
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = quality_classifier.fitted(spark, docs, sf)
+    text = {r["doc_id"]: r["text"] for r in docs.collect()}
+    got = {r["doc_id"]: r for r in quality_classifier.op4_quality_classifier(spark, sf).collect()}
+    assert got.keys() == text.keys()
+    for i, (ids, counts) in zip(text, quality_classifier.document_features(list(text.values())), strict=True):
+        want = 1 / (1 + np.exp(-((model.value[ids].astype(float) @ counts) / max(counts.sum(), 1) + model.bias)))
+        assert abs(got[i]["score"] - want) < 1e-4 and got[i]["predicted"] == int(got[i]["score"] >= 0.5)
+        assert got[i]["held_out"] == (zlib.crc32(str(i).encode()) % 3 == 1)
+    held = [(got[r["doc_id"]]["score"], r["quality"]) for r in spark.read.parquet(f"{sf}/labels.parquet").collect() if got[r["doc_id"]]["held_out"]]
+    good, bad = ([s for s, y in held if y == k] for k in (1, 0))
+    auc = np.mean([(g > b) + (g == b) / 2 for g in good for b in bad])
+    print("held-out AUC", auc, len(good), len(bad))
+    assert auc > 0.9
+
+
 # --- 5: licences
 
 
@@ -396,6 +419,55 @@ def test_neighbours(spark, tmp_path):
         assert 0 <= got[d]["near_next"] <= 1 and 0 <= got[d]["near_edited"] <= 1
 
 
+def test_fingerprints_brute_force(spark, tmp_path):
+    """All columns against plain Python, with nulls, empty texts, ids that repeat and extra columns of clashing names."""
+    rng = random.Random(19)
+    vocabulary = [word(rng) + str(i) for i in range(300)]
+    rows = [(i * 2, " ".join(rng.choice(vocabulary) for _ in range(rng.randrange(0, 24))), "s") for i in range(90)]
+    rows += [(7 * 2, rows[3][1], "s"), (None, rows[5][1].upper(), "s"), (None, None, None), (500, None, "s"), (501, "", "s"), (502, "é " * 40 + rows[8][1], "s")]
+    frame = lambda rs: spark.createDataFrame(rs, DOCS).withColumn("part", F.lit(1)).withColumn("guest", F.lit(True)).withColumn("fingerprint", F.lit("x"))
+    frame(rows).repartition(5).write.parquet(str(tmp_path / "documents.parquet"))
+    held = {}
+    for _, t, _ in rows:
+        for w in set((t or "").encode().lower().split()):
+            held[w] = held.get(w, 0) + 1
+    band = {int(imatch.terms(w.decode())[0]) for w, n in held.items() if 2 <= n <= 0.05 * len(rows)}
+
+    def parts(text):
+        known = [x for x in imatch.terms(text).tolist() if x in band]
+        out = []
+        for seed, rate in zip(imatch._SEEDS, imatch.RATES, strict=True):
+            inside = [x for x in known if int(words.mix(np.array([x], np.uint64) ^ seed)[0]) < rate * 2**64]
+            out.append(hashlib.blake2b(np.array(inside, np.uint64).tobytes(), digest_size=4).hexdigest() if inside else "-" * 8)
+        return out
+
+    def likeness(a, b):
+        if a == b:
+            return 1.0
+        same = told = 0
+        for level in range(8):
+            x, y = a[level * 8 : level * 8 + 8], b[level * 8 : level * 8 + 8]
+            if level == 7 or (x.count("-" * 8) >= 2 and y.count("-" * 8) >= 2):
+                told += sum(p != "-" * 8 or q != "-" * 8 for p, q in zip(x, y, strict=True))
+                same += sum(p == q != "-" * 8 for p, q in zip(x, y, strict=True))
+        return same / told if told else 0.0
+
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1] or ""))
+    want = []
+    for (d, t, _), (_, u, _) in zip(order, order[1:] + order[:1], strict=True):
+        t, u = t or "", u or ""
+        cut = len(t) // 2
+        edited = t[: len(t) - cut] + u[:cut]
+        a, b, c = parts(t), parts(edited), parts(u)
+        want.append((str(d), len(t), hashlib.sha256(edited.encode()).hexdigest(), "".join(a), "".join(b), round(likeness(a, b), 9), round(likeness(a, c), 9)))
+    got = [(str(r["doc_id"]), r["n_chars"], r["edited_sha256"], r["fingerprint"], r["edited_fingerprint"], round(r["near_edited"], 9), round(r["near_next"], 9)) for r in imatch.op9_imatch(spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(want)
+    assert len({w[5] for w in want}) > 5 and len({w[3] for w in want}) > 60
+    for name, few in (("one", rows[:1]), ("none", [])):
+        frame(few).write.parquet(str(tmp_path / name / "documents.parquet"))
+        assert [r["near_next"] for r in imatch.op9_imatch(spark, str(tmp_path / name)).collect()] == [1.0] * len(few)
+
+
 # --- 10: URLs
 
 
