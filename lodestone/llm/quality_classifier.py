@@ -8,7 +8,7 @@ layer's by a tenth of the number of the document's different features. A pair of
 their hashes, so a word said twice is one feature whatever the word.
 
 Training takes a bounded sample: at most ``SAMPLE`` documents of each label, chosen by the MD5 of the id among the
-labelled rows of the training folds. The two labels weigh the same in training; the output is moved to the labels' real
+labelled rows of the training folds, and of these the first whose features take at most ``SAMPLE_BYTES``. The two labels weigh the same in training; the output is moved to the labels' real
 shares, counted over all training rows. Labels, language, source and id are never features. The sample is trained in one
 task; only the model, 4 bytes a bucket, comes to the driver.
 
@@ -29,13 +29,14 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestone.llm.words import word_hashes
 from lodestone.sources import table
 
 BUCKETS, DIM = 1 << 18, 8
-SAMPLE = 1500
+SAMPLE, SAMPLE_BYTES = 1500, 128 << 20
 EPOCHS, RATE = 8, 0.5
 GRAMS = (3, 4, 5)
 _SPACE = re.compile("[ \t-\r]")
@@ -162,8 +163,8 @@ def train(features: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, sha
     return Model(value.astype(np.float32), float(prior))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Train on ``labels`` (doc_id, label): at most ``sample`` documents of each label, so the one task that trains is bounded."""
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Model:
+    """Train on ``labels`` (doc_id, label): at most ``sample`` documents and ``sample_bytes`` of features a label, so the one task that trains is bounded."""
     known = labels.where("doc_id is not null and label is not null").groupBy("doc_id").agg(F.min("label").cast("int").alias("label"))
     counts = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
     total = max(1, counts.get(0, 0) + counts.get(1, 0))
@@ -194,7 +195,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # chosen: at most 2 * sample rows
     texts = texts.groupBy("doc_id", "label").agg(F.min("text").alias("text"))
     rows = texts.mapInArrow(features, "doc_id long, label int, ids binary, counts binary")
+    size = F.sum(F.octet_length("ids").cast("long") * 2).over(W.partitionBy("label").orderBy(order, "doc_id"))  # at most ``sample`` rows a label
+    rows = rows.withColumn("size", size).where(F.col("size") <= sample_bytes).drop("size")
     model = rows.repartition(1).sortWithinPartitions("doc_id").mapInArrow(trained, "value binary, bias double").first()
+    if model is None:  # no row trains, so no task ran
+        return Model(np.zeros(BUCKETS, np.float32), 0.0)
     return Model(np.frombuffer(model["value"], np.float32), model["bias"])
 
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from lodestone.llm import curriculum_mix, decontaminate, extendible_shards, imatch, license_scan, ngram_jaccard, quality_classifier, secret_scan, url_reputation, warc
+from lodestone.llm import (
+    cost_packing, curriculum_mix, decontaminate, extendible_shards, imatch, importance_resampling, license_scan, ngram_jaccard, quality_classifier, secret_scan, url_reputation,
+    warc, whitening,
+)
 
 QUERIES = {
     "op1_index_merge": warc.op1_index_merge,
@@ -15,6 +18,9 @@ QUERIES = {
     "op8_curriculum_mix": curriculum_mix.op8_curriculum_mix,
     "op9_imatch": imatch.op9_imatch,
     "op10_url_reputation": url_reputation.op10_url_reputation,
+    "op11_importance_resampling": importance_resampling.op11_importance_resampling,
+    "op12_whitening": whitening.op12_whitening,
+    "op13_cost_packing": cost_packing.op13_cost_packing,
 }
 ORACLES = {
     "op1_index_merge": warc.SQL,
@@ -22,4 +28,5 @@ ORACLES = {
     "op5_license_scan": license_scan.SQL,
     "op8_curriculum_mix": curriculum_mix.SQL,
     "op10_url_reputation": url_reputation.SQL,
+    "op11_importance_resampling": importance_resampling.SQL,
 }

@@ -3,7 +3,8 @@
 Labelled page outcomes (1 = bad) are counted by host. Each level borrows strength from the one above through a beta-binomial
 prior: suffix from all pages, registered domain from suffix, host from registered domain. The prior's mean is the parent's
 posterior mean; its strength comes from the spread of the children's rates (moments). A host is blocked if the lower bound
-of its posterior bad rate, ``mean - z * sd``, is above ``limit``.
+of its posterior bad rate, ``mean - z * sd``, is above ``excess`` times the bad rate of all labelled pages: it must be credibly
+worse than the whole. Where outcomes do not differ by host, nothing is blocked but by a rule.
 
 The hierarchy ignores a user name, a port and a final dot. Suffix: the last label, or the last two if they are one of
 ``SECOND_LEVEL``; registered domain: the suffix and one label more; a numeric address is its own domain below the suffix
@@ -23,7 +24,7 @@ from lodestone.sources import table
 
 #: (verdict, host, path): a rule fits the host and its subdomains if the URL's path starts with the rule's path.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
-LIMIT, Z = 0.15, 1.645
+EXCESS, Z = 1.0, 1.645
 #: Common public suffixes of two labels. A caller with the whole public list passes it.
 SECOND_LEVEL = ("ac.uk", "co.in", "co.jp", "co.kr", "co.nz", "co.uk", "co.za", "com.au", "com.br", "com.cn", "com.mx", "com.tr", "gov.uk", "net.au", "ne.jp", "or.jp", "org.au", "org.uk")
 ADDRESS = "(address)"
@@ -71,7 +72,7 @@ def _prior_strength(children: DataFrame) -> float:
 
 
 def reputation(pages: DataFrame, outcomes: DataFrame) -> DataFrame:
-    """(host, n, b, mean, sd) of each host: labelled pages, bad ones, and the posterior of its bad rate.
+    """(host, n, b, mean, sd, overall) of each host: labelled pages, bad ones, the posterior of its bad rate, and the bad rate of all.
 
     ``outcomes``: (page_id, bad). The posterior never reads the pages again: all levels come from the written per-host counts, and
     only the strengths of the three priors and the overall rate pass through the driver.
@@ -86,28 +87,29 @@ def reputation(pages: DataFrame, outcomes: DataFrame) -> DataFrame:
     domains = written(hosts.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("b").alias("b")), "domains")
     suffixes = written(domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("b").alias("b")), "suffixes")
     every = suffixes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("b"), F.lit(0))).first()
+    overall = (every[1] + 1) / (every[0] + 2)
     strengths = [_prior_strength(x) for x in (suffixes, domains, hosts)]
 
     def mean(prior, k: float):
         return (F.col("b") + k * prior) / (F.col("n") + k)
 
-    s = suffixes.select("suffix", mean(F.lit((every[1] + 1) / (every[0] + 2)), strengths[0]).alias("above"))
+    s = suffixes.select("suffix", mean(F.lit(overall), strengths[0]).alias("above"))
     d = domains.join(s, "suffix").select("suffix", "domain", mean(F.col("above"), strengths[1]).alias("above"))
     h = hosts.join(written(d, "domain_means"), ["suffix", "domain"]).select("host", "n", "b", mean(F.col("above"), strengths[2]).alias("mean"))
-    return h.select("host", "n", "b", "mean", F.sqrt(F.col("mean") * (1 - F.col("mean")) / (F.col("n") + strengths[2] + 1)).alias("sd"))
+    return h.select("host", "n", "b", "mean", F.sqrt(F.col("mean") * (1 - F.col("mean")) / (F.col("n") + strengths[2] + 1)).alias("sd"), F.lit(overall).alias("overall"))
 
 
-def filter_urls(pages: DataFrame, outcomes: DataFrame, rules=RULES, limit: float = LIMIT, z: float = Z) -> DataFrame:
-    """(page_id, host, path, rule, verdict, bad_rate, bound): a rule's verdict, else block where bound > limit.
+def filter_urls(pages: DataFrame, outcomes: DataFrame, rules=RULES, excess: float = EXCESS, z: float = Z) -> DataFrame:
+    """(page_id, host, path, rule, verdict, bad_rate, bound): a rule's verdict, else block where bound > excess * overall rate.
 
     The table of hosts is written first, so the join picks its strategy by the real size and splits a hot host.
     """
-    hosts = written(reputation(pages, outcomes).select("host", "mean", (F.col("mean") - z * F.col("sd")).alias("bound")), "reputation")
+    hosts = written(reputation(pages, outcomes).select("host", "mean", "overall", (F.col("mean") - z * F.col("sd")).alias("bound")), "reputation")
     judged = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")).join(hosts, "host", "left")
     hit = rule_of(F.col("host"), F.col("path"), rules)
     return judged.select(
         "page_id", "host", "path", hit["rule"].alias("rule"),
-        F.coalesce(hit["verdict"], F.when(F.col("bound") > limit, "block").otherwise("allow")).alias("verdict"),
+        F.coalesce(hit["verdict"], F.when(F.col("bound") > excess * F.col("overall"), "block").otherwise("allow")).alias("verdict"),
         F.col("mean").alias("bad_rate"), "bound",
     )
 
@@ -144,12 +146,12 @@ p0 AS (SELECT (sum(b) + 1) / (sum(n) + 2) AS p0 FROM hosts),
 s AS (SELECT suffix, (b + K * p0) / (n + K) AS m FROM suffixes, kk, p0 WHERE lev = 's'),
 d AS (SELECT suffix, domain, (domains.b + K * s.m) / (domains.n + K) AS m FROM domains JOIN s USING (suffix), kk WHERE lev = 'd'),
 h AS (SELECT host, (h.b + K * d.m) / (h.n + K) AS m, h.n + K AS a FROM hosts h JOIN d USING (suffix, domain), kk WHERE lev = 'h'),
-bound AS (SELECT host, m - {Z} * sqrt(m * (1 - m) / (a + 1)) AS bound FROM h),
-ruled AS (SELECT page_id, host, path, bound, CASE
+bound AS (SELECT host, m - {Z} * sqrt(m * (1 - m) / (a + 1)) AS bound, {EXCESS} * p0 AS most FROM h, p0),
+ruled AS (SELECT page_id, host, path, bound, most, CASE
   WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/de/') THEN 'example.com/de/'
   WHEN (host = 'example.net' OR ends_with(host, '.example.net')) AND starts_with(path, '/en/') THEN 'example.net/en/'
   WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/'
   WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule FROM parts LEFT JOIN bound USING (host))
 SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
-  WHEN bound > {LIMIT} THEN 'block' ELSE 'allow' END AS verdict FROM ruled
+  WHEN bound > most THEN 'block' ELSE 'allow' END AS verdict FROM ruled
 """

@@ -193,6 +193,28 @@ def test_classifier(spark):
     assert quality_classifier.classify(docs.limit(0), model).count() == 0
 
 
+def test_quality_without_training_rows(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"words of {i}", None) for i in range(30)] + [(None, None, None)], DOCS).withColumn("label", F.lit(1)).withColumn("score", F.lit("x"))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(30)] + [(99, 1)], "doc_id long, label int")
+    held = labels.where(quality_classifier.fold(F.col("doc_id")) == 1)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    held.withColumnRenamed("label", "quality").write.parquet(f"{tmp_path}/labels.parquet")
+    for known in (labels.limit(0), held.where(quality_classifier.fold(F.col("doc_id")) != 1), labels.where("doc_id = 99"), labels.withColumn("label", F.lit(None).cast("int"))):
+        model = quality_classifier.fit(docs, known)
+        out = quality_classifier.classify(docs, model).collect()
+        assert len(out) == 31 and len({r["score"] for r in out}) == 1 and (known.where("doc_id = 99 and label is not null").count() or out[0]["score"] == 0.5)
+    out = quality_classifier.op4_quality_classifier(spark, str(tmp_path)).collect()
+    assert len(out) == 31 and {(r["score"], r["predicted"]) for r in out} == {(0.5, 1)}
+
+
+def test_training_is_bounded_in_bytes(spark):
+    docs = spark.createDataFrame([(i, " ".join(f"{'good' if i % 2 else 'bad'}{j % 5}" for j in range(30)), None) for i in range(60)], DOCS)
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("label"))
+    none, few = quality_classifier.fit(docs, labels, sample_bytes=0), quality_classifier.fit(docs, labels, sample_bytes=4000)
+    assert not none.value.any() and few.value.any()
+    assert all((few.scores([r["text"]])[0] >= 0.5) == (r["doc_id"] % 2 == 1) for r in docs.collect())
+
+
 def test_scores_do_not_depend_on_batches():
     rng = np.random.Generator(np.random.PCG64(1))
     model = quality_classifier.Model(rng.normal(size=quality_classifier.BUCKETS).astype(np.float32), 0.1)
@@ -488,10 +510,15 @@ def test_reputation_shrinks(spark):
         bad.append((i, int((i * 7919) % 100 < (80 if "bad" in host else 5))))
     got = {r["host"]: r for r in url_reputation.reputation(spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame(bad, "page_id long, bad int")).collect()}
     assert got["bad.com"]["mean"] > 0.6 > 0.2 > got["good.com"]["mean"] and got["rare.bad.com"]["sd"] > got["bad.com"]["sd"]
+    urls = spark.createDataFrame(rows, "page_id long, url string").withColumn("host", F.lit("x")).withColumn("bad", F.lit(1)).withColumn("overall", F.lit(2.0))
+    judged = {(r["host"], r["verdict"]) for r in url_reputation.filter_urls(urls, spark.createDataFrame(bad, "page_id long, bad int"), rules=()).collect()}
+    assert judged == {("bad.com", "block"), ("rare.bad.com", "block"), ("good.com", "allow"), ("good.org", "allow"), ("a.good.org", "allow")}
+    same = spark.createDataFrame([(i, int(i * 7919 % 100 < 24)) for i in range(2000)], "page_id long, bad int")  # outcomes do not differ by host
+    assert {r["verdict"] for r in url_reputation.filter_urls(urls, same, rules=()).collect()} == {"allow"}
     assert url_reputation.reputation(spark.createDataFrame([], "page_id long, url string"), spark.createDataFrame([], "page_id long, bad int")).count() == 0
 
 
-@pytest.mark.parametrize("name", ["op2_extendible_shards", "op5_license_scan", "op8_curriculum_mix", "op10_url_reputation", "op1_index_merge"])
+@pytest.mark.parametrize("name", ["op2_extendible_shards", "op5_license_scan", "op8_curriculum_mix", "op10_url_reputation", "op11_importance_resampling", "op1_index_merge"])
 def test_sql_twins(spark, name):
     import os
 
