@@ -1,21 +1,14 @@
-"""Admission, audits, location of passages, and comparison of snapshots."""
+"""Admission, audits, and comparison of snapshots."""
 
 from __future__ import annotations
 
-import unicodedata
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lodestone.durable import written
 from lodestone.operators.folds import ordered_fold
-from lodestone.operators.terms import split_lines
-
-#: Characters of a passage's beginning that must stand in one line, and lines that a passage may span.
-START, SPAN = 14, 8
+from lodestone.operators.ranges import running
 
 
 def admit(records: DataFrame, rules: list[tuple[str, Column]]) -> tuple[DataFrame, DataFrame]:
@@ -65,70 +58,6 @@ def anchor_clusters(points: DataFrame, threshold: int) -> DataFrame:
     return ordered_fold(points.select("key", "at", "id"), ["key"], ["at", "id"], lambda: None, step, "cluster long")
 
 
-@F.pandas_udf(T.StringType())
-def _nfkc(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: unicodedata.normalize("NFKC", t) if isinstance(t, str) else t)
-
-
-def squeezed(df: DataFrame, text: str, out: str) -> DataFrame:
-    """Adds ``out``: the text in NFKC, without white space, with look-alikes of the hyphen folded. ASCII rows skip Python."""
-    plain = F.coalesce(F.col(text).rlike("^[\\x00-\\x7F]*$"), F.lit(True))
-    fold = lambda c: F.regexp_replace(F.regexp_replace(c, "[\\u2010-\\u2015\\u2212\\u00AD\\uFE63\\uFF0D]", "-"), "\\s+", "")
-    return df.where(plain).withColumn(out, fold(F.col(text))).unionByName(df.where(~plain).withColumn(out, fold(_nfkc(F.col(text)))))
-
-
-def passage_hits(docs: DataFrame, passages: DataFrame) -> DataFrame:
-    """(doc_id, item_id, first, last): every line from which a passage is held within ``SPAN`` lines, and the last line it needs.
-
-    Lines' 14-character pieces are joined to the passages' beginnings by equality. ``passages`` (item_id, text) is a stated
-    set of queries.
-    """
-    lines = squeezed(split_lines(docs), "line", "s").select("doc_id", "line_no", "s")
-    lines = written(lines, "lines")
-    wanted = squeezed(passages.select("item_id", "text"), "text", "p").where(f"length(p) >= {START}").select("item_id", "p", F.substring("p", 1, START).alias("gram"))
-    pieces = lines.where(f"length(s) >= {START}").select("doc_id", "line_no", F.explode(F.expr(f"array_distinct(transform(sequence(1, length(s) - {START - 1}), i -> substring(s, i, {START})))")).alias("gram"))
-    starts = pieces.join(wanted, "gram").select("doc_id", "line_no", "item_id", "p").distinct()
-    ahead = starts.select("doc_id", "item_id", "p", F.col("line_no").alias("first"), F.explode(F.sequence(F.col("line_no"), F.col("line_no") + SPAN - 1)).alias("line_no"))
-    body = ahead.join(lines, ["doc_id", "line_no"])
-    parts = body.groupBy("doc_id", "item_id", "first", "p").agg(F.array_sort(F.collect_list(F.struct("line_no", "s"))).alias("x"))  # at most SPAN lines
-    upto = F.transform(F.sequence(F.lit(1), F.size("x")), lambda n: F.array_join(F.transform(F.slice("x", F.lit(1), n), lambda z: z["s"]), ""))
-    need = F.array_position(F.transform(upto, lambda s: F.contains(s, F.col("p"))), True)
-    return parts.select("doc_id", "item_id", "first", need.alias("n")).where("n > 0").select("doc_id", "item_id", "first", (F.col("first") + F.col("n") - 1).cast("int").alias("last"))
-
-
-def locate_passages(hits: DataFrame) -> DataFrame:
-    """(doc_id, item_id, first, last): the first place of each passage in each document."""
-    return hits.groupBy("doc_id", "item_id").agg(F.min(F.struct("first", "last")).alias("b")).select("doc_id", "item_id", "b.first", "b.last")
-
-
-def locate_in_order(hits: DataFrame, passages: DataFrame) -> DataFrame:
-    """(doc_id, item_id, first, last) of passages looked for in order of ``ord``: each search starts after the place found before.
-
-    A passage that is not found from there leaves the cursor and has nulls. ``passages``: (item_id, ord).
-    """
-    places = hits.groupBy("doc_id", "item_id").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("places"))
-    flat = F.array_join(F.transform("places", lambda p: F.concat_ws(":", p["first"].cast("string"), p["last"].cast("string"))), ",")
-    rows = places.join(F.broadcast(passages.select("item_id", "ord")), "item_id").select("doc_id", "ord", "item_id", flat.alias("places"))
-
-    def step(cursor: int, row: tuple) -> tuple:
-        for place in row[3].split(","):
-            first, last = map(int, place.split(":"))
-            if first >= cursor:
-                return last + 1, (str(first), str(last))
-        return cursor, (None, None)
-
-    out = ordered_fold(rows, ["doc_id"], ["ord"], lambda: 0, step, "first string, last string")
-    return out.select("doc_id", "item_id", F.col("first").cast("int").alias("first"), F.col("last").cast("int").alias("last"))
-
-
-def exclusive_span(span: Column, passage: Column, marker: str = "[-*\\u2022]") -> Column:
-    """Whether a span holds hardly more than the passage: at most 3 characters are left, no letter or digit beside a marker."""
-    at = F.position(passage, span)
-    rest = F.concat(F.substring(span, F.lit(1), at - 1), F.substring(span, at + F.length(passage), F.length(span)))
-    bare = F.regexp_replace(rest, marker, "")
-    return F.contains(span, passage) & (F.length(rest) <= 3) & ~bare.rlike("[\\p{L}\\p{N}]")
-
-
 def snapshot_drift(before: DataFrame, after: DataFrame, edited: DataFrame, tolerance: float = 0.5) -> DataFrame:
     """(doc_id, lines, worst, problem): whether unedited lines (doc_id, page, line_no, y, line) are still there, in place and order.
 
@@ -198,6 +127,6 @@ def url_quality(pages: DataFrame) -> DataFrame:
 def notes_limits(rows: DataFrame, words: int = 1500, most: int = 8) -> DataFrame:
     """(owner, id, reason) of notes (owner, id, text, link): too long, more than ``most`` of the owner, or a bad link, in this order."""
     n = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "\\s+"), lambda w: w != ""))
-    nth = F.row_number().over(W.partitionBy("owner").orderBy("id"))
     reason = F.when(F.col("n") > words, "NOTES_TOO_LONG").when(F.col("nth") > most, "TOO_MANY").when(F.col("link").isNotNull() & ~url_ok(F.col("link")), "BAD_LINK")
-    return rows.withColumn("n", n).withColumn("nth", nth).select("owner", "id", reason.alias("reason"))
+    slim = written(rows.select("owner", "id", n.alias("n"), "link"), "notes")
+    return running(slim, ["owner"], [F.col("id")], F.lit(1), "nth").select("owner", "id", reason.alias("reason"))

@@ -9,19 +9,41 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestone.durable import remove, written
+from lodestone.operators.ranges import running
 
 HIT10, BAND10 = 9, 8
 BAND_SIMILARITY = 0.95
 
 
-def similar_postings(weights: DataFrame, postings: DataFrame, tenths: int = BAND10) -> DataFrame:
-    """(a, b, low, high), a < b: pairs of postings whose weighted Jaccard similarity low / high is at least tenths / 10.
+def posting_classes(weights: DataFrame, postings: DataFrame) -> DataFrame:
+    """(doc_id, cls): the smallest id of the postings with the same weighted terms; those without terms are one class.
 
-    A posting's terms are ordered from rare to common; the terms after which what remains weighs less than the threshold's
-    share of all cannot be the only common ones, so pairs come from an equi-join on the terms before. Totals too far apart
-    are left out before the exact sums. Postings without terms are all equal: each is tied to the smallest such id.
+    Sets are compared by 128-bit fingerprints, so a class of any size is one row a posting and no pair.
     """
-    weights = written(weights, "weights")  # read three times
+    return _classes(weights.select("doc_id", F.col("term").alias("x"), "w10"), postings)
+
+
+def text_classes(counts: DataFrame, classes: DataFrame) -> DataFrame:
+    """(doc_id, cls): the smallest id of the postings of one class with the same stem counts (doc_id, stem, n)."""
+    own = classes.select("doc_id", F.col("cls").cast("string").alias("x"), F.lit(-1).cast("long").alias("n"))
+    return _classes(counts.select("doc_id", F.col("stem").alias("x"), "n").unionByName(own), classes)
+
+
+def _classes(rows: DataFrame, postings: DataFrame) -> DataFrame:
+    prints = rows.groupBy("doc_id").agg(F.md5(F.to_json(F.array_sort(F.collect_list(F.struct(*[c for c in rows.columns if c != "doc_id"]))))).alias("print"))  # one posting's rows
+    marked = written(postings.select("doc_id").distinct().join(prints, "doc_id", "left").fillna(""), "prints")
+    first = marked.groupBy("print").agg(F.min("doc_id").alias("cls"))
+    return written(marked.join(first, "print").select("doc_id", "cls"), "classes")
+
+
+def similar_postings(weights: DataFrame, classes: DataFrame, tenths: int = BAND10) -> DataFrame:
+    """(a, b, low, high), a < b: classes of postings whose weighted Jaccard similarity low / high is at least tenths / 10.
+
+    A class goes by its smallest id; its members are alike and make no rows here. A class's terms are ordered from rare to common;
+    the terms after which what remains weighs less than the threshold's share of all cannot be the only common ones, so pairs come
+    from an equi-join on the terms before. Totals too far apart are left out before the exact sums.
+    """
+    weights = written(weights.join(classes.where("doc_id = cls").select("doc_id"), "doc_id", "left_semi"), "weights")  # read three times
     df = weights.groupBy("term").agg(F.count("*").alias("df"))
     order = W.partitionBy("doc_id").orderBy("df", "term")
     total = F.sum("w10").over(W.partitionBy("doc_id"))
@@ -32,20 +54,23 @@ def similar_postings(weights: DataFrame, postings: DataFrame, tenths: int = BAND
     pairs = left.join(right, "term").where((F.col("a") < F.col("b")) & (F.least("ta", "tb") * 10 >= F.greatest("ta", "tb") * tenths)).select("a", "b", "ta", "tb").distinct()
     wa, wb = ranked.select(F.col("doc_id").alias("a"), "term", F.col("w10").alias("wa")), ranked.select(F.col("doc_id").alias("b"), "term", F.col("w10").alias("wb"))
     sums = pairs.join(wa, "a").join(wb, ["b", "term"]).groupBy("a", "b", "ta", "tb").agg(F.sum(F.least("wa", "wb")).alias("low"))
-    found = sums.withColumn("high", F.col("ta") + F.col("tb") - F.col("low")).where(F.col("low") * 10 >= F.col("high") * tenths).select("a", "b", "low", "high")
-    empty = without_terms(weights, postings)
-    first = empty.agg(F.min("doc_id").alias("a"))
-    ties = empty.crossJoin(F.broadcast(first)).where("doc_id <> a").select("a", F.col("doc_id").alias("b"), F.lit(0).cast("long").alias("low"), F.lit(0).cast("long").alias("high"))  # first: one row
-    return found.unionByName(ties)
+    return sums.withColumn("high", F.col("ta") + F.col("tb") - F.col("low")).where(F.col("low") * 10 >= F.col("high") * tenths).select("a", "b", "low", "high")
+
 
+def band_pairs(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b, low, high): the pairs of classes that are sure hits, and for those of the band the pairs of their text classes.
 
-def without_terms(weights: DataFrame, postings: DataFrame) -> DataFrame:
-    """(doc_id) of the postings without terms, all of which are equal."""
-    return postings.select("doc_id").join(weights.select("doc_id"), "doc_id", "left_anti")
+    ``classes`` and ``texts``: (doc_id, cls) by terms, and by terms and stem counts.
+    """
+    sure = F.col("low") * 10 >= F.col("high") * HIT10
+    kinds = texts.where("doc_id = cls").select("doc_id").join(classes, "doc_id")
+    left, right = kinds.select(F.col("doc_id").alias("x"), F.col("cls").alias("a")), kinds.select(F.col("doc_id").alias("y"), F.col("cls").alias("b"))
+    wide = pairs.where(~sure).join(left, "a").join(right, "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "low", "high")
+    return pairs.where(sure).unionByName(wide)
 
 
 def reuse_decision(pairs: DataFrame, similarity: DataFrame) -> DataFrame:
-    """(a, b, decision): HIT at 0.9 or for two empty sets; in the band from 0.8 HIT if the requirements' similarity is 0.95; else MISS.
+    """(a, b, decision): HIT at 0.9; in the band from 0.8 HIT if the requirements' similarity is 0.95; else MISS.
 
     ``similarity``: (a, b, cosine), needed only for the pairs of the band.
     """
@@ -54,30 +79,66 @@ def reuse_decision(pairs: DataFrame, similarity: DataFrame) -> DataFrame:
     return out.select("a", "b", F.when(sure | (F.coalesce("cosine", F.lit(0.0)) >= BAND_SIMILARITY), "HIT").otherwise("MISS").alias("decision"))
 
 
-def _equal_ties(postings: DataFrame, empty: DataFrame, *owner: str) -> DataFrame:
-    """(a, b): the first by ``ord`` of the postings in ``empty``, in all or of each owner, with each other one."""
-    held = postings.join(empty.select("doc_id").distinct(), "doc_id", "left_semi")
-    first = held.groupBy(*owner).agg(F.min(F.struct("ord", "doc_id"))["doc_id"].alias("a"))
-    tied = held.join(first, list(owner)) if owner else held.crossJoin(F.broadcast(first))  # one row
-    return tied.where("doc_id <> a").select("a", F.col("doc_id").alias("b"))
+def memberships(decided: DataFrame, classes: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(members (doc_id, cls), links (a, b)) in one space of class names: t of equal terms, s of equal terms and stem counts.
+
+    ``decided``: (a, b, low, high, decision) of ``band_pairs``. Members of one class of equal terms hit each other.
+    """
+    name = lambda kind, c: F.concat(F.lit(kind), F.col(c).cast("string"))
+    kind = F.when(F.col("low") * 10 >= F.col("high") * HIT10, "t").otherwise("s")
+    links = decided.where("decision = 'HIT'").select(F.concat(kind, F.col("a").cast("string")).alias("a"), F.concat(kind, F.col("b").cast("string")).alias("b"))
+    members = classes.select("doc_id", name("t", "cls").alias("cls")).unionByName(texts.select("doc_id", name("s", "cls").alias("cls")))
+    return written(members, "members"), written(links, "links")
+
 
+def _around(links: DataFrame, classes: DataFrame) -> DataFrame:
+    """(cls, near): each class with itself and the classes linked to it."""
+    pairs = links.select("a", "b")
+    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    own = classes.select(F.col("cls").alias("a"), F.col("cls").alias("b"))
+    return both.unionByName(own).distinct().select(F.col("a").alias("cls"), F.col("b").alias("near"))
 
-def batch_reuse(postings: DataFrame, hits: DataFrame, empty: DataFrame | None = None) -> DataFrame:
+
+def _members(postings: DataFrame, members: DataFrame | None) -> DataFrame:
+    return postings.select("doc_id", F.col("doc_id").alias("cls")) if members is None else members
+
+
+def batch_reuse(postings: DataFrame, links: DataFrame, members: DataFrame | None = None) -> DataFrame:
     """(doc_id, reused): for each posting the earliest one before it in input order (``ord``) that it hits, else null.
 
-    ``empty``: (doc_id) of the postings without terms, which all hit each other; the hits need not list their pairs.
+    Postings of one class, or of two linked ones (a, b), hit each other; without ``members`` each is its own class.
+    Of a class only its first posting can be the earliest, so no pairs of postings are made.
     """
-    if empty is not None:
-        hits = hits.select("a", "b").unionByName(_equal_ties(postings, empty))
-    both = hits.select("a", "b").unionByName(hits.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    order = postings.select("doc_id", "ord")
-    found = (
-        both.join(order.select(F.col("doc_id").alias("a"), F.col("ord").alias("oa")), "a").join(order.select(F.col("doc_id").alias("b"), F.col("ord").alias("ob")), "b")
-        .where("oa < ob").groupBy(F.col("b").alias("doc_id")).agg(F.min_by("a", "oa").alias("reused"))
-    )
+    inside = _members(postings, members).join(postings.select("doc_id", "ord"), "doc_id")
+    first = inside.groupBy("cls").agg(F.min(F.struct("ord", "doc_id")).alias("first"))
+    near = _around(links, first).join(first.select(F.col("cls").alias("near"), "first"), "near").groupBy("cls").agg(F.min("first").alias("first"))
+    found = inside.join(near, "cls").where(F.col("first")["ord"] < F.col("ord")).groupBy("doc_id").agg(F.min("first")["doc_id"].alias("reused"))
     return postings.select("doc_id").join(found, "doc_id", "left")
 
 
+def class_leaders(members: DataFrame, links: DataFrame, group: str) -> DataFrame:
+    """(group, node, leads): a node leads iff no earlier node of its classes, or of classes linked to them, leads in its group.
+
+    ``members``: (group, node, cls), ``links``: (a, b) of classes. In each round a class tells its earliest leading and its earliest
+    undecided node, so a class of any size costs a row a member and round. A node is decided once a leader is before it or all
+    before it are decided. Each round is written and its lineage cut.
+    """
+    members = written(members.select(group, "node", "cls").distinct(), "members")
+    around = written(_around(links, members.select("cls").distinct()), "around")
+    state = written(members.select(group, "node").distinct().withColumn("leads", F.lit(None).cast("boolean")), "leaders")
+    while True:
+        told = members.join(state, [group, "node"]).groupBy(group, "cls").agg(F.min(F.when(F.col("leads"), F.col("node"))).alias("lead"), F.min(F.when(F.col("leads").isNull(), F.col("node"))).alias("open"))
+        near = told.withColumnRenamed("cls", "near").join(around, "near").groupBy(group, "cls").agg(F.min("lead").alias("lead"), F.min("open").alias("open"))
+        seen = members.join(near, [group, "cls"]).groupBy(group, "node").agg(F.min("lead").alias("lead"), F.min("open").alias("open"))
+        led, free = F.coalesce(F.col("lead") < F.col("node"), F.lit(False)), F.coalesce(F.col("open") >= F.col("node"), F.lit(True))
+        leads = F.when(F.col("leads").isNotNull(), F.col("leads")).when(led, False).when(free, True)
+        after = written(state.join(seen, [group, "node"]).select(group, "node", leads.alias("leads")), "leaders")
+        remove(state)
+        state = after
+        if state.where("leads is null").isEmpty():
+            return state
+
+
 def leaders(nodes: DataFrame, edges: DataFrame, group: str) -> DataFrame:
     """(group, node, leads): a node leads iff no earlier neighbour (smaller node) leads; the sequential rule in parallel rounds.
 
@@ -98,21 +159,19 @@ def leaders(nodes: DataFrame, edges: DataFrame, group: str) -> DataFrame:
             return state
 
 
-def live_reuse(postings: DataFrame, hits: DataFrame, empty: DataFrame | None = None) -> DataFrame:
+def live_reuse(postings: DataFrame, links: DataFrame, members: DataFrame | None = None) -> DataFrame:
     """(doc_id, reused): the newest earlier posting of the same owner that was not itself reused and that it hits.
 
-    ``postings``: (owner, doc_id, ord). Those not reused are the leaders of the hits within an owner. ``empty``: (doc_id) of the
-    postings without terms, which all hit each other: of an owner's the first leads the others, so a tie to it is enough.
+    ``postings``: (owner, doc_id, ord). Those not reused are the leaders of the hits within an owner; a class has one leader
+    an owner, as its members hit each other. ``links`` and ``members`` as in ``batch_reuse``.
     """
-    if empty is not None:
-        hits = hits.select("a", "b").unionByName(_equal_ties(postings, empty, "owner"))
-    left, right = (postings.select(F.col("owner"), F.col("doc_id").alias(k), F.col("ord").alias(f"o{k}")) for k in "ab")
-    inside = hits.select("a", "b").join(left, "a").join(right, ["b", "owner"])
-    edges = inside.select("owner", F.least("oa", "ob").alias("a"), F.greatest("oa", "ob").alias("b"))
-    lead = leaders(postings.select("owner", F.col("ord").alias("node")), edges, "owner").where("leads").select("owner", F.col("node").alias("a"))
-    newest = edges.join(lead, ["owner", "a"]).groupBy("owner", F.col("b").alias("ord")).agg(F.max("a").alias("first"))
-    names = postings.select("owner", F.col("ord").alias("first"), F.col("doc_id").alias("reused"))
-    return postings.join(newest, ["owner", "ord"], "left").join(names, ["owner", "first"], "left").select("doc_id", "reused")
+    inside = _members(postings, members).join(postings.select("owner", "doc_id", "ord"), "doc_id")
+    lead = class_leaders(inside.select("owner", F.col("ord").alias("node"), "cls"), links, "owner").where("leads").select("owner", F.col("node").alias("ord"))
+    led = inside.join(lead, ["owner", "ord"]).select("owner", F.col("cls").alias("near"), F.struct("ord", "doc_id").alias("lead"))
+    near = led.join(_around(links, inside.select("cls").distinct()), "near").groupBy("owner", "cls").agg(F.array_sort(F.collect_set("lead")).alias("leads"))  # a lead a linked class
+    newest = F.array_max(F.filter("leads", lambda x: x["ord"] < F.col("ord")))
+    found = inside.join(near, ["owner", "cls"]).groupBy("doc_id").agg(F.max(newest)["doc_id"].alias("reused"))
+    return postings.select("doc_id").join(found, "doc_id", "left")
 
 
 def achievement_groups(nodes: DataFrame, ties: DataFrame) -> DataFrame:
@@ -182,14 +241,14 @@ def match_titles(sections: DataFrame, datasets: DataFrame, most: int = 8) -> Dat
     Both tables are (owner_id, id, ord, title). What is left is an ``unmatched section``, a ``new section`` while the owner has
     fewer than ``most``, or an ``unmatched dataset``.
     """
-    nth = F.row_number().over(W.partitionBy("owner_id", "key").orderBy("ord", "id"))
-    side = lambda t, name: t.withColumn("key", title_key(F.col("title"))).withColumn("n", nth).select("owner_id", "key", "n", F.col("id").alias(name), F.col("ord").alias(f"{name}_ord"))
-    both = side(sections, "section_id").join(side(datasets, "dataset_id"), ["owner_id", "key", "n"], "full")
-    own = sections.groupBy("owner_id").agg(F.count("*").alias("have"))
-    extra = F.sum(F.when(F.col("section_id").isNull(), 1).otherwise(0)).over(W.partitionBy("owner_id").orderBy(F.col("dataset_id_ord").asc_nulls_first(), "dataset_id").rowsBetween(W.unboundedPreceding, W.currentRow))
-    out = both.join(own, "owner_id", "left").withColumn("extra", extra)
-    outcome = (
-        F.when(F.col("section_id").isNotNull() & F.col("dataset_id").isNotNull(), "matched").when(F.col("dataset_id").isNull(), "unmatched section")
-        .when(F.coalesce("have", F.lit(0)) + F.col("extra") <= most, "new section").otherwise("unmatched dataset")
-    )
-    return out.select("owner_id", "section_id", "dataset_id", outcome.alias("outcome"))
+    first = F.lit(1)
+    side = lambda t, name: running(t.withColumn("key", title_key(F.col("title"))).select("owner_id", "key", "ord", "id"), ["owner_id", "key"], [F.col("ord"), F.col("id")], first, "n").select("owner_id", "key", "n", F.col("id").alias(name), F.col("ord").alias(f"{name}_ord"))
+    keys = [F.col(f"s.{k}").eqNullSafe(F.col(f"d.{k}")) for k in ("owner_id", "key", "n")]
+    both = side(sections, "section_id").alias("s").join(side(datasets, "dataset_id").alias("d"), keys, "full")
+    both = written(both.select(F.coalesce("s.owner_id", "d.owner_id").alias("owner_id"), "section_id", "dataset_id", "dataset_id_ord"), "titles")
+    kept = both.where("section_id is not null").select("owner_id", "section_id", "dataset_id", F.when(F.col("dataset_id").isNotNull(), "matched").otherwise("unmatched section").alias("outcome"))
+    extra = running(both.where("section_id is null"), ["owner_id"], [F.col("dataset_id_ord").asc_nulls_first(), F.col("dataset_id")], first, "extra").alias("e")
+    own = sections.groupBy("owner_id").agg(F.count("*").alias("have")).alias("o")
+    new = extra.join(own, F.col("e.owner_id").eqNullSafe(F.col("o.owner_id")), "left")
+    outcome = F.when(F.coalesce("have", F.lit(0)) + F.col("extra") <= most, "new section").otherwise("unmatched dataset")
+    return kept.unionByName(new.select("e.owner_id", "section_id", "dataset_id", outcome.alias("outcome")))

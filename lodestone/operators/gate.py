@@ -1,16 +1,17 @@
 """Checks of written texts against their sources: format, numbers, terms, grounding, consistency, copies, and reports on them.
 
-Variants are rows (keys..., text); their sources are rows (keys..., text). A null text counts as empty.
+Texts are rows (keys..., text); their sources are rows (keys..., text). A null text counts as empty.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestone.durable import written
 from lodestone.functions.text import numbers, stems, tokens
-from lodestone.operators.dedup import leaders
+from lodestone.operators.dedup import class_leaders
 from lodestone.operators.similarity import grounding
 from lodestone.operators.terms import implied_terms, match_terms
 
@@ -30,7 +31,7 @@ def format_reasons(text: Column, budget: Column | None = None) -> Column:
 
 
 def unsupported_numbers(variants: DataFrame, sources: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, value, version): numbers that the sources of a variant do not hold."""
+    """(keys, value, version): numbers that a text's sources do not hold."""
     rows = lambda t: t.select(*keys, F.explode(numbers(F.col("text"))).alias("n")).select(*keys, "n.value", "n.version").distinct()
     a, b = rows(variants).alias("a"), rows(sources).alias("b")
     same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in (*keys, "value", "version")]
@@ -38,19 +39,19 @@ def unsupported_numbers(variants: DataFrame, sources: DataFrame, keys: list[str]
 
 
 def unsupported_terms(variants: DataFrame, sources: DataFrame, terms: DataFrame, closure: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, canonical): terms that the sources neither name nor imply; implication never widens the variant."""
+    """(keys, canonical): terms that the sources neither name nor imply; implication never widens the text."""
     known = implied_terms(match_terms(sources, terms, keys), closure, keys)
     return match_terms(variants, terms, keys).join(known, [*keys, "canonical"], "left_anti")
 
 
 def ungrounded(variants: DataFrame, sources: DataFrame, keys: list[str], least: float = GROUNDED) -> DataFrame:
-    """(keys) of the variants whose share of grounded stems is under ``least``; a variant without stems is grounded."""
+    """(keys) of the texts whose share of grounded stems is under ``least``; a text without stems is grounded."""
     rows = lambda t: t.select(*keys, F.explode(stems(F.col("text"))).alias("stem"))
     return grounding(rows(variants), rows(sources), keys).where(F.col("grounded") < least * F.col("words")).select(*keys)
 
 
 def guard(variants: DataFrame, sources: DataFrame, terms: DataFrame, closure: DataFrame, keys: list[str], budget: str | None = None) -> DataFrame:
-    """(keys, reasons): every variant with its reasons in a fixed order; an empty one has only EMPTY, a clean one none."""
+    """(keys, reasons): every text with its reasons in a fixed order; an empty one has only EMPTY, a clean one none."""
     form = variants.select(*keys, format_reasons(F.col("text"), F.col(budget) if budget else None).alias("form"))
     whole = F.col("value") == F.floor("value")
     shown = F.coalesce("version", F.when(whole, F.col("value").cast("long").cast("string")).otherwise(F.col("value").cast("string")))
@@ -67,7 +68,7 @@ def guard(variants: DataFrame, sources: DataFrame, terms: DataFrame, closure: Da
 
 
 def sibling_consistency(variants: DataFrame) -> DataFrame:
-    """The variants (owner_id, cand_id, length, text) without those whose kept shorter sibling is not grounded in them.
+    """The texts (owner_id, cand_id, length, text) without those whose kept shorter sibling is not grounded in them.
 
     Pairs go by ascending lengths. A pair is skipped once either side is gone. At most three lengths of a candidate count;
     more are refused.
@@ -96,21 +97,24 @@ def drop_duplicates_in_order(cands: DataFrame, percent: int = 80) -> DataFrame:
     """(owner_id, cand_id, pos, dropped) of candidates (owner_id, cand_id, pos, length, text).
 
     One is dropped if it shares a length with an earlier kept one of its owner whose token Jaccard similarity is at least
-    ``percent``. Pairs come from an equi-join on each text's rarest tokens that must hold a common one.
+    ``percent``. Texts of one owner and length with equal token sets are a class, which costs a row a text and no pair; classes are
+    paired by an equi-join on each one's rarest tokens, of which a similar one must hold one.
     """
-    texts = cands.select("owner_id", "pos", "length", tokens(F.col("text")).alias("t"))
-    rare = texts.select("owner_id", F.explode("t").alias("w")).groupBy("owner_id", "w").agg(F.count("*").alias("df"))
-    ranked = texts.select("owner_id", "pos", "length", F.size("t").alias("n"), F.explode("t").alias("w")).join(rare, ["owner_id", "w"])
-    sorted_ = ranked.groupBy("owner_id", "pos", "length", "n").agg(F.array_sort(F.collect_list(F.struct("df", "w"))).alias("t"))
-    keep = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
-    heads = sorted_.select("owner_id", "pos", "length", F.explode(F.slice("t", F.lit(1), keep.cast("int"))).alias("x")).select("owner_id", "pos", "length", "x.w")
-    later = heads.select("owner_id", "length", "w", F.col("pos").alias("late"))
-    pairs = heads.join(later, ["owner_id", "length", "w"]).where("pos < late").select("owner_id", "length", "pos", "late").distinct()
-    full = texts.select("owner_id", "length", "pos", "t")
-    both = pairs.join(full, ["owner_id", "length", "pos"]).join(full.select("owner_id", "length", F.col("pos").alias("late"), F.col("t").alias("u")), ["owner_id", "length", "late"])
-    like = both.where(F.size(F.array_intersect("t", "u")) * 100 >= F.size(F.array_union("t", "u")) * percent).select("owner_id", F.col("pos").alias("a"), F.col("late").alias("b")).distinct()
+    t = F.array_sort(tokens(F.col("text")))
+    texts = cands.select("owner_id", "pos", "length", t.alias("t"), F.md5(F.to_json(F.struct("owner_id", "length", t.alias("t")))).alias("cls"))
+    texts = written(texts, "texts")
+    kinds = written(texts.where(F.size("t") > 0).groupBy("cls").agg(F.min(F.struct("owner_id", "length", "t")).alias("x")).select("cls", "x.*"), "kinds")
+    words = kinds.select("owner_id", "length", "cls", F.size("t").alias("n"), F.explode("t").alias("w"))
+    rare = words.groupBy("owner_id", "w").agg(F.count("*").alias("df"))
+    place = F.row_number().over(W.partitionBy("cls").orderBy("df", "w"))
+    heads = words.join(rare, ["owner_id", "w"]).withColumn("r", place).where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).select("owner_id", "length", "w", "cls", "n")
+    other = heads.select("owner_id", "length", "w", F.col("cls").alias("b"), F.col("n").alias("m"))
+    pairs = heads.join(other, ["owner_id", "length", "w"]).where((F.col("cls") < F.col("b")) & (F.least("n", "m") * 100 >= F.greatest("n", "m") * percent)).select(F.col("cls").alias("a"), "b").distinct()
+    both = pairs.join(kinds.select(F.col("cls").alias("a"), "t"), "a").join(kinds.select(F.col("cls").alias("b"), F.col("t").alias("u")), "b")
+    like = written(both.where(F.size(F.array_intersect("t", "u")) * 100 >= F.size(F.array_union("t", "u")) * percent).select("a", "b"), "like")
     nodes = written(cands.select("owner_id", "cand_id", "pos").distinct(), "candidates")
-    kept = leaders(nodes.select("owner_id", F.col("pos").alias("node")), like, "owner_id")
+    alone = F.when(F.size("t") > 0, F.col("cls")).otherwise(F.concat("cls", F.lit(":"), F.col("pos").cast("string")))  # texts without tokens are like nothing
+    kept = class_leaders(texts.select("owner_id", F.col("pos").alias("node"), alone.alias("cls")), like, "owner_id")
     return nodes.join(kept.select("owner_id", F.col("node").alias("pos"), "leads"), ["owner_id", "pos"]).select("owner_id", "cand_id", "pos", (~F.col("leads")).alias("dropped"))
 
 

@@ -77,25 +77,32 @@ def embed(texts: DataFrame, encoder: Callable[[pd.Series], pd.Series], text: str
     return texts.withColumn("embedding", run(F.col(text)))
 
 
-def nearest(queries: DataFrame, items: DataFrame, k: int = 3) -> DataFrame:
-    """(query_id, item_id, similarity): each query's k most similar items, ties by id.
+def against_all(queries: DataFrame, items: DataFrame) -> DataFrame:
+    """Every query (query_id, v, ...) with every item (item_id, v, ...) of another id, and their ``similarity``.
 
-    ``queries`` (query_id, v) is a stated set, held against all ``items`` (item_id, v) in blocks of QUERY_BLOCK rows; the
-    best k of each task are kept before the shuffle.
+    The queries are a stated set: they are counted and go to the tasks in blocks of QUERY_BLOCK rows, so no side is sent whole.
     """
-    n = queries.count()
-    blocks = -(-n // QUERY_BLOCK) or 1
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("similarity").desc(), "item_id"))
-    units = items.select("item_id", unit(F.col("v")).alias("iv"))
+    blocks = -(-queries.count() // QUERY_BLOCK) or 1
+    units = items.withColumn("iv", unit(F.col("v"))).drop("v")
     out = None
     for i in range(blocks):
-        part = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i).select("query_id", unit(F.col("v")).alias("qv"))
-        pairs = units.join(F.broadcast(part), F.col("query_id") != F.col("item_id")).select("query_id", "item_id", F.round(vector_similarity(F.col("qv"), F.col("iv")), 6).alias("similarity"))
-        best = pairs.withColumn("r", rank).where(F.col("r") <= k).drop("r")
-        out = best if out is None else out.unionByName(best)
+        part = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i).withColumn("qv", unit(F.col("v"))).drop("v")
+        pairs = units.join(F.broadcast(part), F.col("query_id") != F.col("item_id")).withColumn("similarity", vector_similarity(F.col("qv"), F.col("iv"))).drop("qv", "iv")
+        out = pairs if out is None else out.unionByName(pairs)
     return out
 
 
+def nearest(queries: DataFrame, items: DataFrame, k: int = 3) -> DataFrame:
+    """(query_id, item_id, similarity): each query's k most similar items, ties by id.
+
+    ``queries`` (query_id, v) is a stated set, held against all ``items`` (item_id, v); the best k of each task are kept before
+    the shuffle.
+    """
+    pairs = against_all(queries.select("query_id", "v"), items.select("item_id", "v")).withColumn("similarity", F.round("similarity", 6))
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("similarity").desc(), "item_id"))
+    return pairs.withColumn("r", rank).where(F.col("r") <= k).drop("r")
+
+
 def nearest_texts(queries: DataFrame, items: DataFrame, k: int = 3) -> DataFrame:
     """(query_id, item_id, similarity): each text's k most similar texts of ``items`` by stem cosine, ties by id; never the one of its own id.
 

@@ -67,12 +67,18 @@ def match_terms(texts: DataFrame, terms: DataFrame, keys: list[str], text: str =
     """(keys, canonical), distinct: terms with an alias that occurs between word borders.
 
     Every match holds the alias's first run of word characters as a whole run, so runs are joined to aliases by equality and
-    only the joined pairs are searched.
+    only the joined pairs are searched. With a dictionary that is not sent to all tasks, the runs are shuffled with a hash of
+    their text, each different text once, and only the texts with a joined run are fetched again.
     """
-    runs = F.array_distinct(F.regexp_extract_all(F.lower(F.col(text)), F.lit("\\w+"), F.lit(0)))
-    small = F.broadcast(terms) if terms.count() <= DICTIONARY else terms
-    found = texts.select(*keys, F.col(text).alias("_body"), F.explode(runs).alias("lead")).join(small, "lead")
-    return found.where(F.expr("_body rlike pattern")).select(*keys, "canonical").distinct()
+    runs = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("\\w+"), F.lit(0)))
+    if terms.count() <= DICTIONARY:
+        found = texts.select(*keys, F.col(text).alias("_body"), F.explode(runs(F.col(text))).alias("lead")).join(F.broadcast(terms), "lead")
+        return found.where(F.expr("_body rlike pattern")).select(*keys, "canonical").distinct()
+    rows = texts.withColumn("_id", F.sha2(F.col(text).cast("binary"), 256))
+    pairs = rows.select("_id", F.explode(runs(F.col(text))).alias("lead")).distinct().join(terms, "lead").select("_id", "canonical", "pattern")
+    bodies = rows.select("_id", F.col(text).alias("_body")).dropDuplicates(["_id"])
+    found = pairs.join(bodies, "_id").where(F.expr("_body rlike pattern")).select("_id", "canonical").distinct()
+    return rows.select(*keys, "_id").join(found, "_id").select(*keys, "canonical").distinct()
 
 
 def term_weights(docs: DataFrame, terms: DataFrame, titles: DataFrame | None = None) -> DataFrame:
@@ -88,35 +94,38 @@ def term_weights(docs: DataFrame, terms: DataFrame, titles: DataFrame | None = N
 _ROLE = "(?:engineer|developer|sdet|programmer|architect|scientist|analyst|tester|assistant)s?\\b"
 _LABEL = "(?i)^\\s*(?:job title|role|position|title)\\s*[:\\-\\u2013]\\s*(.+?)\\s*$"
 _BOILERPLATE = "(?i)^(?:(job description( summary)?|description|overview|general information|company|summary|apply|job details|position description)\\s*:?\\s*$|about\\b)"
-_AREA = f"(?i)(?:^|[>:,])\\s*([^>:,]{{2,60}}\\b{_ROLE})\\s*$"
-_PHRASE = (
-    "(?i)\\b(?:as an?|seeking (?:an?\\s+)?|hiring (?:an?\\s+)?|looking for (?:an?\\s+)?|join us as an?)\\s*"
-    f"((?:[A-Za-z0-9/+#.&()-]+\\s+){{0,6}}\\b{_ROLE})"
-)
+_AREA = "(?i)(?:^|[>:,])\\s*([^>:,]{2,60}\\bROLE)\\s*$"
+_PHRASE = "(?i)\\b(?:as an?|seeking (?:an?\\s+)?|hiring (?:an?\\s+)?|looking for (?:an?\\s+)?|join us as an?)\\s*((?:[A-Za-z0-9/+#.&()-]+\\s+){0,6}\\bROLE)"
 _ADJECTIVE = "(?i)^(skilled|passionate|talented|motivated)\\s+"
 _PLURAL = "(?i)(engineer|developer|programmer|architect|scientist|analyst|tester)s$"
 
 
-def extract_title(docs: DataFrame) -> DataFrame:
+def title_patterns(role: str = _ROLE) -> dict[str, str]:
+    """The patterns of titles for names of roles (a pattern)."""
+    return {"role": role, "label": _LABEL, "boilerplate": _BOILERPLATE, "area": _AREA.replace("ROLE", role), "phrase": _PHRASE.replace("ROLE", role), "adjective": _ADJECTIVE, "plural": _PLURAL}
+
+
+def extract_title(docs: DataFrame, role: str = _ROLE) -> DataFrame:
     """(doc_id, title) of every document: label, then role line, then role after a mark, then a phrase, else empty."""
+    p = title_patterns(role)
     lines = split_lines(docs).withColumn("line", F.trim("line")).where("line <> ''")
     rank = F.row_number().over(W.partitionBy("doc_id").orderBy("line_no")) - 1
     head = lines.withColumn("i", rank).where("i < 40")
-    line, label = F.col("line"), F.regexp_extract("line", _LABEL, 1)
-    role = line.rlike(f"(?i)\\b{_ROLE}") & (F.length(line) <= 90) & (word_count(line) <= 10) & ~line.rlike("[.!?]$") & ~line.rlike(_PHRASE) & ~line.rlike(_BOILERPLATE)
+    line, label = F.col("line"), F.regexp_extract("line", p["label"], 1)
+    named = line.rlike(f"(?i)\\b{role}") & (F.length(line) <= 90) & (word_count(line) <= 10) & ~line.rlike("[.!?]$") & ~line.rlike(p["phrase"]) & ~line.rlike(p["boilerplate"])
     phrases = F.transform(
-        F.regexp_extract_all(line, F.lit(_PHRASE), F.lit(1)),
-        lambda p: F.regexp_replace(F.trim(F.regexp_replace(p, _ADJECTIVE, "")), _PLURAL, "$1"),
+        F.regexp_extract_all(line, F.lit(p["phrase"]), F.lit(1)),
+        lambda x: F.regexp_replace(F.trim(F.regexp_replace(x, p["adjective"], "")), p["plural"], "$1"),
     )
-    phrases = F.transform(phrases, lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.substring(p, 2, 10_000)))
-    area = F.trim(F.regexp_extract("line", _AREA, 1))
+    phrases = F.transform(phrases, lambda x: F.concat(F.upper(F.substring(x, 1, 1)), F.substring(x, 2, 10_000)))
+    area = F.trim(F.regexp_extract("line", p["area"], 1))
     options = F.concat(
         F.array(
-            F.when((label != "") & label.rlike(f"(?i){_ROLE}"), F.struct(F.lit(1).alias("rule"), F.col("i"), F.lit(0).alias("j"), label.alias("title"))),
-            F.when((F.col("i") < 3) & role, F.struct(F.lit(2).alias("rule"), F.col("i"), F.lit(0).alias("j"), line.alias("title"))),
-            F.when((F.col("i") < 8) & (area != "") & ~line.rlike(_BOILERPLATE), F.struct(F.lit(3).alias("rule"), F.col("i"), F.lit(0).alias("j"), area.alias("title"))),
+            F.when((label != "") & label.rlike(f"(?i){role}"), F.struct(F.lit(1).alias("rule"), F.col("i"), F.lit(0).alias("j"), label.alias("title"))),
+            F.when((F.col("i") < 3) & named, F.struct(F.lit(2).alias("rule"), F.col("i"), F.lit(0).alias("j"), line.alias("title"))),
+            F.when((F.col("i") < 8) & (area != "") & ~line.rlike(p["boilerplate"]), F.struct(F.lit(3).alias("rule"), F.col("i"), F.lit(0).alias("j"), area.alias("title"))),
         ),
-        F.transform(phrases, lambda p, j: F.struct(F.when(word_count(p) >= 2, 4).otherwise(5).alias("rule"), F.col("i"), j.alias("j"), p.alias("title"))),
+        F.transform(phrases, lambda x, j: F.struct(F.when(word_count(x) >= 2, 4).otherwise(5).alias("rule"), F.col("i"), j.alias("j"), x.alias("title"))),
     )
     best = head.select("doc_id", F.explode(F.array_compact(options)).alias("o")).groupBy("doc_id").agg(F.min("o").alias("o"))
     return docs.select("doc_id").join(best.select("doc_id", F.col("o.title")), "doc_id", "left").fillna({"title": ""})

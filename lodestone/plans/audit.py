@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lodestone.operators import audit as au
 from lodestone.operators import events as ev
+from lodestone.operators import passages as ps
 from lodestone.operators.terms import split_lines
 from lodestone.plans.catalog import query
 from lodestone.plans.terms import LINES_SQL, docs
@@ -48,34 +49,30 @@ def g4(spark, sf):
 
 
 _SQUEEZE = "regexp_replace({0}, '\\s+', '', 'g')"
-_HITS = f"""{LINES_SQL}, n AS (SELECT doc_id, line_no, {_SQUEEZE.format('line')} AS s FROM lines), p AS (SELECT item_id, {_SQUEEZE.format('text')} AS p FROM benchmark WHERE len({_SQUEEZE.format('text')}) >= 14),
-starts AS (SELECT n.doc_id, item_id, p, line_no AS first FROM n JOIN p ON contains(s, left(p, 14))),
-upto AS (SELECT doc_id, item_id, p, first, n.line_no AS last, string_agg(s, '' ORDER BY n.line_no) OVER (PARTITION BY doc_id, item_id, first ORDER BY n.line_no) AS body FROM starts JOIN n USING (doc_id) WHERE n.line_no BETWEEN first AND first + 7),
-hits AS (SELECT doc_id, item_id, first, min(last) AS last FROM upto WHERE contains(body, p) GROUP BY ALL)"""
+_HITS = f"""{LINES_SQL}, n AS (SELECT doc_id, line_no, {_SQUEEZE.format('line')} AS s FROM lines), p AS (SELECT item_id, {_SQUEEZE.format('text')} AS p FROM benchmark WHERE {_SQUEEZE.format('text')} <> ''),
+starts AS (SELECT n.doc_id, item_id, p, line_no AS first FROM n JOIN p ON contains(s, left(p, {ps.START}))),
+upto AS (SELECT doc_id, item_id, p, first, n.line_no AS last, string_agg(s, '' ORDER BY n.line_no) OVER (PARTITION BY doc_id, item_id, first ORDER BY n.line_no) AS body FROM starts JOIN n USING (doc_id) WHERE n.line_no BETWEEN first AND first + {ps.SPAN - 1}),
+hits AS (SELECT doc_id, item_id, first, min(last) FILTER (contains(body, p)) AS last FROM upto GROUP BY ALL)"""
 
 
 def hits(spark, sf):
-    return au.passage_hits(docs(spark, sf), table(spark, sf, "benchmark"))
+    return ps.passage_hits(docs(spark, sf), table(spark, sf, "benchmark"))
 
 
-@query("g5_locate_passages", f"WITH {_HITS} SELECT doc_id, item_id, min(first)::INT AS first, min_by(last, first)::INT AS last FROM hits GROUP BY ALL")
+@query("g5_locate_passages", f"WITH {_HITS}, k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY first) AS k FROM hits) SELECT doc_id, item_id, first::INT AS first, last::INT AS last FROM k WHERE k = 1 AND last IS NOT NULL")
 def g5(spark, sf):
-    return au.locate_passages(hits(spark, sf))
+    return ps.locate_passages(hits(spark, sf))
 
 
 @query("g6_locate_in_order")
 def g6(spark, sf):
-    return au.locate_in_order(hits(spark, sf), table(spark, sf, "benchmark").select("item_id", (-F.col("item_id")).alias("ord")))
+    return ps.locate_in_order(hits(spark, sf), table(spark, sf, "benchmark").select("item_id", (-F.col("item_id")).alias("ord")))
 
 
 @query("g7_exclusive_span", f"WITH {_HITS}, b AS (SELECT doc_id, item_id, first, any_value(p) AS p, min_by(body, last) AS s FROM upto WHERE contains(body, p) GROUP BY ALL) SELECT doc_id, item_id, first::INT AS first, len(s) - len(p) <= 3 AND NOT regexp_matches(regexp_replace(left(s, position(p IN s) - 1) || substr(s, position(p IN s) + len(p)), '[-*•]', '', 'g'), '[\\p{{L}}\\p{{N}}]') AS exclusive FROM b")
 def g7(spark, sf):
-    found = hits(spark, sf)
-    lines = au.squeezed(split_lines(docs(spark, sf)), "line", "s").select("doc_id", "line_no", "s")
-    body = found.select("doc_id", "item_id", "first", F.explode(F.sequence("first", "last")).alias("line_no")).join(lines, ["doc_id", "line_no"])
-    span = body.groupBy("doc_id", "item_id", "first").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "s"))), lambda x: x["s"]), "").alias("s"))
-    items = au.squeezed(table(spark, sf, "benchmark"), "text", "p").select("item_id", "p")
-    return span.join(items, "item_id").select("doc_id", "item_id", "first", au.exclusive_span(F.col("s"), F.col("p")).alias("exclusive"))
+    found = hits(spark, sf).where("last is not null")
+    return found.select("doc_id", "item_id", "first", ps.exclusive_span(F.col("span"), F.col("passage")).alias("exclusive"))
 
 
 @query("g8_snapshot_drift", f"""WITH {LINES_SQL}, b AS (SELECT doc_id, line_no // 40 AS page, line_no, line_no * 12.0::DOUBLE AS y, line FROM lines),

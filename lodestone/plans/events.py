@@ -113,7 +113,10 @@ def f10a(spark, sf):
     return ev.replay_after(log(spark, sf), 500)
 
 
-@query("f10_latest_progress", f"WITH {_LOG} SELECT job, max(seq) AS seq, max_by(stage, seq) AS stage, max_by(state, seq) AS state FROM log GROUP BY job")
+ORACLE_PROGRESS = f"WITH {_LOG} SELECT job, max(seq) AS seq, max_by(stage, seq) AS stage, max_by(state, seq) AS state FROM log GROUP BY job"
+
+
+@query("f10_latest_progress", ORACLE_PROGRESS)
 def f10b(spark, sf):
     return ev.latest_progress(log(spark, sf))
 

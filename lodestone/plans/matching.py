@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lodestone.durable import written
 from lodestone.functions import vocabulary as V
 from lodestone.functions.text import stems
 from lodestone.operators import dedup, gate
 from lodestone.operators import similarity as sim
 from lodestone.operators import terms as op
+from lodestone.operators.topk import top_relevant
 from lodestone.plans.catalog import query
 from lodestone.plans.terms import CLOSURE_SQL, HEADINGS_SQL, LINES_SQL, TERMS_SQL, WEIGHTS_SQL, WITH_TERMS, docs, numbers_sql, stems_sql, weights
 from lodestone.sources import table
@@ -47,16 +49,10 @@ def b2(spark, sf):
     return sim.stem_cosine(items(spark, sf), docs(spark, sf), "item_id", "doc_id").withColumn("cosine", F.round("cosine", 6))
 
 
-def relevance(spark, sf):
-    coverage = sim.keyword_coverage(named_items(spark, sf), weights(spark, sf))
-    return sim.relevance(coverage, sim.stem_cosine(items(spark, sf), docs(spark, sf), "item_id", "doc_id"))
-
-
 @query("b3_relevance_top3", f"""{_COVERAGE}, {_COSINE}, {_RELEVANCE},
 r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY bp DESC, doc_id) AS r FROM relevance) SELECT item_id, doc_id, bp, r::INT AS r FROM r WHERE r <= 3""")
 def b3(spark, sf):
-    rank = F.row_number().over(W.partitionBy("item_id").orderBy(F.col("bp").desc(), "doc_id"))
-    return relevance(spark, sf).withColumn("r", rank).where("r <= 3")
+    return top_relevant(named_items(spark, sf), weights(spark, sf), sim.stem_counts(items(spark, sf), "item_id"), sim.stem_counts(docs(spark, sf), "doc_id"))
 
 
 _UNIT = "list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE))))"
@@ -65,10 +61,9 @@ _VECTORS = f"u AS (SELECT vec_id, label, {_UNIT} AS v FROM embeddings), pairs AS
 
 def vector_pairs(spark, sf):
     """Vectors whose id is divisible by 50, a stated query set, against all."""
-    v = table(spark, sf, "embeddings").select("vec_id", "label", sim.unit(F.col("embedding")).alias("v"))
-    q = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("ql"), F.col("v").alias("qv"))
-    both = q.join(v.withColumnRenamed("vec_id", "item_id"), F.col("query_id") != F.col("item_id"))
-    return both.select("query_id", "item_id", (F.col("ql") == F.col("label")).alias("same"), sim.vector_similarity(F.col("qv"), F.col("v")).alias("s"))
+    v = table(spark, sf, "embeddings").select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("v"), "label")
+    q = v.where("item_id % 50 = 0").select(F.col("item_id").alias("query_id"), "v", F.col("label").alias("ql"))
+    return sim.against_all(q, v).select("query_id", "item_id", (F.col("ql") == F.col("label")).alias("same"), F.col("similarity").alias("s"))
 
 
 @query("b4_vector_similarity", f"WITH {_VECTORS} SELECT query_id, item_id, round(s, 6) AS similarity FROM pairs")
@@ -227,6 +222,9 @@ pairs AS (SELECT * FROM (SELECT a, b, low::BIGINT AS low, (ta.t + tb.t - low)::B
 UNION ALL SELECT (SELECT min(doc_id) FROM e), doc_id, 0, 0 FROM e WHERE doc_id > (SELECT min(doc_id) FROM e))"""
 
 
+_CLASSES = "classes AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY sig) AS cls FROM (SELECT doc_id, coalesce(sig, '') AS sig FROM documents LEFT JOIN (SELECT doc_id, string_agg(term || ':' || w10, ' ' ORDER BY term) AS sig FROM tw GROUP BY 1) USING (doc_id)))"
+
+
 def benchmark_terms(spark, sf):
     """A dictionary of the words of at least four characters in ``benchmark``."""
     word = table(spark, sf, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("\\w+"), F.lit(0))).alias("alias")).where("length(alias) >= 4").distinct()
@@ -252,18 +250,26 @@ def postings(spark, sf):
 
 
 def posting_pairs(spark, sf):
-    return dedup.similar_postings(rich_weights(spark, sf), postings(spark, sf))
+    """Pairs of classes of postings, the classes, and the terms' weights, each made once."""
+    rich = written(rich_weights(spark, sf), "rich_weights")
+    classes = dedup.posting_classes(rich, postings(spark, sf))
+    return dedup.similar_postings(rich, classes), classes
 
 
-@query("d1_similar_postings", f"{_PAIRS} SELECT a, b, low, high FROM pairs")
+@query("d1_similar_postings", f"{_PAIRS}, {_CLASSES} SELECT a, b, low, high FROM pairs WHERE a IN (SELECT cls FROM classes) AND b IN (SELECT cls FROM classes) AND high > 0")
 def d1(spark, sf):
-    return posting_pairs(spark, sf)
+    """Classes of postings with equal weighted terms, by their smallest ids; ``d1_posting_classes`` has the members."""
+    return posting_pairs(spark, sf)[0]
+
+
+@query("d1_posting_classes", f"{RICH}, {_CLASSES} SELECT doc_id, cls FROM classes")
+def d1c(spark, sf):
+    return dedup.posting_classes(rich_weights(spark, sf), postings(spark, sf))
 
 
-def _band_cosine(spark, sf, pairs):
+def _band_cosine(counts, pairs):
     """Stem cosine of the requirement texts of the pairs within the band only."""
     band = pairs.where("low * 10 < high * 9").select("a", "b")
-    counts = sim.stem_counts(docs(spark, sf), "doc_id")
     size = counts.groupBy("doc_id").agg(F.sum(F.col("n") * F.col("n")).alias("s"))
     x, y = (counts.select(F.col("doc_id").alias(k), "stem", F.col("n").alias(f"n{k}")) for k in "ab")
     dots = band.join(x, "a").join(y, ["b", "stem"]).groupBy("a", "b").agg(F.sum(F.col("na") * F.col("nb")).alias("dot"))
@@ -273,35 +279,44 @@ def _band_cosine(spark, sf, pairs):
 
 _HITS = f"""{_PAIRS}, n AS (SELECT doc_id, stem, count(*) AS n FROM (SELECT doc_id, unnest({stems_sql('text')}) AS stem FROM documents) GROUP BY ALL), z AS (SELECT doc_id, sum(n * n) AS s FROM n GROUP BY 1),
 c AS (SELECT a, b, sum(x.n * y.n) / (sqrt(any_value(za.s)) * sqrt(any_value(zb.s))) AS cosine FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b AND y.stem = x.stem JOIN z za ON za.doc_id = a JOIN z zb ON zb.doc_id = b WHERE low * 10 < high * 9 GROUP BY a, b),
-decided AS (SELECT a, b, CASE WHEN low * 10 >= high * 9 OR coalesce(cosine, 0) >= 0.95 THEN 'HIT' ELSE 'MISS' END AS decision FROM pairs LEFT JOIN c USING (a, b))"""
+decided AS (SELECT a, b, low, high, CASE WHEN low * 10 >= high * 9 OR coalesce(cosine, 0) >= 0.95 THEN 'HIT' ELSE 'MISS' END AS decision FROM pairs LEFT JOIN c USING (a, b))"""
+_TEXTS = """texts AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY cls, sig) AS cls FROM (SELECT doc_id, cls, coalesce(sig, '') AS sig FROM classes LEFT JOIN (SELECT doc_id, string_agg(stem || ':' || n, ' ' ORDER BY stem) AS sig FROM n GROUP BY 1) USING (doc_id)))"""
 
 
 def decisions(spark, sf):
-    pairs = posting_pairs(spark, sf)
-    return dedup.reuse_decision(pairs, _band_cosine(spark, sf, pairs))
+    """(decided pairs with low and high, classes by terms, classes by terms and stems)."""
+    pairs, classes = posting_pairs(spark, sf)
+    counts = written(sim.stem_counts(docs(spark, sf), "doc_id"), "stem_counts")
+    texts = dedup.text_classes(counts, classes)
+    wide = written(dedup.band_pairs(pairs, classes, texts), "band_pairs")
+    return wide.join(dedup.reuse_decision(wide, _band_cosine(counts, wide)), ["a", "b"]), classes, texts
 
 
-@query("d2_reuse_decision", f"{_HITS} SELECT a, b, decision FROM decided")
+@query("d2_reuse_decision", f"""{_HITS}, {_CLASSES}, {_TEXTS} SELECT a, b, decision FROM decided WHERE high > 0 AND
+CASE WHEN low * 10 >= high * 9 THEN a IN (SELECT cls FROM classes) AND b IN (SELECT cls FROM classes) ELSE a IN (SELECT cls FROM texts) AND b IN (SELECT cls FROM texts) END
+AND (SELECT cls FROM classes WHERE doc_id = a) <> (SELECT cls FROM classes WHERE doc_id = b)""")
 def d2(spark, sf):
-    return decisions(spark, sf)
+    """Pairs of classes by terms where these decide, else of classes by terms and stems; members of one class hit each other."""
+    return decisions(spark, sf)[0].select("a", "b", "decision")
 
 
 @query("d3_batch_reuse", f"{_HITS} SELECT doc_id, (SELECT min(a) FROM decided WHERE b = doc_id AND decision = 'HIT') AS reused FROM documents")
 def d3(spark, sf):
-    empty = dedup.without_terms(rich_weights(spark, sf), postings(spark, sf))
-    return dedup.batch_reuse(postings(spark, sf), decisions(spark, sf).where("decision = 'HIT'"), empty)
+    members, links = dedup.memberships(*decisions(spark, sf))
+    return dedup.batch_reuse(postings(spark, sf), links, members)
 
 
 @query("d4_live_reuse")
 def d4(spark, sf):
-    empty = dedup.without_terms(rich_weights(spark, sf), postings(spark, sf))
-    return dedup.live_reuse(postings(spark, sf), decisions(spark, sf).where("decision = 'HIT'"), empty)
+    members, links = dedup.memberships(*decisions(spark, sf))
+    return dedup.live_reuse(postings(spark, sf), links, members)
 
 
 @query("d5_leaders")
 def d5(spark, sf):
-    hits = posting_pairs(spark, sf).select(F.lit("all").alias("g"), "a", "b")
-    return dedup.leaders(postings(spark, sf).select(F.lit("all").alias("g"), F.col("doc_id").alias("node")), hits, "g").select("node", "leads")
+    pairs, classes = posting_pairs(spark, sf)
+    members = classes.select(F.lit("all").alias("g"), F.col("doc_id").alias("node"), "cls")
+    return dedup.class_leaders(members, pairs.select("a", "b"), "g").select("node", "leads")
 
 
 @query("d6_achievement_groups")

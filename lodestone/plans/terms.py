@@ -10,7 +10,8 @@ from lodestone.functions import vocabulary as V
 from lodestone.functions.text import numbers, stems
 from lodestone.operators import terms as op
 from lodestone.plans.catalog import query
-from lodestone.sources import table
+from lodestone.durable import new_folder
+from lodestone.sources import quarantined_json, table, write_partitions
 
 _LIM = 20_000
 
@@ -104,7 +105,29 @@ def a8(spark, sf):
     return weights(spark, sf)
 
 
-@query("a9_extract_title")
+def titles_sql(role: str | None = None) -> str:
+    """(doc_id, title) of every document, after ``trimmed``."""
+    p = {k: v.replace("\\u2013", "\u2013") for k, v in (op.title_patterns(role) if role else op.title_patterns()).items()}
+    fine = f"NOT regexp_matches(line, '{p['boilerplate']}')"
+    made = f"regexp_replace(trim(regexp_replace(x, '{p['adjective']}', '')), '{p['plural']}', '\\1')"
+    return f"""head AS (SELECT * FROM (SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) - 1 AS i FROM trimmed) WHERE i < 40),
+labels AS (SELECT *, regexp_extract(line, '{p['label']}', 1) AS label, trim(regexp_extract(line, '{p['area']}', 1)) AS area FROM head),
+phrases AS (SELECT doc_id, i, j, upper(left(t, 1)) || substr(t, 2) AS t FROM (SELECT doc_id, i, j, {made} AS t FROM (SELECT doc_id, i, generate_subscripts(x, 1) AS j, unnest(x) AS x FROM (SELECT doc_id, i, regexp_extract_all(line, '{p['phrase']}', 1) AS x FROM head)))),
+options AS (SELECT doc_id, 1 AS rule, i, 0 AS j, label AS title FROM labels WHERE label <> '' AND regexp_matches(label, '(?i){p['role']}')
+UNION ALL SELECT doc_id, 2, i, 0, line FROM labels WHERE i < 3 AND regexp_matches(line, '(?i)\\b{p['role']}') AND len(line) <= 90 AND {count_words_sql('line')} <= 10 AND NOT regexp_matches(line, '[.!?]$') AND NOT regexp_matches(line, '{p['phrase']}') AND {fine}
+UNION ALL SELECT doc_id, 3, i, 0, area FROM labels WHERE i < 8 AND area <> '' AND {fine}
+UNION ALL SELECT doc_id, CASE WHEN {count_words_sql('t')} >= 2 THEN 4 ELSE 5 END, i, j, t FROM phrases),
+titles AS (SELECT doc_id, coalesce(title, '') AS title FROM documents LEFT JOIN (SELECT doc_id, title FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY rule, i, j, title) AS r FROM options) WHERE r = 1) USING (doc_id))"""
+
+
+@query("a8_titled_weights", f"""{WITH_TERMS}, {titles_sql(V.ROLE_NAMES)}, named AS (SELECT doc_id, term, w10 FROM tw UNION ALL SELECT doc_id, canonical, 10 FROM titles, terms WHERE regexp_matches(title, pattern))
+SELECT doc_id, term, max(w10)::INT AS w10 FROM named GROUP BY ALL""")
+def a8t(spark, sf):
+    """As ``a8_term_weights``, and the terms of a document's title weigh 10, even where their line does not count."""
+    return op.term_weights(docs(spark, sf), V.terms(spark), op.extract_title(docs(spark, sf), V.ROLE_NAMES))
+
+
+@query("a9_extract_title", f"WITH {LINES_SQL}, {HEADINGS_SQL}, {titles_sql()} SELECT doc_id, title FROM titles")
 def a9(spark, sf):
     return op.extract_title(docs(spark, sf))
 
@@ -228,3 +251,29 @@ def i1(spark, sf):
     key = F.when(F.col("turn") % 3 == 2, F.concat(F.lit("turn "), F.col("turn"))).otherwise(F.concat(F.col("turn"), F.lit(" lines")))
     packed = table(spark, sf, "conversations").select(F.col("conv_id").alias("owner_id"), F.col("role").alias("cand_id"), F.to_json(F.create_map(key, "text")).alias("variants"))
     return op.explode_variants(packed)
+
+
+_NOTES = "SELECT conv_id AS owner_id, role AS cand_id, turn::INT AS length, text FROM conversations WHERE text IS NOT NULL"
+
+
+@query("i1_json_notes", f"SELECT owner_id, cand_id, length, text FROM ({_NOTES}) WHERE (owner_id + length) % 11 <> 5")
+def i1j(spark, sf):
+    """Turns written as JSON lines, every eleventh cut off as by a failed writer; what parses is kept in partitions by role and read again."""
+    return _json_notes(spark, sf)[0]
+
+
+@query("i1_json_quarantine", f"SELECT count(*) AS broken FROM ({_NOTES}) WHERE (owner_id + length) % 11 = 5")
+def i1q(spark, sf):
+    """The lines that did not parse, kept whole in a table of their own."""
+    return _json_notes(spark, sf)[1].agg(F.count("*").alias("broken"))
+
+
+def _json_notes(spark, sf):
+    turns = table(spark, sf, "conversations").where("text is not null")
+    line = F.to_json(F.struct(F.col("conv_id").alias("owner_id"), F.col("role").alias("cand_id"), F.col("turn").alias("length"), "text"))
+    cut = F.when((F.col("conv_id") + F.col("turn")) % 11 == 5, F.substring(line, F.lit(1), F.length(line) - 2)).otherwise(line)
+    folder, kept = new_folder(spark, "notes"), new_folder(spark, "kept")
+    turns.select(cut.alias("value")).write.text(folder)
+    good, bad = quarantined_json(spark, folder, "owner_id long, cand_id string, length int, text string")
+    write_partitions(good, kept, "cand_id")
+    return spark.read.schema(good.schema).parquet(kept).select("owner_id", "cand_id", "length", "text"), bad

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.durable import written
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One Parquet table of the data folder."""
@@ -31,6 +33,13 @@ def json(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
 
+def quarantined_json(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
+    """(rows, broken) of a folder of JSON lines with a declared schema; ``broken`` (path, line) holds what does not fit it, whole."""
+    rows = spark.read.schema(f"{schema}, _corrupt string").option("columnNameOfCorruptRecord", "_corrupt").json(path).withColumn("_path", F.col("_metadata.file_path"))
+    rows = written(rows, "json")  # a query of the corrupt column alone would not parse the rows
+    return rows.where("_corrupt is null").drop("_corrupt", "_path"), rows.where("_corrupt is not null").select(F.col("_path").alias("path"), F.col("_corrupt").alias("line"))
+
+
 def write_partitions(df: DataFrame, path: str, *keys: str) -> None:
     """Overwrite only the partitions that ``df`` holds."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)

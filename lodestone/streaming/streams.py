@@ -1,6 +1,7 @@
-"""Streams of events: admission limits, idempotent creation, expiring leases, windows, and upserts.
+"""Streams of events: admission limits, idempotent creation, expiring leases, windows, late rows, and upserts.
 
-Each twin gives what the batch operator gives on the same rows if none is later than the watermark; Spark drops later ones. Input streams have ``ts``
+Each twin gives what the batch operator gives on the rows that are not later than the watermark. Later ones change no state and
+are not lost: they come out with ``late`` set, and ``two_sinks`` writes them beside the accepted ones. Input streams have ``ts``
 (a timestamp without zone is read as UTC), ``key`` and ``id``; the state of a key lives in the state store, in one task.
 Within a micro-batch a key's rows are taken in order of (ts, id).
 """
@@ -20,9 +21,25 @@ from lodestone.operators.events import MINUTE, windowed_counts
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def _ordered(batches: Iterator[pd.DataFrame]) -> pd.DataFrame:
-    frames = list(batches)  # one key's new rows of one micro-batch
-    return pd.concat(frames).sort_values(["us", "id"], kind="stable")
+def _ordered(batches: Iterator[pd.DataFrame], timers) -> tuple[pd.DataFrame, pd.DataFrame]:
+    """One key's new rows of one micro-batch in order: those in time, and those that the watermark has passed."""
+    frame = pd.concat(list(batches)).sort_values(["us", "id"], kind="stable")
+    late = frame["us"] // 1000 <= timers.getCurrentWatermarkInMs()
+    return frame[~late], frame[late]
+
+
+class _Split(StatefulProcessor):
+    """No state: rows with ``late``."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        pass
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        for frame, late in zip(_ordered(rows, timerValues), (False, True), strict=True):
+            yield frame.drop(columns=["key"]).assign(late=late)
+
+    def close(self) -> None:
+        pass
 
 
 class _RateLimit(StatefulProcessor):
@@ -37,15 +54,17 @@ class _RateLimit(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         held = [r[0] for r in self.held.get()]
         out = []
-        frame = _ordered(rows)
+        frame, late = _ordered(rows, timerValues)
         for us, i in zip(frame["us"], frame["id"], strict=True):
             held = [h for h in held if h > us - self.window]
             ok = len(held) < self.limit
             if ok:
                 held.append(int(us))
-            out.append((key[0], us, i, ok))
-        self._hold(held)
-        yield pd.DataFrame(out, columns=["key", "us", "id", "admitted"])
+            out.append((key[0], us, i, ok, False))
+        if len(frame):
+            self._hold(held)
+        out += [(key[0], us, i, None, True) for us, i in zip(late["us"], late["id"], strict=True)]
+        yield pd.DataFrame(out, columns=["key", "us", "id", "admitted", "late"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = expiredTimerInfo.getExpiryTimeInMs() * 1000
@@ -76,14 +95,16 @@ class _Idempotent(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         anchor = self.anchor.get() if self.anchor.exists() else None
         out = []
-        frame = _ordered(rows)
+        frame, late = _ordered(rows, timerValues)
         for us, i in zip(frame["us"], frame["id"], strict=True):
             new = anchor is None or us - anchor[0] >= self.window
             if new:
                 anchor = (int(us), int(i))
-            out.append((key[0], us, i, new, anchor[1]))
-        self.anchor.update(anchor)
-        yield pd.DataFrame(out, columns=["key", "us", "id", "created", "job"])
+            out.append((key[0], us, i, new, anchor[1], False))
+        if anchor is not None:
+            self.anchor.update(anchor)
+        out += [(key[0], us, i, None, None, True) for us, i in zip(late["us"], late["id"], strict=True)]
+        yield pd.DataFrame(out, columns=["key", "us", "id", "created", "job", "late"])
 
     def close(self) -> None:
         pass
@@ -100,11 +121,11 @@ class _Lease(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         job = self.job.get() if self.job.exists() else None
-        frame = _ordered(rows)
-        out = []
+        frame, late = _ordered(rows, timerValues)
+        out = [(key[0], us, None, True) for us in late["us"]]
         for us, what in zip(frame["us"], frame["what"], strict=True):
             if job is not None and us > job[1]:
-                out.append((key[0], job[1], "queued" if job[0] < 2 else "WORKER_LOST"))
+                out.append((key[0], job[1], "queued" if job[0] < 2 else "WORKER_LOST", False))
                 job = (job[0], -1)
             if what == "claim":
                 job = ((job[0] if job else 0) + 1, int(us) + self.lease)
@@ -118,12 +139,12 @@ class _Lease(StatefulProcessor):
             self.job.update(job)
             if job[1] < 1 << 62:
                 self.handle.registerTimer(job[1] // 1000 + 1)
-        yield pd.DataFrame(out, columns=["key", "us", "outcome"])
+        yield pd.DataFrame(out, columns=["key", "us", "outcome", "late"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         job = self.job.get() if self.job.exists() else None
         if job is not None and job[1] < 1 << 62 and job[1] // 1000 + 1 <= expiredTimerInfo.getExpiryTimeInMs():
-            yield pd.DataFrame([(key[0], job[1], "queued" if job[0] < 2 else "WORKER_LOST")], columns=["key", "us", "outcome"])
+            yield pd.DataFrame([(key[0], job[1], "queued" if job[0] < 2 else "WORKER_LOST", False)], columns=["key", "us", "outcome", "late"])
             if job[0] < 2:
                 self.job.update((job[0], 1 << 62))
             else:
@@ -134,25 +155,37 @@ class _Lease(StatefulProcessor):
 
 
 def _stateful(stream: DataFrame, processor: StatefulProcessor, schema: str, late: str, extra: tuple[str, ...] = ()) -> DataFrame:
+    """The stream through a processor, by key. The event time itself is left out, so Spark drops no late row before the processor."""
     stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     rows = stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
-    rows = rows.select("key", "ts", F.unix_micros("ts").alias("us"), "id", *extra)
+    rows = rows.select("key", F.unix_micros("ts").alias("us"), "id", *extra)
     return rows.groupBy("key").transformWithStateInPandas(processor, schema, outputMode="Append", timeMode="EventTime")
 
 
 def rate_limit_stream(stream: DataFrame, limit: int, window: int, late: str = "10 minutes") -> DataFrame:
-    """Events with ``admitted``, as the batch rule ``rate_limit`` decides."""
-    return _stateful(stream, _RateLimit(limit, window), "key long, us long, id long, admitted boolean", late)
+    """Events with ``admitted``, as the batch rule ``rate_limit`` decides; null and ``late`` behind the watermark."""
+    return _stateful(stream, _RateLimit(limit, window), "key long, us long, id long, admitted boolean, late boolean", late)
 
 
 def idempotent_stream(stream: DataFrame, window: int, late: str = "10 minutes") -> DataFrame:
-    """Requests with ``created`` and ``job``, as the batch rule ``idempotent_create`` decides."""
-    return _stateful(stream, _Idempotent(window), "key long, us long, id long, created boolean, job long", late)
+    """Requests with ``created`` and ``job``, as the batch rule ``idempotent_create`` decides; null and ``late`` behind the watermark."""
+    return _stateful(stream, _Idempotent(window), "key long, us long, id long, created boolean, job long, late boolean", late)
 
 
 def lease_stream(stream: DataFrame, lease: int = 2 * MINUTE, late: str = "10 minutes") -> DataFrame:
-    """(key, us, outcome): jobs whose lease ran out, from a stream of (key, ts, id, what) with claim, heartbeat and end."""
-    return _stateful(stream, _Lease(lease), "key long, us long, outcome string", late, ("what",))
+    """(key, us, outcome, late): jobs whose lease ran out, from a stream of (key, ts, id, what) with claim, heartbeat and end; events behind the watermark have no outcome."""
+    return _stateful(stream, _Lease(lease), "key long, us long, outcome string, late boolean", late, ("what",))
+
+
+def split_stream(stream: DataFrame, late: str = "10 minutes", *extra: str) -> DataFrame:
+    """(us, id, extra, late): the rows (ts, id, extra) with whether the watermark had passed them when they came.
+
+    For operators that would drop them, such as windowed counts: these read the accepted sink, whose rows are all in time. Rows
+    are dealt by id, so no key is hot.
+    """
+    dealt = stream.withColumn("key", F.pmod(F.xxhash64("id"), F.lit(int(stream.sparkSession.conf.get("spark.sql.shuffle.partitions")))))
+    kinds = ", ".join(f"{c} {stream.schema[c].dataType.simpleString()}" for c in extra)
+    return _stateful(dealt, _Split(), f"us long, id long, {kinds + ', ' if kinds else ''}late boolean", late, extra)
 
 
 def counts_stream(stream: DataFrame, kind: str, size: str = "1 hour", slide: str = "15 minutes", late: str = "10 minutes") -> DataFrame:
@@ -160,6 +193,55 @@ def counts_stream(stream: DataFrame, kind: str, size: str = "1 hour", slide: str
     return windowed_counts(stream, kind, size, slide, late)
 
 
+def two_sinks(result: DataFrame, accepted: str, late: str, marks: str) -> None:
+    """Run a stream with ``late`` until its files are read: rows in time go to ``accepted``, the others to ``late``.
+
+    Each micro-batch has a folder of its own in both, named by its number and overwritten if it is run again.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        rows = written(batch, "batch")
+        for path, part in ((accepted, rows.where("not late")), (late, rows.where("late"))):
+            part.drop("late").write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    result.writeStream.foreachBatch(write).option("checkpointLocation", marks).trigger(availableNow=True).start().awaitTermination()
+
+
+def upsert_stream(stream: DataFrame, folder: str, keys: list[str], order: str, marks: str, compact: int = 16) -> None:
+    """Run a stream of versions until its files are read, keeping in ``folder`` the newest row of each key by ``order``.
+
+    A micro-batch writes the newest row of its keys to a folder named by its number, so one that runs again after a failure only
+    replaces what it wrote. Every ``compact`` batches what is there is merged to a new base; ``newest`` reads it only once it is complete.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        _newest(batch, keys, order).write.mode("overwrite").parquet(f"{folder}/delta/batch={number}")
+        if number % compact == compact - 1:
+            written(newest(batch.sparkSession, folder, batch.schema, keys, order, number), "base").write.mode("overwrite").parquet(f"{folder}/base/upto={number}")
+
+    stream.writeStream.foreachBatch(write).option("checkpointLocation", marks).trigger(availableNow=True).start().awaitTermination()
+
+
+def _newest(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
+    return rows.groupBy(*keys).agg(F.max_by(F.struct("*"), order).alias("r")).select("r.*")
+
+
+def _complete(spark: SparkSession, path: str, name: str) -> list[int]:
+    """Numbers of the complete tables ``path/name=N``."""
+    jvm = spark.sparkContext._jvm
+    pattern = jvm.org.apache.hadoop.fs.Path(f"{path}/{name}=*/_SUCCESS")
+    found = pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(pattern)
+    return sorted(int(f.getPath().getParent().getName().split("=")[1]) for f in found or [])
+
+
+def newest(spark: SparkSession, folder: str, schema, keys: list[str], order: str, upto: int | None = None) -> DataFrame:
+    """The newest row of each key that ``upsert_stream`` has kept: of the last complete base and the batches after it, up to a number."""
+    upto = (1 << 62) if upto is None else upto
+    base = [n for n in _complete(spark, f"{folder}/base", "upto") if n <= upto][-1:]
+    paths = [f"{folder}/base/upto={n}" for n in base] + [f"{folder}/delta/batch={n}" for n in _complete(spark, f"{folder}/delta", "batch") if (base or [-1])[0] < n <= upto]
+    return _newest(spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema), keys, order)
+
+
 def upsert(batch: DataFrame, path: str, keys: list[str], order: str, day: str) -> None:
     """Write the newest row of each key of a micro-batch into partitions by ``day``, replacing those partitions whole.
 
@@ -181,11 +263,22 @@ def upsert(batch: DataFrame, path: str, keys: list[str], order: str, day: str) -
 def replayed(spark: SparkSession, files: str, schema: str, build: Callable[[DataFrame], DataFrame], per_trigger: int = 1) -> DataFrame:
     """Run a stream over the files of a folder until all are read, and return what it gave out as a table.
 
-    Sink and checkpoint are in the shared folder, so the stream can be resumed on any machine.
+    Sink and checkpoint are in the shared folder, so the stream can be resumed on any machine. Late rows are left out; see ``both``.
     """
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).parquet(files)
     out, marks = new_folder(spark, "out"), new_folder(spark, "marks")
     result = build(stream)
+    if "late" in result.columns:
+        return both(spark, files, schema, build, per_trigger)[0]
     query = result.writeStream.format("parquet").option("path", out).option("checkpointLocation", marks).trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(result.schema).parquet(out)
+
+
+def both(spark: SparkSession, files: str, schema: str, build: Callable[[DataFrame], DataFrame], per_trigger: int = 1) -> tuple[DataFrame, DataFrame]:
+    """(accepted, late): as ``replayed``, with the rows that were behind the watermark as a table of their own."""
+    result = build(spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).parquet(files))
+    accepted, late = new_folder(spark, "accepted"), new_folder(spark, "late")
+    two_sinks(result, accepted, late, new_folder(spark, "marks"))
+    kind = result.drop("late").schema
+    return tuple(spark.read.schema(kind).option("recursiveFileLookup", True).parquet(p) for p in (accepted, late))

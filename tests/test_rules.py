@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import vocabulary as V
 from lodestone.functions.text import numbers, stems
-from lodestone.operators import audit, dedup, events, gate, selection
+from lodestone.operators import audit, dedup, events, gate, passages, selection
 from lodestone.operators import similarity as sim
 from lodestone.operators import terms as op
 
@@ -114,8 +114,13 @@ def test_reuse_of_empty_postings(spark):
     posts = spark.createDataFrame(rows, "owner string, doc_id long, ord long")
     terms = {7: {"x": 10}, 8: {"x": 10}}
     weights = spark.createDataFrame([(i, t, w) for i, ts in terms.items() for t, w in ts.items()], "doc_id long, term string, w10 long")
-    pairs = dedup.similar_postings(weights, posts)
-    hits = dedup.reuse_decision(pairs, spark.createDataFrame([], "a long, b long, cosine double")).where("decision = 'HIT'")
+    classes = dedup.posting_classes(weights, posts)
+    assert {r["doc_id"]: r["cls"] for r in classes.collect()} == {i: 7 if i in terms else 1 for i in range(1, 10)}
+    pairs = dedup.similar_postings(weights, classes)
+    assert pairs.count() == 0
+    texts = dedup.text_classes(spark.createDataFrame([(7, "x", 1), (8, "x", 2)], "doc_id long, stem string, n long"), classes)
+    decided = pairs.join(dedup.reuse_decision(pairs, spark.createDataFrame([], "a long, b long, cosine double")), ["a", "b"])
+    members, links = dedup.memberships(decided, classes, texts)
     hit = lambda i, j: terms.get(i) == terms.get(j)
     batch, live, led = {}, {}, {}
     for owner, i, _ in (order := sorted(rows, key=lambda r: r[2])):
@@ -124,9 +129,8 @@ def test_reuse_of_empty_postings(spark):
         if live[i] is None:
             led.setdefault(owner, []).append(i)
     assert live[3] == live[5] == 4 and live[9] == 2
-    empty = dedup.without_terms(weights, posts)
-    assert {r["doc_id"]: r["reused"] for r in dedup.live_reuse(posts, hits, empty).collect()} == live
-    assert {r["doc_id"]: r["reused"] for r in dedup.batch_reuse(posts, hits, empty).collect()} == batch
+    assert {r["doc_id"]: r["reused"] for r in dedup.live_reuse(posts, links, members).collect()} == live
+    assert {r["doc_id"]: r["reused"] for r in dedup.batch_reuse(posts, links, members).collect()} == batch
 
 
 def test_live_reuse_query_ties_empty_documents(spark, monkeypatch):
@@ -215,9 +219,9 @@ def test_clusters(spark):
 def test_locate(spark):
     docs = spark.createDataFrame([(1, "intro\nalpha beta gamma del\nta epsilon zeta\nend\nsecond passage here now"), (2, None)], "doc_id long, text string")
     items = spark.createDataFrame([(1, "alpha beta gamma delta epsilon", 2), (2, "second passage here", 1)], "item_id long, text string, ord int")
-    hits = audit.passage_hits(docs, items)
-    assert {(r["item_id"], r["first"], r["last"]) for r in audit.locate_passages(hits).collect()} == {(1, 1, 2), (2, 4, 4)}
-    assert {(r["item_id"], r["first"]) for r in audit.locate_in_order(hits, items).collect()} == {(2, 4), (1, None)}
+    hits = passages.passage_hits(docs, items)
+    assert {(r["item_id"], r["first"], r["last"]) for r in passages.locate_passages(hits).collect()} == {(1, 1, 2), (2, 4, 4)}
+    assert {(r["item_id"], r["first"]) for r in passages.locate_in_order(hits, items).collect()} == {(2, 4), (1, None)}
 
 
 def test_assignment_brute_force(spark):
