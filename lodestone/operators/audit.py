@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestone.durable import written
-from lodestone.operators.folds import ordered_fold
+from lodestone.operators.chains import anchors
 from lodestone.operators.ranges import running
 
 
@@ -47,15 +47,7 @@ def allowlist_audit(rows: DataFrame, allowed: DataFrame, order: str, sample: str
 
 def anchor_clusters(points: DataFrame, threshold: int) -> DataFrame:
     """Points (key, at, id) with ``cluster``: a new one starts when the distance to the cluster's first point exceeds the threshold."""
-
-    def step(state: tuple | None, row: tuple) -> tuple:
-        if state is None:
-            state = (row[1], 0)
-        elif row[1] - state[0] > threshold:
-            state = (row[1], state[1] + 1)
-        return state, (state[1],)
-
-    return ordered_fold(points.select("key", "at", "id"), ["key"], ["at", "id"], lambda: None, step, "cluster long")
+    return anchors(points, threshold + 1).select("key", "at", "id", F.col("nth").alias("cluster"))
 
 
 def snapshot_drift(before: DataFrame, after: DataFrame, edited: DataFrame, tolerance: float = 0.5) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestone.durable import remove, written
+from lodestone.operators.chains import anchors
 from lodestone.operators.folds import ordered_fold
 
 SECOND, MINUTE, HOUR, DAY = 10**6, 60 * 10**6, 3600 * 10**6, 86400 * 10**6
@@ -53,13 +54,8 @@ def windowed_counts(events: DataFrame, kind: str = "tumbling", size: str = "1 ho
 
 def idempotent_create(requests: DataFrame, window: int = DAY) -> DataFrame:
     """Requests (key, us, id) with ``created`` and ``job``: the first of a key creates; repeats within the window of that one return it."""
-
-    def step(anchor: tuple | None, row: tuple) -> tuple:
-        if anchor is None or row[1] - anchor[0] >= window:
-            return (row[1], row[2]), (True, row[2])
-        return anchor, (False, anchor[1])
-
-    return ordered_fold(requests.select("key", "us", "id"), ["key"], ["us", "id"], lambda: None, step, "created boolean, job long")
+    out = anchors(requests.select("key", F.col("us").alias("at"), "id"), window)
+    return out.select("key", F.col("at").alias("us"), "id", ((F.col("at") == F.col("anchor_at")) & (F.col("id") == F.col("anchor_id"))).alias("created"), F.col("anchor_id").alias("job"))
 
 
 def lease_outcomes(jobs: DataFrame, now: int) -> DataFrame:

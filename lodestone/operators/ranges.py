@@ -13,14 +13,15 @@ RANGE_ROWS = 1 << 20
 _SHIFT = 33  # of monotonically_increasing_id: the partition stands above, the place in it below
 
 
-def _ranges(df: DataFrame, rows: int | None) -> int:
+def range_count(df: DataFrame, rows: int | None = None) -> int:
+    """How many ranges the rows of ``df`` are dealt to."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return max(n, -(-(df.count() if rows is None else rows) // RANGE_ROWS))
 
 
 def _dealt(df: DataFrame, order: list[Column], rows: int | None) -> DataFrame:
     """``df`` sorted into ranges and written, with ``_at``: the range and the place in it."""
-    dealt = df.repartitionByRange(_ranges(df, rows), *order).sortWithinPartitions(*order)
+    dealt = df.repartitionByRange(range_count(df, rows), *order).sortWithinPartitions(*order)
     return written(dealt.withColumn("_at", F.monotonically_increasing_id()), "ranges")
 
 

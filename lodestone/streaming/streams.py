@@ -36,7 +36,7 @@ class _Split(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         for frame, late in zip(_ordered(rows, timerValues), (False, True), strict=True):
-            yield frame.drop(columns=["key"]).assign(late=late)
+            yield frame.drop(columns=["_part"], errors="ignore").assign(late=late)
 
     def close(self) -> None:
         pass
@@ -154,12 +154,12 @@ class _Lease(StatefulProcessor):
         pass
 
 
-def _stateful(stream: DataFrame, processor: StatefulProcessor, schema: str, late: str, extra: tuple[str, ...] = ()) -> DataFrame:
+def _stateful(stream: DataFrame, processor: StatefulProcessor, schema: str, late: str, extra: tuple[str, ...] = (), by: str = "key") -> DataFrame:
     """The stream through a processor, by key. The event time itself is left out, so Spark drops no late row before the processor."""
     stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     rows = stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
-    rows = rows.select("key", F.unix_micros("ts").alias("us"), "id", *extra)
-    return rows.groupBy("key").transformWithStateInPandas(processor, schema, outputMode="Append", timeMode="EventTime")
+    rows = rows.select(by, F.unix_micros("ts").alias("us"), "id", *extra)
+    return rows.groupBy(by).transformWithStateInPandas(processor, schema, outputMode="Append", timeMode="EventTime")
 
 
 def rate_limit_stream(stream: DataFrame, limit: int, window: int, late: str = "10 minutes") -> DataFrame:
@@ -183,9 +183,9 @@ def split_stream(stream: DataFrame, late: str = "10 minutes", *extra: str) -> Da
     For operators that would drop them, such as windowed counts: these read the accepted sink, whose rows are all in time. Rows
     are dealt by id, so no key is hot.
     """
-    dealt = stream.withColumn("key", F.pmod(F.xxhash64("id"), F.lit(int(stream.sparkSession.conf.get("spark.sql.shuffle.partitions")))))
+    dealt = stream.withColumn("_part", F.pmod(F.xxhash64("id"), F.lit(int(stream.sparkSession.conf.get("spark.sql.shuffle.partitions")))))
     kinds = ", ".join(f"{c} {stream.schema[c].dataType.simpleString()}" for c in extra)
-    return _stateful(dealt, _Split(), f"us long, id long, {kinds + ', ' if kinds else ''}late boolean", late, extra)
+    return _stateful(dealt, _Split(), f"us long, id long, {kinds + ', ' if kinds else ''}late boolean", late, extra, "_part")
 
 
 def counts_stream(stream: DataFrame, kind: str, size: str = "1 hour", slide: str = "15 minutes", late: str = "10 minutes") -> DataFrame:
