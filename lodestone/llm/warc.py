@@ -36,8 +36,8 @@ from lodestone.sources import table
 REVISIT = 1000
 START, CYCLE = 1_600_000_000, 1_000_000_000
 END = "\r\n\r\n"
-#: Records in an archive at most. A task that reads one holds it compressed, and of its records one at a time.
-ARCHIVE_RECORDS = 4000
+#: Records in an archive at most, and bytes of payload on average at most. A task that reads one holds it compressed, and of its records one at a time.
+ARCHIVE_RECORDS, ARCHIVE_BYTES = 4000, 256 << 20
 #: Index entries in a merge range, on average.
 RANGE_ENTRIES = 100_000
 
@@ -85,7 +85,9 @@ def records(pages: DataFrame) -> DataFrame:
 def write(pages: DataFrame) -> str:
     """Write the pages' archives; the folder they are in."""
     folder = new_folder(pages.sparkSession, "warc")
-    records(pages).write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", ARCHIVE_RECORDS).text(folder)
+    size = pages.agg(F.avg(F.octet_length("html"))).first()[0] or 1
+    most = max(1, min(ARCHIVE_RECORDS, int(ARCHIVE_BYTES // max(size, 1))))
+    records(pages).write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", most).text(folder)
     return folder
 
 
@@ -170,12 +172,15 @@ def merge(segments: list[list], key: Callable) -> Iterator:
 
 
 def merged(index: DataFrame) -> DataFrame:
-    """The entries in global order: (range, place, url_key, at, ...); ``range`` and ``place`` in it give the order."""
+    """The entries in global order: (range, place, url_key, at, ...); ``range`` and ``place`` in it give the order.
+
+    Entries of equal keys go by their run and place there, also between ranges, so captures of one URL may fill many of them.
+    """
     spark = index.sparkSession
     index = written(index, "runs")
     n = max(1, -(-index.count() // RANGE_ENTRIES), min(int(spark.conf.get("spark.sql.shuffle.partitions")), 64))
     number = F.coalesce(F.col("page_id").cast("decimal(20,0)"), F.lit(-(1 << 63)).cast("decimal(20,0)"))
-    dealt = index.withColumn("number", number).repartitionByRange(n, "url_key", "at", "number").sortWithinPartitions("run", "seq")
+    dealt = index.withColumn("number", number).repartitionByRange(n, "url_key", "at", "number", "run", "seq").sortWithinPartitions("run", "seq")
     names = index.columns
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

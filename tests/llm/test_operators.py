@@ -75,6 +75,17 @@ def test_archives(spark):
     assert warc.capture_history(pages.limit(0)).count() == 0
 
 
+def test_captures_of_one_url_fill_many_ranges(spark, monkeypatch):
+    """All ids null, one URL, one very long page, extra columns of clashing names."""
+    monkeypatch.setattr(warc, "RANGE_ENTRIES", 50)
+    rows = [(None, "http://a.org/", f"page {i}") for i in range(400)] + [(None, "http://a.org/", "long " * 400_000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("run", F.lit(1)).withColumn("seq", F.lit("x")).withColumn("at", F.lit(2)).withColumn("range", F.lit(3))
+    got = warc.capture_history(pages.repartition(4)).collect()
+    assert len(got) == 401 and all(r["intact"] for r in got) and max(r["payload_bytes"] for r in got) == 2_000_000
+    order = sorted(got, key=lambda r: (r["range"], r["place"]))
+    assert [(r["run"], r["seq"]) for r in order] == sorted((r["run"], r["seq"]) for r in got) and len({r["range"] for r in got}) > 3
+
+
 # --- 2: shards
 
 
@@ -463,8 +474,8 @@ def test_fingerprints_brute_force(spark, tmp_path):
             out.append(hashlib.blake2b(np.array(inside, np.uint64).tobytes(), digest_size=4).hexdigest() if inside else "-" * 8)
         return out
 
-    def likeness(a, b):
-        if a == b:
+    def likeness(a, b, equal):
+        if equal or (a == b and set(a) != {"-" * 8}):
             return 1.0
         same = told = 0
         for level in range(8):
@@ -474,17 +485,28 @@ def test_fingerprints_brute_force(spark, tmp_path):
                 same += sum(p == q != "-" * 8 for p, q in zip(x, y, strict=True))
         return same / told if told else 0.0
 
-    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1] or ""))
+    hashed = {r["text"]: r["h"] for r in spark.createDataFrame(rows, DOCS).select("text", F.xxhash64("text").alias("h")).collect()}
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), hashed[r[1]]))
     want = []
     for (d, t, _), (_, u, _) in zip(order, order[1:] + order[:1], strict=True):
         t, u = t or "", u or ""
         cut = len(t) // 2
         edited = t[: len(t) - cut] + u[:cut]
         a, b, c = parts(t), parts(edited), parts(u)
-        want.append((str(d), len(t), hashlib.sha256(edited.encode()).hexdigest(), "".join(a), "".join(b), round(likeness(a, b), 9), round(likeness(a, c), 9)))
+        want.append((str(d), len(t), hashlib.sha256(edited.encode()).hexdigest(), "".join(a), "".join(b), round(likeness(a, b, edited == t), 9), round(likeness(a, c, u == t), 9)))
     got = [(str(r["doc_id"]), r["n_chars"], r["edited_sha256"], r["fingerprint"], r["edited_fingerprint"], round(r["near_edited"], 9), round(r["near_next"], 9)) for r in imatch.op9_imatch(spark, str(tmp_path)).collect()]
     assert sorted(got) == sorted(want)
     assert len({w[5] for w in want}) > 5 and len({w[3] for w in want}) > 60
+    # an id of two thirds of the rows, and all ids null, are dealt to several ranges; each row still meets its successor
+    for name, ids in (("hot", lambda i: 7 if i % 3 else i), ("null", lambda i: None)):
+        many = [(ids(i), f"{vocabulary[i % 300]} {i} " + "x" * (i % 7), "s") for i in range(200)]
+        frame(many).repartition(3).write.parquet(str(tmp_path / name / "documents.parquet"))
+        dealt, n = imatch.neighbours(spark.read.parquet(str(tmp_path / name / "documents.parquet")).select("doc_id", "text"))
+        assert n == 4 and dealt.where("not guest").groupBy("part").count().agg(F.max("count")).first()[0] < 120
+        hashed = {r["text"]: r["h"] for r in dealt.select("text", "h").collect()}
+        order = sorted(many, key=lambda r: (r[0] is None, -(r[0] or 0), hashed[r[1]]))
+        want = {hashlib.sha256((t[: len(t) - len(t) // 2] + u[: len(t) // 2]).encode()).hexdigest() for (_, t, _), (_, u, _) in zip(order, order[1:] + order[:1], strict=True)}
+        assert {r["edited_sha256"] for r in imatch.op9_imatch(spark, str(tmp_path / name)).collect()} == want
     for name, few in (("one", rows[:1]), ("none", [])):
         frame(few).write.parquet(str(tmp_path / name / "documents.parquet"))
         assert [r["near_next"] for r in imatch.op9_imatch(spark, str(tmp_path / name)).collect()] == [1.0] * len(few)
