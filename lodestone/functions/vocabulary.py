@@ -1,4 +1,4 @@
-"""Reference tables: small defaults that callers may replace."""
+"""Reference tables: fixed lists, and a small dictionary for the synthetic texts of the queries; ``dictionary`` has that for real ones."""
 
 from __future__ import annotations
 
@@ -18,6 +18,8 @@ HEADING_RULES = ((1, "ignore", "(^|[^a-z])(to|zu|pour)([^a-z]|$)"), (2, "preferr
 WEIGHTS = {"required": 10, "preferred": 5, "duties": 5, "other": 3, "ignore": 0}
 #: A line that matches this inside a required section only counts as preferred.
 PREFERRED_LINE = "(^|[^a-z])(bonus|a plus|preferred|for)([^a-z]|$)"
+#: How headings and lines of the synthetic texts are read.
+SAMPLE = {"rules": HEADING_RULES, "preferred": PREFERRED_LINE}
 #: Names of roles in the titles of the synthetic texts, a pattern.
 ROLE_NAMES = "(?:heat|that|tion|with)s?\\b"
 ROLES = (("projects", ("project", "tion")), ("experience", ("experience", "the")), ("other", ("education", "an")))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestone.durable import written
 from lodestone.operators.chains import anchors
+from lodestone.operators.folds import ordered_fold
 from lodestone.operators.ranges import running
 
 
@@ -70,6 +73,36 @@ def snapshot_drift(before: DataFrame, after: DataFrame, edited: DataFrame, toler
     )
 
 
+def drift_in_order(before: DataFrame, after: DataFrame, edited: DataFrame, tolerance: float = 0.5) -> DataFrame:
+    """As ``snapshot_drift``, but each unedited line, in order, is matched to the first equal line of ``after`` beyond the last match.
+
+    This holds for any counts of equal lines. A line without such a match is missing and leaves the place; order cannot be broken.
+    The lines of ``after`` of one document are held while the document's lines stream by.
+    """
+    kept = before.join(edited.select("doc_id", "line_no").distinct(), ["doc_id", "line_no"], "left_anti")
+    side = lambda t, n: t.select("doc_id", F.lit(n).alias("side"), "line_no", F.xxhash64("line").alias("h"), "page", "y")
+
+    def step(state: tuple[dict, int], row: tuple) -> tuple:
+        places, cursor = state
+        _, which, line_no, h, page, y = row
+        if which == 0:
+            places.setdefault(h, []).append((line_no, page, y))
+            return state, (None, None)
+        at = bisect_left(places.get(h, ()), cursor, key=lambda p: p[0])
+        if at == len(places.get(h, ())):
+            return state, ("missing", None)
+        line2, page2, y2 = places[h][at]
+        off = abs(y2 - y)
+        problem = "page" if page2 != page else "shift" if off > tolerance else None
+        return (places, line2 + 1), (problem, off if page2 == page else None)
+
+    rows = side(after, 0).unionByName(side(kept, 1))
+    judged = ordered_fold(rows, ["doc_id"], ["side", "line_no"], lambda: ({}, 0), step, "problem string, shift double").where("side = 1")
+    return judged.groupBy("doc_id").agg(
+        F.count("*").alias("lines"), F.max("shift").alias("worst"), F.min_by("problem", F.when(F.col("problem").isNotNull(), F.col("line_no"))).alias("problem")
+    )
+
+
 def word_list(text: Column) -> Column:
     """Lower-case words without punctuation at their ends."""
     bare = F.transform(F.split(F.lower(text), "\\s+"), lambda w: F.regexp_replace(w, "^[^a-z0-9]+|[^a-z0-9]+$", ""))

@@ -9,11 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lodestone.durable import written
 from lodestone.functions.text import stems, tokens
 
 #: Rows of query vectors that are sent to all tasks at once; more are handled in blocks.
@@ -103,6 +105,73 @@ def nearest(queries: DataFrame, items: DataFrame, k: int = 3) -> DataFrame:
     return pairs.withColumn("r", rank).where(F.col("r") <= k).drop("r")
 
 
+#: Rows that the cells are fitted on at most, and items of a cell's part on average.
+CELL_SAMPLE, PART_ITEMS = 20_000, 5_000
+#: Queries of the sample that choose the number of probes.
+TRIED = 200
+
+
+def _cells_of(rows: DataFrame, key: str, centres: np.ndarray, n: int, out: str) -> DataFrame:
+    """(key, v, out): unit vectors with their ``n`` nearest cells, nearest first; no shuffle."""
+    known = rows.sparkSession.sparkContext.broadcast(centres)  # a row a cell; cells are bounded by the sample
+
+    @F.pandas_udf("array<int>")
+    def cells(vectors: pd.Series) -> pd.Series:
+        near = np.argsort(-np.stack(vectors.to_list()) @ known.value.T, axis=1, kind="stable")[:, :n]
+        return pd.Series(list(near.astype(np.int32)))
+
+    return rows.select(key, unit(F.col("v")).alias("v")).withColumn(out, cells("v"))
+
+
+def fitted_cells(items: DataFrame, k: int, recall: float) -> tuple[np.ndarray, int]:
+    """(centres, probes): cells of unit vectors, and how many a query must look into for ``recall`` of its k nearest.
+
+    Both come from a sample of at most CELL_SAMPLE items by the hash of their ids. The probes are the fewest that find that share
+    of the k nearest in the sample for TRIED of its items.
+    """
+    sample = items.select("item_id", unit(F.col("v")).alias("v")).orderBy(F.xxhash64("item_id"), "item_id").limit(CELL_SAMPLE).toPandas()  # bounded
+    if not len(sample):
+        return np.zeros((0, 0)), 0
+    vectors = np.stack(sample["v"].to_list())
+    rng = np.random.Generator(np.random.PCG64(5))
+    m = max(1, min(len(vectors), int(np.sqrt(len(vectors) * 4)), 1024))
+    centres = vectors[rng.choice(len(vectors), m, replace=False)]
+    for _ in range(12):
+        own = np.argmax(vectors @ centres.T, axis=1)
+        total = np.zeros_like(centres)
+        np.add.at(total, own, vectors)
+        norm = np.linalg.norm(total, axis=1, keepdims=True)
+        centres = np.where(norm > 0, total / np.where(norm > 0, norm, 1), centres)
+    own = np.argmax(vectors @ centres.T, axis=1)
+    asked = vectors[:TRIED]
+    best = np.argsort(-(asked @ vectors.T) + 2 * np.eye(len(asked), len(vectors)), axis=1, kind="stable")[:, :k]  # not itself
+    rank = np.argsort(np.argsort(-(asked @ centres.T), axis=1, kind="stable"), axis=1)
+    needed = np.sort(np.take_along_axis(rank, own[best], axis=1).ravel())
+    return centres, int(needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))))]) + 1
+
+
+def approximate_nearest(queries: DataFrame, items: DataFrame, k: int = 3, recall: float = 0.95) -> DataFrame:
+    """(query_id, item_id, similarity): about each query's k most similar items, ties by id; both sides may be large.
+
+    Every item is in its nearest cell; a query looks into as many cells as the sample asks for, so both sides are shuffled by cell
+    and neither is sent whole. A cell of many items, such as copies, is dealt to parts by hash, each of which gets its queries. Similarities are
+    exact; only items in cells not looked into can be missed. Rows with null or empty vectors have no cell.
+    """
+    good = lambda t: t.where(F.size("v") > 0)
+    centres, probes = fitted_cells(good(items), k, recall)
+    if not probes:
+        return queries.select("query_id").crossJoin(items.select("item_id")).withColumn("similarity", F.lit(0.0)).limit(0)
+    inside = written(_cells_of(good(items), "item_id", centres, 1, "cell").withColumn("cell", F.col("cell")[0]).withColumnRenamed("v", "iv"), "cells")
+    parts = inside.groupBy("cell").agg(F.ceil(F.count("*") / PART_ITEMS).cast("int").alias("parts"))  # a row a cell
+    dealt = inside.join(F.broadcast(parts), "cell").select("cell", F.pmod(F.xxhash64("item_id"), F.col("parts")).cast("int").alias("part"), "item_id", "iv")
+    asked = _cells_of(good(queries), "query_id", centres, probes, "cells").select("query_id", F.col("v").alias("qv"), F.explode("cells").alias("cell"))
+    asked = asked.join(F.broadcast(parts), "cell").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    pairs = asked.join(dealt, ["cell", "part"]).where("query_id <> item_id")
+    scored = pairs.select("query_id", "item_id", F.round(vector_similarity(F.col("qv"), F.col("iv")), 6).alias("similarity"))
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("similarity").desc(), "item_id"))
+    return scored.withColumn("r", rank).where(F.col("r") <= k).drop("r")
+
+
 def nearest_texts(queries: DataFrame, items: DataFrame, k: int = 3) -> DataFrame:
     """(query_id, item_id, similarity): each text's k most similar texts of ``items`` by stem cosine, ties by id; never the one of its own id.
 

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lodestone.functions import dictionary as D
 from lodestone.functions import vocabulary as V
 from lodestone.functions.text import word_count
 
@@ -30,7 +31,7 @@ def length_limit(docs: DataFrame, limit: int = 20_000) -> DataFrame:
     return docs.select("doc_id", n.alias("n"), F.when(n > limit, "JD_TOO_LONG").alias("reason"))
 
 
-def heading_kind(line: Column, rules=V.HEADING_RULES) -> Column:
+def heading_kind(line: Column, rules=D.HEADING_RULES) -> Column:
     """The kind of section that a line heads, or null if it is no heading."""
     s = F.trim(F.regexp_replace(F.trim(line), "^[()]+|[()]+$", ""))
     bare = F.regexp_replace(s, ":+$", "")
@@ -41,26 +42,26 @@ def heading_kind(line: Column, rules=V.HEADING_RULES) -> Column:
     return F.when(no, None).when(F.lower(F.trim(bare)).isin("skills", "job details"), "other").when(looks, kind)
 
 
-def section_fill(docs: DataFrame, rules=V.HEADING_RULES) -> DataFrame:
+def section_fill(docs: DataFrame, rules=D.HEADING_RULES) -> DataFrame:
     """(doc_id, line_no, line, heading, kind): each line has the kind of the nearest heading above, ``other`` before the first."""
     lines = split_lines(docs).withColumn("line", F.trim("line")).where("line <> ''").withColumn("heading", heading_kind(F.col("line"), rules))
     above = W.partitionBy("doc_id").orderBy("line_no").rowsBetween(W.unboundedPreceding, W.currentRow)
     return lines.withColumn("kind", F.coalesce(F.last("heading", ignorenulls=True).over(above), F.lit("other")))
 
 
-def line_weight(docs: DataFrame, rules=V.HEADING_RULES) -> DataFrame:
+def line_weight(docs: DataFrame, rules=D.HEADING_RULES, preferred: str = D.PREFERRED_LINE) -> DataFrame:
     """(doc_id, line_no, line, w10) of the lines that are no headings and weigh anything."""
     filled = section_fill(docs, rules).where("heading is null")
     weights = F.create_map(*[F.lit(x) for kv in V.WEIGHTS.items() for x in kv])
-    soft = (F.col("kind") == "required") & F.lower("line").rlike(V.PREFERRED_LINE)
+    soft = (F.col("kind") == "required") & F.lower("line").rlike(preferred)
     w10 = F.when(soft, V.WEIGHTS["preferred"]).otherwise(weights[F.col("kind")])
     return filled.select("doc_id", "line_no", "line", w10.alias("w10")).where("w10 > 0")
 
 
-def requirement_text(docs: DataFrame) -> DataFrame:
+def requirement_text(docs: DataFrame, rules=D.HEADING_RULES, preferred: str = D.PREFERRED_LINE) -> DataFrame:
     """(doc_id, requirement): lines of weight 5 or more joined by a space in order; documents without any are absent."""
     ordered = F.array_sort(F.collect_list(F.struct("line_no", "line")))
-    return line_weight(docs).where("w10 >= 5").groupBy("doc_id").agg(F.array_join(F.transform(ordered, lambda x: x["line"]), " ").alias("requirement"))
+    return line_weight(docs, rules, preferred).where("w10 >= 5").groupBy("doc_id").agg(F.array_join(F.transform(ordered, lambda x: x["line"]), " ").alias("requirement"))
 
 
 def match_terms(texts: DataFrame, terms: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
@@ -81,9 +82,9 @@ def match_terms(texts: DataFrame, terms: DataFrame, keys: list[str], text: str =
     return rows.select(*keys, "_id").join(found, "_id").select(*keys, "canonical").distinct()
 
 
-def term_weights(docs: DataFrame, terms: DataFrame, titles: DataFrame | None = None) -> DataFrame:
+def term_weights(docs: DataFrame, terms: DataFrame, titles: DataFrame | None = None, rules=D.HEADING_RULES, preferred: str = D.PREFERRED_LINE) -> DataFrame:
     """(doc_id, term, w10): the greatest weight of the lines that name a term; a term in the title has 10."""
-    lines = line_weight(docs)
+    lines = line_weight(docs, rules, preferred)
     hits = match_terms(lines, terms, ["doc_id", "w10"], "line")
     if titles is not None:
         hits = hits.unionByName(match_terms(titles.withColumn("w10", F.lit(10)), terms, ["doc_id", "w10"], "title"))
@@ -186,7 +187,7 @@ def fingerprint(docs: DataFrame, weights: DataFrame, titles: DataFrame) -> DataF
     return joined.select("doc_id", F.sha2(F.concat(F.coalesce("title", F.lit("")), F.lit("\n"), F.coalesce("body", F.lit(""))), 256).alias("fingerprint"))
 
 
-def section_role(headings: DataFrame, overrides: DataFrame | None = None, roles=V.ROLES) -> DataFrame:
+def section_role(headings: DataFrame, overrides: DataFrame | None = None, roles=D.ROLES) -> DataFrame:
     """Adds ``role`` to (…, heading): an override by name without case and spaces, else the first role with a word in it, else other."""
     name = F.lower("heading")
     role = F.lit("other")

@@ -84,9 +84,27 @@ q AS (SELECT *, CASE WHEN line2 IS NULL THEN 'missing' WHEN page2 <> page THEN '
 SELECT doc_id, count(*) AS lines, max(CASE WHEN page2 = page THEN abs(y2 - y) END) AS worst, min_by(problem, CASE WHEN problem IS NOT NULL THEN line_no END) AS problem FROM q GROUP BY doc_id""")
 def g8(spark, sf):
     """Lines as laid out on pages of 40, and again with some lines missing and all shifted a little; every tenth line was edited."""
+    return au.snapshot_drift(*_snapshots(spark, sf))
+
+
+@query("g8_drift_in_order", f"""WITH RECURSIVE {LINES_SQL}, b AS (SELECT doc_id, line_no // 40 AS page, line_no, line_no * 12.0::DOUBLE AS y, line FROM lines),
+a AS (SELECT doc_id, page, line_no, y + (doc_id % 8) * 0.125::DOUBLE AS y, line FROM b WHERE NOT (doc_id % 3 = 0 AND line_no % 17 = 5)),
+kept AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS k FROM b WHERE line_no % 10 <> 9),
+walk AS (SELECT DISTINCT doc_id, 0::BIGINT AS k, -1::BIGINT AS cur, NULL::BIGINT AS hit FROM kept
+  UNION ALL SELECT w.doc_id, kp.k, coalesce(min(a.line_no), any_value(w.cur)), min(a.line_no) FROM walk w JOIN kept kp ON kp.doc_id = w.doc_id AND kp.k = w.k + 1
+  LEFT JOIN a ON a.doc_id = w.doc_id AND a.line = kp.line AND a.line_no > w.cur GROUP BY w.doc_id, kp.k),
+j AS (SELECT kept.*, a.page AS page2, abs(a.y - kept.y) AS shift, hit FROM kept JOIN walk USING (doc_id, k) LEFT JOIN a ON a.doc_id = kept.doc_id AND a.line_no = hit),
+q AS (SELECT *, CASE WHEN hit IS NULL THEN 'missing' WHEN page2 <> page THEN 'page' WHEN shift > 0.5 THEN 'shift' END AS problem FROM j)
+SELECT doc_id, count(*) AS lines, max(CASE WHEN page2 = page THEN shift END) AS worst, min_by(problem, CASE WHEN problem IS NOT NULL THEN line_no END) AS problem FROM q GROUP BY doc_id""")
+def g8o(spark, sf):
+    """The snapshots of ``g8_snapshot_drift``, matched in order: some equal lines are fewer in the second."""
+    return au.drift_in_order(*_snapshots(spark, sf))
+
+
+def _snapshots(spark, sf):
     before = split_lines(docs(spark, sf)).select("doc_id", F.expr("line_no div 40").alias("page"), "line_no", (F.col("line_no") * F.lit(12.0)).alias("y"), "line")
     after = before.where("not (doc_id % 3 = 0 and line_no % 17 = 5)").withColumn("y", F.col("y") + (F.col("doc_id") % 8) * F.lit(0.125))
-    return au.snapshot_drift(before, after, before.where("line_no % 10 = 9"))
+    return before, after, before.where("line_no % 10 = 9")
 
 
 _W = "list_filter(list_transform(regexp_split_to_array(lower({0}), '\\s+'), lambda w: regexp_replace(w, '^[^a-z0-9]+|[^a-z0-9]+$', '', 'g')), lambda w: w <> '')"

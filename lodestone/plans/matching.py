@@ -79,6 +79,14 @@ def b5(spark, sf):
     return sim.nearest(queries, e.select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("v")))
 
 
+@query("b5_approximate_nearest")
+def b5a(spark, sf):
+    """The same search through cells, for two large sides; tests hold its recall against ``b5_nearest``."""
+    e = table(spark, sf, "embeddings")
+    queries = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("v"))
+    return sim.approximate_nearest(queries, e.select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("v")))
+
+
 _ANSWERS = "SELECT a.conv_id, a.turn, a.text AS answer, s.text FROM conversations a JOIN conversations s ON a.conv_id = s.conv_id AND s.turn < a.turn WHERE a.role = 'assistant'"
 _GROUND = f"""v AS (SELECT conv_id, turn, unnest({stems_sql('text')}) AS stem FROM conversations WHERE role = 'assistant'),
 src AS (SELECT DISTINCT conv_id, turn, unnest({stems_sql('text')}) AS stem FROM ({_ANSWERS})),
@@ -233,7 +241,7 @@ def benchmark_terms(spark, sf):
 
 
 def rich_weights(spark, sf):
-    return op.term_weights(docs(spark, sf), benchmark_terms(spark, sf))
+    return op.term_weights(docs(spark, sf), benchmark_terms(spark, sf), **V.SAMPLE)
 
 
 @query("a12_missing_terms", f"""{RICH}, seen AS (SELECT p_name AS text, unnest(list_distinct(regexp_extract_all(lower(p_name), '\\w+'))) AS word FROM part), m AS (SELECT DISTINCT word FROM seen JOIN words USING (word) WHERE regexp_matches(text, pattern)),

@@ -61,7 +61,7 @@ def docs(spark, sf):
 
 
 def weights(spark, sf):
-    return op.term_weights(docs(spark, sf), V.terms(spark))
+    return op.term_weights(docs(spark, sf), V.terms(spark), **V.SAMPLE)
 
 
 @query("a1_split_lines", f"WITH {LINES_SQL} SELECT doc_id, line_no::INT AS line_no, line FROM lines")
@@ -77,22 +77,22 @@ def a2(spark, sf):
 @query("a3_heading_kind", f"WITH {LINES_SQL}, {HEADINGS_SQL} SELECT doc_id, line_no::INT AS line_no, heading FROM headings")
 def a3(spark, sf):
     lines = op.split_lines(docs(spark, sf)).withColumn("line", F.trim("line")).where("line <> ''")
-    return lines.select("doc_id", "line_no", op.heading_kind(F.col("line")).alias("heading"))
+    return lines.select("doc_id", "line_no", op.heading_kind(F.col("line"), V.HEADING_RULES).alias("heading"))
 
 
 @query("a4_section_fill", f"WITH {LINES_SQL}, {HEADINGS_SQL} SELECT doc_id, line_no::INT AS line_no, line, heading, kind FROM filled")
 def a4(spark, sf):
-    return op.section_fill(docs(spark, sf))
+    return op.section_fill(docs(spark, sf), V.HEADING_RULES)
 
 
 @query("a5_line_weight", f"{WITH_LINES} SELECT doc_id, line_no::INT AS line_no, line, w10::INT AS w10 FROM weighted")
 def a5(spark, sf):
-    return op.line_weight(docs(spark, sf))
+    return op.line_weight(docs(spark, sf), **V.SAMPLE)
 
 
 @query("a6_requirement_text", f"{WITH_LINES} SELECT doc_id, string_agg(line, ' ' ORDER BY line_no) AS requirement FROM weighted WHERE w10 >= 5 GROUP BY doc_id")
 def a6(spark, sf):
-    return op.requirement_text(docs(spark, sf))
+    return op.requirement_text(docs(spark, sf), **V.SAMPLE)
 
 
 @query("a7_match_terms", f"WITH {TERMS_SQL} SELECT DISTINCT doc_id, canonical FROM documents, terms WHERE regexp_matches(text, pattern)")
@@ -124,7 +124,7 @@ titles AS (SELECT doc_id, coalesce(title, '') AS title FROM documents LEFT JOIN
 SELECT doc_id, term, max(w10)::INT AS w10 FROM named GROUP BY ALL""")
 def a8t(spark, sf):
     """As ``a8_term_weights``, and the terms of a document's title weigh 10, even where their line does not count."""
-    return op.term_weights(docs(spark, sf), V.terms(spark), op.extract_title(docs(spark, sf), V.ROLE_NAMES))
+    return op.term_weights(docs(spark, sf), V.terms(spark), op.extract_title(docs(spark, sf), V.ROLE_NAMES), **V.SAMPLE)
 
 
 @query("a9_extract_title", f"WITH {LINES_SQL}, {HEADINGS_SQL}, {titles_sql()} SELECT doc_id, title FROM titles")
@@ -193,7 +193,7 @@ WHEN contains(lower(heading), 'experience') OR contains(lower(heading), 'the') T
 def a17(spark, sf):
     overrides = spark.createDataFrame([("Thaninhe  Thhewh.", "projects")], "heading string, role string")
     headings = table(spark, sf, "pages").select("page_id", F.regexp_extract("html", "<h1>([^<]*)</h1>", 1).alias("heading"))
-    return op.section_role(headings, overrides)
+    return op.section_role(headings, overrides, V.ROLES)
 
 
 @query("a18_normalise_text", """SELECT conv_id, turn, trim(regexp_replace(text, '[ \\t\\r\\n]+', ' ', 'g')) AS text, len(trim(regexp_replace(text, '[ \\t\\r\\n]+', ' ', 'g'))) > 1000 AS too_long FROM conversations""")

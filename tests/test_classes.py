@@ -185,3 +185,69 @@ def test_ranges(spark):
         assert {r["id"]: r["running"] for r in running(df, ["owner"], [F.col("at"), F.col("id")], F.col("v")).collect()} == want
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert numbered(df.limit(0), [F.col("at")]).count() == 0 and running(df.limit(0), ["owner"], [F.col("at")], F.col("v")).count() == 0
+
+
+# --- in-order matching, approximate search
+
+
+def test_drift_in_order(spark):
+    from lodestone.operators import audit
+
+    rng = random.Random(37)
+    before, after, edited = [], [], []
+    for d in range(60):
+        lines = [rng.choice("abcde") for _ in range(rng.randrange(1, 25))]
+        before += [(d, i // 10, i, i * 12.0, x) for i, x in enumerate(lines)]
+        edited += [(d, i) for i in range(len(lines)) if rng.random() < 0.1]
+        kept = [x for x in lines if rng.random() < 0.93] + [rng.choice("abcde") for _ in range(rng.randrange(3))]
+        after += [(d, i // 10, i, i * 12.0 + rng.choice([0.0, 0.25, 0.75]), x) for i, x in enumerate(kept)]
+    want = {}
+    for d in range(60):
+        cursor, worst, problem, n = 0, None, None, 0
+        mine = sorted(x for x in after if x[0] == d)
+        mine.sort(key=lambda x: x[2])
+        for _, page, i, y, x in sorted((b for b in before if b[0] == d), key=lambda b: b[2]):
+            if (d, i) in edited:
+                continue
+            n += 1
+            match = next((a for a in mine if a[2] >= cursor and a[4] == x), None)
+            found = "missing" if match is None else "page" if match[1] != page else "shift" if abs(match[3] - y) > 0.5 else None
+            problem = problem or found
+            if match:
+                cursor = match[2] + 1
+                worst = max(worst or 0.0, abs(match[3] - y)) if match[1] == page else worst
+        want[d] = (n, worst, problem) if n else None
+    schema = "doc_id int, page int, line_no int, y double, line string"
+    got = audit.drift_in_order(spark.createDataFrame(before, schema), spark.createDataFrame(after, schema), spark.createDataFrame(edited, "doc_id int, line_no int")).collect()
+    assert {r["doc_id"]: (r["lines"], r["worst"], r["problem"]) for r in got} == {d: w for d, w in want.items() if w} and len({w[2] for w in want.values() if w}) > 2
+
+
+def test_approximate_nearest(spark, monkeypatch):
+    """Recall on clustered and on shapeless vectors, with a third of all items copies of one, and null and empty vectors."""
+    import numpy as np
+
+    rng = np.random.Generator(np.random.PCG64(38))
+    monkeypatch.setattr(sim, "PART_ITEMS", 100)
+    centres = rng.normal(size=(20, 16)) * 3
+    for vectors in (centres[rng.integers(0, 20, 1500)] + rng.normal(size=(1500, 16)), rng.normal(size=(1500, 16))):
+        vectors[:500] = vectors[0]
+        rows = [(i, v.tolist()) for i, v in enumerate(vectors)] + [(9000, None), (9001, [])]
+        items = spark.createDataFrame(rows, "item_id long, v array<double>")
+        queries = items.where("item_id % 50 = 0").withColumnRenamed("item_id", "query_id")
+        got = {(r["query_id"], r["item_id"]): r["similarity"] for r in sim.approximate_nearest(queries, items).collect()}
+        want = {(r["query_id"], r["item_id"]): r["similarity"] for r in sim.nearest(queries.where("size(v) > 0"), items.where("size(v) > 0")).collect()}
+        assert len(got.keys() & want.keys()) >= 0.9 * len(want) and all(abs(got[p] - want[p]) < 1e-9 for p in got.keys() & want.keys())
+    assert sim.approximate_nearest(queries, items.limit(0)).count() == 0
+
+
+def test_recall_on_given_tables(spark):
+    import os
+
+    from lodestone.plans.registry import QUERIES
+
+    sf = "/root/testdata/sf0.01"
+    if not os.path.isdir(sf):
+        pytest.skip("no test tables")
+    pairs = lambda n: {(r["query_id"], r["item_id"]) for r in QUERIES[n](spark, sf).collect()}
+    want = pairs("b5_nearest")
+    assert len(want & pairs("b5_approximate_nearest")) >= 0.9 * len(want)

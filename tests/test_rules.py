@@ -250,7 +250,7 @@ def test_rejections(spark):
 
 def test_empty_tables(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
-    assert op.term_weights(docs, V.terms(spark)).count() == 0
+    assert op.term_weights(docs, V.terms(spark), **V.SAMPLE).count() == 0
     assert op.extract_title(docs).count() == 0
     assert events.rate_limit(spark.createDataFrame([], "key long, us long, id long"), 1, 1).count() == 0
 
@@ -260,7 +260,7 @@ def test_partitions_do_not_matter(spark, parts):
     old = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.shuffle.partitions", parts)
     docs = spark.createDataFrame([(i, f"Skills needed:\nthat with der {i}\nfrom que") for i in range(9, 0, -1)], "doc_id long, text string")
-    got = sorted(tuple(r) for r in op.top_terms(op.term_weights(docs, V.terms(spark))).collect())
+    got = sorted(tuple(r) for r in op.top_terms(op.term_weights(docs, V.terms(spark), **V.SAMPLE)).collect())
     spark.conf.set("spark.sql.shuffle.partitions", old)
     assert got[0] == (1, "der, that, with") and len(got) == 9
 
@@ -386,3 +386,36 @@ def test_alternatives(spark):
         want += [(owner, r + 1, label, ps, i, k, -t) for r, (t, label, ps, i, k) in enumerate(sorted(options, key=lambda o: o[:2])[:2])]
     assert sorted((r["owner_id"], r["r"], r["label"], tuple(r["projects"]), r["slot_idx"], r["cand_id"], r["total"]) for r in got) == sorted(want)
     assert any("achievement" in w[2] for w in want) and any("instead" in w[2] for w in want)
+
+
+def test_default_dictionary(spark):
+    """A real posting with the default headings and terms: sections, weights, the title's terms at 10, what is implied."""
+    from lodestone.functions import dictionary as D
+
+    text = """Senior Data Engineer (Kafka)
+About us
+We love Redis and Excel.
+What you'll do
+Build pipelines in PySpark on AWS.
+Requirements:
+Python and postgres
+Terraform is a plus
+Nice to have:
+k8s or Go"""
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    terms, closure = V.terms(spark, D.TERMS), V.implies(spark, D.IMPLIES)
+    got = {r["term"]: r["w10"] for r in op.term_weights(docs, terms, op.extract_title(docs)).collect()}
+    assert got == {"Kafka": 10, "PySpark": 5, "AWS": 5, "Python": 10, "PostgreSQL": 10, "Terraform": 5, "Kubernetes": 5, "Go": 5}
+    named = op.match_terms(docs, terms, ["doc_id"])
+    assert {r["canonical"] for r in op.implied_terms(named, closure, ["doc_id"]).collect()} == {*got, "Redis", "SQL", "Spark"}
+    headings = spark.createDataFrame([("Work Experience",), ("PROJECTS",), ("Education",), ("Hobbies",)], "heading string")
+    assert [r["role"] for r in op.section_role(headings).collect()] == ["experience", "projects", "education", "other"]
+
+
+def test_terms_without_a_broadcast(spark, monkeypatch):
+    rng = random.Random(39)
+    rows = [(i % 40, " ".join(rng.choice(["that", "with", "der", "zz", "In", "is,", "de la"]) for _ in range(6))) for i in range(60)] + [(50, None), (51, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted(map(tuple, op.match_terms(docs, V.terms(spark), ["doc_id"]).collect()))
+    monkeypatch.setattr(op, "DICTIONARY", 0)
+    assert sorted(map(tuple, op.match_terms(docs, V.terms(spark), ["doc_id"]).collect())) == want and len(want) > 50
