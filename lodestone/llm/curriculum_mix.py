@@ -10,10 +10,10 @@ its source's stream is trained at the t with D_s(t) = c / target: the inverse of
 follow its first pass in the same order. The mix is range-sorted by position.
 
 A document is taken in a pass if its middle word lies within the target, so that a source ends within half a document of
-its target and no document is taken more than ``MOST`` times. The stream order is by the MD5 of the id, then the id: it
-does not depend on partitions. Running sums go over hash buckets first and then inside a bucket, so no source needs one
-task. Null text counts 0 words; a row with a null id is ordered as an empty id; an empty table gives an empty mix. Rows
-that repeat an id are ordered by a hash of their text; wholly equal rows follow each other.
+its target and no document is taken more than ``MOST`` times. The stream order is by the MD5 of the id and the text's MD5, then
+the id: it does not depend on partitions. Running sums go over buckets of this hash first and then inside a bucket, so no source
+and no id, null or repeated, needs one task. Null text counts 0 words; a null id is an empty one; an empty table gives an empty
+mix; wholly equal rows follow each other.
 """
 
 from __future__ import annotations
@@ -73,7 +73,7 @@ def stream(docs: DataFrame, key: str = "doc_id", source: str = "source", text: s
     The first: (doc_id, source, size, h, before), and with ``carry`` the whole row as the struct ``row``. The second:
     (source, source_size).
     """
-    h = F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")))
+    h = F.md5(F.concat(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(F.col(text), F.lit("")))).cast("binary"))
     bucket = F.substring("h", 1, BUCKET_DIGITS)
     columns = [F.col(key).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), h.alias("h"), F.xxhash64(F.col(text)).alias("tie")]
     rows = docs.select(*columns, *([F.struct("*").alias("row")] if carry else []))
@@ -127,7 +127,7 @@ def op8_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL = """
 WITH rows AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size,
-  md5(coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+  md5(coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))) AS h FROM documents),
 placed AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY h, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM rows),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM rows GROUP BY source),
 r AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rank FROM s),
