@@ -137,8 +137,9 @@ def b9(spark, sf):
     return sim.pair_separation(vector_pairs(spark, sf).select(F.round(F.col("s") * 10_000).cast("long").alias("bp"), "same"))
 
 
-_URL = "(?i)(https?://|www\\.|(^|\\W)[\\w.+-]+@[\\w-]+\\.\\w|[\\w-]+\\.(com|io|dev|org|net|ai|app|co|me|xyz)($|\\W))"
-_FIRST = "(^|[^\\w''])(I|me|my|mine|we|our|ours|us)($|[^\\w''])"
+# The fixed patterns of ``gate``; DuckDB's look neither ahead nor behind.
+_URL = gate.URL
+_FIRST = gate.FIRST_PERSON.replace("(?<![\\w'])", "(^|[^\\w''])").replace("(?![\\w'])", "($|[^\\w''])")
 
 
 def reasons_sql(x: str, budget: str) -> str:
