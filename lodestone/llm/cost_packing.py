@@ -7,9 +7,8 @@ lowest-cost sequence that has room for them; those that fit nowhere are cut, and
 left then is shorter than a sequence; it goes to one sequence for each binary digit of its length, as sequences at a power of two are not
 padded. So nothing is padded at all, and a group has at most a few short sequences.
 
-Token ids come from the vocabulary's own tokenizer. Texts are cut between two words at a single space, which no token of the
-byte-level vocabularies crosses, and a unit's ids are remembered: a frequent word is tokenized once in a task's memory of
-at most ``CACHE`` units.
+Token ids come from the vocabulary's own tokenizer; a Python worker remembers the words of its tasks, about ``CACHE`` that it
+has seen once and as many that it has seen again.
 
 Null and empty texts have the end id alone. Null and repeated ids and equal rows are packed row by row: a piece belongs to its row,
 and ``start`` tells rows of one id apart only by their own counts. An empty table gives no rows. Extra columns are not read.
@@ -17,8 +16,13 @@ and ``start`` tells rows of one id apart only by their own counts. An empty tabl
 
 from __future__ import annotations
 
+import json
 import os
+import re
+import unicodedata
+from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 from zlib import crc32
 
 import numpy as np
@@ -32,56 +36,85 @@ from lodestone.sources import table
 LENGTH, END, GROUP = 1024, 0, 512
 #: The number of ids at which attention costs as much as the linear layers.
 WIDTH = 4096
-CACHE, _UNIT = 1 << 17, 64
+CACHE = 1 << 18
+#: Characters up to here are split here: their kinds are the same in all of Unicode's versions.
+_LAST = 0x36F
+
+
+def _kind(kind: str) -> str:
+    """The characters up to _LAST of a general category, for a class of a pattern."""
+    return "".join(re.escape(chr(c)) for c in range(_LAST + 1) if unicodedata.category(chr(c)).startswith(kind))
+
+
+_L, _N, _S = _kind("L"), _kind("N"), "\t-\r \x85\xa0"
+#: Byte-level vocabularies write a byte as itself where it is a visible character, and the others, in order, from U+0100 on.
+_SEEN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_BYTES = {b: chr(b) for b in _SEEN} | {b: chr(0x100 + n) for n, b in enumerate(sorted(set(range(256)).difference(_SEEN)))}
+# Fixed value: the split pattern of byte-level pre-tokenizers.
+_UNITS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
 
 
 class Encoder:
-    """Token ids of whole texts, as little-endian unsigned 32-bit numbers in bytes."""
+    """Token ids of whole texts, as little-endian unsigned 32-bit numbers in bytes.
+
+    With the usual byte-level pre-tokenizer no token crosses the units of its split pattern, so each different unit goes to the
+    tokenizer's merges once and is remembered. Texts with the vocabulary's special tokens or letters beyond U+036F, where Unicode's versions
+    may differ, and all texts of other vocabularies are given to the tokenizer whole.
+    """
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task is one core
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
-
-    def _encode(self, units: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(units, add_special_tokens=False)]
-
-    @staticmethod
-    def units(text: str) -> list[str]:
-        """``text`` cut before each single space between two characters that are no white space."""
-        parts = text.split(" ")
-        out, start = [], 0
-        for i in range(1, len(parts) + 1):
-            if i == len(parts) or (parts[i - 1] and parts[i] and not parts[i - 1][-1].isspace() and not parts[i][0].isspace()):
-                out.append((" " if start else "") + " ".join(parts[start:i]))
-                start = i
-        return out
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        rows = [self.units(t) if t else [] for t in texts]
-        get = self.known.get
-        new = list({u for row in rows for u in row if u not in self.known})
-        fresh = {}
-        for at in range(0, len(new), 1024):
-            fresh.update(zip(new[at : at + 1024], self._encode(new[at : at + 1024]), strict=True))
-        out = [b"".join([get(u) or fresh[u] for u in row]) for row in rows]
-        if len(self.known) + len(fresh) > CACHE:
-            self.known.clear()
-        self.known.update((u, x) for u, x in fresh.items() if len(u) <= _UNIT and len(self.known) < CACHE)
-        return out
+        shape = json.loads(self.tokenizer.to_str())
+        kind = shape["pre_tokenizer"] or {}
+        self.by_unit = kind.get("type") == "ByteLevel" and kind["use_regex"] and not kind["add_prefix_space"] and not shape["normalizer"] and not shape["post_processor"]
+        special = [re.escape(t["content"]) for t in shape["added_tokens"]]
+        self.odd = re.compile("|".join([f"[^\\x00-{chr(_LAST)}]", *special]))
+        self.young: set[str] = set()  # units that have not been seen again since they were learned
+
+    def _encode(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _learn(self, units: set[str]) -> None:
+        merged = self.tokenizer.model.tokenize
+        for u in units:
+            self.known[u] = array("I", [t.id for t in merged(u.encode().decode("latin-1").translate(_BYTES))]).tobytes()
+        self.young |= units
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        rows = [_UNITS.findall(t) if self.by_unit and t and not self.odd.search(t) else None for t in texts]
+        every = set().union(*(r for r in rows if r))
+        self.young -= every
+        new = every.difference(self.known)
+        if len(self.young) + len(new) > CACHE:
+            for u in self.young:
+                del self.known[u]
+            self.young = set()
+            if len(self.known) > CACHE:
+                self.known, new = {}, every
+        self._learn(new)
+        get = self.known.__getitem__
+        return [b"".join(map(get, r)) if r is not None else self._encode(t) if t else b"" for t, r in zip(texts, rows, strict=True)]
+
+
+@lru_cache(maxsize=2)
+def encoder(path: str) -> Encoder:
+    """One for each vocabulary in a Python worker; it lives as long as the worker, through many tasks."""
+    return Encoder(path)
 
 
 def tokens(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", length: int = LENGTH, end: int = END) -> DataFrame:
     """(row, key, doc_tokens, start, length, ids_crc32, whole, ids): whole sequences without their ids, and each row's rest with them; no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, tail = Encoder(path), np.array([end], "<u4").tobytes()
+        known, tail = encoder(path), np.array([end], "<u4").tobytes()
         for batch in batches:
             for first in range(0, batch.num_rows, 256):
                 part = batch.slice(first, 256)
                 rows, out = [], []
-                for i, body in enumerate(encoder.encode(part.column(2).to_pylist())):
+                for i, body in enumerate(known.encode(part.column(2).to_pylist())):
                     ids = body + tail
                     n = len(ids) // 4
                     for start in range(0, n, length):

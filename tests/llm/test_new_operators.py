@@ -146,17 +146,19 @@ def vocabulary():
     return path, tokenizers.Tokenizer.from_file(path)
 
 
-def test_encoder(vocabulary):
+def test_encoder(vocabulary, monkeypatch):
     path, plain = vocabulary
     rng = random.Random(13)
-    texts = ["", " ", "  ", " a", "a ", "a  b", "a \n b", "don't  stop 12 3", "x <|endoftext|> y", "é è ü  z", "\x1c a \x1d b", "a\x85 b"]
+    texts = ["", " ", "  ", " a", "a ", "a  b", "a \n b", "don't  stop 12 3", "x <|endoftext|> y", "é è ü  z", "\x1c a \x1d b", "a\x85 b", "\n\n a\n b\n", "x\u00a0y \u00a0 z", "\x1c", "a\x1cb c\x1fd", "naïve œuvre ǆ ʰx"]
     texts += ["".join(rng.choice([" ", "a", "bc", "\n", "'s", "1", ".", "  ", "é", "\t", "日本", "\x1f", "　"]) for _ in range(rng.randrange(80))) for _ in range(400)]
     encoder = cost_packing.Encoder(path)
-    for _ in range(2):  # the second time from memory
+    assert encoder.by_unit
+    other = cost_packing.Encoder(vocabulary[0].replace("byte_bpe_50k.json", "word_bpe_49k.json"))
+    assert not other.by_unit and np.frombuffer(other.encode(["A b!"])[0], "<u4").tolist() == other.tokenizer.encode("A b!", add_special_tokens=False).ids
+    for cache in (1 << 18, 1 << 18, 30):  # the second time from memory, then with hardly any
+        monkeypatch.setattr(cost_packing, "CACHE", cache)
         for t, ids in zip(texts, encoder.encode(texts), strict=True):
             assert np.frombuffer(ids, "<u4").tolist() == plain.encode(t, add_special_tokens=False).ids, repr(t)
-            assert "".join(encoder.units(t)) == t
-    assert all(len(u) <= cost_packing._UNIT for u in encoder.known)
 
 
 def test_assign():
