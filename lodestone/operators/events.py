@@ -33,10 +33,22 @@ def rate_limit(events: DataFrame, limit: int, window: int) -> DataFrame:
     return ordered_fold(events.select("key", "us", "id"), ["key"], ["us", "id"], deque, step, "admitted boolean")
 
 
+def trailing_count(rows: DataFrame, key: str, at: str, window: int, name: str) -> DataFrame:
+    """``rows`` with how many of the key's rows lie in (at - window, at], as ``name``.
+
+    A key's time line is cut into buckets of one window, each a group of its own with the bucket before it, so a key with
+    many rows is many tasks. Rows are shuffled twice; nulls in ``key`` are a key.
+    """
+    bucket = F.expr(f"`{at}` div {window}")
+    again = F.when(F.col(at).isNull(), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))
+    both = rows.withColumn("_old", F.explode(again)).withColumn("_bucket", bucket + F.col("_old").cast("int"))
+    frame = W.partitionBy(key, "_bucket").orderBy(at).rangeBetween(1 - window, W.currentRow)
+    return both.withColumn(name, F.count("*").over(frame)).where("not _old").drop("_old", "_bucket")
+
+
 def offered_load(events: DataFrame, window: int) -> DataFrame:
     """Events (key, us, id) with ``load``: events of the key in (us - window, us], admitted or not."""
-    frame = W.partitionBy("key").orderBy("us").rangeBetween(1 - window, W.currentRow)
-    return events.withColumn("load", F.count("*").over(frame))
+    return trailing_count(events, "key", "us", window, "load")
 
 
 def windowed_counts(events: DataFrame, kind: str = "tumbling", size: str = "1 hour", slide: str = "15 minutes", late: str = "10 minutes") -> DataFrame:

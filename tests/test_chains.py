@@ -27,3 +27,15 @@ def test_anchors(spark, monkeypatch, seed, n, step):
         assert anchors(spark.createDataFrame([], "key string, at long, id long"), step).count() == 0
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_trailing_counts(spark):
+    """A hot key, null keys and times, times before 1970, ties, and windows of several lengths."""
+    from lodestone.operators.events import offered_load
+
+    rng = random.Random(43)
+    rows = [(rng.choice(["hot", "hot", "b", None]), rng.choice([None, *[rng.randrange(-300, 300)] * 9]), i) for i in range(300)]
+    df = spark.createDataFrame(rows, "key string, us long, id long")
+    for window in (1, 7, 60, 1000):
+        want = {i: sum(k == key and (u is us is None or (u is not None and us is not None and us - window < u <= us)) for k, u, _ in rows) for key, us, i in rows}
+        assert {r["id"]: r["load"] for r in offered_load(df, window).collect()} == want
