@@ -210,7 +210,8 @@ def e14(spark, sf):
 SELECT doc_id, top, CASE WHEN len(text) > 5000 THEN 'JD_TOO_LONG' END AS reason, (SELECT min(a) FROM decided WHERE b = doc_id AND decision = 'HIT') AS reused FROM documents LEFT JOIN top USING (doc_id)""")
 def e15(spark, sf):
     p = postings(spark, sf)
-    reuse = dedup.batch_reuse(p, decisions(spark, sf).where("decision = 'HIT'"))
+    members, links = dedup.memberships(*decisions(spark, sf))
+    reuse = dedup.batch_reuse(p, links, members)
     return sel.batch_summary(p, op.top_terms(rich_weights(spark, sf)), op.length_limit(p, 5000).select("doc_id", "reason"), reuse)
 
 

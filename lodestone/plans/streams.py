@@ -15,22 +15,14 @@ from lodestone.sources import events, micros, table
 from lodestone.streaming import streams
 
 
-def _files(spark, sf) -> str:
-    """The events dealt to four files by time, as a stream would bring them."""
-    e = table(spark, sf, "events")
-    path = new_folder(spark, "events")
-    e.repartitionByRange(4, "ts").sortWithinPartitions("ts").write.parquet(path)
-    return path
-
-
-def _late_files(spark, sf) -> str:
-    """The events in four files by time, one after the other, but every tenth comes with the file after its own."""
+def _files(spark, sf, late: bool = False) -> str:
+    """The events in files by time, one after the other, as a stream would bring them; if ``late``, every tenth comes with the file after its own."""
     e = events(spark, sf)
     low, high = e.agg(F.min("us"), F.max("us")).first()
-    path = new_folder(spark, "late_events")
+    path = new_folder(spark, "events")
     own = F.expr(f"(us - {low}) * 4 div {high - low + 1}") if low is not None else F.lit(0)
-    files = e.withColumn("file", own + F.when(F.col("event_id") % 10 == 3, 1).otherwise(0))
-    for n in range(5):  # a stream takes files by their time
+    files = e.withColumn("file", own + F.when(F.col("event_id") % 10 == 3, 1).otherwise(0) if late else own)
+    for n in range(5 if late else 4):  # a stream takes files by their time
         files.where(F.col("file") == n).drop("file", "us").repartition(1).write.mode("append").parquet(path)
         time.sleep(0.05)
     return path
@@ -67,14 +59,14 @@ def f5s(spark, sf):
 def f2l(spark, sf):
     """Events that come after the watermark has passed them, in the sink for late rows of the rate limit."""
     limit = lambda s: streams.rate_limit_stream(s.select("ts", F.col("user_id").alias("key"), F.col("event_id").alias("id")), 5, 24 * HOUR)
-    return streams.both(spark, _late_files(spark, sf), table(spark, sf, "events").schema, limit)[1].select("key", "id", "us")
+    return streams.both(spark, _files(spark, sf, late=True), table(spark, sf, "events").schema, limit)[1].select("key", "id", "us")
 
 
 @query("f3s_late_counts", f"{_LATE} SELECT event_type, epoch_us(time_bucket(INTERVAL 1 hour, ts)) AS start_us, count(*) AS n, count_if(event_id IN (SELECT event_id FROM late))::BIGINT AS late FROM events GROUP BY ALL")
 def f3l(spark, sf):
     """Events in time and late by type and hour: the windows count the accepted sink of the split, and the late table is counted beside."""
     split = lambda s: streams.split_stream(s.select("ts", F.col("event_id").alias("id"), "event_type"), "10 minutes", "event_type")
-    accepted, late = streams.both(spark, _late_files(spark, sf), table(spark, sf, "events").schema, split)
+    accepted, late = streams.both(spark, _files(spark, sf, late=True), table(spark, sf, "events").schema, split)
     hour = F.expr(f"us div {HOUR} * {HOUR}").alias("start_us")
     counts = accepted.withColumn("late", F.lit(0)).unionByName(late.withColumn("late", F.lit(1))).groupBy("event_type", hour)
     return counts.agg(F.count("*").alias("n"), F.sum("late").alias("late"))
