@@ -277,11 +277,59 @@ def _beginnings(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "g long, id long, keys array<long>")
 
 
+def _tally(g: np.ndarray, e: np.ndarray, f: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The groups, the ends of their lists, and the elements and summed counts of all lists, from rows (group, element, count)."""
+    order = np.lexsort((e, g))
+    g, e, f = g[order], e[order], f[order]
+    first = np.flatnonzero(np.concatenate([[True], (g[1:] != g[:-1]) | (e[1:] != e[:-1])])) if len(g) else np.zeros(0, np.int64)
+    g, e, f = g[first], e[first], np.add.reduceat(f, first) if len(first) else f
+    heads = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]])) if len(g) else np.zeros(0, np.int64)
+    return g[heads], np.append(heads, len(g)), e, f
+
+
+def _lacked(rows: DataFrame) -> DataFrame:
+    """(g, lost): for each group the elements, sorted, that at least two of its members (g, gone) lack, with how many do: (e, f).
+
+    Each task counts by itself and gives a row for each group, so what is shuffled does not grow with the members' differences.
+    """
+    names = ["g", "e", "f"]
+
+    def listed(g: np.ndarray, ends: np.ndarray, e: np.ndarray, f: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(g), *(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(x)) for x in (e, f))], names=names)
+
+    def flat(batch: pa.RecordBatch, *columns: str) -> list[np.ndarray]:
+        ends = batch.column(columns[0]).offsets.to_numpy()
+        return [np.repeat(batch.column("g").to_numpy(), np.diff(ends)), *(batch.column(c).values.to_numpy()[ends[0] : ends[-1]] for c in columns)]
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            g, e = flat(batch, "gone")
+            yield listed(*_tally(g, e, np.ones(len(e), np.int64)))
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros(0, np.int64)] * 3  # the last group so far
+        for batch in batches:
+            g, ends, e, f = _tally(*(np.concatenate(x) for x in zip(held, flat(batch, "e", "f"), strict=True)))
+            if len(g):
+                last = ends[-2]
+                held = [np.full(len(e) - last, g[-1]), e[last:], f[last:]]
+                yield kept(g[:-1], ends[:-1], e[:last], f[:last])
+        yield kept(*_tally(*held))
+
+    def kept(g: np.ndarray, ends: np.ndarray, e: np.ndarray, f: np.ndarray) -> pa.RecordBatch:
+        owner = np.repeat(g, np.diff(ends))
+        return listed(*_tally(owner[f > 1], e[f > 1], f[f > 1]))
+
+    schema = "g long, e array<long>, f array<long>"
+    parts = rows.select("g", "gone").mapInArrow(counted, schema)
+    return parts.repartition("g").sortWithinPartitions("g").mapInArrow(merged, schema).select("g", F.arrays_zip("e", "f").alias("lost"))
+
+
 def _finer(members: DataFrame, sizes: DataFrame, t: int, scratch: Scratch) -> DataFrame:
     """(key, id) of the next buckets, from the members (g, id, comp, room, gone, new) of groups and the groups' sizes (g, b).
 
-    How many members lack an element of the centre is one list a group, which its members look their elements up in; only
-    elements that the centre lacks are joined one by one.
+    How many members lack an element of the centre is one list a group, counted in the tasks, which its members look their elements
+    up in; only elements that the centre lacks are joined one by one.
     """
     best = members.groupBy("g", "comp").agg(F.max(F.struct("room", (-F.col("id")).alias("o"))).alias("best"))
     best = scratch.written(best, "best")
@@ -294,8 +342,7 @@ def _finer(members: DataFrame, sizes: DataFrame, t: int, scratch: Scratch) -> Da
     rows = rows.select("g", "id", "b", "n", (F.col("n") - need + 1).alias("first"), "gone", "new").where("first > 0")
     pair = F.struct("e", "f")
     several = lambda held: held.groupBy("g", "e").agg(F.count("*").alias("f")).where("f > 1")
-    lost = several(rows.select("g", F.explode("gone").alias("e"))).groupBy("g").agg(F.array_sort(F.collect_list(pair)).alias("lost"))  # at most the centre
-    lost = _fitting(scratch.written(lost, "lost"), "lost")
+    lost = _fitting(scratch.written(_lacked(rows), "lost"), "lost")  # a group's list is at most its centre
     held = rows.select("g", "id", F.explode("new").alias("e"))
     common = scratch.written(several(held), "common")
     own = held.join(common, ["g", "e"]).groupBy("g", "id").agg(F.collect_list(pair).alias("own"))  # at most D itself
