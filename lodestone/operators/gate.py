@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestone.durable import written
-from lodestone.functions.text import numbers, stems, tokens
+from lodestone.functions.text import ascii_borders, numbers, stems, tokens
 from lodestone.operators.dedup import class_leaders
 from lodestone.operators.similarity import grounding
 from lodestone.operators.terms import implied_terms, match_terms
@@ -26,7 +26,7 @@ def format_reasons(text: Column, budget: Column | None = None) -> Column:
     raw = F.coalesce(text, F.lit(""))
     t = F.regexp_replace(raw, "^\\s+|\\s+$", "")
     over = F.length(t) > budget if budget is not None else F.lit(False)
-    rules = [(raw.rlike("[\\r\\n]"), "MULTILINE"), (t.rlike(URL), "URL"), (t.rlike(FIRST_PERSON), "FIRST_PERSON"), (over, "OVER_BUDGET")]
+    rules = [(raw.rlike("[\\r\\n]"), "MULTILINE"), (t.rlike(ascii_borders(URL)), "URL"), (t.rlike(FIRST_PERSON), "FIRST_PERSON"), (over, "OVER_BUDGET")]
     return F.when(t == "", F.array(F.lit("EMPTY"))).otherwise(F.array_compact(F.array(*[F.when(c, r) for c, r in rules])))
 
 

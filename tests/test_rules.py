@@ -419,3 +419,21 @@ def test_terms_without_a_broadcast(spark, monkeypatch):
     want = sorted(map(tuple, op.match_terms(docs, V.terms(spark), ["doc_id"]).collect()))
     monkeypatch.setattr(op, "DICTIONARY", 0)
     assert sorted(map(tuple, op.match_terms(docs, V.terms(spark), ["doc_id"]).collect())) == want and len(want) > 50
+
+
+def test_borders_beside_letters_that_are_not_ascii(spark):
+    """As in the SQL twins: a border is one of ASCII words."""
+    import duckdb
+
+    from lodestone.plans.matching import reasons_sql
+    from lodestone.plans.terms import HEADINGS_SQL, LINES_SQL, titles_sql
+
+    cases = [(1, "Étion rest"), (2, "the ñthat"), (3, "x > yy ñheaté"), (4, "and as a ßbig withü"), (5, "a.comé"), (6, "éas a big tion."), (7, "that")]
+    con = duckdb.connect()
+    con.execute("create table documents(doc_id bigint, text varchar)")
+    con.executemany("insert into documents values (?, ?)", cases)
+    docs = spark.createDataFrame(cases, "doc_id long, text string")
+    titles = con.execute(f"WITH {LINES_SQL}, {HEADINGS_SQL}, {titles_sql(V.ROLE_NAMES)} SELECT doc_id, title FROM titles").fetchall()
+    assert sorted(map(tuple, op.extract_title(docs, V.ROLE_NAMES).collect())) == sorted(titles)
+    reasons = con.execute(f"SELECT doc_id, {reasons_sql('text', '2000')} FROM documents").fetchall()
+    assert sorted(map(tuple, docs.select("doc_id", gate.format_reasons(F.col("text"), F.lit(2000))).collect())) == sorted(reasons)
