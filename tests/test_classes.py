@@ -251,3 +251,28 @@ def test_recall_on_given_tables(spark):
     pairs = lambda n: {(r["query_id"], r["item_id"]) for r in QUERIES[n](spark, sf).collect()}
     want = pairs("b5_nearest")
     assert len(want & pairs("b5_approximate_nearest")) >= 0.9 * len(want)
+
+
+@pytest.mark.parametrize("block", [256, 3])
+def test_similar_sets_leave_tasks_as_near_pairs_only(spark, monkeypatch, block):
+    monkeypatch.setattr(dedup, "BLOCK", block)
+    monkeypatch.setattr(dedup, "WIDE", block)
+    rng, made, real = random.Random(36), {}, dedup.written
+    monkeypatch.setattr(dedup, "written", lambda df, label: made.setdefault(label, real(df, label)))
+    sets = {}
+    for i in range(400):
+        old = dict(sets[rng.randrange(i)][1]) if i and rng.random() < 0.5 else {f"t{rng.randrange(60)}": rng.choice((3, 5, 10)) for _ in range(rng.randint(1, 25))}
+        for _ in range(rng.randint(0, 2)):
+            old[f"t{rng.randrange(60)}"] = rng.choice((3, 5, 10))
+        sets[i] = (rng.randrange(2), old)
+    want = set()
+    for a in sets:
+        for b in range(a + 1, len(sets)):
+            (g, x), (h, y) = sets[a], sets[b]
+            low = sum(min(x[t], y[t]) for t in x.keys() & y.keys())
+            high = sum(x.values()) + sum(y.values()) - low
+            if g == h and low * 10 >= high * 8:
+                want.add((a, b, low, high))
+    rows = spark.createDataFrame([(i, g, t, w) for i, (g, x) in sets.items() for t, w in x.items()], "doc_id long, g int, term string, w10 int")
+    assert {tuple(r) for r in dedup.similar_sets(rows, 80, ("g",)).collect()} == want and len(want) > 100
+    assert made["near"].count() < 2 * len(want)
