@@ -6,12 +6,11 @@ Texts are rows (keys..., text); their sources are rows (keys..., text). A null t
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestone.durable import written
 from lodestone.functions.text import ascii_borders, numbers, stems, tokens
-from lodestone.operators.dedup import class_leaders
+from lodestone.operators.dedup import class_leaders, similar_sets
 from lodestone.operators.similarity import grounding
 from lodestone.operators.terms import implied_terms, match_terms
 
@@ -101,19 +100,16 @@ def drop_duplicates_in_order(cands: DataFrame, percent: int = 80) -> DataFrame:
     paired by an equi-join on each one's rarest tokens, of which a similar one must hold one.
     """
     t = F.array_sort(tokens(F.col("text")))
-    texts = cands.select("owner_id", "pos", "length", t.alias("t"), F.md5(F.to_json(F.struct("owner_id", "length", t.alias("t")))).alias("cls"))
-    texts = written(texts, "texts")
-    kinds = written(texts.where(F.size("t") > 0).groupBy("cls").agg(F.min(F.struct("owner_id", "length", "t")).alias("x")).select("cls", "x.*"), "kinds")
-    words = kinds.select("owner_id", "length", "cls", F.size("t").alias("n"), F.explode("t").alias("w"))
-    rare = words.groupBy("owner_id", "w").agg(F.count("*").alias("df"))
-    place = F.row_number().over(W.partitionBy("cls").orderBy("df", "w"))
-    heads = words.join(rare, ["owner_id", "w"]).withColumn("r", place).where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).select("owner_id", "length", "w", "cls", "n")
-    other = heads.select("owner_id", "length", "w", F.col("cls").alias("b"), F.col("n").alias("m"))
-    pairs = heads.join(other, ["owner_id", "length", "w"]).where((F.col("cls") < F.col("b")) & (F.least("n", "m") * 100 >= F.greatest("n", "m") * percent)).select(F.col("cls").alias("a"), "b").distinct()
-    both = pairs.join(kinds.select(F.col("cls").alias("a"), "t"), "a").join(kinds.select(F.col("cls").alias("b"), F.col("t").alias("u")), "b")
-    like = written(both.where(F.size(F.array_intersect("t", "u")) * 100 >= F.size(F.array_union("t", "u")) * percent).select("a", "b"), "like")
+    made = cands.select("owner_id", "pos", "length", t.alias("t")).withColumn("cls", F.md5(F.to_json(F.struct("owner_id", "length", "t"))))
+    texts = written(made.select("owner_id", "pos", F.size("t").alias("n"), "cls"), "texts")
+    kinds = made.where(F.size("t") > 0).groupBy("cls").agg(F.min(F.struct("owner_id", "length", "t")).alias("x")).select("cls", "x.*")
+    kinds = written(kinds.withColumn("id", F.monotonically_increasing_id()), "kinds")
+    sets = kinds.select(F.col("id").alias("doc_id"), "owner_id", "length", F.explode("t").alias("term"), F.lit(1).alias("w10"))
+    near = similar_sets(sets, percent, ("owner_id", "length"))
+    named = near.join(kinds.select(F.col("id").alias("a"), F.col("cls").alias("x")), "a").join(kinds.select(F.col("id").alias("b"), F.col("cls").alias("y")), "b")
+    like = written(named.select(F.col("x").alias("a"), F.col("y").alias("b")), "like")
     nodes = written(cands.select("owner_id", "cand_id", "pos").distinct(), "candidates")
-    alone = F.when(F.size("t") > 0, F.col("cls")).otherwise(F.concat("cls", F.lit(":"), F.col("pos").cast("string")))  # texts without tokens are like nothing
+    alone = F.when(F.col("n") > 0, F.col("cls")).otherwise(F.concat("cls", F.lit(":"), F.col("pos").cast("string")))  # texts without tokens are like nothing
     kept = class_leaders(texts.select("owner_id", F.col("pos").alias("node"), alone.alias("cls")), like, "owner_id")
     return nodes.join(kept.select("owner_id", F.col("node").alias("pos"), "leads"), ["owner_id", "pos"]).select("owner_id", "cand_id", "pos", (~F.col("leads")).alias("dropped"))
 
