@@ -276,3 +276,11 @@ def test_similar_sets_leave_tasks_as_near_pairs_only(spark, monkeypatch, block):
     rows = spark.createDataFrame([(i, g, t, w) for i, (g, x) in sets.items() for t, w in x.items()], "doc_id long, g int, term string, w10 int")
     assert {tuple(r) for r in dedup.similar_sets(rows, 80, ("g",)).collect()} == want and len(want) > 100
     assert made["near"].count() < 2 * len(want)
+
+
+def test_members_are_with_the_first_of_their_class(spark):
+    """No link of ``d1_similar_postings`` is lost between different texts of equal terms, or of none."""
+    posts = spark.createDataFrame([(1,), (2,), (3,), (4,), (5,)], "doc_id long")
+    weights = spark.createDataFrame([(1, "x", 3), (3, "x", 3), (2, "y", 3)], "doc_id long, term string, w10 int")
+    got = dedup.class_members(weights, dedup.posting_classes(weights, posts))
+    assert sorted(map(tuple, got.collect())) == [(1, 3, 3, 3), (4, 5, 0, 0)]
