@@ -284,3 +284,10 @@ def test_members_are_with_the_first_of_their_class(spark):
     weights = spark.createDataFrame([(1, "x", 3), (3, "x", 3), (2, "y", 3)], "doc_id long, term string, w10 int")
     got = dedup.class_members(weights, dedup.posting_classes(weights, posts))
     assert sorted(map(tuple, got.collect())) == [(1, 3, 3, 3), (4, 5, 0, 0)]
+
+
+def test_members_of_both_kinds_of_classes_hit(spark):
+    """No member of ``d2_reuse_decision`` is lost: 1 to 4 have equal terms, 1 and 3, and 2 and 4, equal stems too."""
+    pairs = lambda rows: spark.createDataFrame(rows, "doc_id long, cls long")
+    got = dedup.member_hits(pairs([(1, 1), (2, 1), (3, 1), (4, 1), (5, 5)]), pairs([(1, 1), (2, 2), (3, 1), (4, 2), (5, 5)]))
+    assert sorted(map(tuple, got.collect())) == [(1, 2, "HIT"), (1, 3, "HIT"), (2, 4, "HIT")]
