@@ -51,3 +51,10 @@ def test_alternatives_shuffle_a_project_a_few_times(spark):
     _, scores = matrix(spark, 4, 500, 5)
     best = selection.assign_projects(scores, 3)
     assert shuffled(spark, lambda: selection.alternatives(scores, 3, best).collect()) < 5 * 4 * 3 * 500
+
+
+def test_rejections_shuffle_scores_once(spark):
+    """Each round went over all scores again."""
+    _, scores = matrix(spark, 4, 500, 7)
+    rejected = scores.where("project % 2 = 0").select("owner_id", "position", "project")
+    assert shuffled(spark, lambda: selection.resolve_with_rejections(scores, 3, rejected).collect()) < 2 * 4 * 3 * 500
