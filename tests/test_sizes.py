@@ -3,7 +3,7 @@
 import random
 from itertools import permutations
 
-from lodestone.operators import selection
+from lodestone.operators import selection, similarity
 
 
 def shuffled(spark, run) -> int:
@@ -58,3 +58,23 @@ def test_rejections_shuffle_scores_once(spark):
     _, scores = matrix(spark, 4, 500, 7)
     rejected = scores.where("project % 2 = 0").select("owner_id", "position", "project")
     assert shuffled(spark, lambda: selection.resolve_with_rejections(scores, 3, rejected).collect()) < 2 * 4 * 3 * 500
+
+
+def test_vector_searches_by_blocks(spark, monkeypatch):
+    """Vectors of several lengths, with nulls and not a number, copies and ties, against Spark's own expressions; each task multiplies a few pairs at once."""
+    rng = random.Random(9)
+    rows = [(i, [rng.choice([-1.0, 0.0, 0.5, 1.0]) for _ in range(3 if i % 9 else 2)]) for i in range(120)]
+    rows += [(200, None), (201, []), (202, [1.0, None, 2.0]), (203, [float("nan"), 0.0, 0.0]), (204, [0.0, 0.0, 0.0])]
+    items = spark.createDataFrame(rows, "item_id long, v array<float>").repartition(3)
+    queries = items.where("item_id % 4 = 0").select(items["item_id"].alias("query_id"), "v")
+    pairs = queries.withColumn("q", similarity.unit(queries["v"])).drop("v").crossJoin(items.withColumn("i", similarity.unit(items["v"])).drop("v")).where("query_id <> item_id")
+    want = {(r["query_id"], r["item_id"]): r["s"] for r in pairs.withColumn("s", similarity.vector_similarity(pairs["q"], pairs["i"])).collect()}
+    monkeypatch.setattr(similarity, "PAIRS", 50)
+    got = similarity.against_all(queries, items).collect()
+    assert len(got) == len(want) and all(abs(r["similarity"] - want[r["query_id"], r["item_id"]]) < 1e-12 for r in got)
+    best = {}
+    for (q, i), s in want.items():
+        best.setdefault(q, []).append((-round(s, 6), i))
+    near = similarity.nearest(queries, items)
+    assert {(r["query_id"], r["item_id"]) for r in near.collect()} == {(q, i) for q, v in best.items() for _, i in sorted(v)[:3]}
+    assert "NestedLoop" not in near._jdf.queryExecution().toString()
