@@ -78,3 +78,20 @@ def test_vector_searches_by_blocks(spark, monkeypatch):
     near = similarity.nearest(queries, items)
     assert {(r["query_id"], r["item_id"]) for r in near.collect()} == {(q, i) for q, v in best.items() for _, i in sorted(v)[:3]}
     assert "NestedLoop" not in near._jdf.queryExecution().toString()
+
+
+def test_placements_are_made_once(spark, tmp_path):
+    """The score of a project read the placements anew for each part."""
+    from lodestone.plans import selection as plans
+
+    spark.createDataFrame([(o, n, 10.0 * n) for o in range(30) for n in range(5)], "l_orderkey long, l_linenumber int, l_extendedprice double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert "lineitem" not in plans.project_scores(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert plans.project_scores(spark, str(tmp_path)).count() == 60
+
+
+def test_weights_are_made_once(spark, tmp_path):
+    """The weighted Jaccard similarity made the weights anew for each of its four uses."""
+    spark.createDataFrame([(1, "a", 5), (2, "a", 3), (2, "b", 2)], "doc_id long, term string, w10 int").write.parquet(f"{tmp_path}/w")
+    out = similarity.weighted_jaccard(spark.createDataFrame([(1, 2)], "a long, b long"), spark.read.parquet(f"{tmp_path}/w"))
+    assert [tuple(r) for r in out.collect()] == [(1, 2, 3, 7)]
+    assert not any(str(f).startswith(f"file://{tmp_path}") or f"{tmp_path}/w" in str(f) for f in out.inputFiles())
