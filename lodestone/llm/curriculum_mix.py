@@ -81,11 +81,12 @@ def stream(docs: DataFrame, key: str = "doc_id", source: str = "source", text: s
         rows = written(rows, "sizes")
     sums = written(rows.groupBy("source", bucket.alias("bucket")).agg(F.sum("size").alias("words")), "bucket_sums")
     start = F.coalesce(F.sum("words").over(W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    starts = written(sums.select(F.col("source").alias("s"), F.col("bucket").alias("k"), start.alias("start")), "bucket_starts")
-    inside = W.partitionBy("source", "bucket").orderBy("h", "doc_id", "tie").rowsBetween(W.unboundedPreceding, W.currentRow)
-    placed = rows.withColumn("bucket", bucket).withColumn("upto", F.sum("size").over(inside))
-    placed = placed.join(starts, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("k")))
-    kept = ["doc_id", "source", "size", "h", (F.col("start") + F.col("upto") - F.col("size")).alias("before")]
+    starts = written(sums.select("source", "bucket", start.alias("size"), F.lit(0).alias("own")), "bucket_starts")
+    # A bucket's start stands in it as a row before all others, so the rows with their texts need no join.
+    inside = W.partitionBy("source", "bucket").orderBy("own", "h", "doc_id", "tie").rowsBetween(W.unboundedPreceding, W.currentRow)
+    every = rows.withColumn("bucket", bucket).withColumn("own", F.lit(1)).unionByName(starts, allowMissingColumns=True)
+    placed = every.withColumn("upto", F.sum("size").over(inside)).where("own = 1")
+    kept = ["doc_id", "source", "size", "h", (F.col("upto") - F.col("size")).alias("before")]
     return placed.select(*kept, *(["row"] if carry else [])), sums.groupBy("source").agg(F.sum("words").alias("source_size"))
 
 

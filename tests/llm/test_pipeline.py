@@ -3,9 +3,10 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lodestone.llm import decontaminate, quality_classifier
+from lodestone.llm import curriculum_mix, decontaminate, quality_classifier
 
 
 @pytest.fixture(scope="module")
@@ -83,3 +84,16 @@ def test_empty(spark, folder, tmp_path):
         df = spark.read.parquet(f"{path}/{t}.parquet")
         (df.limit(0) if t == "documents" else df).write.parquet(f"{tmp_path}/{t}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_mixture_moves_texts_twice(spark):
+    """Rows with their texts go through the window of their bucket and the range sort; the buckets' starts are rows beside them."""
+    docs = spark.range(50).select(F.col("id").alias("doc_id"), F.repeat(F.lit("a b "), 5).alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source"), F.lit(20).alias("n_chars"))
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows, _ = curriculum_mix.stream(docs, carry=True)
+        assert "Join" not in rows._jdf.queryExecution().executedPlan().toString()
+        assert rows.count() == 50
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
