@@ -3,7 +3,9 @@
 import random
 from itertools import permutations
 
-from lodestone.operators import selection, similarity
+import pyarrow as pa
+
+from lodestone.operators import passages, selection, similarity
 
 
 def shuffled(spark, run) -> int:
@@ -95,3 +97,14 @@ def test_weights_are_made_once(spark, tmp_path):
     out = similarity.weighted_jaccard(spark.createDataFrame([(1, 2)], "a long, b long"), spark.read.parquet(f"{tmp_path}/w"))
     assert [tuple(r) for r in out.collect()] == [(1, 2, 3, 7)]
     assert not any(str(f).startswith(f"file://{tmp_path}") or f"{tmp_path}/w" in str(f) for f in out.inputFiles())
+
+
+def test_hits_leave_a_task_in_small_batches(monkeypatch):
+    """All hits of a batch of texts were held together."""
+    monkeypatch.setattr(passages, "HITS", 10)
+    finder = passages.Finder(["alpha beta gamma", "alpha beta gamma delta"])
+    texts = pa.record_batch({"doc_id": [7, 8], "text": ["\n".join(["alpha beta gamma delta"] * 20), "alpha beta gamma"]})
+    out = list(passages._found(iter([texts]), pa.array([1, 2]), finder))
+    assert max(len(b) for b in out) == 10 and sum(len(b) for b in out) == 42
+    rows = [r for b in out for r in b.to_pylist()]
+    assert sum(r["doc_id"] == 7 and r["item_id"] == 2 and r["first"] == r["last"] for r in rows) == 20
