@@ -4,8 +4,9 @@ import random
 from itertools import permutations
 
 import pyarrow as pa
+import pytest
 
-from lodestone.operators import passages, selection, similarity
+from lodestone.operators import dedup, passages, selection, similarity
 
 
 def shuffled(spark, run) -> int:
@@ -108,3 +109,43 @@ def test_hits_leave_a_task_in_small_batches(monkeypatch):
     assert max(len(b) for b in out) == 10 and sum(len(b) for b in out) == 42
     rows = [r for b in out for r in b.to_pylist()]
     assert sum(r["doc_id"] == 7 and r["item_id"] == 2 and r["first"] == r["last"] for r in rows) == 20
+
+
+def near_copies(copies: int, terms: int, seed: int):
+    rng = random.Random(seed)
+    base = [f"t{i}" for i in range(terms)]
+    return {i: {t: rng.randint(1, 3) if rng.random() < 0.05 else 2 for t in base if rng.random() > 0.03} for i in range(copies)}
+
+
+@pytest.mark.parametrize("cell", [2048, 7])
+def test_near_copies_are_shuffled_once_a_term(spark, monkeypatch, cell):
+    """Each pair of near copies was shuffled for each term that both began with, and then with the terms of both."""
+    monkeypatch.setattr(dedup, "CELL", cell)
+    sets = near_copies(60, 40, 3)
+    rows = spark.createDataFrame([(i, t, w) for i, x in sets.items() for t, w in x.items()], "doc_id long, term string, w10 int")
+    want = set()
+    for a in sets:
+        for b in range(a + 1, len(sets)):
+            low = sum(min(sets[a][t], sets[b][t]) for t in sets[a].keys() & sets[b].keys())
+            high = sum(sets[a].values()) + sum(sets[b].values()) - low
+            if low * 10 >= high * 8:
+                want.add((a, b, low, high))
+    got = []
+    n = shuffled(spark, lambda: got.extend(tuple(r) for r in dedup.similar_sets(rows, 80).collect()))
+    assert set(got) == want and len(got) == len(want) > 1500
+    assert cell == 7 or n < 2 * sum(map(len, sets.values()))
+
+
+@pytest.mark.parametrize("cell", [2048, 7])
+def test_cosines_shuffle_texts_and_not_pairs(spark, monkeypatch, cell):
+    """Each pair of the band was shuffled once for each stem of its first text."""
+    monkeypatch.setattr(dedup, "CELL", cell)
+    texts = near_copies(60, 40, 5) | {60: {"alone": 2}, 61: {}}
+    counts = spark.createDataFrame([(i, t, w) for i, x in texts.items() for t, w in x.items()], "doc_id long, stem string, n long")
+    pairs = [(a % 3, a, b) for a in texts for b in texts if a < b]
+    got, band = [], spark.createDataFrame(pairs, "k long, a long, b long")
+    n = shuffled(spark, lambda: got.extend(dedup.pair_cosines(band, counts).collect()))
+    dot = lambda x, y: sum(x[t] * y[t] for t in x.keys() & y.keys())
+    want = {(a, b): dot(texts[a], texts[b]) / (dot(texts[a], texts[a]) ** 0.5 * dot(texts[b], texts[b]) ** 0.5) for _, a, b in pairs if dot(texts[a], texts[b])}
+    assert {(r["a"], r["b"]): r["cosine"] for r in got} == want and len(got) == len(want)
+    assert cell == 7 or n < 10_000
