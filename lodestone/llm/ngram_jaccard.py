@@ -59,6 +59,8 @@ FEW = 32
 SPARE = 1.15
 #: Members of a group, at most, whose majority is its centre.
 CENTRE = 7
+#: Elements of a group, on average at most, that are counted at once.
+SLICE = 1 << 18
 #: Low bits of a signature that tell its band (modulo 4, so t is 30 percent at least) and place.
 PLACE = 26
 #: Bytes of text whose sets a task holds at once (one text more may start).
@@ -239,16 +241,26 @@ def _fitting(lists: DataFrame, column: str) -> DataFrame:
     return F.broadcast(lists) if total <= SMALL_LISTS else lists
 
 
+def _majority(few: DataFrame) -> DataFrame:
+    """(g, c): the elements that more than half of a group's few sets (g, few) hold."""
+
+    def of(sets: pa.ListScalar) -> np.ndarray:
+        e, m = np.unique(sets.values.flatten().to_numpy(), return_counts=True)
+        return e[m * 2 > len(sets.values)].view(np.uint64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("g"), _lists([of(x) for x in batch.column("few")])], names=["g", "c"])
+
+    return few.mapInArrow(run, "g long, c array<long>")
+
+
 def _spread(groups: DataFrame, sets: DataFrame, t: int, scratch: Scratch) -> DataFrame:
     """(g, id, room, gone, new): the members' differences to their group's centre, its elements they lack and those it lacks."""
     order = F.struct(F.xxhash64("id").alias("h"), "id")
     some = groups.groupBy("g", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(CENTRE)).alias("slot")).agg(F.min(order)["id"].alias("id"))
-    few = scratch.written(some.join(sets, "id").select("g", "s"), "few")
-    sizes = few.groupBy("g").agg(F.count("*").alias("n"))
-    common = few.select("g", F.explode("s").alias("e")).groupBy("g", "e").agg(F.count("*").alias("m")).where("m > 1").join(sizes, "g").where("m * 2 > n")
-    listed = common.groupBy("g").agg(F.collect_list("e").alias("c"))
-    centres = sizes.select("g").join(listed, "g", "left").select("g", F.coalesce("c", F.array().cast("array<bigint>")).alias("c"))
-    centres = _fitting(scratch.written(centres, "centres"), "c")
+    few = some.join(sets, "id").groupBy("g").agg(F.collect_list("s").alias("few"))  # at most CENTRE sets
+    centres = _fitting(scratch.written(_majority(few), "centres"), "c")
     held = groups.join(sets, "id").join(centres, "g").select("g", "id", F.size("s").alias("n"), F.array_except("c", "s").alias("gone"), F.array_except("s", "c").alias("new"))
     room = (100 - t) * F.col("n") - (100 + t) * (F.size("gone") + F.size("new"))
     return held.select("g", "id", room.cast("long").alias("room"), "gone", "new")
@@ -325,11 +337,65 @@ def _lacked(rows: DataFrame) -> DataFrame:
     return parts.repartition("g").sortWithinPartitions("g").mapInArrow(merged, schema).select("g", F.arrays_zip("e", "f").alias("lost"))
 
 
+def _shared(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """(g, id, own): of the elements that members (g, id, new) have beside their centre's those that several of the group have: (e, f).
+
+    A group's elements are dealt by hash to slices of some SLICE elements. A task sends its members' elements of a slice as one row,
+    and each slice is counted whole, so rows do not grow with the members' differences, and a group of any size is as many tasks.
+    """
+    sizes = rows.groupBy("g").agg(F.sum(F.size("new")).alias("all"))
+    slices = scratch.written(sizes.where("all > 0").select("g", F.ceil(F.col("all") / F.lit(SLICE)).alias("n")), "slices")
+
+    def row(g: np.ndarray, part: np.ndarray, ids: np.ndarray, e: np.ndarray) -> pa.RecordBatch:
+        order = np.lexsort((part, g))
+        g, part, ids, e = g[order], part[order], ids[order], e[order]
+        heads = np.flatnonzero(np.concatenate([[True], (g[1:] != g[:-1]) | (part[1:] != part[:-1])])) if len(g) else np.zeros(0, np.int64)
+        ends = pa.array(np.append(heads, len(g)), pa.int32())
+        return pa.RecordBatch.from_arrays([pa.array(g[heads]), pa.array(part[heads]), *(pa.ListArray.from_arrays(ends, pa.array(x)) for x in (ids, e))], names=["g", "part", "ids", "e"])
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            new = batch.column("new")
+            n = np.diff(new.offsets.to_numpy())
+            e = new.values.to_numpy()[new.offsets[0].as_py() : new.offsets[len(new)].as_py()]
+            g, ids, of = (np.repeat(batch.column(c).to_numpy(), n) for c in ("g", "id", "n"))
+            yield row(g, (mix(e.view(np.uint64)) % of.astype(np.uint64)).astype(np.int64), ids, e)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = None, []
+
+        def done() -> pa.RecordBatch:
+            ids, e = (np.concatenate([x[i] for x in held]) if held else np.zeros(0, np.int64) for i in (0, 1))
+            _, at, f = np.unique(e, return_inverse=True, return_counts=True)
+            f = f[at] if len(e) else np.zeros(0, np.int64)
+            ids, e, f = ids[f > 1], e[f > 1], f[f > 1]
+            order = np.argsort(ids, kind="stable")
+            ids, e, f = ids[order], e[order], f[order]
+            heads = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]])) if len(ids) else np.zeros(0, np.int64)
+            pairs = pa.StructArray.from_arrays([pa.array(e), pa.array(f.astype(np.int64))], names=["e", "f"])
+            own = pa.ListArray.from_arrays(pa.array(np.append(heads, len(ids)), pa.int32()), pairs)
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(heads), last[0] if last else 0, np.int64)), pa.array(ids[heads]), own], names=["g", "id", "own"])
+
+        for batch in batches:
+            columns = zip(batch.column("g").to_pylist(), batch.column("part").to_pylist(), batch.column("ids"), batch.column("e"), strict=True)
+            for g, part, ids, e in columns:
+                if (g, part) != last:
+                    if held:
+                        yield done()
+                    last, held = (g, part), []
+                held.append((ids.values.to_numpy(), e.values.to_numpy()))
+        yield done()
+
+    parts = rows.join(sized(slices), "g").select("g", "id", "n", "new").mapInArrow(dealt, "g long, part long, ids array<long>, e array<long>")
+    found = parts.repartition("g", "part").sortWithinPartitions("g", "part").mapInArrow(counted, "g long, id long, own array<struct<e:bigint,f:bigint>>")
+    return found.groupBy("g", "id").agg(F.flatten(F.collect_list("own")).alias("own"))  # at most D itself
+
+
 def _finer(members: DataFrame, sizes: DataFrame, t: int, scratch: Scratch) -> DataFrame:
     """(key, id) of the next buckets, from the members (g, id, comp, room, gone, new) of groups and the groups' sizes (g, b).
 
     How many members lack an element of the centre is one list a group, counted in the tasks, which its members look their elements
-    up in; only elements that the centre lacks are joined one by one.
+    up in; elements that the centre lacks are counted in slices, see ``_shared``.
     """
     best = members.groupBy("g", "comp").agg(F.max(F.struct("room", (-F.col("id")).alias("o"))).alias("best"))
     best = scratch.written(best, "best")
@@ -340,12 +406,8 @@ def _finer(members: DataFrame, sizes: DataFrame, t: int, scratch: Scratch) -> Da
     need = F.greatest(F.lit(1), F.ceil(-(F.col("room") + partner) / (2.0 * (100 + t)) - 1e-9)).cast("int")
     rows = members.join(sized(open_), "g").withColumn("n", F.size("gone") + F.size("new"))
     rows = rows.select("g", "id", "b", "n", (F.col("n") - need + 1).alias("first"), "gone", "new").where("first > 0")
-    pair = F.struct("e", "f")
-    several = lambda held: held.groupBy("g", "e").agg(F.count("*").alias("f")).where("f > 1")
     lost = _fitting(scratch.written(_lacked(rows), "lost"), "lost")  # a group's list is at most its centre
-    held = rows.select("g", "id", F.explode("new").alias("e"))
-    common = scratch.written(several(held), "common")
-    own = held.join(common, ["g", "e"]).groupBy("g", "id").agg(F.collect_list(pair).alias("own"))  # at most D itself
+    own = _shared(rows.select("g", "id", "new"), scratch)
     none = F.array().cast("array<struct<e:bigint,f:bigint>>")
     rows = rows.drop("new").join(lost, "g", "left").join(own, ["g", "id"], "left").withColumns({c: F.coalesce(c, none) for c in ("lost", "own")})
     return _beginnings(rows).select("id", "g", F.explode("keys").alias("e")).select(F.xxhash64("g", "e").alias("key"), "id").distinct()

@@ -1,9 +1,11 @@
 import itertools
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
 
+from lodestone.durable import Scratch
 from lodestone.llm import ngram_jaccard as nj
 
 
@@ -107,3 +109,21 @@ def test_repeated_ids_with_different_texts(spark):
     for order in (rows, rows[::-1]):
         got = nj.similar(spark.createDataFrame(order, "doc_id long, text string").coalesce(1), n=3, t=90).collect()
         assert sorted((r["id"], r["n_shingles"], r["component_id"]) for r in got) == want
+
+
+@pytest.mark.parametrize("slice_", [1 << 18, 5])
+def test_elements_beside_the_centre_are_counted_in_slices(spark, monkeypatch, slice_):
+    """Each element of each member that its group's centre lacks was a row of its own, as was each of the few sets that make a centre."""
+    monkeypatch.setattr(nj, "SLICE", slice_)
+    rng = random.Random(11)
+    rows = [(g, i, rng.sample(range(-40, 40), rng.randint(0, 12))) for g in (3, -8) for i in range(50)]
+    count = Counter((g, e) for g, _, new in rows for e in new)
+    want = {(g, i): {(e, count[g, e]) for e in new if count[g, e] > 1} for g, i, new in rows}
+    with Scratch() as scratch:
+        found = nj._shared(spark.createDataFrame(rows, "g long, id long, new array<long>").repartition(3), scratch)
+        got = {(r["g"], r["id"]): [tuple(x) for x in r["own"]] for r in found.collect()}
+        plan = found._jdf.queryExecution().toString()
+    assert {k: set(v) for k, v in got.items()} == {k: v for k, v in want.items() if v} and all(len(v) == len(set(v)) for v in got.values())
+    assert "explode" not in plan
+    few = spark.createDataFrame([(1, [[1, 2, 3], [2, 3, 4], [3, 5]]), (2, [[7, 8]]), (3, [[1, 2], [2, 3]]), (4, [[1], [2]])], "g long, few array<array<long>>")
+    assert {r["g"]: sorted(r["c"]) for r in nj._majority(few).collect()} == {1: [2, 3], 2: [7, 8], 3: [2], 4: []}
