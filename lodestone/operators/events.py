@@ -11,8 +11,11 @@ from pyspark.sql import functions as F
 from lodestone.durable import remove, written
 from lodestone.operators.chains import anchors
 from lodestone.operators.folds import ordered_fold
+from lodestone.operators.ranges import running
 
 SECOND, MINUTE, HOUR, DAY = 10**6, 60 * 10**6, 3600 * 10**6, 86400 * 10**6
+#: Questions that are sent to all tasks, at most; more are joined by shuffle.
+QUESTIONS = 1 << 16
 
 
 def rate_limit(events: DataFrame, limit: int, window: int) -> DataFrame:
@@ -190,17 +193,23 @@ def carry_over(changed: DataFrame, previous: DataFrame, group: str) -> DataFrame
 def report_as_of(runs: DataFrame, versions: DataFrame) -> DataFrame:
     """(section, version, report): for each section and asked version the newest run (section, version, report, started) at or before it.
 
-    ``versions`` (version) is a short list of questions. Runs are first reduced to the newest of each section and version; the
-    questions stand among them on each section's line of versions, and the newest run so far is carried along it. Sections
-    without a run at or before a version have no row for it. A null version is never at or before another; equal runs give one.
+    ``versions`` (version) is a short list of questions, which are numbered in order. A section's runs between two questions are one
+    row, the newest run so far is carried along these rows, and each answers the questions up to the next: only runs are shuffled and
+    sorted, and the answers, a row for each section and question, are made last. Sections without a run at or before a version have
+    no row for it. A null version is never at or before another; equal runs give one.
     """
-    best = runs.where("version is not null").groupBy("section", "version").agg(F.max(F.struct("started", "version", "report")).alias("best"))
-    asked = versions.where("version is not null").select("version").distinct()
-    line = best.select("section", "version", "best", F.lit(False).alias("asked"))
-    questions = best.select("section").distinct().crossJoin(asked)  # the rows of the answer
-    line = line.unionByName(questions.withColumn("asked", F.lit(True)), allowMissingColumns=True)
-    upto = F.max("best").over(W.partitionBy("section").orderBy("version", "asked").rowsBetween(W.unboundedPreceding, W.currentRow))
-    return line.withColumn("newest", upto).where("asked and newest is not null").select("section", "version", F.col("newest.report").alias("report"))
+    runs = runs.where("version is not null")
+    asked = versions.where("version is not null").select("version", F.lit(1).alias("asked"))
+    marks = written(runs.select("version", F.lit(0).alias("asked")).unionByName(asked).groupBy("version").agg(F.max("asked").alias("asked")), "versions")
+    placed = written(running(marks, [], [F.col("version")], F.col("asked"), "upto"), "questions")
+    questions = placed.where("asked = 1").select(F.col("upto").alias("place"), "version")
+    n = questions.count()
+    best = runs.join(placed.select("version", (F.col("upto") - F.col("asked") + 1).alias("first")), "version")
+    best = best.where(F.col("first") <= n).groupBy("section", "first").agg(F.max(F.struct("started", "version", "report")).alias("best"))
+    line = W.partitionBy("section").orderBy("first")
+    spans = best.select("section", "first", F.max("best").over(line).alias("newest"), F.coalesce(F.lead("first").over(line), F.lit(n + 1)).alias("next"))
+    answers = spans.select("section", F.col("newest.report").alias("report"), F.explode(F.sequence("first", F.col("next") - 1)).alias("place"))
+    return answers.join(F.broadcast(questions) if n <= QUESTIONS else questions, "place").select("section", "version", "report")
 
 
 def roots(tree: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from itertools import permutations
 import pyarrow as pa
 import pytest
 
-from lodestone.operators import dedup, passages, selection, similarity
+from lodestone.operators import dedup, events, passages, selection, similarity
 
 
 def shuffled(spark, run) -> int:
@@ -149,3 +149,21 @@ def test_cosines_shuffle_texts_and_not_pairs(spark, monkeypatch, cell):
     want = {(a, b): dot(texts[a], texts[b]) / (dot(texts[a], texts[a]) ** 0.5 * dot(texts[b], texts[b]) ** 0.5) for _, a, b in pairs if dot(texts[a], texts[b])}
     assert {(r["a"], r["b"]): r["cosine"] for r in got} == want and len(got) == len(want)
     assert cell == 7 or n < 10_000
+
+
+@pytest.mark.parametrize("few", [1 << 16, 10])
+def test_reports_shuffle_runs_and_not_answers(spark, monkeypatch, few):
+    """Each section's line held every question, so all answers were shuffled and sorted."""
+    monkeypatch.setattr(events, "QUESTIONS", few)
+    rng = random.Random(4)
+    rows = [(rng.randrange(40), rng.randrange(2000), float(i), rng.randrange(50)) for i in range(300)]
+    asked = [(v,) for v in range(0, 2100, 10)]
+    got = []
+    n = shuffled(spark, lambda: got.extend(events.report_as_of(spark.createDataFrame(rows, "section int, version long, report double, started int"), spark.createDataFrame(asked, "version long")).collect()))
+    want = {}
+    for s, v, r, t in rows:
+        for (q,) in asked:
+            if v <= q:
+                want[s, q] = max(want.get((s, q), (-1, -1, -1.0)), (t, v, r))
+    assert {(r["section"], r["version"]): r["report"] for r in got} == {k: v[2] for k, v in want.items()} and len(got) == len(want) > 5000
+    assert few == 10 or n < 3000
