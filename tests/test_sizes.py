@@ -28,6 +28,14 @@ def shuffled(spark, run) -> int:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
 
 
+def stem_of(name: str):
+    from pyspark.sql import functions as F
+
+    from lodestone.functions.text import stem
+
+    return stem(F.col(name)).alias("s")
+
+
 def matrix(spark, owners: int, projects: int, seed: int, most: int = 40):
     rng = random.Random(seed)
     rows = [(o, p, i, rng.randrange(most) or None) for o in range(owners) for p in (1, 2, 3) for i in range(projects)]
@@ -167,3 +175,13 @@ def test_reports_shuffle_runs_and_not_answers(spark, monkeypatch, few):
                 want[s, q] = max(want.get((s, q), (-1, -1, -1.0)), (t, v, r))
     assert {(r["section"], r["version"]): r["report"] for r in got} == {k: v[2] for k, v in want.items()} and len(got) == len(want) > 5000
     assert few == 10 or n < 3000
+
+
+def test_words_are_made_bare_once(spark):
+    """Each suffix made a word bare anew, twice."""
+    from lodestone.functions.text import stems
+
+    df = spark.createDataFrame([("'Running- tests' working-- PARTIES it's",)], "text string")
+    out = df.select(stems(df["text"]).alias("s"))
+    assert out._jdf.queryExecution().analyzed().toString().count("regexp_replace") == 1
+    assert out.first()[0] == df.selectExpr("explode(regexp_extract_all(text, \"[A-Za-z][A-Za-z'-]+\", 0)) as w").select(stem_of("w")).agg({"s": "collect_list"}).first()[0]
