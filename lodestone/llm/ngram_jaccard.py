@@ -16,8 +16,8 @@ the order is the same for all, two similar sets still share a kept one. Signatur
 a set with enough of these has no partner and drops out, and crowded signatures (common passages) are left aside.
 
 Joining. Buckets with the same members count once. First each member is tested against its bucket's most connected one;
-that joins most copies. Where a bucket still holds several components, all pairs across them are listed if it has at most
-``FEW`` members. Larger ones are cut finer, in rounds: in the first those with the same most connected member are one group
+that joins most copies. Where a bucket still holds several components, the pairs across them are listed if it has at most
+``FEW`` members, but for those whose sketches of ``SKETCH`` bits differ in more bits than similar sets could in elements. Larger ones are cut finer, in rounds: in the first those with the same most connected member are one group
 (joined to another whose most connected member is higher and shares it), then each is one. A group has a centre c: the elements that most of a few of its members hold (any set would do). D(x) is the symmetric difference of x
 and c, and x has room (100 - t) |x| - (100 + t) |D(x)|. Two members are similar exactly if D(x) and D(y) have so much in
 common as their rooms leave missing, -(room(x) + room(y)) / (2 (100 + t)) elements. All members are tested against the one
@@ -55,6 +55,8 @@ SMALL_IDS = 1 << 18
 SMALL_LISTS = 1 << 19
 #: Members of a bucket whose pairs are all verified: at most (FEW - 1) / 2 pairs a member.
 FEW = 32
+#: Bits of a set's sketch: each is the parity of the elements that fall to it, so sketches differ in no more bits than their sets in elements.
+SKETCH = 1024
 #: How many times the groups that k calls for there are.
 SPARE = 1.15
 #: Members of a group, at most, whose majority is its centre.
@@ -193,11 +195,17 @@ def signed(docs: DataFrame, n: int, t: int, sub: int, key: str = "doc_id", text:
     return _of_sets(rows, n, of, f"{_SETS}, sigs array<long>")
 
 
+def _sketches(sets: list[np.ndarray]) -> pa.Array:
+    """The sketches of the sets, as longs."""
+    odd = [np.bincount((s % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH).astype(np.uint8) & 1 for s in sets]
+    return _lists([np.packbits(x).view(np.uint64) for x in odd])
+
+
 def sets_of(docs: DataFrame, ids: DataFrame, n: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, s): the sets of the listed ids."""
+    """(id, s, bits): the sets of the listed ids and their sketches."""
     small = F.broadcast(ids) if ids.count() <= SMALL_IDS else ids
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("binary").alias("data")).join(small, "id", "left_semi")
-    return _of_sets(rows, n, lambda sets: [_lists(sets)], "id long, s array<long>")
+    return _of_sets(rows, n, lambda sets: [_lists(sets), _sketches(sets)], "id long, s array<long>, bits array<long>")
 
 
 def keyed(docs: DataFrame, several: DataFrame, reps: DataFrame, n: int, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -465,9 +473,12 @@ def _linked(rare: DataFrame, docs: DataFrame, n: int, t: int, key: str, text: st
     again = scratch.written(buckets.groupBy("key").count().where("count > 1").select("key"), "again")
     buckets = scratch.written(buckets.join(sized(again), "key").distinct(), "buckets")
     nodes = scratch.written(buckets.join(rare.select("id", "n"), "id").groupBy("id", "n").agg(F.count("*").alias("rank")), "nodes")
-    sets = scratch.written(sets_of(docs, nodes.select("id"), n, key, text).groupBy("id").agg(F.first("s").alias("s")), "sets")
+    sets = scratch.written(sets_of(docs, nodes.select("id"), n, key, text).groupBy("id").agg(F.first("s").alias("s"), F.first("bits").alias("bits")), "sketched")
+    sets, sketches = sets.select("id", "s"), sets.select("id", "bits")
     scratch.drop(rare, again)
     alike = f"least(n, n_p) * 100 >= greatest(n, n_p) * {t}"
+    unlike = " + ".join(f"bit_count(bits[{i}] ^ bits_p[{i}])" for i in range(SKETCH // 64))
+    near = f"({unlike}) * {100 + t} <= (n + n_p) * {100 - t}"
     comp, roots, turn = nodes.withColumn("comp", F.col("id")), None, 0
     while True:
         with Scratch() as here:
@@ -483,9 +494,9 @@ def _linked(rare: DataFrame, docs: DataFrame, n: int, t: int, key: str, text: st
             star = inside.where(f"p <> id and {alike}")
             large = None
             if turn > 0:
-                small = inside.where(F.col("members") <= FEW).select("key", "id", "n", "comp")
-                other = small.select("key", F.col("id").alias("p"), F.col("n").alias("n_p"), F.col("comp").alias("comp_p"))
-                listed = small.join(other, "key").where(f"p < id and comp <> comp_p and {alike}").select("p", "id")
+                small = here.written(inside.where(F.col("members") <= FEW).select("key", "id", "n", "comp").join(sketches, "id"), "small")
+                other = small.select("key", F.col("id").alias("p"), F.col("n").alias("n_p"), F.col("comp").alias("comp_p"), F.col("bits").alias("bits_p"))
+                listed = small.join(other, "key").where(f"p < id and comp <> comp_p and {alike} and {near}").select("p", "id")
                 star = star.where(F.col("members") > FEW).select("p", "id").unionByName(listed)
                 label = F.col("p") if turn == 1 else F.col("key")
                 groups = here.written(inside.where(F.col("members") > FEW).select(label.alias("g"), "id").distinct(), "groups")

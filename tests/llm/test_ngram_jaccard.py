@@ -127,3 +127,28 @@ def test_elements_beside_the_centre_are_counted_in_slices(spark, monkeypatch, sl
     assert "explode" not in plan
     few = spark.createDataFrame([(1, [[1, 2, 3], [2, 3, 4], [3, 5]]), (2, [[7, 8]]), (3, [[1, 2], [2, 3]]), (4, [[1], [2]])], "g long, few array<array<long>>")
     assert {r["g"]: sorted(r["c"]) for r in nj._majority(few).collect()} == {1: [2, 3], 2: [7, 8], 3: [2], 4: []}
+
+
+def test_pairs_of_small_buckets_are_told_apart_by_sketches(spark, monkeypatch):
+    """All pairs of a bucket's members were listed and their sets fetched, however different the sets were."""
+    rng = np.random.Generator(np.random.PCG64(6))
+    for size in (1, 30, 900, 5000):
+        a = np.unique(rng.integers(0, 1 << 63, size, dtype=np.uint64))
+        b = np.union1d(a[rng.random(len(a)) < 0.9], rng.integers(0, 1 << 63, 1 + size // 20, dtype=np.uint64))
+        x, y = (np.array(s, np.int64).view(np.uint64) for s in nj._sketches([a, b]).to_pylist())
+        assert 0 < np.bitwise_count(x ^ y).sum() <= len(np.setxor1d(a, b))
+    passage = " ".join(f"common{i}" for i in range(60))
+    rows = [(d, passage + "".join(f" own{d}x{i}" for i in range(15))) for d in range(24)]
+    rows.append((24, rows[17][1] + " more"))
+    made, written = [], nj.Scratch.written
+
+    def counting(self, df, label):
+        out = written(self, df, label)
+        made.append((label, out.count()))
+        return out
+
+    monkeypatch.setattr(nj.Scratch, "written", counting)
+    got = nj.similar(spark.createDataFrame(rows, "doc_id long, text string"), n=5, t=80).collect()
+    assert {r["id"]: r["component_id"] for r in got} == {d: min(d, 17) if d == 24 else d for d, _ in rows}
+    assert any(label == "small" and n > 20 for label, n in made)
+    assert sum(n for label, n in made if label == "pairs") < 100
