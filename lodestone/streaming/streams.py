@@ -2,14 +2,15 @@
 
 Each twin gives what the batch operator gives on the rows that are not later than the watermark. Later ones change no state and
 are not lost: they come out with ``late`` set, and ``two_sinks`` writes them beside the accepted ones. Input streams have ``ts``
-(a timestamp without zone is read as UTC), ``key`` and ``id``; the state of a key lives in the state store, in one task.
-Within a micro-batch a key's rows are taken in order of (ts, id).
+(a timestamp without zone is read as UTC), ``key`` and ``id``; the state of a key lives in the state store, with that of the other
+keys of its part, in one task. Within a micro-batch a key's rows are taken in order of (ts, id).
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,10 +20,16 @@ from lodestone.durable import new_folder, written
 from lodestone.operators.events import MINUTE, windowed_counts
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Parts that keys are dealt to; a call and a state value are for a part, as each costs some 30 milliseconds.
+KEY_PARTS = 512
+#: The part of the null key.
+NO_KEY = -1
+#: The end of the lease of a job that waits to be claimed again.
+WAITING = 1 << 62
 
 
 def _ordered(batches: Iterator[pd.DataFrame], timers) -> tuple[pd.DataFrame, pd.DataFrame]:
-    """One key's new rows of one micro-batch in order: those in time, and those that the watermark has passed."""
+    """A part's new rows of one micro-batch in order: those in time, and those that the watermark has passed."""
     frame = pd.concat(list(batches)).sort_values(["us", "id"], kind="stable")
     late = frame["us"] // 1000 <= timers.getCurrentWatermarkInMs()
     return frame[~late], frame[late]
@@ -42,122 +49,148 @@ class _Split(StatefulProcessor):
         pass
 
 
-class _RateLimit(StatefulProcessor):
-    """State: the times of the key's last admitted events, at most ``limit`` of them; those that have left the window go when a timer fires."""
+class _Parted(StatefulProcessor):
+    """State: rows of longs, the first their key, of all keys of one part, as one value that is read and written once a micro-batch."""
 
-    def __init__(self, limit: int, window: int):
-        self.limit, self.window = limit, window
+    width = 2
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle, self.held = handle, handle.getListState("held", "us long")
+        self.handle, self.state = handle, handle.getValueState("state", "longs binary")
+
+    def _load(self) -> list[list[int]]:
+        return np.frombuffer(bytes(self.state.get()[0]), np.int64).reshape(-1, self.width).tolist() if self.state.exists() else []
+
+    def _save(self, rows: list[tuple[int, ...]], timer: int | None = None) -> None:
+        """Keep these rows, and a timer (microseconds) after which some are to be looked at."""
+        if rows:
+            self.state.update((np.array(rows, np.int64).tobytes(),))
+            if timer is not None:
+                self.handle.registerTimer(timer // 1000 + 1)
+        else:
+            self.state.clear()
+
+    @staticmethod
+    def _out(part, frame: pd.DataFrame, **more) -> pd.DataFrame:
+        """(key, us, ...) of the rows of a part; that of the null key is NO_KEY."""
+        key = frame["key"] if part[0] != NO_KEY else pd.Series([None] * len(frame), index=frame.index, dtype=object)
+        return pd.DataFrame({"key": key, "us": frame["us"], **more})
+
+    def close(self) -> None:
+        pass
+
+
+class _RateLimit(_Parted):
+    """State: the times of a key's last admitted events, at most ``limit`` of them; those that have left the window go, by a timer at the latest."""
+
+    def __init__(self, limit: int, window: int):
+        self.limit, self.window = limit, window
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        held = [r[0] for r in self.held.get()]
-        out = []
         frame, late = _ordered(rows, timerValues)
-        for us, i in zip(frame["us"], frame["id"], strict=True):
-            held = [h for h in held if h > us - self.window]
-            ok = len(held) < self.limit
+        held, admitted = {}, []
+        for k, us in self._load():
+            held.setdefault(k, []).append(us)
+        for k, us in zip(frame["key"].tolist(), frame["us"].tolist(), strict=True):
+            mine = [h for h in held.get(k, ()) if h > us - self.window]
+            ok = len(mine) < self.limit
             if ok:
-                held.append(int(us))
-            out.append((key[0], us, i, ok, False))
-        if len(frame):
-            self._hold(held)
-        out += [(key[0], us, i, None, True) for us, i in zip(late["us"], late["id"], strict=True)]
-        yield pd.DataFrame(out, columns=["key", "us", "id", "admitted", "late"])
+                mine.append(us)
+            held[k] = mine
+            admitted.append(ok)
+        self._hold([(k, us) for k, mine in held.items() for us in mine], timerValues)
+        yield self._out(key, frame, id=frame["id"], admitted=admitted, late=False)
+        yield self._out(key, late, id=late["id"], admitted=None, late=True)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = expiredTimerInfo.getExpiryTimeInMs() * 1000
-        self._hold([r[0] for r in self.held.get() if r[0] > now - self.window])
+        self._hold(self._load(), timerValues)
         yield from ()
 
-    def _hold(self, times: list[int]) -> None:
-        """Keep these times, and a timer for when the last of them leaves the window; a list state can't be empty."""
-        if times:
-            self.held.put([(t,) for t in times])
-            self.handle.registerTimer((max(times) + self.window) // 1000 + 1)
-        else:
-            self.held.clear()
+    def _hold(self, rows: list, timers) -> None:
+        """Keep the times that events after the watermark may still count."""
+        kept = [r for r in rows if r[1] > timers.getCurrentWatermarkInMs() * 1000 - self.window]
+        self._save(kept, max((r[1] for r in kept), default=0) + self.window)
 
-    def close(self) -> None:
-        pass
 
+class _Idempotent(_Parted):
+    """State: the job that a key created last, and when, as long as it counts for events after the watermark."""
 
-class _Idempotent(StatefulProcessor):
-    """State: the job that the key created last, and when."""
+    width = 3
 
     def __init__(self, window: int):
         self.window = window
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.anchor = handle.getValueState("anchor", "us long, id long")
-
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        anchor = self.anchor.get() if self.anchor.exists() else None
-        out = []
         frame, late = _ordered(rows, timerValues)
-        for us, i in zip(frame["us"], frame["id"], strict=True):
+        anchors, created, job = {k: (us, i) for k, us, i in self._load()}, [], []
+        for k, us, i in zip(frame["key"].tolist(), frame["us"].tolist(), frame["id"].tolist(), strict=True):
+            anchor = anchors.get(k)
             new = anchor is None or us - anchor[0] >= self.window
             if new:
-                anchor = (int(us), int(i))
-            out.append((key[0], us, i, new, anchor[1], False))
-        if anchor is not None:
-            self.anchor.update(anchor)
-        out += [(key[0], us, i, None, None, True) for us, i in zip(late["us"], late["id"], strict=True)]
-        yield pd.DataFrame(out, columns=["key", "us", "id", "created", "job", "late"])
+                anchor = anchors[k] = (us, int(i))
+            created.append(new)
+            job.append(anchor[1])
+        since = timerValues.getCurrentWatermarkInMs() * 1000 - self.window
+        self._save([(k, us, i) for k, (us, i) in anchors.items() if us > since])
+        yield self._out(key, frame, id=frame["id"], created=created, job=job, late=False)
+        yield self._out(key, late, id=late["id"], created=None, job=None, late=True)
 
-    def close(self) -> None:
-        pass
 
+class _Lease(_Parted):
+    """State: a running job's attempts and the end of its lease; a timer says what becomes of it then unless a heartbeat or an end comes first."""
 
-class _Lease(StatefulProcessor):
-    """State: the running job's attempts; a timer at the end of its lease says what becomes of it unless a heartbeat or an end comes first."""
+    width = 3
 
     def __init__(self, lease: int):
         self.lease = lease
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle, self.job = handle, handle.getValueState("job", "attempts long, until long")
-
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        job = self.job.get() if self.job.exists() else None
+        jobs, out = {k: (attempts, until) for k, attempts, until in self._load()}, []
         frame, late = _ordered(rows, timerValues)
-        out = [(key[0], us, None, True) for us in late["us"]]
-        for us, what in zip(frame["us"], frame["what"], strict=True):
+        for k, us, what in zip(frame["key"].tolist(), frame["us"].tolist(), frame["what"].tolist(), strict=True):
+            job = jobs.pop(k, None)
             if job is not None and us > job[1]:
-                out.append((key[0], job[1], "queued" if job[0] < 2 else "WORKER_LOST", False))
+                out.append((k, job[1], "queued" if job[0] < 2 else "WORKER_LOST"))
                 job = (job[0], -1)
             if what == "claim":
-                job = ((job[0] if job else 0) + 1, int(us) + self.lease)
+                job = ((job[0] if job else 0) + 1, us + self.lease)
             elif job is not None and job[1] > 0:
-                job = (job[0], int(us) + self.lease) if what == "heartbeat" else (0, -1)
+                job = (job[0], us + self.lease) if what == "heartbeat" else (0, -1)
             if job is not None and job[1] < 0:
-                job = None if job[0] == 0 or job[0] >= 2 else (job[0], 1 << 62)
-        if job is None:
-            self.job.clear()
-        else:
-            self.job.update(job)
-            if job[1] < 1 << 62:
-                self.handle.registerTimer(job[1] // 1000 + 1)
-        yield pd.DataFrame(out, columns=["key", "us", "outcome", "late"])
+                job = None if job[0] == 0 or job[0] >= 2 else (job[0], WAITING)
+            if job is not None:
+                jobs[k] = job
+        self._keep(jobs)
+        yield self._out(key, late, outcome=None, late=True)
+        yield self._ended(key, out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        job = self.job.get() if self.job.exists() else None
-        if job is not None and job[1] < 1 << 62 and job[1] // 1000 + 1 <= expiredTimerInfo.getExpiryTimeInMs():
-            yield pd.DataFrame([(key[0], job[1], "queued" if job[0] < 2 else "WORKER_LOST", False)], columns=["key", "us", "outcome", "late"])
-            if job[0] < 2:
-                self.job.update((job[0], 1 << 62))
-            else:
-                self.job.clear()
-
-    def close(self) -> None:
-        pass
-
-
-def _stateful(stream: DataFrame, processor: StatefulProcessor, schema: str, late: str, extra: tuple[str, ...] = (), by: str = "key") -> DataFrame:
-    """The stream through a processor, by key. The event time itself is left out, so Spark drops no late row before the processor."""
+        jobs, now, out = {}, timerValues.getCurrentWatermarkInMs(), []
+        for k, attempts, until in self._load():
+            if until < WAITING and until // 1000 + 1 < now:
+                out.append((k, until, "queued" if attempts < 2 else "WORKER_LOST"))
+                until = WAITING if attempts < 2 else None
+            if until is not None:
+                jobs[k] = attempts, until
+        self._keep(jobs)
+        yield self._ended(key, out)
+
+    def _keep(self, jobs: dict) -> None:
+        """The part's jobs, and a timer for the first lease that ends."""
+        self._save([(k, *job) for k, job in jobs.items()], min((until for _, until in jobs.values() if until < WAITING), default=None))
+
+    def _ended(self, part, out: list) -> pd.DataFrame:
+        frame = pd.DataFrame(out, columns=["key", "us", "outcome"])
+        return self._out(part, frame, outcome=frame["outcome"], late=False)
+
+
+def _stateful(stream: DataFrame, processor: StatefulProcessor, schema: str, late: str, extra: tuple[str, ...] = (), by: str = "") -> DataFrame:
+    """The stream through a processor, by key in KEY_PARTS parts or by a column. The event time itself is left out, so Spark drops no late row before the processor."""
     stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     rows = stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+    if not by:
+        by, key = "_part", F.col("key").cast("long")
+        part = F.when(key.isNull(), NO_KEY).otherwise(F.pmod(F.xxhash64(key), F.lit(KEY_PARTS)))
+        rows, extra = rows.select(F.coalesce(key, F.lit(0)).alias("key"), "ts", "id", *extra, part.cast("long").alias(by)), ("key", *extra)
     rows = rows.select(by, F.unix_micros("ts").alias("us"), "id", *extra)
     return rows.groupBy(by).transformWithStateInPandas(processor, schema, outputMode="Append", timeMode="EventTime")
 

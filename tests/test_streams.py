@@ -109,3 +109,16 @@ def test_json_quarantine(spark):
     write_partitions(good.fillna({"b": "none"}), kept, "b")
     write_partitions(spark.createDataFrame([(7, "x")], "a long, b string"), kept, "b")  # only that partition is replaced
     assert sorted((r["a"] or -1, r["b"]) for r in spark.read.schema("a long, b string").parquet(kept).collect()) == [(-1, "w"), (3, "none"), (7, "x")]
+
+
+def test_keys_share_calls(spark, monkeypatch):
+    """Each key had a call and a state value of its own in every micro-batch; the null key and all keys in one part give the same."""
+    rng = random.Random(43)
+    rows = [((1_700_000_000 + 40 * i) * 10**6, None if i % 9 == 0 else rng.randrange(-3, 9) * 10**17, i) for i in range(300)]
+    path, ids = files_of(spark, rows, [i // 100 for i in range(300)]), spark.createDataFrame(rows, "us long, key long, id long").select("key", "us", "id")
+    monkeypatch.setattr(streams, "KEY_PARTS", 1)
+    accepted, behind = streams.both(spark, path, SCHEMA, lambda s: streams.rate_limit_stream(s, 3, ev.HOUR))
+    want = sorted(map(str, ev.rate_limit(ids, 3, ev.HOUR).select(*sorted(accepted.columns)).collect()))
+    assert behind.count() == 0 and sorted(map(str, accepted.select(*sorted(accepted.columns)).collect())) == want
+    plan = streams.rate_limit_stream(spark.readStream.schema(SCHEMA).parquet(path), 3, ev.HOUR)._jdf.queryExecution().analyzed().toString()
+    assert "transformWithStateUDF(_part" in plan
