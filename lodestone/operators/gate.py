@@ -8,9 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.durable import written
+from lodestone.durable import remove, written
 from lodestone.functions.text import ascii_borders, numbers, stems, tokens
-from lodestone.operators.dedup import class_leaders, similar_sets
+from lodestone.operators.dedup import class_leaders, similar_lists
 from lodestone.operators.similarity import grounding
 from lodestone.operators.terms import implied_terms, match_terms
 
@@ -97,17 +97,21 @@ def drop_duplicates_in_order(cands: DataFrame, percent: int = 80) -> DataFrame:
 
     One is dropped if it shares a length with an earlier kept one of its owner whose token Jaccard similarity is at least
     ``percent``. Texts of one owner and length with equal token sets are a class, which costs a row a text and no pair; classes are
-    paired by an equi-join on each one's rarest tokens, of which a similar one must hold one.
+    paired by their rarest tokens, of which a similar one must hold one. Texts are cut into tokens once, and these are kept as hashes
+    that hold the owner and the length.
     """
-    t = F.array_sort(tokens(F.col("text")))
-    made = cands.select("owner_id", "pos", "length", t.alias("t")).withColumn("cls", F.md5(F.to_json(F.struct("owner_id", "length", "t"))))
-    texts = written(made.select("owner_id", "pos", F.size("t").alias("n"), "cls"), "texts")
-    kinds = made.where(F.size("t") > 0).groupBy("cls").agg(F.min(F.struct("owner_id", "length", "t")).alias("x")).select("cls", "x.*")
-    kinds = written(kinds.withColumn("id", F.monotonically_increasing_id()), "kinds")
-    sets = kinds.select(F.col("id").alias("doc_id"), "owner_id", "length", F.explode("t").alias("term"), F.lit(1).alias("w10"))
-    near = similar_sets(sets, percent, ("owner_id", "length"))
+    t = tokens(F.col("text"))
+    made = cands.select("owner_id", "pos", "length", F.array_sort(t).alias("x")).withColumn("cls", F.md5(F.to_json(F.struct("owner_id", "length", F.col("x").alias("t")))))
+    hashed = F.transform("x", lambda y: F.xxhash64("owner_id", "length", y))
+    made = written(made.select("owner_id", "pos", F.size("x").alias("n"), "cls", hashed.alias("t"), F.monotonically_increasing_id().alias("id")), "hashed")
+    texts = written(made.select("owner_id", "pos", "n", "cls"), "texts")
+    kinds = written(made.where("n > 0").groupBy("cls").agg(F.min("id").alias("id")), "kinds")
+    lists = written(made.join(kinds.select("id"), "id", "left_semi").select(F.col("id").alias("doc_id"), "t", F.array_repeat(F.lit(1).cast("long"), F.col("n")).alias("w")), "sets")
+    remove(made)
+    near = similar_lists(lists, percent)
     named = near.join(kinds.select(F.col("id").alias("a"), F.col("cls").alias("x")), "a").join(kinds.select(F.col("id").alias("b"), F.col("cls").alias("y")), "b")
     like = written(named.select(F.col("x").alias("a"), F.col("y").alias("b")), "like")
+    remove(lists)
     nodes = written(cands.select("owner_id", "cand_id", "pos").distinct(), "candidates")
     alone = F.when(F.col("n") > 0, F.col("cls")).otherwise(F.concat("cls", F.lit(":"), F.col("pos").cast("string")))  # texts without tokens are like nothing
     kept = class_leaders(texts.select("owner_id", F.col("pos").alias("node"), alone.alias("cls")), like, "owner_id")

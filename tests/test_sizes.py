@@ -144,6 +144,28 @@ def test_near_copies_are_shuffled_once_a_term(spark, monkeypatch, cell):
     assert cell == 7 or n < 2 * sum(map(len, sets.values()))
 
 
+def test_sets_that_meet_at_many_terms_go_out_once(spark, monkeypatch):
+    """A set left the comparison once for each of its first terms that a like one had, and large sets also with chance partners, each time with all terms."""
+    rng, real, made, sets = random.Random(41), dedup.written, {}, {}
+    monkeypatch.setattr(dedup, "written", lambda df, label: made.setdefault(label, real(df, label)))
+    words = [f"w{i}" for i in range(3000)]
+    for i in range(60):
+        base = dict.fromkeys(rng.sample(words, rng.choice((5, 60, 300, 700))), 2)
+        for copy in range(3):
+            sets[3 * i + copy] = {t: rng.choice((2, 2, 2, 3)) for t in base if rng.random() > 0.02 * copy}
+    rows = spark.createDataFrame([(i, t, w) for i, x in sets.items() for t, w in x.items()], "doc_id long, term string, w10 int")
+    want = set()
+    for a in sets:
+        for b in range(a + 1, len(sets)):
+            low = sum(min(sets[a][t], sets[b][t]) for t in sets[a].keys() & sets[b].keys())
+            high = sum(sets[a].values()) + sum(sets[b].values()) - low
+            if low * 10 >= high * 8:
+                want.add((a, b, low, high))
+    got = [tuple(r) for r in dedup.similar_sets(rows, 80).collect()]
+    assert set(got) == want and len(got) == len(want) > 100
+    assert made["cells"].count() < 2 * len(sets)
+
+
 @pytest.mark.parametrize("cell", [2048, 7])
 def test_cosines_shuffle_texts_and_not_pairs(spark, monkeypatch, cell):
     """Each pair of the band was shuffled once for each stem of its first text."""
