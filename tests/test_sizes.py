@@ -207,3 +207,44 @@ def test_words_are_made_bare_once(spark):
     out = df.select(stems(df["text"]).alias("s"))
     assert out._jdf.queryExecution().analyzed().toString().count("regexp_replace") == 1
     assert out.first()[0] == df.selectExpr("explode(regexp_extract_all(text, \"[A-Za-z][A-Za-z'-]+\", 0)) as w").select(stem_of("w")).agg({"s": "collect_list"}).first()[0]
+
+
+def test_plain_words_are_joined_without_a_search(spark):
+    """Each line was searched with a pattern of its own for every word that the dictionary has."""
+    from pyspark.sql import functions as F
+
+    from lodestone.operators import terms
+
+    rng = random.Random(6)
+    parts = ["heat", "Heat", "heat+", "+heat", ".heat", "heat.", "#heat#", "heater", "_heat", "ünheat", "heatü", "Kheat", "heatİ", "İ", "io", "IO", "k8s", "-k8s-", "(K8s)", "a_1", "A_1,"]
+    texts = spark.createDataFrame([(i, rng.choice(["", " ", "\n", "/"]).join(rng.choice(parts) for _ in range(rng.randint(0, 6)))) for i in range(400)] + [(400, None)], "doc_id long, text string")
+    words = ["heat", "io", "k8s", "a_1", "8s"]
+    plain = spark.createDataFrame([(w, w, w, f"(?i)(?<![\\w+#.]){w}(?![\\w+#])") for w in words], "canonical string, alias string, lead string, pattern string")
+    searched = plain.withColumn("pattern", F.concat(F.lit("(?:)"), "pattern"))
+    rows = lambda t: sorted(map(tuple, terms.match_terms(texts, t, ["doc_id"]).collect()))
+    want = rows(searched)
+    assert rows(plain) == want and len(want) > 200
+    assert rows(plain.where("alias in ('io', 'heat')").unionByName(searched.where("alias not in ('io', 'heat')"))) == want
+    plan = terms.match_terms(texts, plain, ["doc_id"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "RLIKE pattern" not in plan
+
+
+def test_a_summary_makes_weights_once_and_stems_of_shared_classes_only(spark, tmp_path, monkeypatch):
+    """The weights were made for the pairs and again for the top terms, and all texts were cut into stems."""
+    from pyspark.sql import functions as F
+
+    from lodestone.operators import terms
+    from lodestone.plans.registry import QUERIES
+
+    weights, stems, made, cut = terms.term_weights, similarity.stem_counts, [], []
+    monkeypatch.setattr(terms, "term_weights", lambda *a, **k: made.append(1) or weights(*a, **k))
+    monkeypatch.setattr(similarity, "stem_counts", lambda t, *a, **k: cut.extend(r["doc_id"] for r in t.select("doc_id").collect()) or stems(t, *a, **k))
+    words = [f"word{i}" for i in range(60)]
+    rng = random.Random(2)
+    texts = [" ".join(rng.sample(words, 20)) for _ in range(8)]
+    texts += [texts[0], texts[0] + " other", texts[1].replace(texts[1].split()[0], "else")]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("source", F.lit("s")).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, " ".join(words))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {r["doc_id"]: r["reused"] for r in QUERIES["e15_batch_summary"](spark, str(tmp_path)).collect()}
+    assert got == {i: {8: 0, 9: 0, 10: 1}.get(i) for i in range(11)}
+    assert len(made) == 1 and set(cut) <= {0, 8, 9, 1, 10}
