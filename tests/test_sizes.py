@@ -248,3 +248,34 @@ def test_a_summary_makes_weights_once_and_stems_of_shared_classes_only(spark, tm
     got = {r["doc_id"]: r["reused"] for r in QUERIES["e15_batch_summary"](spark, str(tmp_path)).collect()}
     assert got == {i: {8: 0, 9: 0, 10: 1}.get(i) for i in range(11)}
     assert len(made) == 1 and set(cut) <= {0, 8, 9, 1, 10}
+
+
+def test_scores_shuffle_only_what_items_have(spark):
+    """Each scoring of pairs shuffled all stems of all documents, also those that no item has."""
+    from lodestone.operators.topk import top_relevant
+
+    rng = random.Random(8)
+    docs = {i: {f"own{i}x{j}": 1 for j in range(200)} | {f"s{rng.randrange(30)}": rng.randint(1, 9) for _ in range(6)} for i in range(50)}
+    items = {i: {f"s{rng.randrange(30)}": rng.randint(1, 3) for _ in range(5)} for i in range(8)}
+    weights = {(i, f"t{rng.randrange(6)}"): rng.choice((3, 5, 10)) for i in docs for _ in range(2)}
+    named = {(i, f"t{rng.randrange(6)}") for i in items if i % 2 for _ in range(2)}
+    rows = lambda t: [(i, s, n) for i, x in t.items() for s, n in x.items()]
+    frames = [
+        spark.createDataFrame(sorted(named), "item_id long, canonical string"), spark.createDataFrame([(*k, w) for k, w in weights.items()], "doc_id long, term string, w10 long"),
+        spark.createDataFrame(rows(items), "item_id long, stem string, n long"), spark.createDataFrame(rows(docs), "doc_id long, stem string, n long"),
+    ]
+    got = []
+    n = shuffled(spark, lambda: got.extend(tuple(r) for r in top_relevant(*frames).select("item_id", "doc_id", "bp", "r").collect()))
+    want = []
+    for i, x in items.items():
+        scored = []
+        for d, y in docs.items():
+            total = sum(w for (e, _), w in weights.items() if e == d)
+            hit = sum(w for (e, t), w in weights.items() if e == d and (i, t) in named)
+            dot = sum(x[s] * y[s] for s in x.keys() & y.keys())
+            if hit or dot:
+                cosine = dot / (sum(v * v for v in x.values()) ** 0.5 * sum(v * v for v in y.values()) ** 0.5)
+                scored.append((-int(round(0.7 * hit / total + 0.3 * cosine, 4) * 10_000 + 0.5), d))
+        want += [(i, d, -s, r + 1) for r, (s, d) in enumerate(sorted(scored)[:3])]
+    assert sorted(got) == sorted(want) and len(want) > 20
+    assert n < 30_000
